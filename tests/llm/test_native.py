@@ -1,0 +1,160 @@
+"""The column-expression operators against direct Python readings of their rules."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tickloom.llm import exact_dedup, line_dedup, pii, secrets
+
+
+def spans_of(text, kinds):
+    found = []
+    for rank, (kind, pattern, ok) in enumerate(kinds):
+        found += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text) if ok(m)]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found)), {k: sum(f[3] == k for f in found) for k, _, _ in kinds}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def digits(m):
+    return re.sub("[^0-9]", "", m[0])
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+]
+SECRETS = [
+    ("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+]
+
+
+def check_spans(got, kinds):
+    assert got
+    for row in got:
+        text = row.text or ""
+        if "a.ba.ba.b" in text:  # the plain pattern takes quadratic time here
+            assert "n_email" not in row or row.n_email == 1
+            continue
+        want, counts = spans_of(text, kinds)
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (text[:60], want[:200], row.spans[:200])
+        assert all(row[f"n_{k}"] == n for k, n in counts.items())
+        base = [s for s in row.spans.split(",") if s.split(":")[0] in counts]
+        assert ",".join(base) == want
+
+
+@pytest.mark.parametrize("which", ["hard_docs", "some_docs"])
+def test_pii(which, request):
+    docs = request.getfixturevalue(which).withColumn("n", F.monotonically_increasing_id())
+    got = pii.pii_digests(docs.withColumn("doc_id", F.col("n"))).join(docs.select(F.col("n").alias("doc_id"), "text"), "doc_id").collect()
+    assert len(got) == docs.count()
+    check_spans(got, PII)
+
+
+def test_iban_and_context(spark):
+    docs = spark.createDataFrame(
+        [(1, "iban DE89 3704 0044 0532 0130 00."), (2, "x DE88 3704 0044 0532 0130 00"), (3, "version 1.2.3.4"), (4, "host 1.2.3.4")], "doc_id long, text string"
+    )
+    got = {r.doc_id: r for r in pii.pii_digests(docs).collect()}
+    assert got[1].n_iban == 1 and "iban:5:32" in got[1].spans and "1.00" in got[1].scores
+    assert got[2].n_iban == 0
+    assert (got[3].scores, got[4].scores) == ("0.30", "0.70")
+
+
+@pytest.mark.parametrize("which", ["hard_docs", "some_docs"])
+def test_secrets(which, request):
+    docs = request.getfixturevalue(which).withColumn("n", F.monotonically_increasing_id())
+    got = secrets.secret_digests(docs.withColumn("doc_id", F.col("n"))).join(docs.select(F.col("n").alias("doc_id"), "text"), "doc_id").collect()
+    assert len(got) == docs.count()
+    check_spans(got, SECRETS)
+
+
+def test_secret_ledger_scans_only_unseen(spark, hard_docs):
+    first = secrets.scan_blobs(hard_docs).cache()
+    assert first.count() == secrets.blobs(hard_docs).count() * len(secrets.RULES)
+    assert secrets.scan_blobs(hard_docs, first).count() == 0
+    newer = tuple(secrets.Rule(r.kind, 2, r.pattern, r.hint, r.least) if r.kind == "hex" else r for r in secrets.RULES)
+    again = secrets.scan_blobs(hard_docs, first, newer)
+    assert {r.rule for r in again.select("rule").distinct().collect()} == {"hex@2"}
+    whole = {tuple(r) for r in secrets.secret_digests(hard_docs).collect()}
+    assert {tuple(r) for r in secrets.secret_digests(hard_docs, first).collect()} == whole
+    assert {tuple(r) for r in secrets.secret_digests(hard_docs, first.limit(40)).collect()} == whole
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "a token=0123456789abcdef01234567 b", 7), (2, "clean", 8), (3, None, 9)], "doc_id long, text string, secrets int")
+    got = {r.doc_id: r for r in secrets.redact_secrets(docs.drop("secrets")).collect()}
+    assert got[1].text == "a [secret] b" and got[2].text == "clean" and got[3].text is None
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+@pytest.mark.parametrize("which", ["hard_docs", "some_docs"])
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(which, weak, request):
+    docs = request.getfixturevalue(which)
+    groups = defaultdict(list)
+    for r in docs.collect():
+        groups[ascii_lower(r.text)].append(r.doc_id)
+    want = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+    chunk_hash = (lambda c: F.xxhash64(c) % 2) if weak else F.xxhash64
+    got = [tuple(r) for r in exact_dedup.exact_groups(docs, chunk_hash).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_chunks_rejoin_to_the_text(hard_docs):
+    norm = exact_dedup.normalised(F.coalesce("text", F.lit("")))
+    bad = hard_docs.where(F.array_join(exact_dedup.chunks(norm), "") != norm)
+    assert bad.count() == 0
+
+
+def lines_by_hand(rows, least):
+    sites, first = defaultdict(set), {}
+    for r in rows:
+        for pos, line in enumerate((r.text or "").split("\n")):
+            if line.strip(" "):
+                if r.source is not None:
+                    sites[line].add(r.source)
+                at = (r.doc_id is not None, r.doc_id or 0, pos)
+                first[line] = min(first.get(line, at), at)
+    out = []
+    for r in rows:
+        if r.text is None:
+            out.append((r.doc_id, None, 0))
+            continue
+        lines = r.text.split("\n")
+        kept = [x for pos, x in enumerate(lines) if len(sites.get(x, ())) < least or first[x] == (r.doc_id is not None, r.doc_id or 0, pos)]
+        out.append((r.doc_id, "\n".join(kept), len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [2, 3, 10])
+@pytest.mark.parametrize("which", ["hard_docs", "some_docs"])
+def test_line_dedup(which, least, request):
+    docs = request.getfixturevalue(which)
+    got = line_dedup.dedup_lines(docs, min_sites=least)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted([(r.doc_id, r.text, r.n_removed) for r in got.collect()], key=str) == lines_by_hand(docs.collect(), least)
+
+
+def test_empty_tables(no_docs):
+    for run in (pii.pii_digests, secrets.secret_digests, secrets.redact_secrets, exact_dedup.exact_groups, line_dedup.dedup_lines):
+        assert run(no_docs).count() == 0
