@@ -17,6 +17,7 @@ has a real id; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,19 @@ MEMO_ENTRIES = 500_000
 SALTS = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[str, int] = {}
+
+
+class _Known(dict):
+    """Hashes of the words seen; bounded, and refilled when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word)
+        return code
+
+
+_known = _Known()
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -54,10 +67,6 @@ def grams(text: str, words: int = WORDS) -> np.ndarray:
     parts = text.lower().split()
     if not parts:
         return np.zeros(0, dtype=np.uint64)
-    if len(_known) > MEMO_ENTRIES:
-        _known.clear()
-    for part in set(parts) - _known.keys():
-        _known[part] = xxhash.xxh64_intdigest(part)
     codes = np.fromiter(map(_known.__getitem__, parts), dtype=np.uint64, count=len(parts))
     n = max(1, len(codes) - words + 1)
     rolled = np.zeros(n, dtype=np.uint64)
@@ -67,6 +76,7 @@ def grams(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(rolled)
 
 
+@lru_cache(maxsize=2)
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
     draw = rng.integers(0, 1 << 63, (2, count), dtype=np.uint64)
@@ -77,8 +87,8 @@ def band_hashes(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit hash per band of the MinHash signature of a set of n-grams."""
     a, b = _functions(bands * rows)
     least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 2048):
-        some = found[at : at + 2048]
+    for at in range(0, len(found), 512):  # small enough to stay in cache
+        some = found[at : at + 512]
         np.minimum(least, (a[:, None] * some[None, :] + b[:, None]).min(axis=1), out=least)
     out = np.zeros(bands, dtype=np.uint64)
     for row in least.reshape(bands, rows).T:
