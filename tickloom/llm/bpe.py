@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import text_or_empty
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
+ID_BITS, PLACE_BITS = 20, 32
+ID_MASK, PLACE_MASK = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
 _WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
@@ -37,27 +39,51 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the lowest-ranked adjacent pair, leftmost first, until no ranked pair is left."""
-    n = len(symbols)
+def merge_word(ids: list[int], merges: dict[int, int]) -> list[int]:
+    """Merge the lowest-ranked adjacent pair, leftmost first, until no ranked pair is left.
+
+    ``merges``: pair (two ids in one number) -> rank and id of the merged symbol (in one number). The queue holds
+    rank and place; an entry whose place no longer has a pair of that rank is stale and skipped.
+    """
+    n, find = len(ids), merges.get
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    queue = [(m >> ID_BITS) << PLACE_BITS | i for i in range(n - 1) if (m := find(ids[i] << ID_BITS | ids[i + 1])) is not None]
     heapify(queue)
     while queue:
-        _, i, a, b = heappop(queue)
-        j = right[i] if symbols[i] == a else -1
-        if j < 0 or symbols[j] != b:  # stale: one side has been merged since
+        entry = heappop(queue)
+        i = entry & PLACE_MASK
+        j = right[i]
+        if j < 0 or ids[i] < 0:
+            continue
+        m = find(ids[i] << ID_BITS | ids[j])
+        if m is None or m >> ID_BITS != entry >> PLACE_BITS:
             continue
-        symbols[i], symbols[j] = a + b, ""
-        right[i] = k = right[j]
+        ids[i], ids[j] = m & ID_MASK, -1
+        k = right[i] = right[j]
+        right[j] = -1
         if k >= 0:
             left[k] = i
-            if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                heappush(queue, (r, i, symbols[i], symbols[k]))
+            if (m := find(ids[i] << ID_BITS | ids[k])) is not None:
+                heappush(queue, (m >> ID_BITS) << PLACE_BITS | i)
         h = left[i]
-        if h >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-            heappush(queue, (r, h, symbols[h], symbols[i]))
-    return [s for s in symbols if s]
+        if h >= 0 and (m := find(ids[h] << ID_BITS | ids[i])) is not None:
+            heappush(queue, (m >> ID_BITS) << PLACE_BITS | h)
+    return [x for x in ids if x >= 0]
+
+
+class _Runs(dict):
+    """Tokens of each run without white space seen so far; bounded, and refilled when full."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, str, str]]):
+        self.encode = encode
+
+    def __missing__(self, run: str) -> tuple[int, str, str]:
+        out = self.encode(run)
+        if len(run) <= 48:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[run] = out
+        return out
 
 
 class WordBpe:
@@ -67,48 +93,45 @@ class WordBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.vocab: dict[str, int] = dict(model["vocab"])
-        self.ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ")): r for r, pair in enumerate(model["merges"])}
-        self.end = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
+        self.merges: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            self.merges.setdefault(vocab[a] << ID_BITS | vocab[b], rank << ID_BITS | vocab[a + b])
+        end = model.get("end_of_word_suffix") or ""
+        letters = byte_letters()
+        self.inner = [vocab[letters[b]] for b in range(256)]
+        self.final = [vocab[letters[b] + end] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in (self.vocab | self.special).items()}
-        self.letters = byte_letters()
+        self.strings = {i: s for s, i in (vocab | self.special).items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.runs = _Runs(self.run)
+        self.known = _Runs(self.word)
 
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of tokens, their ids and their vocabulary strings of one lower-cased word."""
-        if (out := self.known.get(word)) is None:
-            symbols = [self.letters[b] for b in word.encode()]
-            symbols[-1] += self.end
-            ids = [self.vocab[s] for s in merge_word(symbols, self.ranks)]
-            out = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(word) <= 48:
-                if len(self.known) >= MEMO_ENTRIES:
-                    self.known.clear()
-                self.known[word] = out
-        return out
-
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
+        code = word.encode()
+        ids = [self.inner[b] for b in code]
+        ids[-1] = self.final[code[-1]]
+        if len(ids) > 1:
+            ids = merge_word(ids, self.merges)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def run(self, run: str) -> tuple[int, str, str]:
         """The same for a run without white space."""
-        parts = self.words.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
-        found = list(map(self.word, parts))
-        return sum(f[0] for f in found), " ".join(f[1] for f in found), " ".join(f[2] for f in found)
-
-    def runs(self, text: str) -> list[tuple[int, str, str]]:
-        out, chunks = [], self.chunks
-        for run in [x for x in _WHITE.split(text) if x] if _CONTROLS.search(text) else text.split():
-            if (got := chunks.get(run)) is None:
-                got = self.chunk(run)
-                if len(run) <= 48:
-                    if len(chunks) >= MEMO_ENTRIES:
-                        chunks.clear()
-                    chunks[run] = got
-            out.append(got)
-        return out
+        if run.isascii() and run.isalpha():
+            return self.word(run) if run.islower() else self.known[run.lower()]
+        parts = self.words.findall(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
+        if len(parts) == 1:
+            return self.known[parts[0]]
+        counts, ids, strings = zip(*map(self.known.__getitem__, parts))
+        return sum(counts), " ".join(ids), " ".join(strings)
+
+    def found(self, text: str) -> list[tuple[int, str, str]]:
+        parts = [x for x in _WHITE.split(text) if x] if _CONTROLS.search(text) else text.split()
+        return list(map(self.runs.__getitem__, parts))
 
     def encode_text(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, decimal ids and decoded text."""
@@ -116,9 +139,9 @@ class WordBpe:
             found = []
             for part in self.cut.split(text):
                 special = self.special.get(part)
-                found += self.runs(part) if special is None else [(1, str(special), part)]
+                found += self.found(part) if special is None else [(1, str(special), part)]
         else:
-            found = self.runs(text)
+            found = self.found(text)
         if not found:
             return 0, "", ""
         counts, ids, strings = zip(*found)

@@ -38,12 +38,14 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0))
 
 
-def _ambiguous(texts: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
+def _shared_hashes(distinct: DataFrame) -> DataFrame:
+    """The hashes that stand for several chunk texts; chunk texts move once, to be told apart."""
+    return distinct.groupBy("hash").count().where("count > 1").select("hash")
+
+
+def _numbered(distinct: DataFrame) -> DataFrame:
     """(hash, chunk, number) of the chunks whose hash stands for several texts."""
-    rows = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(chunk_hash(F.col("chunk")).alias("hash"), "chunk")
-    distinct = rows.distinct()
-    shared = distinct.groupBy("hash").count().where("count > 1").select("hash")
-    both = distinct.join(shared, "hash", "left_semi")
+    both = distinct.join(_shared_hashes(distinct), "hash", "left_semi")
     listed = both.groupBy("hash").agg(F.array_sort(F.collect_list("chunk")).alias("texts"))
     return listed.select("hash", F.posexplode("texts").alias("number", "chunk"))
 
@@ -51,16 +53,17 @@ def _ambiguous(texts: DataFrame, chunk_hash: Callable[[Column], Column]) -> Data
 def recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, text_sha256 and recipe (array of verified chunk identifiers: hash and number) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_or_empty()).alias("norm"))
-    ambiguous = _ambiguous(texts, chunk_hash)
+    rows = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk"))
+    distinct = rows.select(chunk_hash(F.col("chunk")).alias("hash"), "chunk").distinct()
     base = texts.select(
         "doc_id",
         F.sha2("norm", 256).alias("text_sha256"),
         F.transform(chunks(F.col("norm")), lambda c: F.struct(chunk_hash(c).alias("hash"), F.lit(0).alias("number"))).alias("recipe"),
     )
-    if ambiguous.isEmpty():
+    if _shared_hashes(distinct).isEmpty():
         return base
     parts = texts.select(F.sha2("norm", 256).alias("text_sha256"), F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).distinct()
-    placed = parts.withColumn("hash", chunk_hash(F.col("chunk"))).join(ambiguous, ["hash", "chunk"])
+    placed = parts.withColumn("hash", chunk_hash(F.col("chunk"))).join(_numbered(distinct), ["hash", "chunk"])
     numbers = placed.groupBy("text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("pos", "number"))).alias("numbers"))
     fixed = F.transform("recipe", lambda r, i: F.struct(r["hash"].alias("hash"), F.coalesce(F.try_element_at(F.col("numbers"), i), F.lit(0)).alias("number")))
     return base.join(numbers, "text_sha256", "left").select(

@@ -38,6 +38,16 @@ def _row_key(site: str) -> Column:
     return F.xxhash64("doc_id", site, "text")
 
 
+def _salted(hashes: DataFrame) -> DataFrame:
+    """Each line hash once for every salt."""
+    return hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines with a salt, so that a frequent line spreads over tasks."""
+    return lines.withColumn("salt", F.pmod(F.col("row_key") + F.col("pos"), F.lit(SALTS)).cast("int"))
+
+
 def spread_lines(docs: DataFrame, *, site: str = "source", min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """line_hash and the place (first_doc, first_pos) that stays, of every line on ``min_sites`` sites or more."""
     lines = _lines(docs, site)
@@ -47,10 +57,9 @@ def spread_lines(docs: DataFrame, *, site: str = "source", min_sites: int = MIN_
         F.min(F.struct("doc_id", "pos")).alias("first"),
     )
     merged = merged.where(F.col("n") >= min_sites).where(F.col("sites") >= min_sites * (1 - margin))
-    near = merged.where(F.col("sites") <= min_sites * (1 + margin)).select("line_hash")
-    exact = (
-        lines.join(near, "line_hash", "left_semi").groupBy("line_hash", "site").agg(F.lit(1).alias("one")).groupBy("line_hash").agg(F.count("site").alias("exact"))
-    )
+    near = _salted(merged.where(F.col("sites") <= min_sites * (1 + margin)).select("line_hash"))
+    pairs = _dealt(lines).join(near, ["line_hash", "salt"], "left_semi").select("line_hash", "site").distinct()
+    exact = pairs.groupBy("line_hash").agg(F.count("site").alias("exact"))
     decided = merged.join(exact, "line_hash", "left").where(F.coalesce("exact", "sites") >= min_sites)
     return decided.select("line_hash", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
@@ -59,9 +68,7 @@ def dedup_lines(docs: DataFrame, *, site: str = "source", min_sites: int = MIN_S
     """The documents without their spread lines, with ``n_lines`` and ``n_removed`` added."""
     named = docs.drop("n_lines", "n_removed")
     spread = spread_lines(named, site=site, min_sites=min_sites, margin=margin)
-    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = _lines(named, site).withColumn("salt", F.pmod(F.col("row_key") + F.col("pos"), F.lit(SALTS)).cast("int"))
-    gone = places.join(salted, ["line_hash", "salt"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
+    gone = _dealt(_lines(named, site)).join(_salted(spread), ["line_hash", "salt"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
     per_row = gone.groupBy(F.col("row_key").alias(OWN_KEY)).agg(F.collect_set("pos").alias(OWN_GONE))
     lines, dropped = F.split("text", "\n", -1), F.col(OWN_GONE)
     count = F.size(lines)

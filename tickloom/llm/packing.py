@@ -1,7 +1,7 @@
 """Packing of token sequences into fixed windows by minimum bin slack.
 
-A document is cut at multiples of the window; whole windows fill a sequence each. The remainders are
-packed bucket by bucket: the longest remainder opens a window, then a subset-sum dynamic program over
+A document is cut at multiples of the window, and a long remainder once more; whole windows fill a
+sequence each. The remainders are packed bucket by bucket: the longest remainder opens a window, then a subset-sum dynamic program over
 a bitset finds which multiset of remaining lengths comes closest to the space left, and its counts are
 read back from the stored bitsets. Buckets are hash partitions of bounded size, so their number grows
 with the corpus and each is packed on its own.
@@ -12,6 +12,7 @@ document ids are packed as any other; an empty table gives no pieces; other colu
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -107,19 +108,33 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def cuts(tokens: int, window: int) -> list[tuple[int, int]]:
+    """Whole windows, then what remains; a remainder of more than half a window is cut at the half.
+
+    Lengths above half a window can only be paired with shorter ones, which leaves slack in many windows.
+    """
+    whole = tokens // window * window
+    edges = [*range(0, whole + 1, window)]
+    if tokens - whole > window // 2:
+        edges.append(whole + window // 2)
+    if tokens > whole:
+        edges.append(tokens)
+    return list(itertools.pairwise(edges))
+
+
 def _cutter(path: str, window: int, end_id: int, with_ids: bool):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, step = encoder(path).ids, 4 * window
+        encode = encoder(path).ids
         for batch in batches:
             out = defaultdict(list)
             for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
                 ids = encode(text) + end
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
+                for at, end_at in cuts(len(ids) // 4, window):
+                    piece = ids[4 * at : 4 * end_at]
                     out["doc_id"].append(doc_id)
-                    out["start"].append(at // 4)
+                    out["start"].append(at)
                     out["length"].append(len(piece) // 4)
                     out["ids_crc32"].append(zlib.crc32(piece))
                     out["doc_tokens"].append(len(ids) // 4)

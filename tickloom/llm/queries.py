@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, exact_dedup, language, line_dedup, near_dup, packing, pii, quality, secrets, vectors
 from tickloom.llm.common import fold, table
+from tickloom.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 
 KEEP_SCORE = 0.7
 
@@ -71,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": exact_dedup_query,
     "op10_secrets": secrets_query,
 }
-
-ORACLES: dict[str, str] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import text_or_empty
-from tickloom.llm.spans import listed, matches, of_kind, ordered, redacted, unmarked
+from tickloom.llm.spans import listed, matches, of_kind, redacted, unmarked
 
 BASE = ("assign", "access", "hex")
 #: Working columns, named so that a table's own columns do not clash with them.
@@ -105,13 +105,6 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return hits.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("secrets"))
 
 
-def scan_all(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob_id and ordered spans of every distinct text that has any, when there is no ledger to add to."""
-    clean = blobs(docs).withColumn("text", unmarked(F.col("text")))
-    spans = clean.select("blob_id", ordered({r.kind: _scan(r, F.col("text")) for r in rules}).alias("secrets"))
-    return spans.where(F.size("secrets") > 0)
-
-
 def join_back(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with their blob (``OWN_BLOB``) and its spans (``OWN_SPANS``, empty where there are none)."""
     named = docs.withColumn(OWN_BLOB, blob_id(text_or_empty()))
@@ -122,10 +115,8 @@ def join_back(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def secret_digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Counts per base rule, the digest of the base spans, and all spans of every document."""
-    if ledger is None:
-        found = scan_all(docs)
-    else:
-        found = findings(ledger.select("blob_id", "rule", "spans").unionByName(scan_blobs(docs, ledger)))
+    new = scan_blobs(docs, ledger)
+    found = findings(new if ledger is None else ledger.select("blob_id", "rule", "spans").unionByName(new))
     spans = F.col(OWN_SPANS)
     return join_back(docs.select("doc_id", "text"), found).select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -138,6 +129,6 @@ def secret_digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every found secret replaced by ``mark``; columns stay as they are."""
-    hit = join_back(docs, scan_all(docs))
+    hit = join_back(docs, findings(scan_blobs(docs)))
     text = F.when(F.size(OWN_SPANS) > 0, redacted(text_or_empty(), F.col(OWN_SPANS), mark)).otherwise(F.col("text"))
     return hit.withColumn("text", text).select(*docs.columns)
