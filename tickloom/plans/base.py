@@ -27,7 +27,7 @@ def bars_sql(name: str, width: str) -> str:
 
 BARS = f"{TICKS}, {bars_sql('bars', '1 hour')}"
 TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS account, o_orderdate AS opened_at, o_orderpriority AS source, o_totalprice AS entry_price,
-      round(sum(l_extendedprice * (l_discount - 0.05)), 2) AS pnl, sum(l_quantity) AS size
+      round(sum(l_extendedprice::DECIMAL(15, 2) * (l_discount::DECIMAL(4, 2) - 0.05)), 2)::DOUBLE AS pnl, sum(l_quantity) AS size
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
 
 
@@ -69,9 +69,10 @@ def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as closed trades: profit from their line items."""
+    """Orders as closed trades: profit from their line items, summed in decimals, as half cents do occur."""
+    profit = F.col("l_extendedprice").cast("decimal(15,2)") * (F.col("l_discount").cast("decimal(4,2)") - F.lit(0.05).cast("decimal(4,2)"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 2).alias("pnl"), F.sum("l_quantity").alias("size")
+        F.round(F.sum(profit), 2).cast("double").alias("pnl"), F.sum("l_quantity").alias("size")
     )
     joined = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
     return joined.select(
