@@ -214,7 +214,7 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = NEAREST, shard_rows:
     both = nodes.select("shard", F.lit(None).cast("long").alias("query_id"), "ids", "vector").unionByName(
         queries.select("shard", F.col("vec_id").alias("query_id"), F.lit(None).cast("array<long>").alias("ids"), "vector")
     )
-    streamed = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    streamed = both.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
     found = streamed.mapInPandas(_searcher(k, float(most) ** 0.5), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
