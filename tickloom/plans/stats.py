@@ -272,11 +272,12 @@ def pnl_histogram(spark, sf_dir):
 
 @query(
     "report_summary",
-    f"WITH {TRADES}, m AS ({_metrics_sql('account', 'trades')}) SELECT account, n_trades, round(win_rate * 100, 1) AS win_rate_pct, round(total_pnl, 2) AS total_pnl, round(avg_win, 4) AS avg_win, round(avg_loss, 4) AS avg_loss FROM m",
+    f"WITH {TRADES}, m AS ({_metrics_sql('account', 'trades')}) SELECT account, n_trades, round(win_rate * 100, 1) AS win_rate_pct, round(total_pnl, 2) AS total_pnl, round(avg_win::DECIMAL(28, 8), 4)::DOUBLE AS avg_win, round(avg_loss::DECIMAL(28, 8), 4)::DOUBLE AS avg_loss FROM m",
 )
 def report_summary(spark, sf_dir):
     own = _metrics(trades(spark, sf_dir), "account")
-    return own.select("account", "n_trades", F.round(F.col("win_rate") * 100, 1).alias("win_rate_pct"), "total_pnl", *rounded("avg_win", "avg_loss", places=4))
+    money = [F.round(F.col(c).cast("decimal(28,8)"), 4).cast("double").alias(c) for c in ("avg_win", "avg_loss")]
+    return own.select("account", "n_trades", F.round(F.col("win_rate") * 100, 1).alias("win_rate_pct"), "total_pnl", *money)
 
 
 @query(
