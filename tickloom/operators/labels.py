@@ -71,10 +71,11 @@ def barrier_labels(rows: DataFrame, stop: Column, target: Column, timeout_s: int
     return joined.withColumns(out).select("instrument", "idx", "bid", "ask", "t", "stop", "target", *out)
 
 
-def exit_paths(labelled: DataFrame, rows: DataFrame, target: Column, per_entry: int = 500, width: int = 512) -> DataFrame:
+def exit_paths(labelled: DataFrame, rows: DataFrame, target: Column, width: int = 512) -> DataFrame:
     """Every row of each resolved trade's path with what it is worth there, and whether that beats the final profit.
 
-    ``target``: 1 buy, 2 sell, 0 none. A trade keeps at most its first ``per_entry`` rows, which bounds its path.
+    ``target``: 1 buy, 2 sell, 0 none. A path runs to its exit row, however many rows that takes: it is looked up in
+    each block of ``width`` rows that it crosses, so rows meet within one block.
     """
     side = labelled.withColumn("direction", target).where("direction > 0")
     buy = F.col("direction") == 1
@@ -88,8 +89,13 @@ def exit_paths(labelled: DataFrame, rows: DataFrame, target: Column, per_entry:
         F.when(buy, F.col("buy_pnl")).otherwise(F.col("sell_pnl")).alias("final"),
     ).where(F.col("leave").isNotNull())
     path = with_micros(rows).select("instrument", F.col("idx").alias("row_index"), F.col("t").alias("tj"), F.col("bid").alias("bid_j"), F.col("ask").alias("ask_j"))
-    end = F.least(F.col("leave"), F.col("idx") + per_entry)
-    met = range_join(entries, path, ["instrument"], "row_index", F.col("idx") + 1, end, max(width, per_entry))
+
+    def block(at: Column) -> Column:
+        return F.floor(at / width).cast("long")
+
+    crossed = entries.withColumn("block", F.explode(F.sequence(block(F.col("idx") + 1), block(F.col("leave")))))
+    placed = path.withColumn("block", block(F.col("row_index")))
+    met = crossed.join(placed, ["instrument", "block"]).where("row_index > idx and row_index <= leave")
     unrealized = F.when(F.col("direction") == 1, F.col("bid_j") - F.col("entry")).otherwise(F.col("entry") - F.col("ask_j"))
     return met.withColumn("unrealized", unrealized).select(
         "instrument",
