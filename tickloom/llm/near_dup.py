@@ -210,8 +210,8 @@ def _units(clusters: DataFrame, texts: DataFrame) -> DataFrame:
     return other.select("uid", "rep", "key", "cluster", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
 
 
-def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (smallest id of its class), n_links (different texts it is linked to), n_copies (rows of its text)."""
+def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id and text key, and each text's key with class_id and class_key (smallest id of its class and the key of a text under it), n_links, n_copies."""
     bands, rows = banding(threshold, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     keyed = source.select("doc_id", text_key(F.col("text")).alias("key"), "text")
@@ -228,17 +228,28 @@ def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     links = verified.groupBy("uid").agg(F.sum("links").alias("n_links"))
     named = texts.select("key", "uid", "rep", "copies").join(classes.select(F.col("node").alias("uid"), "root"), "uid", "left").join(links, "uid", "left")
     named = named.withColumn("root", F.coalesce("root", "uid"))
-    names = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    per_text = named.join(names, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
-    return sketched.select("doc_id", "key").join(per_text, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key"))
+    names = named.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rep").alias("class_id"), F.col("first.key").alias("class_key"))
+    per_text = named.join(names, "root").select("key", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    return sketched.select("doc_id", "key"), per_text
+
+
+def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (smallest id of its class), n_links (different texts it is linked to), n_copies (rows of its text)."""
+    rows, per_text = _classes(docs, threshold, recall)
+    return rows.join(per_text, "key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The documents with one row of each class: that of its smallest id; columns stay as they are."""
-    groups = near_groups(docs, threshold=threshold, recall=recall)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(OWN_ID)).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept[OWN_ID]), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """The documents with one row of each class: that of its smallest id; columns stay as they are.
+
+    A row is known by its text and its id together, as ids may be null or repeated.
+    """
+    _, per_text = _classes(docs, threshold, recall)
+    kept = per_text.select(F.col("class_id").alias(KEPT_ID), F.col("class_key").alias(KEPT_KEY)).distinct()
+    keyed = docs.withColumns({OWN_ID: F.col("doc_id").cast("long"), OWN_KEY: text_key(text_or_empty())})
+    joined = keyed.join(kept, (keyed[OWN_KEY] == kept[KEPT_KEY]) & keyed[OWN_ID].eqNullSafe(kept[KEPT_ID]), "left_semi")
+    return joined.dropDuplicates([OWN_ID, OWN_KEY]).drop(OWN_ID, OWN_KEY)
 
 
-OWN_ID = "__near_id"
+OWN_ID, OWN_KEY, KEPT_ID, KEPT_KEY = "__near_id", "__near_key", "__kept_id", "__kept_key"
