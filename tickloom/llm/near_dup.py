@@ -143,7 +143,8 @@ def linked(sets: list[np.ndarray], threshold: float, chunk: np.ndarray, across:
         yield i, np.flatnonzero(near)
 
 
-def _verify_unit(uids: list[int], sets: list[np.ndarray], chunks: list[int], threshold: float) -> pd.DataFrame:
+def _verify_unit(uids: list[int], sets: list[np.ndarray], chunks: list[int], threshold: float, across: bool) -> pd.DataFrame:
+    """Links and roots of a unit's texts; ``across``: its two chunks differ, so links inside one are counted in another unit."""
     parent = list(range(len(uids)))
 
     def root(i: int) -> int:
@@ -154,7 +155,7 @@ def _verify_unit(uids: list[int], sets: list[np.ndarray], chunks: list[int], thr
 
     links = np.zeros(len(uids), dtype=np.int64)
     chunk = np.array(chunks)
-    for i, near in linked(sets, threshold, chunk, bool((chunk != chunk[0]).any())):
+    for i, near in linked(sets, threshold, chunk, across):
         links[i] = len(near)
         for j in near[near > i]:
             a, b = root(i), root(int(j))
@@ -172,7 +173,7 @@ def _verifier(threshold: float):
             for cluster, low, high, uid, chunk, text in zip(*(batch[c].tolist() for c in ("cluster", "low", "high", "uid", "chunk", "text"))):
                 if (cluster, low, high) != unit:
                     if len(uids) > 1:
-                        ready.append(_verify_unit(uids, sets, chunks, threshold))
+                        ready.append(_verify_unit(uids, sets, chunks, threshold, unit[1] != unit[2]))
                         held += len(uids)
                     unit, uids, sets, chunks = (cluster, low, high), [], [], []
                 if not uids or uids[-1] != uid:
@@ -183,7 +184,7 @@ def _verifier(threshold: float):
                 yield pd.concat(ready)
                 ready, held = [], 0
         if len(uids) > 1:
-            ready.append(_verify_unit(uids, sets, chunks, threshold))
+            ready.append(_verify_unit(uids, sets, chunks, threshold, unit[1] != unit[2]))
         if ready:
             yield pd.concat(ready)
 
