@@ -126,7 +126,7 @@ def test_near_groups(spark, prose, chunk, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK_GRAMS", chunk)
     rows = copies(prose)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "uid": F.lit(2), "n": F.lit(3)})
-    got = sorted((tuple(r) for r in near_dup.near_groups(docs).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in near_dup.near_groups(docs).collect()), key=str)
     assert got == groups_by_hand(rows, 0.8)
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns
@@ -136,7 +136,7 @@ def test_near_groups(spark, prose, chunk, monkeypatch):
 @pytest.mark.parametrize("which", ["hard_docs", "some_docs"])
 def test_near_groups_of_tables(which, request):
     docs = request.getfixturevalue(which)
-    got = sorted((tuple(r) for r in near_dup.near_groups(docs).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in near_dup.near_groups(docs).collect()), key=str)
     assert got == groups_by_hand([(r.doc_id, r.text) for r in docs.collect()], 0.8)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,81 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors."""
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder name in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+_scopes: list[list[str]] = []
+
+
+def materialise(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    Within ``temporary``, the folder goes when that ends, unless ``keep``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables materialised in it."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for folder in made:
+            _delete(spark, folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables that nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A materialised table marked for broadcast where its counted rows are at most ``rows``; unmarked otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: A key is hot from 1 / HOT_KEYS of the rows on (and from LEAST_HOT rows on), so there are at most HOT_KEYS hot keys.
+HOT_KEYS, LEAST_HOT = 1000, 256
+_SALT, _SALTS = "__salt", "__salts"
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` in which rows of ``left`` with a hot key are dealt over as many salts as their count asks for.
+
+    ``left`` is counted by key first, so it should be a table on disk; ``spread`` is a column that tells its rows
+    apart. The hot keys, at most ``HOT_KEYS`` whatever the data, are broadcast to both sides; rows of ``right`` with
+    a hot key are repeated once for each of its salts. ``how`` is inner, left, left_semi or left_anti.
+    """
+    least = max(LEAST_HOT, left.count() // HOT_KEYS)
+    counts = left.groupBy(key).agg(F.count("*").alias("__n")).where((F.col("__n") > least) & F.col(key).isNotNull())
+    hot = [(r[0], r[1]) for r in counts.select(key, F.ceil(F.col("__n") / least).cast("int")).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    salts = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(key, F.lit(1).alias(_SALTS)).schema))
+    many = F.coalesce(F.col(_SALTS), F.lit(1))
+    dealt = left.join(salts, key, "left").withColumn(_SALT, F.pmod(F.xxhash64(spread), many).cast("int")).drop(_SALTS)
+    repeated = right.join(salts, key, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), many - 1))).drop(_SALTS)
+    return dealt.join(repeated, [key, _SALT], how).drop(_SALT)
+
+
 def fold(doc_id: Column) -> Column:
     """The hold-out fold of a document, 0 to 3; fold 2 is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(2))

@@ -2,16 +2,20 @@
 
 MinHash banding proposes candidates: band and row counts are chosen for a target recall at the
 threshold, and texts are shuffled on their band hashes. Candidates are gathered into clusters (connected
-components of shared buckets), and within each cluster every pair of distinct texts is verified on full
-n-gram sets. A large cluster is dealt into chunks of bounded size, and each pair of chunks is one unit of
-work that returns only counts and a spanning forest of its links, never the pairs. Exact copies are
-one text throughout and come back by their content hash at the end.
+components of shared buckets). A small cluster is one unit of work; a large one is dealt into chunks of
+bounded size, texts of one neighbourhood together, and a unit of work is a pair of chunks that meet in
+some bucket, so chunks of which no pair is proposed are never compared. Within a unit, pairs of distinct
+texts are verified on full n-gram sets; it returns only counts and a spanning forest of its links, never
+the pairs. Exact copies are one text throughout and come back by their content hash at the end, through a
+join that deals a hot text over salts.
 
 Words are the lower-cased white-space runs of a text; a text of fewer than five words is one n-gram.
 
 Defined cases: null counts as the empty text; texts without words link to nothing, but equal texts are
-one class; repeated rows are copies; null ids are smaller than all others and never name a class that
-has a real id; other columns are ignored; an empty table gives no rows.
+one class; repeated rows are copies; null ids never name a class that has a real id; where ids repeat
+for different texts, two classes may share a ``class_id`` and ``class_key`` tells them apart; very long
+texts are read whole; a pair at the very threshold links (ties count); other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise, text_or_empty
+from tickloom.llm.common import discard, materialise, split_join, text_or_empty
 from tickloom.llm.components import components
 
 WORDS = 5
@@ -191,24 +195,38 @@ def _verifier(threshold: float):
     return verify
 
 
+def _members(texts: DataFrame) -> DataFrame:
+    """(bucket, uid) of every text."""
+    return texts.select("uid", F.posexplode("bands").alias("band", "value")).select("uid", F.xxhash64("band", "value").alias("bucket"))
+
+
 def _bucket_edges(texts: DataFrame) -> DataFrame:
-    """Star edges (a, b): each text to the smallest text in each bucket of two or more."""
-    members = texts.select("uid", F.posexplode("bands").alias("band", "value")).select("uid", F.xxhash64("band", "value").alias("bucket"))
+    """Star edges (a, b) with their bucket: each text to the smallest text in each bucket of two or more."""
+    members = _members(texts)
     stars = members.groupBy("bucket").agg(F.min("uid").alias("b"), F.max("uid").alias("top")).where("b < top").select("bucket", "b")
     salted = stars.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = members.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["bucket", "salt"]).select(F.col("uid").alias("a"), "b")
-
-
-def _units(clusters: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each candidate text once per unit of work: cluster, low and high chunk, and its own chunk."""
-    weighed = clusters.join(texts.select("uid", "rep", "key", F.greatest("n", F.lit(LEAST_WEIGHT)).alias("weight")), "uid")
-    totals = weighed.groupBy("cluster").agg(F.ceil(F.sum("weight") / CHUNK_GRAMS).cast("int").alias("parts"))
-    large = totals.where("parts > 1")
-    dealt = weighed.join(large, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    chunked = dealt.withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    other = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return other.select("uid", "rep", "key", "cluster", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    return dealt.join(salted, ["bucket", "salt"]).select(F.col("uid").alias("a"), "b", "bucket")
+
+
+def _units(clusters: DataFrame, texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Each candidate text once per unit of work (cluster, low and high chunk, and its own chunk), and the tables behind it."""
+    sized = texts.select("uid", "rep", "key", F.greatest("n", F.lit(LEAST_WEIGHT)).alias("weight"))
+    weighed = materialise(clusters.join(sized, "uid"), "weighed")
+    crowded = weighed.groupBy("cluster").agg(F.sum("weight").alias("total")).where(F.col("total") > CHUNK_GRAMS).select("cluster")
+    one = split_join(weighed, crowded, "cluster", "uid", "left_anti")
+    one = one.select("uid", "rep", "key", "cluster", *[F.lit(0).cast("long").alias(c) for c in ("chunk", "low", "high")])
+    homes = edges.groupBy(F.col("a").alias("uid")).agg(F.min("b").alias("home"))
+    homed = materialise(split_join(weighed, crowded, "cluster", "uid", "left_semi").join(homes, "uid"), "homed")
+    crowd = homed.groupBy("home").agg(F.ceil(F.sum("weight") / CHUNK_GRAMS).alias("parts"))
+    dealt = split_join(homed, crowd, "home", "uid").withColumn("chunk", F.xxhash64("home", F.pmod(F.xxhash64("uid"), F.col("parts"))))
+    chunked = materialise(dealt.select("uid", "rep", "key", "cluster", "chunk"), "chunked")
+    present = edges.select(F.col("a").alias("uid"), "bucket").join(chunked.select("uid", "chunk"), "uid").select("bucket", "chunk").distinct()
+    other = present.select("bucket", F.col("chunk").alias("other"))
+    met = present.join(other, "bucket").select(F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).distinct()
+    both = met.withColumn("chunk", F.explode(F.array_distinct(F.array("low", "high"))))
+    many = split_join(chunked, both, "chunk", "uid")
+    return one.unionByName(many.select(*one.columns)), [weighed, homed, chunked]
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -219,32 +237,40 @@ def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     sketched = materialise(keyed.mapInPandas(_sketcher(bands, rows), "doc_id long, key binary, n int, bands array<long>"), "sketches")
     once = sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = materialise(once.withColumn("uid", F.monotonically_increasing_id()), "texts")
-    clusters = components(_bucket_edges(texts)).select(F.col("node").alias("uid"), F.col("root").alias("cluster"))
-    units = _units(clusters, texts)
+    edges = materialise(_bucket_edges(texts), "stars")
+    labels = components(edges)
+    units, behind = _units(labels.select(F.col("node").alias("uid"), F.col("root").alias("cluster")), texts, edges)
     same = (keyed["key"] == units["key"]) & keyed["doc_id"].eqNullSafe(units["rep"])
     work = units.join(keyed, same).select("cluster", "low", "high", "uid", "chunk", "text")
     sorted_work = work.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "uid")
     verified = materialise(sorted_work.mapInPandas(_verifier(threshold), "uid long, links long, root long"), "verified")
+    discard(edges, labels, *behind)
     classes = components(verified.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("uid").agg(F.sum("links").alias("n_links"))
     named = texts.select("key", "uid", "rep", "copies").join(classes.select(F.col("node").alias("uid"), "root"), "uid", "left").join(links, "uid", "left")
-    named = named.withColumn("root", F.coalesce("root", "uid"))
+    named = materialise(named.withColumn("root", F.coalesce("root", "uid")), "named")
+    discard(texts, verified, classes)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key"))
     names = named.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rep").alias("class_id"), F.col("first.key").alias("class_key"))
-    per_text = named.join(names, "root").select("key", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    per_text = split_join(named, names, "root", "uid").select("key", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
     return sketched.select("doc_id", "key"), per_text
 
 
 def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (smallest id of its class), n_links (different texts it is linked to), n_copies (rows of its text)."""
+    """doc_id, class_id (smallest id of its class), n_links (different texts it is linked to), n_copies (rows of its text), class_key.
+
+    ``class_key`` (hexadecimal) names the class by a text of it, whatever the ids are.
+    """
     rows, per_text = _classes(docs, threshold, recall)
-    return rows.join(per_text, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    joined = split_join(rows, per_text, "key", "doc_id")
+    return joined.select("doc_id", "class_id", "n_links", "n_copies", F.lower(F.hex("class_key")).alias("class_key"))
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents with one row of each class: that of its smallest id; columns stay as they are.
 
-    A row is known by its text and its id together, as ids may be null or repeated.
+    A row is known by its text and its id together, as ids may be null or repeated: of three unrelated texts without
+    an id all stay. Rows that share both are copies, and one of them stays.
     """
     _, per_text = _classes(docs, threshold, recall)
     kept = per_text.select(F.col("class_id").alias(KEPT_ID), F.col("class_key").alias(KEPT_KEY)).distinct()
