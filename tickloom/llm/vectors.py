@@ -1,15 +1,24 @@
 """Nearest neighbours by inner product over sharded small-world graphs.
 
-Distinct vectors are hashed into shards of bounded size. Each shard is a hierarchical navigable
-small-world graph kept as flat neighbour arrays; queries stream through every shard in batches, and the
-shards' best are merged by rank. Inner product becomes Euclidean distance by one more coordinate,
-sqrt(R^2 - |x|^2) with R the largest norm, so unnormalised vectors are searched correctly too. Returned
-scores are exact inner products of the original vectors in double precision.
-
-Rows that share one vector are one graph node; of their ids the ``k + 1`` smallest are kept, more can
-never be among the ``k`` nearest of a query. Vectors that are null, zero, or hold a null or non-finite
-component take no part, nor do those whose length is not the commonest one. Repeated ids count as
-different rows; other columns are ignored; an empty table gives no rows.
+Distinct vectors are grouped by length and by a band of norms (largest to smallest at most 16 to 1), and each
+group is cut into shards of bounded size. Each shard is a hierarchical navigable small-world graph, built
+once and stored as flat neighbour arrays; queries are sent to shards in bounded chunks, and the shards' best
+are merged by rank. Inner product becomes Euclidean distance by one more coordinate, sqrt(R^2 - |x|^2) with
+R the largest norm of the shard; vectors are divided by R first, so neither one long vector nor many short
+ones blur the rest. Returned scores are exact inner products of the original vectors in double precision.
+
+A group of more than one shard is cut along cells of a k-means fit on a bounded sample (``CELL_SAMPLE`` vectors a
+cell, at most ``MAX_CELLS`` cells), and a query visits the cells whose centre comes within a margin of its best
+one. The margin is fitted too: for ``PROBES`` queries the true neighbours are found by brute force over all
+rows, and the margin is the smallest that reaches the cells of ``ROUTED`` of them. Clustered data thus
+needs few cells and structureless data most; the recall is kept either way. Every row is indexed.
+
+Defined cases: rows that share one vector are one graph node; of their ids the ``k + 1`` smallest are kept, more
+can never be among the ``k`` nearest of a query. Vectors that are null, zero, or hold a null or non-finite
+component take no part. Only vectors of one length are compared. Each query row has its own ``k`` nearest,
+also where ids repeat; repeated ids count as different rows, and a query leaves out one row of its own id and
+vector. Ties go to the smaller id; null ids take no part; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -23,22 +32,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import materialise, small, split_join
+
 NEAREST = 20
 SHARD_ROWS = 8192
 LINKS = 12
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 128
 SEED = 3
+#: log2 of the ratio of norms within one band.
+BAND_BITS = 4
+#: Queries in one task of one shard.
+CHUNK_QUERIES = 2000
+#: Shards of at most this many vectors are searched whole.
+WHOLE = 256
+MAX_CELLS, CELL_SAMPLE, CELL_ROUNDS, MAX_ROUTED_GROUPS = 1024, 64, 6, 64
+PROBES, ROUTED = 128, 0.985
+SMALL_ROWS = 100_000
 
 
 class Graph:
     """Hierarchical small-world graph over rows of ``points``; ``flat[layer]`` holds neighbour numbers, -1 where free."""
 
+    @classmethod
+    def stored(cls, points: np.ndarray, heights: np.ndarray, flat: list[bytes], entry: int, links: int = LINKS) -> Graph:
+        """A graph from its flat neighbour arrays."""
+        own = cls.__new__(cls)
+        own._lay_out(points, heights, links)
+        own.flat = [np.frombuffer(f, dtype=np.int32).reshape(len(d), -1) for f, d in zip(flat, own.degree)]
+        own.degree = [(f >= 0).sum(axis=1) for f in own.flat]
+        own.entry, own.top = entry, len(own.flat) - 1
+        return own
+
     def __init__(self, points: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH):
+        n = len(points)
+        heights = (-np.log(np.random.default_rng(SEED).random(n).clip(1e-12)) / np.log(links)).astype(np.int8)
+        self._lay_out(points, heights, links)
+        for i in range(n):
+            self._insert(i, int(heights[i]), width)
+
+    def _lay_out(self, points: np.ndarray, heights: np.ndarray, links: int) -> None:
+        self.heights = heights
         self.points = np.ascontiguousarray(points, dtype=np.float32)
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
         self.links, n = links, len(points)
-        heights = (-np.log(np.random.default_rng(SEED).random(n).clip(1e-12)) / np.log(links)).astype(int)
         layers = int(heights.max()) + 1 if n else 0
         room = [3 * links if layer else 4 * links for layer in range(layers)]
         self.flat = [np.full((n if layer == 0 else int((heights >= layer).sum()), room[layer]), -1, dtype=np.int32) for layer in range(layers)]
@@ -46,8 +83,6 @@ class Graph:
         self.place = [np.arange(n)] + [np.cumsum(heights >= layer) - 1 for layer in range(1, layers)]
         self.stamp, self.round = np.zeros(n, dtype=np.int64), 0
         self.entry, self.top = -1, -1
-        for i in range(n):
-            self._insert(i, int(heights[i]), width)
 
     def _around(self, i: int, layer: int) -> np.ndarray:
         at = self.place[layer][i]
@@ -126,6 +161,7 @@ class Graph:
             around = flat[at]
             gaps = self.norms[around] - 2 * (self.points[around] @ self.points[i])
             kept = self._spread(sorted(zip(gaps.tolist(), around.tolist())), float(self.norms[i]), most)
+            flat[at] = -1
             flat[at, : len(kept)] = kept
             degree[at] = len(kept)
         flat[at, degree[at]] = j
@@ -140,51 +176,98 @@ class Graph:
         return [i for _, i in self._search(q, found, width, 0)]
 
 
+def _norm(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+
+
 class Shard:
     """The vectors of one shard with their graph; answers queries by exact scores of what the graph finds."""
 
-    def __init__(self, vectors: np.ndarray, ids: list[np.ndarray], radius: float):
-        self.vectors, self.ids = vectors, ids
-        lift = np.sqrt(np.maximum(radius**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
-        self.graph = Graph(np.hstack([vectors, lift[:, None]]))
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ends: np.ndarray, graph: Graph | None):
+        self.vectors, self.ids, self.starts, self.ends, self.graph = vectors, ids, np.concatenate([[0], ends[:-1]]), ends, graph
+
+    @staticmethod
+    def points(vectors: np.ndarray) -> np.ndarray:
+        """Vectors over the largest norm, with the coordinate that makes all norms 1."""
+        radius = float(_norm(vectors / np.abs(vectors).max())[:].max() * np.abs(vectors).max())
+        scaled = vectors / radius
+        lift = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0))
+        return np.hstack([scaled, lift[:, None]])
 
     def answer(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        found = self.graph.nearest(np.append(q, 0).astype(np.float32), max(SEARCH_WIDTH, 2 * k))
+        if self.graph is None:
+            found = np.arange(len(self.vectors))
+        else:
+            unit = q / (np.abs(q).max() * _norm((q / np.abs(q).max())[None, :])[0])
+            found = np.array(self.graph.nearest(np.append(unit, 0).astype(np.float32), max(SEARCH_WIDTH, 2 * k)))
         scores = self.vectors[found] @ q
         pairs, own = [], True
-        for at in np.lexsort((np.array(found), -scores))[: 2 * k + 1]:
-            pairs += [(-float(scores[at]), int(i)) for i in self.ids[found[at]]]
-        pairs.sort()
-        out = []
-        for s, i in pairs:
-            if i == query_id and own:
+        for at in np.lexsort((self.ids[self.starts[found]], -scores))[: 2 * k + 1]:
+            node = found[at]
+            ids = self.ids[self.starts[node] : self.ends[node]].tolist()
+            if own and query_id in ids and np.array_equal(self.vectors[node], q):
+                ids.remove(query_id)
                 own = False
-                continue
-            out.append((-s, i))
-            if len(out) == k:
-                break
-        return out
+            pairs += [(-float(scores[at]), i) for i in ids]
+        return [(-s, i) for s, i in sorted(pairs)[:k]]
+
+
+SHARD_SCHEMA = "shard string, n int, vectors binary, ids array<long>, ends array<int>, heights binary, flat array<binary>, entry int"
+
+
+def _stored(shard: str, vectors: list[np.ndarray], ids: list[np.ndarray]) -> dict:
+    """One row for a shard: its vectors, their ids and the graph."""
+    matrix = np.stack(vectors).astype(np.float64)
+    graph = Graph(Shard.points(matrix)) if len(matrix) > WHOLE else None
+    return {
+        "shard": shard,
+        "n": len(matrix),
+        "vectors": matrix.tobytes(),
+        "ids": np.concatenate(ids).astype(np.int64),
+        "ends": np.cumsum([len(i) for i in ids]).astype(np.int32),
+        "heights": graph.heights.tobytes() if graph else None,
+        "flat": [f.tobytes() for f in graph.flat] if graph else [],
+        "entry": graph.entry if graph else -1,
+    }
+
+
+def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams nodes sorted by shard into one row for each shard."""
+    shard, vectors, ids = None, [], []
+    for batch in batches:
+        for name, own, vector in zip(batch["shard"].tolist(), batch["ids"], batch["vector"]):
+            if name != shard:
+                if vectors:
+                    yield pd.DataFrame([_stored(shard, vectors, ids)])
+                shard, vectors, ids = name, [], []
+            vectors.append(np.asarray(vector))
+            ids.append(np.sort(own))
+    if vectors:
+        yield pd.DataFrame([_stored(shard, vectors, ids)])
 
 
-def _searcher(k: int, radius: float):
-    """Streams rows sorted by shard, vectors before queries; one shard's graph is in memory at a time."""
+def _loaded(row: dict) -> Shard:
+    vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(row["n"], -1)
+    graph = None
+    if row["heights"] is not None:
+        graph = Graph.stored(Shard.points(vectors), np.frombuffer(row["heights"], dtype=np.int8), list(row["flat"]), int(row["entry"]))
+    return Shard(vectors, np.asarray(row["ids"]), np.asarray(row["ends"]), graph)
+
+
+def _searcher(k: int):
+    """Streams rows sorted by shard and chunk, the shard's graph before its queries; one graph is in memory at a time."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, vectors, ids, built = None, [], [], None
+        loaded = None
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for number, query_id, own, vector in zip(batch["shard"].tolist(), batch["query_id"].tolist(), batch["ids"], batch["vector"]):
-                if number != shard:
-                    shard, vectors, ids, built = number, [], [], None
-                if own is not None:
-                    vectors.append(vector)
-                    ids.append(own)
+            out: list[tuple[int, int, int, float]] = []
+            for row in batch.to_dict("records"):
+                if row["side"] == 0:
+                    loaded = _loaded(row)
                     continue
-                if built is None:
-                    built = Shard(np.stack(vectors), ids, radius) if vectors else False
-                if built:
-                    out += [(int(query_id), i, s) for s, i in built.answer(int(query_id), np.asarray(vector), k)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                number, query_id = int(row["query_row"]), int(row["query_id"])
+                out += [(number, query_id, i, s) for s, i in loaded.answer(query_id, np.asarray(row["vector"]), k)]
+            yield pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
 
     return search
 
@@ -195,27 +278,160 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _band(vector: Column) -> Column:
+    """Number of the band of norms; components are divided by the largest, so that no square overflows."""
+    most = F.array_max(F.transform(vector, F.abs))
+    square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
+    return F.floor((F.log2(most) + F.log2(square) / 2) / BAND_BITS).cast("int")
+
+
+def cells_of(sample: np.ndarray, count: int) -> np.ndarray:
+    """Centres of ``count`` cells of unit vectors or shorter ones: k-means, with empty cells left where they were."""
+    rng = np.random.default_rng(SEED)
+    centres = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
+    for _ in range(CELL_ROUNDS):
+        own = cell_of(sample, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        sizes = np.bincount(own, minlength=len(centres))[:, None]
+        centres = np.where(sizes > 0, sums / np.maximum(sizes, 1), centres)
+    return centres
+
+
+def cell_of(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (vectors @ centres.T - 0.5 * np.einsum("ij,ij->i", centres, centres)).argmax(axis=1)
+
+
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / _norm(vectors)[:, None]
+
+
+def _fit_cells(nodes: DataFrame, groups: DataFrame, shard_rows: int) -> dict[tuple[int, int], np.ndarray]:
+    """Centres of the directions of each group of more than one shard, from a bounded sample of its vectors."""
+    large = groups.where(F.col("n") > shard_rows).orderBy(F.desc("n"), "size", "band").limit(MAX_ROUTED_GROUPS).collect()
+    out = {}
+    for g in large:
+        count = min(MAX_CELLS // len(large) + 1, -(-g["n"] // shard_rows))
+        most = count * CELL_SAMPLE
+        share = min(1.0, 2 * most / g["n"])
+        drawn = F.pmod(F.xxhash64("vector", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))
+        rows = nodes.where((F.col("size") == g["size"]) & (F.col("band") == g["band"]) & drawn).select("vector").limit(most).collect()
+        out[g["size"], g["band"]] = cells_of(_directions(np.array([r[0] for r in rows])), count)
+    return out
+
+
+def _assigner(cells: dict[tuple[int, int], np.ndarray]):
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["cell"] = 0
+            for key, part in batch.groupby(["size", "band"]):
+                if key in cells and len(part):
+                    batch.loc[part.index, "cell"] = cell_of(_directions(np.stack(part["vector"].tolist())), cells[key])
+            yield batch
+
+    return assign
+
+
+def _gaps(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How much less each cell's centre agrees with each query than its best one."""
+    agreement = _directions(q) @ centres.T
+    return agreement.max(axis=1, keepdims=True) - agreement
+
+
+def _fit_margin(nodes: DataFrame, queries: DataFrame, cells: dict[tuple[int, int], np.ndarray], k: int) -> float:
+    """The margin within which the cells of the true neighbours of a bounded sample of queries lie."""
+    chosen = queries.select("query_row", "size", "vector").orderBy(F.xxhash64("query_row")).limit(PROBES).collect()
+    by_size: dict[int, tuple[list[int], np.ndarray]] = {}
+    for size in {r["size"] for r in chosen}:
+        own = [r for r in chosen if r["size"] == size]
+        by_size[size] = ([r["query_row"] for r in own], np.array([r["vector"] for r in own]))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (size, band), part in batch.groupby(["size", "band"]):
+                if size not in by_size or not len(part):
+                    continue
+                numbers, q = by_size[size]
+                scores = q @ np.stack(part["vector"].tolist()).T
+                top = np.argsort(-scores, axis=1)[:, : k + 1]
+                yield pd.DataFrame(
+                    {
+                        "query_row": np.repeat(numbers, top.shape[1]),
+                        "size": size,
+                        "band": band,
+                        "cell": part["cell"].to_numpy()[top].ravel(),
+                        "score": np.take_along_axis(scores, top, axis=1).ravel(),
+                    }
+                )
+
+    found = nodes.select("size", "band", "cell", "vector").mapInPandas(best, "query_row long, size int, band int, cell int, score double")
+    window = Window.partitionBy("query_row").orderBy(F.desc("score"))
+    true = found.withColumn("nth", F.row_number().over(window)).where(F.col("nth") <= k + 1).collect()
+    vectors = {r["query_row"]: np.asarray(r["vector"]) for r in chosen}
+    needed = [_gaps(vectors[r["query_row"]][None, :], cells[r["size"], r["band"]])[0, r["cell"]] for r in true if (r["size"], r["band"]) in cells]
+    return float(np.quantile(needed, ROUTED, method="higher")) if needed else 0.0
+
+
+def _router(cells: dict[tuple[int, int], np.ndarray], margin: float):
+    """Rows (query, group) become one row for each cell that the query visits."""
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(["size", "band"]):
+                if key not in cells or not len(part):
+                    yield part.assign(cell=0)
+                    continue
+                near = _gaps(np.stack(part["vector"].tolist()), cells[key]) <= margin + 1e-9
+                row, cell = np.nonzero(near)
+                yield part.iloc[row].assign(cell=cell)
+
+    return route
+
+
 def nearest(table: DataFrame, is_query: Column, *, k: int = NEAREST, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's ``k`` nearest rows but itself.
+    """query_id, rank, vec_id and score of each query row's ``k`` nearest rows but itself, with query_row.
 
-    ``table`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
+    ``table`` has vec_id and embedding; ``is_query`` is a condition on vec_id; ``query_row`` tells rows of one id apart.
     """
+    vector = F.col("vector")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
-    square = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(square).alias("most")).orderBy(F.desc("n"), "size").limit(1).collect()
-    size, n, most = (sizes[0]["size"], sizes[0]["n"], sizes[0]["most"]) if sizes else (0, 0, 0.0)
-    rows = rows.where(F.size("vector") == size)
-    shards = max(1, -(-n // shard_rows))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(vector), F.lit(False)))
+    rows = rows.withColumns({"size": F.size(vector), "band": _band(vector)})
+    queries = materialise(rows.where(is_query).drop("band").withColumnRenamed("vec_id", "query_id").withColumn("query_row", F.monotonically_increasing_id()), "queries")
     same = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    nodes = few.groupBy("vector").agg(F.collect_list("vec_id").alias("ids")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    queries = rows.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = nodes.select("shard", F.lit(None).cast("long").alias("query_id"), "ids", "vector").unionByName(
-        queries.select("shard", F.col("vec_id").alias("query_id"), F.lit(None).cast("array<long>").alias("ids"), "vector")
-    )
-    streamed = both.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
-    found = streamed.mapInPandas(_searcher(k, float(most) ** 0.5), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    nodes = materialise(few.groupBy("vector", "size", "band").agg(F.collect_list("vec_id").alias("ids")), "nodes")
+    groups = materialise(nodes.groupBy("size", "band").agg(F.count("*").alias("n")), "groups")
+    cells = _fit_cells(nodes, groups, shard_rows)
+    if cells:
+        nodes = materialise(nodes.mapInPandas(_assigner(cells), "vector array<double>, size int, band int, ids array<long>, cell int"), "celled")
+    else:
+        nodes = nodes.withColumn("cell", F.lit(0))
+    margin = _fit_margin(nodes, queries, cells, k) if cells else 0.0
+
+    names = ["size", "band", "cell"]
+    parts = materialise(nodes.groupBy(*names).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("subs")), "cells")
+    cell_name, shard = F.concat_ws("/", *names), F.concat_ws("/", *names, "sub")
+    named = parts.select(cell_name.alias("place"), "subs")
+    placed = split_join(nodes.withColumn("place", cell_name), named, "place", "vector")
+    dealt = placed.withColumn("sub", F.pmod(F.xxhash64("vector"), F.col("subs"))).select(shard.alias("shard"), "ids", "vector")
+    shards = max(1, parts.agg(F.sum("subs")).first()[0] or 0)
+    index = materialise(dealt.repartition(min(3 * shards, 20_000), "shard").sortWithinPartitions("shard").mapInPandas(_build, SHARD_SCHEMA), "graphs")
+
+    met = queries.join(small(groups, SMALL_ROWS).select("size", "band"), "size").select("query_row", "query_id", "vector", "size", "band")
+    visits = met.mapInPandas(_router(cells, margin), "query_row long, query_id long, vector array<double>, size int, band int, cell int")
+    visits = visits.withColumn("place", cell_name).join(small(parts, SMALL_ROWS).select(cell_name.alias("place"), "subs"), "place")
+    visits = visits.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(shard.alias("shard"), "query_row", "query_id", "vector")
+    visits = materialise(visits, "visits")
+    chunks = materialise(visits.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("chunks")), "chunks")
+    own = split_join(visits, chunks, "shard", "query_row").withColumn("chunk", F.pmod(F.xxhash64("query_row"), F.col("chunks")).cast("int")).drop("chunks")
+    copies = index.join(small(chunks, SMALL_ROWS), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    tasks = max(1, chunks.agg(F.sum("chunks")).first()[0] or 0)
+    both = copies.withColumn("side", F.lit(0)).unionByName(own.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    both = both.na.fill(0, ["n", "entry", "query_row", "query_id"]).repartition(min(3 * tasks, 20_000), "shard", "chunk")
+    streamed = both.sortWithinPartitions("shard", "chunk", "side", "query_row")
+    found = streamed.mapInPandas(_searcher(k), "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "query_row")
