@@ -85,22 +85,25 @@ HOT_KEYS, LEAST_HOT = 1000, 256
 _SALT, _SALTS = "__salt", "__salts"
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: str | Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Equi-join on ``key`` in which rows of ``left`` with a hot key are dealt over as many salts as their count asks for.
 
-    ``left`` is counted by key first, so it should be a table on disk; ``spread`` is a column that tells its rows
-    apart. The hot keys, at most ``HOT_KEYS`` whatever the data, are broadcast to both sides; rows of ``right`` with
-    a hot key are repeated once for each of its salts. ``how`` is inner, left, left_semi or left_anti.
+    ``counts`` (key, n) says how many rows of ``left`` each key has; without it ``left`` is counted first, so it should
+    be a table on disk. ``spread`` tells the rows of ``left`` apart. The hot keys, at most ``HOT_KEYS`` whatever the
+    data, are broadcast to both sides; rows of ``right`` with a hot key are repeated once for each of its salts.
+    ``how`` is inner, left, left_semi or left_anti.
     """
-    least = max(LEAST_HOT, left.count() // HOT_KEYS)
-    counts = left.groupBy(key).agg(F.count("*").alias("__n")).where((F.col("__n") > least) & F.col(key).isNotNull())
-    hot = [(r[0], r[1]) for r in counts.select(key, F.ceil(F.col("__n") / least).cast("int")).collect()]
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    least = max(LEAST_HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    many = counts.where((F.col("n") > least) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / least).cast("int"))
+    hot = [(r[0], r[1]) for r in many.collect()]
     if not hot:
         return left.join(right, key, how)
     salts = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(key, F.lit(1).alias(_SALTS)).schema))
-    many = F.coalesce(F.col(_SALTS), F.lit(1))
-    dealt = left.join(salts, key, "left").withColumn(_SALT, F.pmod(F.xxhash64(spread), many).cast("int")).drop(_SALTS)
-    repeated = right.join(salts, key, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), many - 1))).drop(_SALTS)
+    own = F.coalesce(F.col(_SALTS), F.lit(1))
+    dealt = left.join(salts, key, "left").withColumn(_SALT, F.pmod(F.xxhash64(spread), own).cast("int")).drop(_SALTS)
+    repeated = right.join(salts, key, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), own - 1))).drop(_SALTS)
     return dealt.join(repeated, [key, _SALT], how).drop(_SALT)
 
 

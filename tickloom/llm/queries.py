@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, exact_dedup, language, line_dedup, near_dup, packing, pii, quality, secrets, vectors
-from tickloom.llm.common import fold, table
+from tickloom.llm.common import fold, materialise, new_path, table
 from tickloom.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 
 KEEP_SCORE = 0.7
@@ -57,7 +57,12 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+    """A ledger filled in two increments, the English crawl and then all documents, and joined back to every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path, counted = new_path(spark, "ledger"), materialise(secrets.census(docs), "census")
+    secrets.scan_increment(docs.where(F.col("lang") == "en"), path)
+    ledger = secrets.scan_increment(docs, path, counted=counted)
+    return secrets.ledger_digests(docs, ledger, counted)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

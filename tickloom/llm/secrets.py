@@ -1,26 +1,32 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every distinct text is a blob named by its SHA-256, however many paths and versions hold it. A rule
-has a version; the ledger lists which (blob, rule, version) triples have been scanned and what they
-gave. A run scans only triples that the ledger lacks, then joins the findings back to all documents.
-Column expressions and joins only.
-
-Defined cases: a null text is the empty blob; repeated rows each get the blob's findings; other
-columns are ignored; an empty table gives no rows. A blob held by a third of all rows is one row
-after the distinct step; the join back is a plain equi-join that adaptive execution can split.
+has a version; the ledger is a Parquet folder of (blob, rule, version) triples that have been scanned and what
+they gave. An increment compares identifiers first: it counts the blobs of the rows at hand, takes away the
+triples that the ledger has, and only then fetches the texts that are left, one copy each. Its rows are
+appended; then findings are joined back to all paths. Column expressions and joins only.
+
+Defined cases: a null text is the empty blob; repeated rows each get the blob's findings; very long texts are
+scanned whole; overlapping spans of different kinds are all kept, ties of start in the order of the rules;
+other columns, of whatever name, are ignored; an empty table gives no rows and leaves the ledger as it is. An
+increment that is run again (a lost driver) scans only what it did not append, and a triple that is there
+twice counts once. A blob held by a third of all rows is one row after the counting step; the join back deals
+its rows over salts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_or_empty
+from tickloom.llm.common import materialise, split_join, text_or_empty
 from tickloom.llm.spans import listed, matches, of_kind, redacted, unmarked
 
 BASE = ("assign", "access", "hex")
+#: An increment of at most this many blobs is sent to all tasks: 64 characters and a list of rules each.
+FEW_BLOBS = 100_000
 #: Working columns, named so that a table's own columns do not clash with them.
 OWN_BLOB, OWN_SPANS = "__secret_blob", "__secret_spans"
 SPANS = "array<struct<start:int,end:int,text:string>>"
@@ -62,34 +68,68 @@ def _scan(rule: Rule, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(rule.hint)), found).otherwise(F.array().cast(SPANS)) if rule.hint else found
 
 
-def blobs(docs: DataFrame) -> DataFrame:
-    """Each distinct text once, with its content address."""
-    texts = docs.select(text_or_empty().alias("text"))
-    return texts.select(blob_id(F.col("text")).alias("blob_id"), "text").distinct()
+def census(docs: DataFrame) -> DataFrame:
+    """Each blob's identifier (``OWN_BLOB``) with the number of rows that hold it; texts do not move."""
+    return docs.select(blob_id(text_or_empty()).alias(OWN_BLOB)).groupBy(OWN_BLOB).agg(F.count("*").alias("n"))
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob_id, rule, spans): one for each triple that ``ledger`` does not hold yet."""
-    todo = blobs(docs)
+def _wanted(counted: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """Blobs with the rule keys that the ledger lacks for them (``todo``)."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        todo = todo.withColumn("seen", F.array().cast("array<string>"))
-    else:
-        seen = ledger.groupBy("blob_id").agg(F.collect_set("rule").alias("seen"))
-        todo = todo.join(seen, "blob_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        todo = todo.where(~F.forall(F.array(*[F.lit(r.key) for r in rules]), lambda k: F.array_contains(F.col("seen"), k)))
-    clean = todo.withColumn("text", unmarked(F.col("text")))
+        return counted.select(OWN_BLOB, keys.alias("todo"))
+    seen = ledger.groupBy(F.col("blob_id").alias(OWN_BLOB)).agg(F.collect_set("rule").alias("seen"))
+    todo = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
+    return counted.join(seen, OWN_BLOB, "left").select(OWN_BLOB, todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, selective: bool) -> DataFrame:
+    """One text for each wanted blob. Where few are wanted, the others are left out before anything moves."""
+    texts = docs.select(blob_id(text_or_empty()).alias(OWN_BLOB), text_or_empty().alias("text"))
+    if selective:
+        return texts.join(F.broadcast(wanted), OWN_BLOB).dropDuplicates([OWN_BLOB])
+    return texts.dropDuplicates([OWN_BLOB]).join(wanted, OWN_BLOB)
+
+
+def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, counted: DataFrame | None = None) -> DataFrame:
+    """New ledger rows (blob_id, rule, spans): one for each triple that ``ledger`` does not hold yet.
+
+    ``counted``: the census of ``docs``, where it is there already.
+    """
+    counted = census(docs) if counted is None else counted
+    wanted = _wanted(counted, ledger, rules)
+    selective = False
+    if ledger is not None:
+        wanted = materialise(wanted, "wanted")
+        selective = wanted.count() <= FEW_BLOBS
     each = F.array(
-        *[
-            F.when(
-                ~F.array_contains("seen", r.key), F.struct(F.lit(r.key).alias("rule"), _scan(r, F.col("text")).alias("spans"))
-            )
-            for r in rules
-        ]
+        *[F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), _scan(r, F.col("clean")).alias("spans"))) for r in rules]
     )
-    rows = clean.select("blob_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("new"))
+    clean = _texts(docs, wanted, selective).withColumn("clean", unmarked(F.col("text")))
+    rows = clean.select(F.col(OWN_BLOB).alias("blob_id"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("new"))
     return rows.select("blob_id", "new.rule", "new.spans")
 
 
+LEDGER = f"blob_id string, rule string, spans {SPANS}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger of a folder; None where nothing has been appended yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(LEDGER).parquet(path) if there else None
+
+
+def scan_increment(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, counted: DataFrame | None = None) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks of these rows, append it, and return the ledger.
+
+    ``docs`` may hold any versions of any paths; only ``text`` is read.
+    """
+    spark = docs.sparkSession
+    scan_blobs(docs, read_ledger(spark, path), rules, counted).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob_id and its ordered spans under the given rules, for blobs that have any."""
     kinds = {r.key: (i, r.kind) for i, r in enumerate(rules)}
@@ -105,20 +145,35 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return hits.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("secrets"))
 
 
-def join_back(docs: DataFrame, found: DataFrame) -> DataFrame:
+def join_back(docs: DataFrame, found: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """The documents with their blob (``OWN_BLOB``) and its spans (``OWN_SPANS``, empty where there are none)."""
     named = docs.withColumn(OWN_BLOB, blob_id(text_or_empty()))
-    joined = named.join(found.select(F.col("blob_id").alias(OWN_BLOB), F.col("secrets").alias(OWN_SPANS)), OWN_BLOB, "left")
+    right = found.select(F.col("blob_id").alias(OWN_BLOB), F.col("secrets").alias(OWN_SPANS))
+    counted = census(docs) if counted is None else counted
+    joined = split_join(named, right, OWN_BLOB, F.monotonically_increasing_id(), "left", counts=counted)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,text:string>>")
     return joined.withColumn(OWN_SPANS, F.coalesce(OWN_SPANS, empty))
 
 
-def secret_digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Counts per base rule, the digest of the base spans, and all spans of every document."""
-    new = scan_blobs(docs, ledger)
+def secret_digests(docs: DataFrame, ledger: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Counts per base rule, the digest of the base spans, and all spans of every document.
+
+    Triples that ``ledger`` lacks are scanned, not appended; after ``scan_increment`` it lacks none.
+    """
+    counted = materialise(census(docs), "census") if counted is None else counted
+    new = scan_blobs(docs, ledger, counted=counted)
     found = findings(new if ledger is None else ledger.select("blob_id", "rule", "spans").unionByName(new))
+    return _digests(docs, found, counted)
+
+
+def ledger_digests(docs: DataFrame, ledger: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """The same from a ledger that has all triples of these rows: no text is scanned."""
+    return _digests(docs, findings(ledger), counted)
+
+
+def _digests(docs: DataFrame, found: DataFrame, counted: DataFrame | None) -> DataFrame:
     spans = F.col(OWN_SPANS)
-    return join_back(docs.select("doc_id", "text"), found).select(
+    return join_back(docs.select("doc_id", "text"), found, counted).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.size(of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(of_kind(spans, *BASE)), 256).alias("base_sha256"),
@@ -129,6 +184,7 @@ def secret_digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every found secret replaced by ``mark``; columns stay as they are."""
-    hit = join_back(docs, findings(scan_blobs(docs)))
+    counted = materialise(census(docs), "census")
+    hit = join_back(docs, findings(scan_blobs(docs, counted=counted)), counted)
     text = F.when(F.size(OWN_SPANS) > 0, redacted(text_or_empty(), F.col(OWN_SPANS), mark)).otherwise(F.col("text"))
     return hit.withColumn("text", text).select(*docs.columns)

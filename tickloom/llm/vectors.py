@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialise, small, split_join
 
 NEAREST = 20
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 LINKS = 12
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 128
@@ -47,7 +47,7 @@ CHUNK_QUERIES = 2000
 #: Shards of at most this many vectors are searched whole.
 WHOLE = 256
 MAX_CELLS, CELL_SAMPLE, CELL_ROUNDS, MAX_ROUTED_GROUPS = 1024, 64, 6, 64
-PROBES, ROUTED = 128, 0.985
+PROBES, ROUTED = 256, 0.97
 SMALL_ROWS = 100_000
 
 
@@ -279,10 +279,10 @@ def usable(vector: Column) -> Column:
 
 
 def _band(vector: Column) -> Column:
-    """Number of the band of norms; components are divided by the largest, so that no square overflows."""
+    """Number of the band of norms, norm 1 in the middle of band 0; components are divided by the largest, so that no square overflows."""
     most = F.array_max(F.transform(vector, F.abs))
     square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
-    return F.floor((F.log2(most) + F.log2(square) / 2) / BAND_BITS).cast("int")
+    return F.floor((F.log2(most) + F.log2(square) / 2) / BAND_BITS + 0.5).cast("int")
 
 
 def cells_of(sample: np.ndarray, count: int) -> np.ndarray:
