@@ -187,6 +187,25 @@ def test_line_dedup(which, least, request):
     assert sorted([(r.doc_id, r.text, r.n_removed) for r in got.collect()], key=str) == lines_by_hand(docs.collect(), least)
 
 
+def test_line_dedup_of_frequent_lines_in_a_large_set(hard_docs, some_docs, monkeypatch):
+    """The way without a broadcast, with salts, gives the same."""
+    from tickloom.llm import common
+
+    want = sorted((tuple(r) for r in line_dedup.dedup_lines(some_docs, min_sites=2).collect()), key=str)
+    monkeypatch.setattr(line_dedup, "FEW_LINES", 0)
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    assert sorted((tuple(r) for r in line_dedup.dedup_lines(some_docs, min_sites=2).collect()), key=str) == want
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "same line\nown " + str(i), f"s{i}", 99, -1, "h", 5) for i in range(4)], "doc_id long, text string, source string, n_lines int, n_removed int, line_hash string, pos int")
+    got = line_dedup.dedup_lines(docs, min_sites=3)
+    assert got.columns == [*docs.columns, "line_dedup_n_lines", "line_dedup_n_removed"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all((r.n_lines, r.n_removed, r.line_hash, r.pos, r.line_dedup_n_lines) == (99, -1, "h", 5, 2) for r in rows.values())
+    assert [rows[i].line_dedup_n_removed for i in range(4)] == [0, 1, 1, 1]
+
+
 def test_empty_tables(no_docs):
     for run in (pii.pii_digests, secrets.secret_digests, secrets.redact_secrets, exact_dedup.exact_groups, line_dedup.dedup_lines):
         assert run(no_docs).count() == 0
