@@ -1,13 +1,16 @@
 """Packing of token sequences into fixed windows by minimum bin slack.
 
-A document is cut at multiples of the window, and a long remainder once more; whole windows fill a
-sequence each. The remainders are packed bucket by bucket: the longest remainder opens a window, then a subset-sum dynamic program over
-a bitset finds which multiset of remaining lengths comes closest to the space left, and its counts are
-read back from the stored bitsets. Buckets are hash partitions of bounded size, so their number grows
-with the corpus and each is packed on its own.
+A document is cut at multiples of the window; whole windows fill a sequence each and are not grouped. What
+remains of each document is packed bucket by bucket: the longest remainder opens a window, then a subset-sum
+dynamic program over a bitset finds which multiset of remaining lengths comes closest to the space left, and
+its counts are read back from the stored bitsets. Only where ``LEAST_CUT`` tokens or more are still free is
+the longest remainder left cut to fill them, and its tail goes back to the stock. Buckets are hash partitions
+of bounded size, dealt by piece and not by document, so their number grows with the corpus and each is
+packed on its own; only the last window of a bucket can be far from full.
 
 Defined cases: a null or empty text has only the end token; repeated rows are packed once each; null
-document ids are packed as any other; an empty table gives no pieces; other columns are ignored.
+document ids are packed as any other; lengths that tie are taken in row order; very long texts are cut into
+whole windows and one remainder; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bpe import byte_letters
-from tickloom.llm.common import text_or_empty
+from tickloom.llm.common import materialise, text_or_empty
 
 WINDOW = 1024
 BUCKET_ROWS = 20_000
+#: A window with fewer free tokens than this is left so; a piece of fewer tokens is never cut off to fill one.
+LEAST_CUT = 4
 MEMO_ENTRIES = 1_000_000
 
 #: Fixed value: the splitting rule that a byte-level pre-tokenizer applies (use_regex).
@@ -109,39 +115,36 @@ def encoder(path: str) -> ByteBpe:
 
 
 def cuts(tokens: int, window: int) -> list[tuple[int, int]]:
-    """Whole windows, then what remains; a remainder of more than half a window is cut at the half.
+    """Whole windows, then what remains."""
+    return list(itertools.pairwise([*range(0, tokens, window), tokens]))
 
-    Lengths above half a window can only be paired with shorter ones, which leaves slack in many windows.
-    """
-    whole = tokens // window * window
-    edges = [*range(0, whole + 1, window)]
-    if tokens - whole > window // 2:
-        edges.append(whole + window // 2)
-    if tokens > whole:
-        edges.append(tokens)
-    return list(itertools.pairwise(edges))
+
+PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
 def _cutter(path: str, window: int, end_id: int, with_ids: bool):
+    """Pieces with a number of their own; ids only where they are asked for or may still be cut."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).ids
+        number = itertools.count(TaskContext.get().partitionId() << 36)
         for batch in batches:
             out = defaultdict(list)
             for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
                 ids = encode(text) + end
                 for at, end_at in cuts(len(ids) // 4, window):
                     piece = ids[4 * at : 4 * end_at]
+                    out["piece"].append(next(number))
                     out["doc_id"].append(doc_id)
                     out["start"].append(at)
-                    out["length"].append(len(piece) // 4)
+                    out["length"].append(end_at - at)
                     out["ids_crc32"].append(zlib.crc32(piece))
                     out["doc_tokens"].append(len(ids) // 4)
-                    if with_ids:
-                        out["ids"].append(np.frombuffer(piece, dtype="<i4"))
-            frame = pd.DataFrame(out) if out else None
-            if frame is not None:
+                    out["ids"].append(piece if with_ids or end_at - at < window else None)
+            if out:
+                frame = pd.DataFrame(out)
                 frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
                 yield frame
 
@@ -174,14 +177,14 @@ def fill(counts: dict[int, int], space: int) -> dict[int, int]:
     return used
 
 
-def bins_of(lengths: list[int], window: int) -> list[list[int]]:
-    """Minimum bin slack over remainders: lists of positions in ``lengths``, each list a window."""
-    stock: dict[int, list[int]] = defaultdict(list)
+def bins_of(lengths: list[int], window: int, least_cut: int = LEAST_CUT) -> list[list[tuple[int, int, int]]]:
+    """Minimum bin slack over remainders: windows as lists of (position in ``lengths``, from, to)."""
+    stock: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for at in range(len(lengths) - 1, -1, -1):
-        stock[lengths[at]].append(at)
+        stock[lengths[at]].append((at, 0, lengths[at]))
     counts, bins = {x: len(v) for x, v in stock.items()}, []
 
-    def take(length: int) -> int:
+    def take(length: int) -> tuple[int, int, int]:
         counts[length] -= 1
         if not counts[length]:
             del counts[length]
@@ -189,42 +192,60 @@ def bins_of(lengths: list[int], window: int) -> list[list[int]]:
 
     while counts:
         longest = max(counts)
-        held = [take(longest)]
-        for length, n in sorted(fill(counts, window - longest).items(), reverse=True):
+        held, space = [take(longest)], window - longest
+        for length, n in sorted(fill(counts, space).items(), reverse=True):
             held += [take(length) for _ in range(n)]
+            space -= n * length
+        if space >= least_cut and counts:  # all that is left is longer than the space
+            at, begin, end = take(max(counts))
+            held.append((at, begin, begin + space))
+            rest = (at, begin + space, end)
+            stock[end - begin - space].append(rest)
+            counts[end - begin - space] = counts.get(end - begin - space, 0) + 1
         bins.append(held)
     return bins
 
 
-def _packer(window: int):
+def _packer(window: int, with_ids: bool):
     def pack(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-        lengths = bucket["length"].tolist()
-        sequence, offset = np.zeros(len(lengths), dtype="int64"), np.zeros(len(lengths), dtype="int64")
-        for n, held in enumerate(bins_of(lengths, window)):
-            at = 0
-            for i in held:
-                sequence[i], offset[i] = n, at
-                at += lengths[i]
-        base = int(bucket["bucket"].iloc[0]) << 32 if len(bucket) else 0
-        bucket["sequence_id"], bucket["offset"] = base + sequence, offset
-        return bucket.drop(columns="bucket")
+        bucket = bucket.sort_values("piece", ignore_index=True)
+        held = [(n, at, begin, end) for n, window_parts in enumerate(bins_of(bucket["length"].tolist(), window)) for at, begin, end in window_parts]
+        sequence, at, begin, end = (np.array(x, dtype=np.int64) for x in zip(*held))
+        out = bucket.iloc[at].reset_index(drop=True)
+        whole = (end - begin) == out["length"].to_numpy()
+        out["length"] = end - begin
+        out["start"] += begin
+        firsts = np.searchsorted(sequence, sequence)
+        before = np.cumsum(out["length"]) - out["length"]
+        out["offset"] = before - before.to_numpy()[firsts]
+        out["sequence_id"] = ((int(bucket["bucket"].iloc[0]) << 32) + sequence) * 2
+        parts = [ids[4 * b : 4 * e] for ids, b, e in zip(out["ids"], begin.tolist(), end.tolist())]
+        out["ids_crc32"] = [crc if same else zlib.crc32(part) for crc, same, part in zip(out["ids_crc32"], whole, parts)]
+        out["ids"] = parts if with_ids else None
+        return out[[c.split()[0] for c in PLACED.split(", ")]]
 
     return pack
 
 
+def _as_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        batch["ids"] = [np.frombuffer(ids, dtype="<i4") for ids in batch["ids"]]
+        yield batch
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = 0, with_ids: bool = True, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``window`` tokens.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, ids (array, unless ``with_ids`` is false),
-    sequence_id, offset. ``bucket_rows`` bounds how many documents are packed together on average.
+    sequence_id, offset. ``bucket_rows`` bounds how many remainders are packed together on average.
     """
-    buckets = max(1, -(-docs.count() // bucket_rows))
-    kept = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(
-        _cutter(tokenizer_path, window, end_id, with_ids), kept
-    )
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(_packer(window), f"{kept}, sequence_id long, offset long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    pieces = materialise(texts.mapInPandas(_cutter(tokenizer_path, window, end_id, with_ids), PIECES), "pieces")
+    rest = pieces.where(F.col("length") < window)
+    buckets = max(1, -(-rest.count() // bucket_rows))
+    whole = pieces.where(F.col("length") == window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("piece") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)))
+    packed = whole.unionByName(dealt.groupBy("bucket").applyInPandas(_packer(window, with_ids), PLACED))
+    return packed.mapInPandas(_as_arrays, PLACED.replace("ids binary", "ids array<int>")) if with_ids else packed.drop("ids")
