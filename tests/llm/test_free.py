@@ -278,3 +278,90 @@ def test_pipeline_stages_keep_columns_and_work_on_what_is_left(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_risk_gradient_is_the_slope_of_the_risk():
+    rng = np.random.default_rng(8)
+    p, u = rng.normal(0.5, 1, (30, 5)), rng.normal(0, 1, (40, 5))
+    layers = [rng.normal(0, 0.5, (5, 4)), rng.normal(0, 0.1, 4), rng.normal(0, 0.5, 4), np.array([0.2])]
+    for prior, sign in ((0.3, 1), (0.95, -1)):
+        if sign < 0:
+            layers[3] = np.array([4.0])  # all are called positive: the second part falls below 0
+
+        def part():
+            first, second = quality.risk(layers, p, u, prior)
+            return first + second if second >= 0 else -second
+
+        if sign < 0:
+            u = rng.normal(-0.5, 0.1, (40, 5))
+            layers[2] = np.array([-6.0, 0, 0, 0])
+            layers[3] = np.array([0.0])
+        got = quality.risk_gradient(layers, p, u, prior)
+        for layer, g in zip(layers, got):
+            for at in np.ndindex(layer.shape):
+                kept = layer[at]
+                layer[at] = kept + 1e-6
+                high = part()
+                layer[at] = kept - 1e-6
+                low = part()
+                layer[at] = kept
+                assert abs((high - low) / 2e-6 - g[at]) < 1e-4
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_is_estimated_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(9)
+    good, bad = (lambda n: rng.normal(1, 0.6, (n, 6))), (lambda n: rng.normal(-1, 0.6, (n, 6)))
+    n = int(1500 * share)
+    got = quality.estimate_prior(good(800), np.vstack([good(n), bad(1500 - n)])[rng.permutation(1500)])
+    assert abs(got - share) < 0.06
+
+
+def test_quality_does_not_read_labels_of_zero(spark):
+    """The score is the same whichever of the labelled bad rows are there, once their ids are known to be labelled."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet").where("quality is not null")
+    usable = F.lit(True)
+    want = sorted(tuple(r) for r in quality.score_quality(docs, labels, usable).collect())
+    odd = labels.withColumn("quality", F.when(F.col("quality") == 0, -5).otherwise(F.col("quality")))
+    assert sorted(tuple(r) for r in quality.score_quality(docs, odd, usable).collect()) == want
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    rows = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(1, "same")] * 500, "doc_id long, text string")
+    assert len(quality._sample(rows, 50, 1)) <= 50
+    texts, _ = language.training_rows(rows.withColumn("lang", F.lit("en")), F.lit(True), per_language=30)
+    assert 0 < len(texts) <= 60
+
+
+def ridge_by_hand(train, languages, texts):
+    """One-versus-rest kernel ridge regression in its dual form over sets of n-grams, without landmarks or hashing."""
+
+    def grams(text):
+        padded = f" {text.lower()} "
+        return {padded[i : i + n] for n in range(1, language.ORDER + 1) for i in range(len(padded) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+
+    own, names = [grams(t) for t in train], sorted(set(languages))
+    targets = np.array([[x == n for n in names] for x in languages], dtype=float)
+    d = (1 / np.sqrt(targets.sum(axis=0)))[targets.argmax(axis=1)]
+    k = kernel(own, own) + 1
+    ridge = language.RIDGE * (d * d * k.diagonal()).sum() / (len(train) + 1)
+    dual = d[:, None] * np.linalg.solve(d[:, None] * k * d[None, :] + ridge * np.eye(len(train)), d[:, None] * targets)
+    raw = np.maximum((kernel([grams(t) for t in texts], own) + 1) @ dual, 1e-6)
+    return [names[i] for i in raw.argmax(axis=1)], raw.max(axis=1) / raw.sum(axis=1)
+
+
+def test_language_is_kernel_ridge_regression(spark, monkeypatch):
+    """With every training text a landmark, the query's operator gives what the dual form gives."""
+    monkeypatch.setattr(language, "LANDMARKS_PER_LANGUAGE", 10_000)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 30 and 1500 and lang is not null")
+    docs = rows.dropDuplicates(["text"]).orderBy("doc_id").limit(90).cache()
+    held = docs.collect()
+    train = [(r.text, r.lang) for r in held if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    names, sure = ridge_by_hand([t for t, _ in train], [x for _, x in train], [r.text for r in held])
+    got = {r.doc_id: r for r in language.identify(docs, fold(F.col("doc_id")) != 2, per_language=10_000).collect()}
+    assert [got[r.doc_id].lang_pred for r in held] == names
+    assert max(abs(got[r.doc_id].score - s) for r, s in zip(held, sure)) < 0.02

@@ -5,11 +5,13 @@ k(x, y) = |G(x) and G(y)| / sqrt(|G(x)| |G(y)|). Landmark texts give a Nystroem
 per language is fitted on it; whole texts are scored batch by batch as one matrix product with the
 landmarks. n-grams are hashed to ``BUCKETS`` presence bits.
 
-The fit uses a bounded sample of labelled rows: at most about ``PER_LANGUAGE`` of each language, chosen
-by a hash of the id, so it does not grow with the corpus; every text is scored whole.
+The fit uses a bounded sample of labelled rows: about ``PER_LANGUAGE`` of each of the ``MAX_LANGUAGES`` most frequent
+languages, chosen by a hash of id and text, so it does not grow with the corpus; every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from,
-every text is; repeated rows are scored once each; other columns are ignored.
+every text is; repeated rows are scored once each; of languages that tie the first by name is taken; the
+n-grams of very long texts fill the ``BUCKETS``, which lowers all their kernel values alike; rows without a
+language or text are not learned from; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 ORDER = 4
 BUCKETS = 1 << 17
 PER_LANGUAGE = 150
+MAX_LANGUAGES = 512
 LANDMARKS_PER_LANGUAGE = 32
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -102,14 +105,14 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
 def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of a bounded sample: about ``per_language`` rows of each language by hash of the id."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not common:
         return [], []
-    scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(scale, int(scale * 1.2 * per_language / n) + 1))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share[F.col("lang")]).select("doc_id", "lang", "text")
-    found = sorted(((r["lang"], r["doc_id"] or 0, r["text"]) for r in sample.collect()), key=lambda r: (r[1], r[0], r[2]))
-    return [r[2] for r in found], [r[0] for r in found]
+    scale, own = 1 << 30, F.xxhash64("doc_id", "text")
+    share = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(scale, int(scale * 1.2 * per_language / r["count"]) + 1))])
+    sample = rows.where(F.pmod(own, F.lit(scale)) < F.try_element_at(share, F.col("lang")))
+    found = sample.select("lang", "text", own.alias("own")).orderBy("own", "lang", "text").limit(2 * per_language * len(common)).collect()
+    return [r["text"] for r in found], [r["lang"] for r in found]
 
 
 def identify(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -1,19 +1,23 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives (label 1) and unlabelled web text train a small network on shape features of whole
-texts by minimising the non-negative unbiased risk, with a class prior that is estimated from the
-labelled rows. Rows labelled 0 are never used as examples; with the positives they only give the prior.
+Trusted positives (label 1) and unlabelled web text train a small network by minimising the non-negative
+unbiased risk. The class prior is estimated from the same two samples: a classifier of positive against
+unlabelled ranks held-out halves of both, and the prior is the least ratio of the shares above a threshold
+(best bin estimation). Rows labelled 0 are never used. Features of whole texts are hashed words and shape:
+sizes, character classes, repetition.
 
-Both training sets are bounded samples by hash of the id (``SAMPLE`` rows each), so the fit does not
+Both training sets are bounded samples by hash of id and text (``SAMPLE`` rows each at most), so the fit does not
 grow with the corpus; every text is scored whole.
 
 Defined cases: a null text is the empty text; with no usable positives or no unlabelled text, every score
-is the prior (0.5 where that is unknown too); repeated rows are scored once each; labels repeated for one
-document count once, the smallest winning; other columns are ignored.
+is 0.5; repeated rows are scored once each, and alike (ties); very long texts are read whole; labels repeated
+for one document count once, the smallest winning; labels without a document are left out; other columns,
+of whatever name, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +28,18 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import text_or_empty
 
 SAMPLE = 4000
+WORD_BUCKETS = 256
 HIDDEN = 24
-EPOCHS = 300
+EPOCHS, PRIOR_EPOCHS = 120, 40
 BATCH = 400
+#: A small sample is gone through as often as one of this many batches.
+LEAST_ROUNDS = 6
 RATE = 5e-3
-DECAY = 1e-5
-#: The labelled share is taken as the prior, shaded: an over-estimate lifts the scores of bad unlabelled text.
-PRIOR_SHADE = 0.975
+DECAY = 3e-4
+#: Weight of a standardised word feature beside one of shape: there are ten times as many.
+WORD_WEIGHT = 0.3
+#: Certainty of the bounds in the estimate of the prior.
+DOUBT = 0.1
 SEED = 11
 
 
@@ -73,9 +82,16 @@ def shape(text: str) -> list[float]:
     ]
 
 
+def words_of(text: str) -> np.ndarray:
+    """Distinct lower-cased words in hashed buckets, scaled to length 1."""
+    found = set(text.lower().split())
+    counts = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in found], minlength=WORD_BUCKETS) if found else np.zeros(WORD_BUCKETS)
+    return counts / max(1.0, float(np.sqrt((counts * counts).sum())))
+
+
 def features(texts: list[str]) -> np.ndarray:
-    width = len(shape("a b"))
-    return np.array([shape(t) for t in texts], dtype=np.float64).reshape(-1, width)
+    width = len(shape("a b")) + WORD_BUCKETS
+    return np.array([np.concatenate([shape(t), words_of(t)]) for t in texts], dtype=np.float64).reshape(-1, width)
 
 
 @dataclass
@@ -90,7 +106,9 @@ class Model:
         return _forward(self.layers, self._ready(x))[0]
 
     def _ready(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6)
+        ready = np.clip((x - self.mean) / self.scale, -6, 6)
+        ready[:, -WORD_BUCKETS:] *= WORD_WEIGHT if x.shape[1] > WORD_BUCKETS else 1
+        return ready
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(features(texts)), -30, 30)))
@@ -108,12 +126,37 @@ def _gradient(layers: list[np.ndarray], x: np.ndarray, hidden: np.ndarray, d: np
     return [x.T @ back, back.sum(axis=0), hidden.T @ d, np.array([d.sum()])]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss, by Adam.
+def risk(layers: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk: prior * E_p[l(f)], and E_u[l(-f)] - prior * E_p[l(-f)], with the logistic loss."""
+    fp, fu = _forward(layers, p)[0], _forward(layers, u)[0]
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
 
-    Where the second part is negative, its gradient is taken backwards, which undoes the over-fitting
-    that made it so.
+def risk_gradient(layers: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Gradient of the risk; where its second part is negative, that part's gradient alone, backwards.
+
+    Going backwards undoes the over-fitting that made it negative.
     """
+    fp, hp = _forward(layers, p)
+    fu, hu = _forward(layers, u)
+    up_p, up_u = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    if risk(layers, p, u, prior)[1] >= 0:
+        dp, du = prior * ((up_p - 1) - up_p) / len(fp), up_u / len(fu)
+    else:
+        dp, du = prior * up_p / len(fp), -up_u / len(fu)
+    return [a + b for a, b in zip(_gradient(layers, p, hp, dp), _gradient(layers, u, hu, du))]
+
+
+def _pvu_gradient(layers: list[np.ndarray], p: np.ndarray, u: np.ndarray, _: float) -> list[np.ndarray]:
+    """Gradient of the plain logistic loss of positive against unlabelled, both halves weighing the same."""
+    fp, hp = _forward(layers, p)
+    fu, hu = _forward(layers, u)
+    dp, du = (1 / (1 + np.exp(-fp)) - 1) / len(fp), 1 / (1 + np.exp(-fu)) / len(fu)
+    return [a + b for a, b in zip(_gradient(layers, p, hp, dp), _gradient(layers, u, hu, du))]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, gradient=risk_gradient) -> Model:
+    """Minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) by Adam."""
     rng = np.random.default_rng(SEED)
     both = np.vstack([positive, unlabelled])
     model = Model(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6), [])
@@ -122,23 +165,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     model.layers = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in model.layers], [np.zeros_like(w) for w in model.layers]
     step, rounds = 0, max(1, -(-len(u) // BATCH))
-    for _ in range(EPOCHS):
+    for _ in range(max(epochs, -(-epochs * LEAST_ROUNDS // rounds))):
         order_p, order_u = rng.permutation(len(p)), rng.permutation(len(u))
         for part_p, part_u in zip(np.array_split(np.resize(order_p, max(len(p), rounds)), rounds), np.array_split(order_u, rounds)):
-            xp, xu = p[part_p], u[part_u]
-            if not len(xp) or not len(xu):
-                continue
-            fp, hp = _forward(model.layers, xp)
-            fu, hu = _forward(model.layers, xu)
-            up_p, up_u = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-            rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            if rest >= 0:
-                dp, du = prior * ((up_p - 1) - up_p) / len(fp), up_u / len(fu)
-            else:
-                dp, du = prior * up_p / len(fp), -up_u / len(fu)
-            grads = [a + b for a, b in zip(_gradient(model.layers, xp, hp, dp), _gradient(model.layers, xu, hu, du))]
             step += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(gradient(model.layers, p[part_p], u[part_u], prior)):
                 g = g + DECAY * model.layers[i]
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
@@ -146,29 +177,48 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, by best bin estimation; the mean over both ways to halve the samples."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    halves = [_best_bin(positive[k::2], unlabelled[k::2], positive[1 - k :: 2], unlabelled[1 - k :: 2]) for k in (0, 1)]
+    return float(np.clip(np.mean(halves), 0.01, 0.97))
+
+
+def _best_bin(p_fit: np.ndarray, u_fit: np.ndarray, p_held: np.ndarray, u_held: np.ndarray) -> float:
+    """Above a threshold lie a share q_p of the positives and q_u of the unlabelled texts; where only positives lie there,
+    q_u / q_p is the prior. The threshold taken has the least upper bound of that ratio."""
+    model = fit(p_fit, u_fit, 0.5, PRIOR_EPOCHS, _pvu_gradient)
+    p, u = np.sort(model.logits(p_held)), np.sort(model.logits(u_held))
+    q_p = 1 - np.arange(len(p)) / len(p)
+    q_u = 1 - np.searchsorted(u, p, side="left") / len(u)
+    slack = np.sqrt(np.log(4 / DOUBT) / 2 / len(u)) + np.sqrt(np.log(4 / DOUBT) / 2 / len(p))
+    best = int(np.argmin((q_u + slack) / q_p))
+    return q_u[best] / q_p[best]
+
+
 def _sample(rows: DataFrame, size: int, salt: int) -> list[str]:
-    """Texts of about ``size`` rows, chosen by a hash of the id."""
+    """Texts of at most ``size`` rows, those with the least hash of id and text among about twice as many."""
     n = rows.count()
     if not n:
         return []
-    scale = 1 << 30
-    kept = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale)) < min(scale, int(scale * size / n) + 1))
-    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.select("doc_id", "text").collect())
-    return [t for _, t in found]
+    scale, own = 1 << 30, F.xxhash64("doc_id", "text", F.lit(salt))
+    kept = rows.where(F.pmod(own, F.lit(scale)) < min(scale, int(scale * 2 * size / n) + 1))
+    found = kept.select(F.coalesce("text", F.lit("")).alias("text"), own.alias("own")).orderBy("own", "text").limit(size).collect()
+    return [r["text"] for r in found]
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[Model | None, float]:
     """The model and the class prior; ``usable`` marks the rows of either table that may be learned from."""
     marks = labels.where(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("mark"))
-    prior = marks.agg(F.avg(F.col("mark").cast("double"))).first()[0]
-    if prior is None:
-        return None, 0.5
     texts = docs.where(usable).select("doc_id", "text")
     positive = _sample(texts.join(marks.where("mark = 1"), "doc_id", "left_semi"), sample, 1)
     unlabelled = _sample(texts.join(marks, "doc_id", "left_anti"), sample, 2)
     if not positive or not unlabelled:
-        return None, prior
-    return fit(features(positive), features(unlabelled), min(prior * PRIOR_SHADE, 0.97)), prior
+        return None, 0.5
+    p, u = features(positive), features(unlabelled)
+    prior = estimate_prior(p, u)
+    return fit(p, u, prior), prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> DataFrame:
