@@ -75,6 +75,27 @@ def test_iban_and_context(spark):
     assert (got[3].scores, got[4].scores) == ("0.30", "0.70")
 
 
+def test_context_words_are_whole_words_of_four_languages(spark):
+    texts = ["the ship 1.2.3.4 sails", "IP: 1.2.3.4", "serveur 1.2.3.4", "hotel +49 30 1234567", "Téléphone +49 30 1234567", "discard 4111111111111111", "Kreditkarte 4111111111111111", "telefon +49 30 1234567 bestellung"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.scores, r.has_personal_data) for r in pii.pii_digests(docs).collect()}
+    assert [got[i] for i in range(8)] == [("0.60", True), ("0.70", True), ("0.70", True), ("0.60", True), ("0.70", True), ("0.80", True), ("0.90", True), ("0.40", False)]
+
+
+def test_social_security_numbers(spark):
+    texts = ["nir 2 69 05 49 588 157 80", "nir 2 69 05 49 588 157 81", "ssn 219-09-9999", "ssn 666-09-9999", "ssn 1219-09-9999", "219-09-0000"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_nir, r.n_ssn) for r in pii.pii_digests(docs).collect()}
+    assert [got[i] for i in range(6)] == [(1, 0), (0, 0), (0, 1), (0, 0), (0, 0), (0, 0)]
+
+
+def test_pii_redaction(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co now", "x", 5), (2, "version 1.2.3.4", "y", 6), (3, None, "z", 7)], "doc_id long, text string, pii string, spans int")
+    got = pii.redact_pii(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect())) == [(1, "mail [personal] now", "x", 5), (2, "version 1.2.3.4", "y", 6), (3, None, "z", 7)]
+
+
 @pytest.mark.parametrize("which", ["hard_docs", "some_docs"])
 def test_secrets(which, request):
     docs = request.getfixturevalue(which).withColumn("n", F.monotonically_increasing_id())

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from tickloom.llm.line_dedup import MIN_SITES
-from tickloom.llm.pii import BASE_SCORE, CONTEXT_CHARS, LOWER, LOWERED_BY, RAISE, RAISED_BY
-
+MIN_SITES = 10
+CONTEXT_CHARS, RAISED_BY, LOWERED_BY = 40, 0.1, 0.3
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "nir": 0.8, "ssn": 0.7}
+RAISE = {
+    "email": "mail email e-mail mailto contact write courriel contacter écrire kontakt schreiben correo contacto escribir",
+    "ip": "ip host server address login client adresse serveur connexion rechner anmeldung servidor dirección",
+    "card": "card visa mastercard amex credit payment carte paiement karte kreditkarte zahlung tarjeta pago",
+    "phone": "phone call tel mobile fax cell téléphone appeler portable telefon anrufen handy teléfono llamar móvil",
+    "iban": "iban bank account transfer compte banque virement konto überweisung cuenta banco",
+    "nir": "nir social security sécurité sociale assuré vitale",
+    "ssn": "ssn social security taxpayer",
+}
+LOWER = {
+    "email": "example noreply exemple beispiel ejemplo",
+    "ip": "version release section chapter abschnitt chapitre sección versión",
+    "card": "order tracking serial isbn commande bestellung pedido",
+    "phone": "isbn serial order commande bestellung pedido",
+    "iban": "serial part pièce teil pieza",
+    "nir": "serial part order",
+    "ssn": "serial part order isbn",
+}
 EXACT_DEDUP = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
   g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON g.t = d.t"""
@@ -32,7 +50,7 @@ def _spans(kinds: list[tuple[str, str, str]]) -> str:
   {kind}_p AS (SELECT doc_id, unnest(a) AS part, generate_subscripts(a, 1) AS n FROM {kind}_a WHERE len(a) > 1),
   {kind}_s AS (SELECT doc_id, n, (sum(length(part) - (n > 1)::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS start, split_part(part, chr(2), 1) AS m FROM {kind}_p),
   {kind}_m AS (SELECT s.doc_id, s.start, {rank} AS rank, s.start + length(m) AS stop, '{kind}' AS kind, m,
-      regexp_matches(substr(t.text, s.start::INT, 1), '[A-Za-z0-9]') AND s.start > 0 AS glued FROM {kind}_s s JOIN t ON t.doc_id = s.doc_id WHERE n > 1)"""
+      regexp_matches(substr(t.text, s.start::INT, 1), '[A-Za-z0-9]') AND s.start > 0 AS glued, regexp_matches(substr(t.text, (s.start + length(m) + 1)::INT, 1), '[A-Za-z0-9]') AS tied FROM {kind}_s s JOIN t ON t.doc_id = s.doc_id WHERE n > 1)"""
         )
     union = " UNION ALL ".join(f"SELECT doc_id, start, rank, stop, kind, m FROM {kind}_m WHERE {valid}" for kind, _, valid in kinds)
     return f"{_TEXTS}, " + ", ".join(ctes) + f", spans AS ({union})"
@@ -53,6 +71,8 @@ _PII = _spans(
         ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
         ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"NOT glued AND {_MOD97}"),
+        ("nir", "[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}", "NOT glued AND NOT tied AND substr(replace(m, ' ', ''), 1, 13)::BIGINT % 97 = 97 - substr(replace(m, ' ', ''), 14, 2)::INT"),
+        ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT glued AND NOT tied AND substr(m, 1, 3)::INT NOT IN (0, 666) AND substr(m, 1, 3)::INT < 900 AND substr(m, 5, 2)::INT > 0 AND substr(m, 8, 4)::INT > 0"),
     ]
 )
 
@@ -61,14 +81,19 @@ def _case(values: dict, wrap=lambda v: v) -> str:
     return "CASE s.kind " + " ".join(f"WHEN '{k}' THEN {wrap(v)}" for k, v in values.items()) + " END"
 
 
+def _words(text: str) -> str:
+    return _quoted(f"(?:^|[^a-z0-9])(?:{'|'.join(text.split())})(?:[^a-z0-9]|$)")
+
+
+_KINDS = tuple(BASE_SCORE)
 _NEAR = f"lower(substr(t.text, (greatest(start - {CONTEXT_CHARS}, 0) + 1)::INT, (start - greatest(start - {CONTEXT_CHARS}, 0))::INT) || ' ' || substr(t.text, (stop + 1)::INT, {CONTEXT_CHARS}))"
-_SCORED = f"""scored AS (SELECT s.*, printf('%.2f', round(least(1.0, {_case(BASE_SCORE)} + CASE WHEN regexp_matches({_NEAR}, {_case(RAISE, _quoted)}) THEN {RAISED_BY} ELSE 0 END)
-    - CASE WHEN regexp_matches({_NEAR}, {_case(LOWER, _quoted)}) THEN {LOWERED_BY} ELSE 0 END, 2)) AS score FROM spans s JOIN t ON t.doc_id = s.doc_id)"""
+_SCORED = f"""scored AS (SELECT s.*, printf('%.2f', round(least(1.0, {_case(BASE_SCORE)} + CASE WHEN regexp_matches({_NEAR}, {_case(RAISE, _words)}) THEN {RAISED_BY} ELSE 0 END)
+    - CASE WHEN regexp_matches({_NEAR}, {_case(LOWER, _words)}) THEN {LOWERED_BY} ELSE 0 END, 2)) AS score FROM spans s JOIN t ON t.doc_id = s.doc_id)"""
 
 PII = f"""WITH {_PII}, {_SCORED},
-  g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban"))},
-    {_LISTED} FILTER (kind <> 'iban') AS base, {_LISTED} AS spans, string_agg(score, ',' ORDER BY start, rank) AS scores FROM scored GROUP BY doc_id)
-SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone", "iban"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+  g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _KINDS)},
+    {_LISTED} FILTER (rank < 4) AS base, {_LISTED} AS spans, string_agg(score, ',' ORDER BY start, rank) AS scores, bool_or(score::DOUBLE >= 0.5) AS found FROM scored GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(found, false) AS has_personal_data
 FROM t LEFT JOIN g ON g.doc_id = t.doc_id"""
 
 _ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)"
