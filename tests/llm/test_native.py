@@ -173,6 +173,15 @@ def test_exact_dedup(which, weak, request):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_exact_dedup_of_a_hot_group(spark, monkeypatch):
+    from tickloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    docs = spark.createDataFrame([(i, "Same" if i % 2 else f"own {i}") for i in range(60)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {i: (59, 30, i == 59) if i % 2 else (i, 1, True) for i in range(60)}
+
+
 def test_chunks_rejoin_to_the_text(hard_docs):
     norm = exact_dedup.normalised(F.coalesce("text", F.lit("")))
     bad = hard_docs.where(F.array_join(exact_dedup.chunks(norm), "") != norm)

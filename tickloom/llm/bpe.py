@@ -6,7 +6,9 @@ that is bounded. Decoding joins the vocabulary strings of the ids with one space
 missing decoder asks for.
 
 Defined cases: a null or empty text, or one of white space alone, has no tokens and decodes to the
-empty string; the file's special strings in a text become their ids; repeated rows give repeated rows.
+empty string; the file's special strings in a text become their ids; of merges that tie in rank the leftmost
+comes first; repeated rows give repeated rows; very long texts and words are encoded whole (the queue grows with
+the word alone); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

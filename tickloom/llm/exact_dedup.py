@@ -7,9 +7,10 @@ identifier lists are; only those lists are grouped, joined and compared, so long
 distinct chunks. DataFrame functions only.
 
 Defined cases: null counts as the empty text; equal texts form a group whatever their other columns;
-the largest id of a group stays, nulls being smaller than any id; repeated rows of the kept id all
-stay; other columns are ignored; an empty table gives no rows. A group that holds a third of all rows
-is partially aggregated, and the join back to its rows is one that adaptive execution can split.
+the largest id of a group stays, nulls being smaller than any id; of rows that tie for it (repeated rows, or a
+group of nulls only) all stay; very long texts are cut and compared whole; other columns are ignored; an empty
+table gives no rows. Recipes are written once. A group that holds a third of all rows is partially aggregated,
+and its rows are dealt over salts when they get their group back, by the digest of their text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_or_empty
+from tickloom.llm.common import materialise, split_join, text_or_empty
 
 LEAST, LARGEST = 1024, 8192
 #: A cut is made after white space that follows one of a few characters and precedes one of a few others.
@@ -73,10 +74,11 @@ def recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64
 
 def exact_groups(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    rows = recipes(docs, chunk_hash)
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    keyed = groups.withColumn("key", F.xxhash64("recipe"))
-    joined = rows.withColumn("key", F.xxhash64("recipe")).join(keyed, ["key", "recipe"], "left")
+    rows = materialise(recipes(docs, chunk_hash), "recipes")
+    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.first("text_sha256").alias("text_sha256"))
+    groups = groups.where("group_size > 1").drop("recipe")
+    sizes = groups.select("text_sha256", F.col("group_size").alias("n"))
+    joined = split_join(rows.drop("recipe"), groups, "text_sha256", F.monotonically_increasing_id(), "left", counts=sizes)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",
