@@ -1,7 +1,13 @@
 """A training corpus from raw documents: good texts, without spread lines, near copies and secrets, packed.
 
 Each stage is one operator over all rows that its predecessor kept. All but the last return the columns of
-``documents``; each result is written as Parquet to the shared folder and read again for the next stage.
+``documents``; each result is written as Parquet to the shared folder and read again for the next stage, and
+what a stage wrote on its way is removed with the result before it. The last stage gives the pieces with
+their token ids.
+
+Defined cases are those of the operators: a null text is scored as the empty one, rows that repeat are copies,
+null ids are rows of their own, other columns stay, an empty table gives no pieces. Where a stage changes
+texts, ``n_chars`` is counted again.
 """
 
 from __future__ import annotations
@@ -11,10 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import line_dedup, near_dup, packing, quality, secrets
-from tickloom.llm.common import fold, materialise, table
+from tickloom.llm.common import discard, fold, materialise, table, temporary
 from tickloom.llm.queries import KEEP_SCORE
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now, where the table has that column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below the threshold go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 2, KEEP_SCORE)
@@ -22,7 +35,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sites go from all documents but the first."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return _counted(line_dedup.dedup_lines(docs).select(*docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +45,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark."""
-    return secrets.redact_secrets(docs)
+    return _counted(secrets.redact_secrets(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    """Pieces of all documents, with their ids, in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -54,9 +67,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
-    docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs = materialise(docs, f"stage{number}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"stage{number}", keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

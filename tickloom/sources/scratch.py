@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 def scratch_path(spark: SparkSession, label: str) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         place = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/tickloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
