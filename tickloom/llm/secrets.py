@@ -25,7 +25,7 @@ from tickloom.llm.common import materialise, split_join, text_or_empty
 from tickloom.llm.spans import listed, matches, of_kind, redacted, unmarked
 
 BASE = ("assign", "access", "hex")
-#: An increment of at most this many blobs is sent to all tasks: 64 characters and a list of rules each.
+#: An increment of at most this many blobs is sent to all tasks: 64 characters and an integer each.
 FEW_BLOBS = 100_000
 #: Working columns, named so that a table's own columns do not clash with them.
 OWN_BLOB, OWN_SPANS = "__secret_blob", "__secret_spans"
@@ -74,13 +74,14 @@ def census(docs: DataFrame) -> DataFrame:
 
 
 def _wanted(counted: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """Blobs with the rule keys that the ledger lacks for them (``todo``)."""
-    keys = F.array(*[F.lit(r.key) for r in rules])
+    """Blobs with the rules that the ledger lacks for them: bit i of ``todo`` stands for rule i."""
+    every = (1 << len(rules)) - 1
     if ledger is None:
-        return counted.select(OWN_BLOB, keys.alias("todo"))
-    seen = ledger.groupBy(F.col("blob_id").alias(OWN_BLOB)).agg(F.collect_set("rule").alias("seen"))
-    todo = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
-    return counted.join(seen, OWN_BLOB, "left").select(OWN_BLOB, todo.alias("todo")).where(F.size("todo") > 0)
+        return counted.select(OWN_BLOB, F.lit(every).alias("todo"))
+    bit = F.try_element_at(F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, 1 << i)]), F.col("rule"))
+    seen = ledger.groupBy(F.col("blob_id").alias(OWN_BLOB)).agg(F.bit_or(F.coalesce(bit, F.lit(0))).alias("seen"))
+    todo = F.lit(every).bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0))))
+    return counted.join(seen, OWN_BLOB, "left").select(OWN_BLOB, todo.alias("todo")).where(F.col("todo") != 0)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, selective: bool) -> DataFrame:
@@ -103,7 +104,7 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
         wanted = materialise(wanted, "wanted")
         selective = wanted.count() <= FEW_BLOBS
     each = F.array(
-        *[F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), _scan(r, F.col("clean")).alias("spans"))) for r in rules]
+        *[F.when(F.col("todo").bitwiseAND(1 << i) != 0, F.struct(F.lit(r.key).alias("rule"), _scan(r, F.col("clean")).alias("spans"))) for i, r in enumerate(rules)]
     )
     clean = _texts(docs, wanted, selective).withColumn("clean", unmarked(F.col("text")))
     rows = clean.select(F.col(OWN_BLOB).alias("blob_id"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("new"))
