@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.asof import range_join
+from tickloom.operators.touch import first_touch
+from tickloom.sources.scratch import stored
 
 MICROS = 1_000_000
 
@@ -40,21 +42,29 @@ def barrier_labels(rows: DataFrame, stop: Column, target: Column, timeout_s: int
 
     A buy enters at the ask and leaves at bids, a sell the other way round. Stop comes before target; at the
     first row past the timeout the position closes at the market, with the sign of its profit as label. ``rows``
-    has instrument, idx, time, bid, ask; ``stop`` and ``target`` are distances.
+    has instrument, idx, time, bid, ask; ``stop`` and ``target`` are distances. The first touch of each barrier is
+    looked up in a tree of blocks, so the work does not grow with the number of rows within the timeout.
     """
     span = timeout_s * MICROS
     timed = with_micros(rows).withColumns({"stop": stop, "target": target})
-    own = timed.select("instrument", "idx", "t", "bid", "ask", "stop", "target")
-    path = timed.select("instrument", F.col("idx").alias("j"), F.col("t").alias("tj"), F.col("bid").alias("bid_j"), F.col("ask").alias("ask_j"))
-    met = range_join(own, path, ["instrument"], "tj", F.col("t"), F.col("t") + span, span).where("j > idx")
-    at = {
-        "bs": F.col("bid_j") <= F.col("ask") - F.col("stop"),
-        "bt": F.col("bid_j") >= F.col("ask") + F.col("target"),
-        "ss": F.col("ask_j") >= F.col("bid") + F.col("stop"),
-        "st": F.col("ask_j") <= F.col("bid") - F.col("target"),
+    timed = stored(timed.select("instrument", "idx", "t", "bid", "ask", "stop", "target"), "labelled-rows")
+    own = timed
+    entries = {
+        "bs": ("bid", None, F.col("ask") - F.col("stop")),
+        "bt": ("bid", F.col("ask") + F.col("target"), None),
+        "ss": ("ask", F.col("bid") + F.col("stop"), None),
+        "st": ("ask", None, F.col("bid") - F.col("target")),
     }
-    hits = met.groupBy("instrument", "idx").agg(*[F.min(F.when(c, F.col("j"))).alias(n) for n, c in at.items()])
-    joined = own.join(hits, ["instrument", "idx"], "left").join(_after_timeout(timed, span), ["instrument", "idx"], "left")
+    least, most = F.lit(float("-inf")), F.lit(float("inf"))
+    asked = [F.struct(F.lit(n).alias("name"), F.lit(side).alias("side"), (least if low is None else low).alias("from"), (most if high is None else high).alias("to")) for n, (side, low, high) in entries.items()]
+    queries = own.select("instrument", F.col("idx").alias("after"), F.explode(F.array(*asked)).alias("q")).select("instrument", "after", "q.*")
+    sides = own.select("instrument", "idx", F.explode(F.create_map(F.lit("bid"), F.col("bid"), F.lit("ask"), F.col("ask"))).alias("side", "lo")).withColumn("hi", F.col("lo"))
+    touched = first_touch(queries, sides, ("instrument", "side"))
+    ends = _after_timeout(timed, span)
+    hits = touched.groupBy("instrument", F.col("after").alias("idx")).agg(*[F.min(F.when(F.col("name") == n, F.col("hit_idx"))).alias(n) for n in entries])
+    hits = hits.join(ends, ["instrument", "idx"], "left")
+    hits = hits.withColumns({n: F.when(F.col("o").isNull() | (F.col(n) < F.col("o")), F.col(n)) for n in entries})
+    joined = own.join(hits, ["instrument", "idx"], "left")
 
     def side(s: str, g: str, at_market: Column) -> tuple[Column, Column, Column]:
         lost = F.col(s).isNotNull() & (F.col(g).isNull() | (F.col(s) <= F.col(g)))

@@ -13,8 +13,8 @@ from tickloom.operators.series import bounded, running
 
 def open_gaps(bars: DataFrame, age: int) -> DataFrame:
     """Gaps with ``dead``: the bar at which each is mitigated or too old."""
-    hit = F.when(F.col("kind") == "bullish", F.col("bar_low") <= F.col("bottom")).otherwise(F.col("bar_high") >= F.col("top"))
-    found = P.first_hit(P.gaps(bars), bars, hit, age)
+    gaps = P.gaps(bars)
+    found = P.first_hit(gaps, bars, *P.mitigation(gaps))
     return found.withColumn("dead", F.least(F.col("hit_idx"), F.col("idx") + age + 1))
 
 

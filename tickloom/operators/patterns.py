@@ -6,10 +6,11 @@ the bar at which it is known.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import bounded, full, last_n, running
+from tickloom.operators.series import bounded, full, last_n, running, with_index
+from tickloom.operators.touch import first_touch
 
 
 def true_range(window: WindowSpec) -> Column:
@@ -118,9 +119,10 @@ def structure_breaks(bars: DataFrame, left: int = 2, right: int = 2) -> DataFram
         return at.select("instrument", "idx", "time", "level", F.lit(rank).alias("rank"), F.lit(direction).alias("direction"))
 
     both = first("eh", "lh", F.col("high") > F.col("lh"), 0, "bullish").unionByName(first("el", "ll", F.col("low") < F.col("ll"), 1, "bearish"))
-    before = F.lag("direction").over(Window.partitionBy("instrument").orderBy("idx", "rank"))
-    kind = F.when(before.isNull() | (before == F.col("direction")), "BOS").otherwise("CHOCH")
-    return both.withColumn("kind", kind).select("instrument", "time", "idx", "rank", "direction", "kind", "level")
+    numbered = with_index(both.withColumnRenamed("idx", "bar"), order=("time", "rank"))
+    seen = bounded(numbered, lambda w: {"before": F.lag("direction").over(w)}, back=1)
+    kind = F.when(F.col("before").isNull() | (F.col("before") == F.col("direction")), "BOS").otherwise("CHOCH")
+    return seen.select("instrument", "time", F.col("bar").alias("idx"), "rank", "direction", kind.alias("kind"), "level")
 
 
 def final_trend(bars: DataFrame, breaks: DataFrame) -> DataFrame:
@@ -131,26 +133,24 @@ def final_trend(bars: DataFrame, breaks: DataFrame) -> DataFrame:
 
 def liquidity(bars: DataFrame, left: int = 2, right: int = 2, lookback: int = 20, tolerance: float = 0.1, min_touches: int = 2) -> DataFrame:
     """Swings whose level was touched before by like swings within ``tolerance`` percent, among the last ``lookback``."""
-    kinds = swings(bars, left, right).withColumn("at", F.col("idx"))
-    before = Window.partitionBy("instrument", "kind").orderBy("at").rowsBetween(-lookback, -1)
-    seen = kinds.withColumn("before", F.collect_list("price").over(before))
+    like = ("instrument", "kind")
+    numbered = with_index(swings(bars, left, right).withColumnRenamed("idx", "bar"), like)
+    seen = bounded(numbered, lambda w: {"before": F.collect_list("price").over(w.rowsBetween(-lookback, -1))}, back=lookback, keys=like)
     price = F.col("price")
     touches = F.size(F.filter("before", lambda p: F.abs(p - price) <= price * tolerance / 100)) + 1
     return seen.withColumn("touches", touches.cast("long")).where(F.col("touches") >= min_touches).select(
-        "instrument", "time", "idx", "confirmed_idx", "kind", "price", "touches"
+        "instrument", "time", F.col("bar").alias("idx"), "confirmed_idx", "kind", "price", "touches"
     )
 
 
-def first_hit(levels: DataFrame, bars: DataFrame, hit: Column, horizon: int) -> DataFrame:
-    """``hit_idx``: the first bar after ``confirmed_idx``, within ``horizon`` bars, that satisfies ``hit``; null if none.
+def first_hit(levels: DataFrame, bars: DataFrame, low: Column, high: Column) -> DataFrame:
+    """``hit_idx``: the first bar after ``confirmed_idx``, however far, whose range meets ``low`` to ``high``; null if none."""
+    queries = levels.withColumns({"after": F.col("confirmed_idx"), "from": low, "to": high})
+    rows = bars.select("instrument", "idx", F.col("low").alias("lo"), F.col("high").alias("hi"))
+    return first_touch(queries, rows).drop("after", "from", "to")
 
-    Bars and levels meet in blocks of ``horizon`` bars, so no pair of far-apart rows is formed.
-    """
-    own = levels.withColumn("_id", F.struct("instrument", "kind", "idx"))
-    dealt = own.withColumn("_block", F.explode(F.array(F.floor(F.col("confirmed_idx") / horizon), F.floor(F.col("confirmed_idx") / horizon) + 1)))
-    after = bars.select("instrument", F.floor(F.col("idx") / horizon).alias("_block"), F.col("idx").alias("bar_idx"), F.col("high").alias("bar_high"), F.col("low").alias("bar_low"))
-    near = dealt.join(after, ["instrument", "_block"]).where(
-        (F.col("bar_idx") > F.col("confirmed_idx")) & (F.col("bar_idx") <= F.col("confirmed_idx") + horizon) & hit
-    )
-    firsts = near.groupBy("_id").agg(F.min("bar_idx").alias("hit_idx"))
-    return own.join(firsts, "_id", "left").drop("_id")
+
+def mitigation(gaps: DataFrame) -> tuple[Column, Column]:
+    """The prices that end a gap: at or below the bottom of a bullish one, at or above the top of a bearish one."""
+    up, far = F.col("kind") == "bullish", float("inf")
+    return F.when(up, F.lit(-far)).otherwise(F.col("top")), F.when(up, F.col("bottom")).otherwise(F.lit(far))

@@ -136,11 +136,11 @@ def ms_lookback(spark, sf_dir):
     return recent.select("instrument", "idx", F.size("recent").cast("long").alias("n_recent"), last.alias("last_direction"))
 
 
-NEWS = "news AS (SELECT event_id AS id, ts AS time, event_type AS currency, (props::JSON->>'k')::BIGINT AS k FROM events WHERE event_id % 50 = 0)"
+NEWS = "news AS (SELECT event_id AS id, ts AS time, event_type AS currency, (props::JSON->>'k')::BIGINT AS k FROM events)"
 
 
 def news(spark, sf_dir):
-    """All events as a news feed, their JSON code as content; the SQL of ``NEWS`` still reads one in 50."""
+    """All events as a news feed, their JSON code as content."""
     own = table(spark, sf_dir, "events")
     code = F.get_json_object("props", "$.k").cast("long")
     return own.select(F.col("event_id").alias("id"), F.col("ts").alias("time"), F.col("event_type").alias("currency"), code.alias("k"))
@@ -243,7 +243,7 @@ def _target():
     t AS (SELECT instrument, idx, time, d, CASE WHEN d = 1 THEN ask ELSE bid END AS entry, CASE WHEN d = 1 THEN buy_exit ELSE sell_exit END AS leave, CASE WHEN d = 1 THEN buy_pnl ELSE sell_pnl END AS final FROM e WHERE d > 0)
     SELECT t.instrument, t.idx AS entry_index, r.idx AS row_index, CASE WHEN d = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS direction, round(CASE WHEN d = 1 THEN r.bid - entry ELSE entry - r.ask END, 6) AS unrealized,
       round((epoch_us(r.time) - epoch_us(t.time)) / 1000000.0, 3)::DOUBLE AS duration, (round(CASE WHEN d = 1 THEN r.bid - entry ELSE entry - r.ask END, 9) > round(final, 9))::INT AS label
-    FROM t JOIN r ON r.instrument = t.instrument AND r.idx BETWEEN t.idx + 1 AND least(leave, t.idx + 500) WHERE leave IS NOT NULL""",
+    FROM t JOIN r ON r.instrument = t.instrument AND r.idx BETWEEN t.idx + 1 AND leave WHERE leave IS NOT NULL""",
 )
 def exit_dataset(spark, sf_dir):
     paths = L.exit_paths(_fixed(spark, sf_dir), _rows(spark, sf_dir), _target())

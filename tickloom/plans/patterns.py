@@ -146,25 +146,23 @@ def precompute_counts(spark, sf_dir):
 @query(
     "fvg_mitigation",
     f"""WITH {BARS}, {GAPS} SELECT g.instrument, g.idx, g.kind, round(g.top, 6) AS top, round(g.bottom, 6) AS bottom, min(b.idx) AS hit_idx FROM gaps g
-    LEFT JOIN bars b ON b.instrument = g.instrument AND b.idx > g.confirmed_idx AND b.idx <= g.confirmed_idx + 100 AND CASE WHEN g.kind = 'bullish' THEN b.low <= g.bottom ELSE b.high >= g.top END
+    LEFT JOIN bars b ON b.instrument = g.instrument AND b.idx > g.confirmed_idx AND CASE WHEN g.kind = 'bullish' THEN b.low <= g.bottom ELSE b.high >= g.top END
     GROUP BY ALL""",
 )
 def fvg_mitigation(spark, sf_dir):
     own = bars(spark, sf_dir)
-    hit = F.when(F.col("kind") == "bullish", F.col("bar_low") <= F.col("bottom")).otherwise(F.col("bar_high") >= F.col("top"))
-    return P.first_hit(P.gaps(own), own, hit, 100).select("instrument", "idx", "kind", *rounded("top", "bottom"), "hit_idx")
+    found = P.gaps(own)
+    return P.first_hit(found, own, *P.mitigation(found)).select("instrument", "idx", "kind", *rounded("top", "bottom"), "hit_idx")
 
 
 @query(
     "liq_sweep",
     f"""WITH {POOLS} SELECT g.instrument, g.idx, g.kind, round(g.price, 6) AS price, min(b.idx) AS hit_idx FROM (SELECT * FROM pools WHERE touches >= 2) g
-    LEFT JOIN bars b ON b.instrument = g.instrument AND b.idx > g.confirmed_idx AND b.idx <= g.confirmed_idx + 100 AND b.low <= g.price AND g.price <= b.high GROUP BY ALL""",
+    LEFT JOIN bars b ON b.instrument = g.instrument AND b.idx > g.confirmed_idx AND b.low <= g.price AND g.price <= b.high GROUP BY ALL""",
 )
 def liq_sweep(spark, sf_dir):
     own = bars(spark, sf_dir)
-    pools = P.liquidity(own, tolerance=2.0)
-    hit = (F.col("bar_low") <= F.col("price")) & (F.col("price") <= F.col("bar_high"))
-    return P.first_hit(pools, own, hit, 100).select("instrument", "idx", "kind", *rounded("price"), "hit_idx")
+    return P.first_hit(P.liquidity(own, tolerance=2.0), own, F.col("price"), F.col("price")).select("instrument", "idx", "kind", *rounded("price"), "hit_idx")
 
 
 PREV = f"lag(close) OVER {W}"

@@ -281,8 +281,11 @@ def mr_tf_direction(spark, sf_dir):
     return own.select("instrument", "idx", F.when(dev < -0.01, 1).when(dev > 0.01, -1).otherwise(0).alias("mean_reversion"), F.when(roc > 0.001, 1).when(roc < -0.001, -1).otherwise(0).alias("trend"))
 
 
-#: The SQL's own words, 12 of the 39 in ``MACRO_WORDS``: the SQL finds fewer texts relevant than the query.
-WORDS = "fed|ecb|rate|inflation|gdp|payroll|tariff|war|oil|gold|central bank|recession"
+#: The 39 words, as the SQL looks for them.
+WORDS = (
+    "fed|ecb|boj|boe|rate|inflation|cpi|gdp|employment|nfp|payroll|unemployment|tariff|trade war|sanction|recession|crash|crisis|war|oil|gold"
+    "|treasury|bond|yield|dollar|euro|yen|pound|stock market|wall street|s&p|nasdaq|dow|dax|nikkei|forex|currency|central bank|stimulus"
+)
 
 
 @query("macro_relevant", f"SELECT doc_id, coalesce(regexp_matches(lower(text), '{WORDS}'), false) AS relevant FROM documents")
