@@ -56,10 +56,18 @@ def risk_size(equity: Column, risk: Column, distance: Column, point_value: float
     return F.coalesce(F.when(size >= least, size), F.lit(0.0))
 
 
-def gamma_size(confidence: Column, gamma: float, largest: float, lot: float) -> Column:
-    """Lots from confidence to a power; null below one lot."""
-    size = floor_to(F.pow(confidence, F.lit(gamma)) * largest, lot)
-    return F.when(size >= lot - 1e-12, size)
+def gamma_size(proba: Column, threshold: float, gamma: float, full_at: float, available: Column, per_lot: Column, lot: float) -> Column:
+    """Lots on a ramp between the entry threshold and the probability ``full_at``, from which on all available margin is used.
+
+    The largest size is what the margin pays for, floored to lots; null below one lot or where there is no ramp.
+    """
+    largest = floor_to(F.when((available > 0) & (per_lot > 0), available / per_lot), lot)
+    if full_at > threshold:
+        ramp = floor_to(F.pow(F.greatest((proba - threshold) / (full_at - threshold), F.lit(0.0)), F.lit(gamma)) * largest, lot)
+    else:
+        ramp = F.lit(None).cast("double")
+    size = F.when(largest >= lot, F.when(proba >= full_at, largest).otherwise(ramp))
+    return F.when(size >= lot, size)
 
 
 def least_risk_size(risk: Column, distance: Column, point_value: float, lot: float) -> Column:
@@ -77,3 +85,10 @@ def currency_value(text: Column) -> Column:
 
 def banded(value: Column, high: float, medium: float) -> Column:
     return F.when(value >= high, "high").when(value >= medium, "medium").otherwise("low")
+
+
+def portfolio_vector(position: Column, unrealized: Column, held: Column, capital: Column, margin: Column, initial: float, horizon: int) -> dict[str, Column]:
+    """Seven features of a portfolio: position 0 flat, 1 long, 2 short as three flags, then profit, time, capital and margin as shares."""
+    flags = {n: (position == k).cast("double") for k, n in enumerate(("is_flat", "is_long", "is_short"))}
+    shares = {"pnl_norm": unrealized / initial, "time_norm": held / max(horizon, 1), "cap_norm": capital / initial, "margin_norm": margin / initial}
+    return {**flags, **shares}

@@ -35,7 +35,7 @@ def equity(trades: DataFrame, capital: float, group: str = "account") -> DataFra
     """``n``, ``equity`` after and ``before`` each trade of an account, in order of opening."""
     window = Window.partitionBy(group).orderBy(*ORDER)
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    gained = trades.withColumns({"n": F.row_number().over(window), "equity": F.sum("pnl").over(upto) + capital})
+    gained = trades.withColumns({"n": F.row_number().over(window), "equity": F.sum("pnl").over(upto) + F.lit(capital)})
     return gained.withColumn("before", F.col("equity") - F.col("pnl"))
 
 

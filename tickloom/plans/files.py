@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.plans.base import query, raw_bars, rounded, ticks
+from tickloom.plans.base import BARS, TICKS, query, raw_bars, rounded, ticks
 from tickloom.sources import readers as R
 from tickloom.sources.scratch import scratch_path
 
 OHLC = ("open", "high", "low", "close")
+#: What was written comes back: the bars without their instrument, tick counts as volume.
+WRITTEN = f"WITH {BARS} SELECT time, {', '.join(f'round({c}, 6) AS {c}' for c in OHLC)}, tick_count::DOUBLE AS volume FROM bars"
 
 
 def _csv(spark, df, label):
@@ -17,37 +19,58 @@ def _csv(spark, df, label):
     return path
 
 
-@query("csv_generic")
+@query("csv_generic", WRITTEN)
 def csv_generic(spark, sf_dir):
     own = raw_bars(spark, sf_dir).select(F.col("time").alias("Date"), *[F.col(c).alias(c[0].upper()) for c in OHLC], F.col("tick_count").alias("Vol"))
     return R.candles_csv(spark, _csv(spark, own, "generic")).select("time", *rounded(*OHLC), "volume")
 
 
-@query("csv_fxcm")
+@query("csv_fxcm", WRITTEN)
 def csv_fxcm(spark, sf_dir):
     own = raw_bars(spark, sf_dir).select(F.date_format("time", "MM/dd/yyyy HH:mm:ss.SSS").alias("DateTime"), *[F.col(c).alias(f"Bid{c.title()}") for c in OHLC], F.col("tick_count").alias("TickQty"))
     return R.bid_candles_csv(spark, _csv(spark, own, "bids")).select("time", *rounded(*OHLC), "volume")
 
 
-@query("csv_metatrader")
+@query("csv_metatrader", WRITTEN)
 def csv_metatrader(spark, sf_dir):
     own = raw_bars(spark, sf_dir).select(F.date_format("time", "yyyy.MM.dd").alias("Date"), F.date_format("time", "HH:mm:ss").alias("Time"), *[F.col(c).alias(c.title()) for c in OHLC], F.col("tick_count").alias("TickVol"))
     return R.terminal_csv(spark, _csv(spark, own, "terminal")).select("time", *rounded(*OHLC), "volume")
 
 
-@query("csv_dir_instrument")
+@query("csv_dir_instrument", f"WITH {BARS} SELECT CASE instrument WHEN 'view' THEN 'EUR/USD' ELSE upper(instrument) END AS instrument, time, {', '.join(f'round({c}, 6) AS {c}' for c in OHLC)} FROM bars")
 def csv_dir_instrument(spark, sf_dir):
-    own = raw_bars(spark, sf_dir).select("instrument", F.col("time"), *OHLC)
     path = scratch_path(spark, "stems")
-    own.write.partitionBy("instrument").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
-    read = R.directory_csv(spark, f"{path}/instrument=*")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "instrument=([^/]+)/", 1)
-    raw = spark.read.option("header", True).csv(f"{path}/instrument=*").select(folder.alias("instrument"), R.moment(F.col("time")).alias("time"), *[F.col(c).cast("double").alias(c) for c in OHLC])
-    assert read.columns == raw.columns
-    return raw.select("instrument", "time", *rounded(*OHLC))
+    raw_bars(spark, sf_dir).select("instrument", "time", *OHLC).write.partitionBy("instrument").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return R.directory_csv(spark, f"{path}/*", {"VIEW": "EUR/USD"}).select("instrument", "time", *rounded(*OHLC))
 
 
-@query("ticks_csv")
+@query("csv_weekly_gz", WRITTEN)
+def csv_weekly_gz(spark, sf_dir):
+    own = raw_bars(spark, sf_dir).select(F.date_format("time", "MM/dd/yyyy HH:mm:ss.SSS").alias("DateTime"), *[F.col(c).alias(f"Bid{c.title()}") for c in OHLC], F.col("tick_count").alias("TickQty"), F.weekofyear("time").alias("week"))
+    path = scratch_path(spark, "weeks")
+    own.write.partitionBy("week").option("header", True).option("compression", "gzip").csv(path)
+    return R.bid_candles_csv(spark, f"{path}/*").select("time", *rounded(*OHLC), "volume")
+
+
+@query("months_sink", f"WITH {BARS} SELECT instrument, strftime(time, '%Y-%m') AS month, time, round(close, 6) AS close, tick_count FROM bars")
+def months_sink(spark, sf_dir):
+    """Candles written by instrument and month, one month again, and read back as a folder."""
+    path, own = scratch_path(spark, "months"), raw_bars(spark, sf_dir).select("instrument", "time", *OHLC, "tick_count")
+    R.write_months(own.where(F.month("time") == 1).withColumn("close", F.lit(0.0)), path)
+    R.write_months(own, path)
+    return R.candles_dir(spark, path).select("instrument", "month", "time", *rounded("close"), "tick_count")
+
+
+@query("params_file", "SELECT * FROM (VALUES ('extractor', 'fast', 5.0, 3.0, 12.0), ('extractor', 'slow', 20.0, 15.0, 60.0), ('trade', 'stop', 1.5, 1.0, 3.0)) t(part, name, value, low, high)")
+def params_file(spark, sf_dir):
+    """A parameter file written with its ranges and read back, split into its inner and outer part."""
+    params = {"extractor": {"fast": (5.0, 3.0, 12.0), "slow": (20.0, 15.0, 60.0)}, "trade": {"stop": (1.5, 1.0, 3.0)}}
+    path = scratch_path(spark, "params")
+    R.write_params(spark, params, path)
+    return R.read_params(spark, path)
+
+
+@query("ticks_csv", f"WITH {TICKS} SELECT date_trunc('milliseconds', time) AS time, round(bid, 6) AS bid, round(ask, 6) AS ask FROM ticks")
 def ticks_csv(spark, sf_dir):
     own = ticks(spark, sf_dir).select(F.unix_millis(F.col("time").cast("timestamp")).cast("string").alias("timestamp"), F.col("bid").alias("bidPrice"), F.col("ask").alias("askPrice"))
     broken = spark.createDataFrame([("x", 1.0, 2.0), (None, 1.0, 1.0)], own.schema)

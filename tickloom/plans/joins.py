@@ -94,12 +94,12 @@ def dxy_proxy(spark, sf_dir):
     return rolled.select("time", *rounded("proxy"), *[F.round(F.when(enough, F.col(c)).otherwise(0.0), 6).alias(c) for c in ("mean_20", "vol_20")])
 
 
-@query(
-    "htf_trend",
-    f"""WITH {BREAKS.replace(bars_sql('bars', '1 hour'), bars_sql('bars', '4 hours'))}, small AS (SELECT instrument, time_bucket(INTERVAL '1 hour', time) AS time FROM ticks GROUP BY 1, 2),
+HTF_TREND_SQL = f"""WITH {BREAKS.replace(bars_sql('bars', '1 hour'), bars_sql('bars', '4 hours'))}, small AS (SELECT instrument, time_bucket(INTERVAL '1 hour', time) AS time FROM ticks GROUP BY 1, 2),
     r AS (SELECT instrument, time + INTERVAL '4 hours' AS time, arg_max(direction, rank) AS direction FROM breaks GROUP BY 1, 2)
-    SELECT s.instrument, s.time, coalesce(r.direction, 'undefined') AS htf_trend FROM small s ASOF LEFT JOIN r ON s.instrument = r.instrument AND s.time >= r.time""",
-)
+    SELECT s.instrument, s.time, coalesce(r.direction, 'undefined') AS htf_trend FROM small s ASOF LEFT JOIN r ON s.instrument = r.instrument AND s.time >= r.time"""
+
+
+@query("htf_trend", HTF_TREND_SQL)
 def htf_trend(spark, sf_dir):
     breaks = P.structure_breaks(bars(spark, sf_dir, "4 hours"))
     last = breaks.groupBy("instrument", "time").agg(F.max_by("direction", "rank").alias("htf_trend"))

@@ -9,10 +9,11 @@ from tickloom.functions import news as N
 from tickloom.operators import bars as B
 from tickloom.operators import patterns as P
 from tickloom.operators import windows as V
-from tickloom.operators.series import bounded
+from tickloom.operators.series import bounded, running
 from tickloom.plans.base import BARS, TICKS, TRADES, bars, bars_sql, query, raw_bars, rounded, table, ticks, trades
-from tickloom.plans.joins import NEWS, news
-from tickloom.plans.patterns import BREAKS, GAPS, W, frame
+from tickloom.plans.joins import HTF_TREND_SQL, NEWS, htf_trend, news
+from tickloom.plans.patterns import ATR, BLOCKS, BREAKS, DISPLACED, GAPS, W, frame
+from tickloom.sources.scratch import stored
 
 FROM, TO = "2024-01-05 00:00:00", "2024-01-12 00:00:00"
 BETWEEN = f"time >= TIMESTAMP '{FROM}' AND time < TIMESTAMP '{TO}'"
@@ -174,50 +175,77 @@ def trade_filter(spark, sf_dir):
     return bars(spark, sf_dir).select("instrument", "idx", allowed.alias("allowed"))
 
 
-FACTORS = f"""f AS (SELECT b.*, EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.idx BETWEEN b.idx - 9 AND b.idx) AS has_break,
+#: The factors known at a bar's close, as SQL: events at that bar, a break in the last ten, zone of the last swings, trend of the 4-hour bars.
+FACTORS = f"""{GAPS}, {ATR}, {DISPLACED}, {BLOCKS}, f AS (SELECT b.*, a.atr,
+      EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.idx BETWEEN b.idx - 9 AND b.idx) AS has_break,
       EXISTS (SELECT 1 FROM gaps g WHERE g.instrument = b.instrument AND g.confirmed_idx = b.idx) AS has_gap,
-      EXISTS (SELECT 1 FROM swings s WHERE s.instrument = b.instrument AND s.confirmed_idx = b.idx) AS has_swing,
-      (SELECT arg_max(k.direction, k.idx * 2 + k.rank) FROM breaks k WHERE k.instrument = b.instrument AND k.idx BETWEEN b.idx - 9 AND b.idx) AS direction FROM bars b)"""
-SCORE = "least(1.0::DOUBLE, CASE WHEN has_break THEN 0.4 ELSE 0 END + CASE WHEN has_gap THEN 0.35 ELSE 0 END + CASE WHEN has_swing THEN 0.3 ELSE 0 END + CASE WHEN hour(time) IN (0, 1, 2, 3, 7, 8, 9, 12, 13, 14, 15) THEN 0.15 ELSE 0 END)"
+      EXISTS (SELECT 1 FROM blocks o WHERE o.instrument = b.instrument AND o.confirmed_idx = b.idx) AS has_block,
+      EXISTS (SELECT 1 FROM disp d WHERE d.instrument = b.instrument AND d.idx = b.idx) AS has_displacement,
+      (SELECT arg_max(k.direction, k.idx * 2 + k.rank) FROM breaks k WHERE k.instrument = b.instrument AND k.idx BETWEEN b.idx - 9 AND b.idx) AS direction,
+      (SELECT arg_max(price, confirmed_idx) FROM swings s WHERE s.instrument = b.instrument AND s.kind = 'high' AND s.confirmed_idx <= b.idx) AS hi,
+      (SELECT arg_max(price, confirmed_idx) FROM swings s WHERE s.instrument = b.instrument AND s.kind = 'low' AND s.confirmed_idx <= b.idx) AS lo
+    FROM bars b JOIN atr a ON a.instrument = b.instrument AND a.idx = b.idx)"""
+SCORE = """least(1.0::DOUBLE, CASE WHEN has_gap THEN 0.15 ELSE 0 END + CASE WHEN has_block THEN 0.20 ELSE 0 END + CASE WHEN has_break THEN 0.25 ELSE 0 END + CASE WHEN has_displacement THEN 0.10 ELSE 0 END
+    + CASE WHEN hour(time) IN (0, 1, 2, 3, 7, 8, 9, 12, 13, 14, 15) THEN 0.15 ELSE 0 END + CASE WHEN hi IS NOT NULL AND lo IS NOT NULL AND close <> lo + (hi - lo) * 0.5 THEN 0.15 ELSE 0 END)"""
+#: Trend of the last closed 4-hour bar at each bar, and entries: a score of 0.4, the last break's direction, not against that trend.
+ENTRIES = f"""big AS ({HTF_TREND_SQL}), e AS (SELECT f.*, coalesce(atr, high - low) AS span FROM f JOIN big USING (instrument, time)
+    WHERE direction IS NOT NULL AND round({SCORE}, 9) >= 0.4 AND big.htf_trend IN ('undefined', direction) AND coalesce(atr, high - low) > 0)"""
+WEIGHTS = {"gap": 0.15, "block": 0.20, "break": 0.25, "displacement": 0.10, "killzone": 0.15, "zone": 0.15}
 
 
 def _scored(spark, sf_dir):
     """Bars with the factors known at their close and their confluence score."""
-    own = bars(spark, sf_dir)
+    own = stored(bars(spark, sf_dir), "bars")
     event = F.struct("idx", "rank", "direction")
     breaks = P.structure_breaks(own).groupBy("instrument", "idx").agg(F.array_sort(F.collect_list(event)).alias("found"))
-    gap = P.gaps(own).select("instrument", F.col("confirmed_idx").alias("idx"), F.lit(True).alias("has_gap")).distinct()
-    swing = P.swings(own).select("instrument", F.col("confirmed_idx").alias("idx"), F.lit(True).alias("has_swing")).distinct()
-    joined = own
-    for events in (breaks, gap, swing):
-        joined = joined.join(events, ["instrument", "idx"], "left")
-    recent = bounded(joined, lambda w: {"recent": F.flatten(F.collect_list("found").over(w.rowsBetween(-9, 0)))}, back=9)
-    there = {
+    swung = P.swings(own).groupBy("instrument", F.col("confirmed_idx").alias("idx")).agg(
+        F.max(F.when(F.col("kind") == "high", F.col("price"))).alias("swing_high"), F.max(F.when(F.col("kind") == "low", F.col("price"))).alias("swing_low")
+    )
+    joined = P.with_atr(own).join(breaks, ["instrument", "idx"], "left").join(swung, ["instrument", "idx"], "left")
+    for name, found in (("gap", P.gaps(own)), ("block", P.order_blocks(own)), ("displacement", P.displacements(own))):
+        there = found.select("instrument", F.col("confirmed_idx").alias("idx"), F.lit(True).alias(f"has_{name}")).distinct()
+        joined = joined.join(there, ["instrument", "idx"], "left")
+    last = running(joined, {"hi": ("last", F.col("swing_high")), "lo": ("last", F.col("swing_low"))})
+    recent = bounded(last, lambda w: {"recent": F.flatten(F.collect_list("found").over(w.rowsBetween(-9, 0)))}, back=9)
+    zone = M.price_zone(F.col("close"), F.col("lo"), F.col("hi"))
+    present = {
+        **{n: F.coalesce(f"has_{n}", F.lit(False)) for n in ("gap", "block", "displacement")},
         "break": F.size("recent") > 0,
-        "gap": F.coalesce("has_gap", F.lit(False)),
-        "swing": F.coalesce("has_swing", F.lit(False)),
         "killzone": M.killzone(F.hour("time")) != "none",
+        "zone": F.coalesce(F.col("hi").isNotNull() & F.col("lo").isNotNull() & zone.isin("premium", "discount"), F.lit(False)),
     }
-    score = M.confluence({"break": 0.4, "gap": 0.35, "swing": 0.3, "killzone": 0.15}, there)
+    score = M.confluence(WEIGHTS, {n: present[n] for n in WEIGHTS})
     return recent.withColumns({"score": score, "direction": F.try_element_at("recent", F.lit(-1))["direction"]})
 
 
-@query("confluence_score", f"WITH {BREAKS}, {GAPS}, {FACTORS} SELECT instrument, idx, round({SCORE}, 6) AS score FROM f")
+def _entries(spark, sf_dir, least=0.4):
+    """Bars that give an entry: score, direction of the last break, not against the trend of the 4-hour bars; ``span`` is their range."""
+    hit = _scored(spark, sf_dir).where(F.col("direction").isNotNull() & (F.round("score", 9) >= least))
+    span = F.coalesce("atr", F.col("high") - F.col("low"))
+    trend = htf_trend(spark, sf_dir)
+    with_trend = hit.withColumn("span", span).where("span > 0").join(trend, ["instrument", "time"])
+    return with_trend.where(F.col("htf_trend").isin("undefined") | (F.col("htf_trend") == F.col("direction")))
+
+
+@query("confluence_score", f"WITH {BREAKS}, {FACTORS} SELECT instrument, idx, round({SCORE}, 6) AS score FROM f")
 def confluence_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("instrument", "idx", *rounded("score"))
 
 
 @query(
     "entry_signals",
-    f"""WITH {BREAKS}, {GAPS}, {FACTORS} SELECT instrument, idx, direction, round(close, 6) AS price, round(CASE WHEN direction = 'bullish' THEN close - 1.5 * (high - low) ELSE close + 1.5 * (high - low) END, 6) AS stop,
-    round(CASE WHEN direction = 'bullish' THEN close + 3 * (high - low) ELSE close - 3 * (high - low) END, 6) AS target FROM f WHERE direction IS NOT NULL AND {SCORE} >= 0.5 AND high > low""",
+    f"""WITH {BREAKS}, {FACTORS}, {ENTRIES} SELECT instrument, idx, direction, round(close, 6) AS price, round(CASE WHEN direction = 'bullish' THEN close - 1.5 * span ELSE close + 1.5 * span END, 6) AS stop,
+    round(CASE WHEN direction = 'bullish' THEN close + 3 * span ELSE close - 3 * span END, 6) AS target FROM e""",
 )
 def entry_signals(spark, sf_dir):
-    hit = _scored(spark, sf_dir).where(F.col("direction").isNotNull() & (F.col("score") >= 0.5) & (F.col("high") > F.col("low")))
     sign = F.when(F.col("direction") == "bullish", 1).otherwise(-1)
-    span = F.col("high") - F.col("low")
-    return hit.select(
-        "instrument", "idx", "direction", F.round("close", 6).alias("price"), F.round(F.col("close") - sign * 1.5 * span, 6).alias("stop"), F.round(F.col("close") + sign * 3 * span, 6).alias("target")
+    return _entries(spark, sf_dir).select(
+        "instrument",
+        "idx",
+        "direction",
+        F.round("close", 6).alias("price"),
+        F.round(F.col("close") - sign * 1.5 * F.col("span"), 6).alias("stop"),
+        F.round(F.col("close") + sign * 3 * F.col("span"), 6).alias("target"),
     )
 
 
@@ -233,14 +261,18 @@ def position_size(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), risk.alias("risk"), F.round(size, 6).alias("size"))
 
 
+GAMMA = """CASE WHEN floor(money / 40.0 / 0.1 + 1e-9) * 0.1 < 0.1 THEN NULL WHEN proba >= 0.9 THEN floor(money / 40.0 / 0.1 + 1e-9) * 0.1
+    ELSE floor(pow(greatest((proba - 0.4) / 0.5, 0), 2.0) * (floor(money / 40.0 / 0.1 + 1e-9) * 0.1) / 0.1 + 1e-9) * 0.1 END"""
+
+
 @query(
     "gamma_size",
-    """WITH t AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 100.0::DOUBLE AS conf FROM orders) SELECT id, round(CASE WHEN floor(pow(conf, 2.0) * 2.0 / 0.1 + 1e-9) * 0.1 >= 0.1 - 1e-12 THEN floor(pow(conf, 2.0) * 2.0 / 0.1 + 1e-9) * 0.1 END, 6) AS size,
-    round(ceil(50 / ((1 + id % 30) * 10.0) / 0.1 - 1e-9) * 0.1, 6) AS least_size FROM t""",
+    f"""WITH t AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 100.0::DOUBLE AS proba, (o_orderkey % 37) * 7.0::DOUBLE AS money FROM orders), s AS (SELECT *, {GAMMA} AS raw FROM t)
+    SELECT id, CASE WHEN raw >= 0.1 THEN round(raw, 6) END AS size, round(ceil(50 / ((1 + id % 30) * 10.0) / 0.1 - 1e-9) * 0.1, 6) AS least_size FROM s""",
 )
 def gamma_size(spark, sf_dir):
     key = F.col("o_orderkey")
-    size = M.gamma_size((key % 101) / 100.0, 2.0, 2.0, 0.1)
+    size = M.gamma_size((key % 101) / 100.0, 0.4, 2.0, 0.9, (key % 37) * 7.0, F.lit(40.0), 0.1)
     least = M.least_risk_size(F.lit(50.0), (1 + key % 30).cast("double"), 10.0, 0.1)
     return table(spark, sf_dir, "orders").select(key.alias("id"), F.round(size, 6).alias("size"), F.round(least, 6).alias("least_size"))
 
@@ -343,21 +375,31 @@ def sentiment_majority(spark, sf_dir):
     return own.withColumn("majority", verdict)
 
 
-REPLY = "'ACTION: ' || CASE event_id % 5 WHEN 0 THEN 'pause' WHEN 1 THEN 'Tighten' WHEN 2 THEN 'trigger' WHEN 3 THEN 'unheard of' ELSE 'none' END"
+REPLIES = (
+    "ACTION: directional\nIMPACT_SCORE: {}\nINSTRUMENTS:\n  EUR/USD: bullish\n  NIKKEI225: bearish\n  XAU: Bullish\nREASONING: rate cut",
+    "ACTION: tighten_stops\nIMPACT_SCORE: {}\nREASONING: a: b",
+    "  ACTION: PAUSE \nIMPACT_SCORE: n/a\nSENTIMENT: Bearish",
+    "ACTION: trigger\nINSTRUMENTS:\n A: none\n A: bearish\n B: sideways\nREASONING:",
+    "",
+    "IMPACT_SCORE: {}\nINSTRUMENTS:\nEUR/USD: BULLISH\nIMPACT_SCORE: 0.3\nGBP: bearish",
+)
 
 
 @query(
     "parse_reply",
-    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'pause' WHEN 1 THEN 'tighten' WHEN 2 THEN 'trigger' ELSE 'none' END AS action, least((event_id % 13) / 10.0::DOUBLE, 1.0) AS score,
-    CASE WHEN event_id % 3 = 0 THEN 'bullish' WHEN event_id % 3 = 1 THEN 'bearish' ELSE 'neutral' END AS majority, 2::BIGINT AS n_votes FROM events""",
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'directional' WHEN 1 THEN 'tighten_stops' WHEN 2 THEN 'pause' ELSE 'none' END AS action,
+    CASE event_id % 6 WHEN 0 THEN (event_id % 13) / 10.0::DOUBLE WHEN 1 THEN (event_id % 13) / 10.0::DOUBLE WHEN 5 THEN 0.3::DOUBLE ELSE 0::DOUBLE END AS score,
+    CASE event_id % 6 WHEN 0 THEN 'bullish' WHEN 2 THEN 'bearish' WHEN 3 THEN 'bearish' WHEN 5 THEN 'bullish' ELSE 'neutral' END AS sentiment,
+    CASE event_id % 6 WHEN 0 THEN 'rate cut' WHEN 1 THEN 'a: b' ELSE '' END AS reasoning,
+    CASE event_id % 6 WHEN 0 THEN 'EUR/USD=bullish,NIKKEI225=bearish,XAU=bullish' WHEN 3 THEN 'A=bearish' WHEN 5 THEN 'EUR/USD=bullish' ELSE '' END AS sentiments FROM events""",
 )
 def parse_reply(spark, sf_dir):
     key = F.col("event_id")
-    action = F.when(key % 5 == 0, "pause").when(key % 5 == 1, "Tighten").when(key % 5 == 2, "trigger").when(key % 5 == 3, "unheard of").otherwise("none")
-    vote = F.when(key % 3 == 0, "bullish").when(key % 3 == 1, "bearish").otherwise("neutral")
-    text = F.concat(F.lit("ACTION: "), action, F.lit("\nIMPACT_SCORE: "), (key % 13 / 10.0).cast("string"), F.lit("\nINSTRUMENTS:\n- A: "), vote, F.lit("\n- B: neutral\nREASONING: none"))
+    score = (key % 13 / 10.0).cast("string")
+    text = F.replace(F.element_at(F.array(*[F.lit(r) for r in REPLIES]), (key % 6 + 1).cast("int")), F.lit("{}"), score)
     parsed = N.parse_reply(text)
-    return table(spark, sf_dir, "events").select("event_id", *[parsed[c].alias(c) for c in ("action", "score", "majority")], F.size(parsed["sentiments"]).cast("long").alias("n_votes"))
+    votes = F.array_join(F.transform(F.map_entries(parsed["sentiments"]), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return table(spark, sf_dir, "events").select("event_id", *[parsed[c].alias(c) for c in ("action", "score", "sentiment", "reasoning")], votes.alias("sentiments"))
 
 
 @query("impact_band", "SELECT event_id, CASE WHEN value / 100 >= 0.7 THEN 'high' WHEN value / 100 >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM events")
@@ -365,17 +407,18 @@ def impact_band(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", M.banded(F.col("value") / 100, 0.7, 0.4).alias("band"))
 
 
-CODES = "CASE k % 4 WHEN 0 THEN 'pause' WHEN 1 THEN 'tighten' WHEN 2 THEN 'trigger' ELSE 'none' END"
+CODES = "CASE k % 7 WHEN 0 THEN 'pause' WHEN 1 THEN 'tighten_stops' WHEN 2 THEN 'directional' WHEN 3 THEN 'directional' WHEN 4 THEN 'directional' ELSE 'none' END"
+STORED = ("pause", "tighten_stops", "directional", "trigger_entry", "close_opposing", "none", "unheard of")
 
 
 def _action(k):
-    return F.when(k % 4 == 0, "pause").when(k % 4 == 1, "tighten").when(k % 4 == 2, "trigger").otherwise("none")
+    return N.known_action(F.get(F.array(*[F.lit(n) for n in STORED]), (k % 7).cast("int")))
 
 
 @query("news_action", f"WITH n AS (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events) SELECT event_id, k, coalesce({CODES}, 'none') AS action FROM n")
 def news_action(spark, sf_dir):
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.coalesce(_action(k), F.lit("none")).alias("action"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), _action(k).alias("action"))
 
 
 @query(

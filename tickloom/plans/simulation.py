@@ -9,7 +9,7 @@ from tickloom.operators.asof import range_join
 from tickloom.operators.series import bounded, with_index
 from tickloom.plans.base import BARS, bars, query, rounded, ticks
 from tickloom.plans.patterns import BREAKS, GAPS, W
-from tickloom.plans.signals import FACTORS, SCORE, _scored, news_pause
+from tickloom.plans.signals import ENTRIES, FACTORS, _entries, _scored, news_pause
 
 
 def _rounded_trades(df):
@@ -72,7 +72,7 @@ def env_rollout(spark, sf_dir):
 
 @query(
     "backtest_fixed_exit",
-    f"""WITH {BREAKS}, {GAPS}, {FACTORS}, s AS (SELECT instrument, idx, direction, close AS entry, 1.5 * (high - low) AS d FROM f WHERE direction IS NOT NULL AND {SCORE} >= 0.5 AND high > low),
+    f"""WITH {BREAKS}, {FACTORS}, {ENTRIES}, s AS (SELECT instrument, idx, direction, close AS entry, 1.5 * span AS d FROM e),
     h AS (SELECT s.instrument, s.idx, min(CASE WHEN (direction = 'bullish' AND b.low <= entry - d) OR (direction = 'bearish' AND b.high >= entry + d) THEN b.idx END) AS stop_idx,
         min(CASE WHEN (direction = 'bullish' AND b.high >= entry + 2 * d) OR (direction = 'bearish' AND b.low <= entry - 2 * d) THEN b.idx END) AS target_idx, max(b.idx) AS last_idx, last(b.close ORDER BY b.idx) AS last_close
       FROM s JOIN bars b ON b.instrument = s.instrument AND b.idx BETWEEN s.idx + 1 AND s.idx + 24 GROUP BY 1, 2)
@@ -82,8 +82,7 @@ def env_rollout(spark, sf_dir):
     FROM s JOIN h USING (instrument, idx)""",
 )
 def backtest_fixed_exit(spark, sf_dir):
-    hit = _scored(spark, sf_dir).where(F.col("direction").isNotNull() & (F.col("score") >= 0.5) & (F.col("high") > F.col("low")))
-    entries = hit.select("instrument", "idx", "direction", F.col("close").alias("entry"), (1.5 * (F.col("high") - F.col("low"))).alias("d"))
+    entries = _entries(spark, sf_dir).select("instrument", "idx", "direction", F.col("close").alias("entry"), (1.5 * F.col("span")).alias("d"))
     path = bars(spark, sf_dir).select("instrument", F.col("idx").alias("j"), "high", "low", "close")
     met = range_join(entries, path, ["instrument"], "j", F.col("idx") + 1, F.col("idx") + 24, 24)
     up, entry, d = F.col("direction") == "bullish", F.col("entry"), F.col("d")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import market as M
 from tickloom.operators import stats as S
 from tickloom.operators.series import with_index
 from tickloom.plans.base import BARS, TICKS, TRADES, bars, query, rounded, table, ticks, trades
@@ -322,17 +323,11 @@ def symlog(spark, sf_dir):
 
 @query(
     "portfolio_features",
-    f"""WITH {CURVE} SELECT trade_id, CASE WHEN trade_id % 3 = 0 THEN 1 WHEN trade_id % 3 = 1 THEN -1 ELSE 0 END AS position, round(equity / 100000 - 1, 6) AS growth, round((peak - equity) / peak, 6) AS drawdown,
-    least(n, 100)::DOUBLE / 100 AS held, round(sign(pnl) * ln(1 + abs(pnl) / 1000), 6) AS last_pnl FROM d""",
+    f"""WITH {TRADES}, c AS (SELECT *, row_number() OVER w AS n, (100000 + sum(pnl::DECIMAL(18, 2)) OVER w)::DOUBLE AS capital FROM trades WINDOW w AS (PARTITION BY account ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING))
+    SELECT trade_id, (trade_id % 3 = 0)::INT::DOUBLE AS is_flat, (trade_id % 3 = 1)::INT::DOUBLE AS is_long, (trade_id % 3 = 2)::INT::DOUBLE AS is_short, round(pnl / 100000, 10) AS pnl_norm, round(n / 64.0::DOUBLE, 10) AS time_norm,
+      round(capital / 100000, 10) AS cap_norm, round(entry_price * 0.05 / 100000, 10) AS margin_norm FROM c""",
 )
 def portfolio_features(spark, sf_dir):
-    own = S.peaks(S.equity(trades(spark, sf_dir), 100_000.0), 100_000.0)
-    side = F.col("trade_id") % 3
-    return own.select(
-        "trade_id",
-        F.when(side == 0, 1).when(side == 1, -1).otherwise(0).alias("position"),
-        F.round(F.col("equity") / 100_000 - 1, 6).alias("growth"),
-        F.round((F.col("peak") - F.col("equity")) / F.col("peak"), 6).alias("drawdown"),
-        (F.least("n", F.lit(100)) / 100).alias("held"),
-        F.round(F.signum("pnl") * F.log1p(F.abs("pnl") / 1000), 6).alias("last_pnl"),
-    )
+    own = S.equity(trades(spark, sf_dir).withColumn("pnl", F.col("pnl").cast("decimal(18,2)")), 100_000.0)
+    features = M.portfolio_vector(F.col("trade_id") % 3, F.col("pnl").cast("double"), F.col("n").cast("double"), F.col("equity").cast("double"), F.col("entry_price") * 0.05, 100_000.0, 64)
+    return own.select("trade_id", *[(F.round(c, 10) if n.endswith("norm") else c).alias(n) for n, c in features.items()])

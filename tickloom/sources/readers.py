@@ -65,12 +65,17 @@ def terminal_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
-    """Candles of all CSV files of a folder; the file's stem is the instrument, renamed by ``names``."""
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?(?:\.gz)?$", 1)
+    """Candles of all CSV files of a folder; the file's stem is the instrument, renamed by ``names``.
+
+    Where Spark wrote the files, their stem is that of the folder around them, without ``column=``.
+    """
+    file = F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", "")
+    stem = F.regexp_extract(file, r"([^/=]+?)(?:\.csv)?(?:\.gz)?$", 1)
     df = _headers(spark.read.option("header", True).csv(path)).withColumn("stem", F.upper(stem))
     known = F.create_map(*[F.lit(x) for pair in (names or {}).items() for x in pair]) if names else None
     instrument = F.coalesce(F.try_element_at(known, F.col("stem")), F.col("stem")) if names else F.col("stem")
-    return df.select(instrument.alias("instrument"), moment(_named(df, TIME_NAMES)).alias("time"), *[F.col(n).try_cast("double").alias(n) for n in PRICE_NAMES])
+    prices = [_named(df, aliases).try_cast("double").alias(n) for n, aliases in PRICE_NAMES.items()]
+    return df.select(instrument.alias("instrument"), moment(_named(df, TIME_NAMES)).alias("time"), *prices)
 
 
 def quotes_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -98,3 +103,17 @@ def valid_candles(df: DataFrame) -> DataFrame:
     """Rows whose high and low bound open and close."""
     rules = [F.col("high") >= F.col("low"), F.col("high") >= F.greatest("open", "close"), F.col("low") <= F.least("open", "close")]
     return df.where(reduce(lambda a, b: a & b, rules))
+
+
+PARAMS = "part string, name string, value double, low double, high double"
+
+
+def write_params(spark: SparkSession, params: dict[str, dict[str, tuple[float, float, float]]], path: str) -> None:
+    """Named parameters by part, each with its value and range, as one JSON line each."""
+    rows = [(part, name, *values) for part, own in params.items() for name, values in own.items()]
+    spark.createDataFrame(rows, PARAMS).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_params(spark: SparkSession, path: str) -> DataFrame:
+    """Parameters of a file; those without a range have null bounds."""
+    return spark.read.schema(PARAMS).json(path)

@@ -18,10 +18,22 @@ from tickloom.operators.bars import candles
 from tickloom.sources.scratch import scratch_path
 
 
+def in_slices(df: DataFrame, at: str, slices: int, label: str) -> str:
+    """``df`` written as a folder of slices in order of time, the older ones first, as a feed would have left them."""
+    path = scratch_path(df.sparkSession, label)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    first, last = df.agg(F.min(micros), F.max(micros)).first()
+    width = (last - first) // slices + 1 if first is not None else 1
+    for number in range(slices if first is not None else 1):
+        part = df if first is None else df.where((micros >= first + number * width) & (micros < first + (number + 1) * width))
+        part.write.parquet(f"{path}/slice={number:04d}")
+    return path
+
+
 def tick_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """Event files as a stream of quotes; ``path`` is a folder or one file (a pattern, as the source takes no plain file)."""
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    """A folder of event files as a stream of quotes, oldest file first."""
+    schema = spark.read.option("recursiveFileLookup", True).parquet(path).schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).parquet(path)
     value = F.col("value")
     return events.select(
         F.col("event_type").alias("instrument"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), value.alias("mid"), (value - 0.25).alias("bid"), (value + 0.25).alias("ask")
@@ -74,13 +86,14 @@ def gap_events(bars: DataFrame) -> DataFrame:
                 elif high < low2:
                     out.append((key[0], stamp, "bearish", low2, high))
             held = [*held, (int(time.value // 1000), float(high), float(low))][-2:]
-        state.update(([list(map(float, h)) for h in held],))
+        state.update((held,))
         yield pd.DataFrame(out, columns=["instrument", "time", "kind", "top", "bottom"])
 
-    return bars.groupBy("instrument").applyInPandasWithState(find, GAP_SCHEMA, "held array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("instrument").applyInPandasWithState(find, GAP_SCHEMA, "held array<struct<at:long,high:double,low:double>>", "append", GroupStateTimeout.NoTimeout)
 
 
 LABEL_SCHEMA = "instrument string, seq long, buy_label int, sell_label int"
+PENDING = "pending array<struct<at:long,seq:long,bid:double,ask:double,buy:int,sell:int>>"
 
 
 def stream_labels(stream: DataFrame, stop: float, target: float, timeout_s: int) -> DataFrame:
@@ -91,7 +104,7 @@ def stream_labels(stream: DataFrame, stop: float, target: float, timeout_s: int)
     span = timeout_s * 1_000_000
 
     def label(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = [list(p) for p in state.get[0]] if state.exists else []
+        pending = [tuple(p) for p in state.get[0]] if state.exists else []
         rows = pd.concat([b for b in batches if len(b)]).sort_values(["time", "seq"])
         out = []
         for time, seq, bid, ask in zip(rows["time"], rows["seq"], rows["bid"], rows["ask"]):
@@ -100,20 +113,20 @@ def stream_labels(stream: DataFrame, stop: float, target: float, timeout_s: int)
                 at, number, p_bid, p_ask, buy, sell = p
                 late = now - at > span
                 if buy < -1:
-                    buy = 0.0 if bid <= p_ask - stop else 1.0 if bid >= p_ask + target else _drift(bid - p_ask) if late else buy
+                    buy = 0 if bid <= p_ask - stop else 1 if bid >= p_ask + target else _drift(bid - p_ask) if late else buy
                 if sell < -1:
-                    sell = 0.0 if ask >= p_bid + stop else 1.0 if ask <= p_bid - target else _drift(p_bid - ask) if late else sell
+                    sell = 0 if ask >= p_bid + stop else 1 if ask <= p_bid - target else _drift(p_bid - ask) if late else sell
                 if buy >= -1 and sell >= -1:
-                    out.append((key[0], int(number), int(buy), int(sell)))
+                    out.append((key[0], number, buy, sell))
                 else:
-                    left.append([at, number, p_bid, p_ask, buy, sell])
-            pending = [*left, [float(now), float(seq), float(bid), float(ask), -9.0, -9.0]]
-        state.update(([list(map(float, p)) for p in pending],))
+                    left.append((at, number, p_bid, p_ask, buy, sell))
+            pending = [*left, (int(now), int(seq), float(bid), float(ask), -9, -9)]
+        state.update((pending,))
         yield pd.DataFrame(out, columns=["instrument", "seq", "buy_label", "sell_label"])
 
-    return stream.groupBy("instrument").applyInPandasWithState(label, LABEL_SCHEMA, "pending array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("instrument").applyInPandasWithState(label, LABEL_SCHEMA, PENDING, "append", GroupStateTimeout.NoTimeout)
 
 
-def _drift(points: float) -> float:
+def _drift(points: float) -> int:
     points = round(points, 9)
-    return 1.0 if points > 0 else 0.0 if points < 0 else -1.0
+    return 1 if points > 0 else 0 if points < 0 else -1
