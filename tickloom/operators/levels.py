@@ -1,4 +1,9 @@
-"""Features from price levels that live for a while: nearest open gap, trend, recency of breaks, price zone."""
+"""Features from price levels that live for a while, on one timeframe, seen at rows of another.
+
+A timeframe's state after each of its bars: open gaps, order blocks and liquidity pools with the bars at which they
+begin and end, the last confirmed swings, trend, recency of breaks and displacements, mean range. Rows that look at it
+say which bar they see (``at_idx``) and from which price.
+"""
 
 from __future__ import annotations
 
@@ -8,46 +13,93 @@ from pyspark.sql import functions as F
 from tickloom.functions.market import price_zone
 from tickloom.operators import patterns as P
 from tickloom.operators.asof import range_join
-from tickloom.operators.series import bounded, running
+from tickloom.operators.series import bounded, last_n, running
+from tickloom.operators.touch import first_touch
+
+#: Bars over which the mean range of a timeframe is taken; fewer at its beginning.
+RANGE_BARS = 14
+
+
+def _directed(kind: str) -> F.Column:
+    return F.when(F.col(kind) == "bullish", 1.0).otherwise(-1.0)
 
 
-def open_gaps(bars: DataFrame, age: int) -> DataFrame:
-    """Gaps with ``dead``: the bar at which each is mitigated or too old."""
+def live_levels(bars: DataFrame, age: int, tolerance: float = 0.1) -> DataFrame:
+    """Levels as sort (gap, block, pool), middle, direction, level_idx, begins and ends (first bar at which it is gone).
+
+    A level is gone when it is more than ``age`` bars old; a gap also when it is mitigated, a pool when a bar, that of
+    its confirmation included, trades through its price.
+    """
     gaps = P.gaps(bars)
-    found = P.first_hit(gaps, bars, *P.mitigation(gaps))
-    return found.withColumn("dead", F.least(F.col("hit_idx"), F.col("idx") + age + 1))
-
-
-def level_features(bars: DataFrame, age: int, lookback: int) -> DataFrame:
-    """One row a bar, from what is known at its close."""
-    levels = open_gaps(bars, age).select("instrument", F.col("idx").alias("level_idx"), "kind", "top", "bottom", "confirmed_idx", "dead")
-    closes = bars.select("instrument", "idx", "close")
-    met = range_join(levels, closes, ["instrument"], "idx", F.col("confirmed_idx"), F.col("dead") - 1, age + 1)
-    distance = F.abs(F.col("close") - (F.col("top") + F.col("bottom")) / 2)
-    near = met.groupBy("instrument", "idx").agg(
-        F.count("*").alias("n_active"), F.min_by(F.struct(distance.alias("distance"), "kind"), F.struct(F.round(distance, 6), F.col("level_idx"))).alias("best")
+    gap = P.first_hit(gaps, bars, *P.mitigation(gaps)).select(
+        "instrument", F.lit("gap").alias("sort"), ((F.col("top") + F.col("bottom")) / 2).alias("middle"), _directed("kind").alias("direction"), F.col("idx").alias("level_idx"), F.col("confirmed_idx").alias("begins"), "hit_idx"
+    )
+    none = F.lit(None).cast("long")
+    block = P.order_blocks(bars).select(
+        "instrument", F.lit("block").alias("sort"), ((F.col("top") + F.col("bottom")) / 2).alias("middle"), _directed("kind").alias("direction"), F.col("idx").alias("level_idx"), F.col("confirmed_idx").alias("begins"), none.alias("hit_idx")
     )
+    asked = P.liquidity(bars, tolerance=tolerance).select("instrument", "price", "idx", "confirmed_idx", (F.col("confirmed_idx") - 1).alias("after"), F.col("price").alias("from"), F.col("price").alias("to"))
+    swept = first_touch(asked, bars.select("instrument", "idx", F.col("low").alias("lo"), F.col("high").alias("hi")))
+    pool = swept.select("instrument", F.lit("pool").alias("sort"), F.col("price").alias("middle"), F.lit(0.0).alias("direction"), F.col("idx").alias("level_idx"), F.col("confirmed_idx").alias("begins"), "hit_idx")
+    every = gap.unionByName(block).unionByName(pool)
+    return every.withColumn("ends", F.least("hit_idx", F.col("level_idx") + age + 1)).drop("hit_idx").where("ends > begins")
+
+
+def bar_state(bars: DataFrame, lookback: int) -> DataFrame:
+    """instrument, at_idx, mean_range, hi, lo, trend, and whether a break of either kind or a displacement is recent."""
     event = F.struct("rank", "direction", "kind")
     breaks = P.structure_breaks(bars).groupBy("instrument", "idx").agg(F.array_sort(F.collect_list(event)).alias("found"))
     swung = P.swings(bars).groupBy("instrument", F.col("confirmed_idx").alias("idx")).agg(
         F.max(F.when(F.col("kind") == "high", F.col("price"))).alias("swing_high"), F.max(F.when(F.col("kind") == "low", F.col("price"))).alias("swing_low")
     )
-    joined = bars.join(breaks, ["instrument", "idx"], "left").join(swung, ["instrument", "idx"], "left")
+    moved = P.displacements(bars).select("instrument", "idx", F.lit(1).alias("moved"))
+    joined = bars
+    for events in (breaks, swung, moved):
+        joined = joined.join(events, ["instrument", "idx"], "left")
     last = running(
         joined,
         {"hi": ("last", F.col("swing_high")), "lo": ("last", F.col("swing_low")), "trend": ("last", F.try_element_at("found", F.lit(-1))["direction"])},
     )
-    recent = bounded(last, lambda w: {"recent": F.flatten(F.collect_list("found").over(w.rowsBetween(-lookback, 0)))}, back=lookback)
-    ready = recent.join(near, ["instrument", "idx"], "left")
-    zone = F.when(F.col("hi").isNull() | F.col("lo").isNull(), "none").otherwise(price_zone(F.col("close"), F.col("lo"), F.col("hi")))
-    return ready.select(
+
+    def recent(w):
+        back = w.rowsBetween(-lookback, 0)
+        return {
+            "recent": F.flatten(F.collect_list("found").over(back)),
+            "displaced": F.coalesce(F.max("moved").over(back), F.lit(0)),
+            "mean_range": F.avg(F.col("high") - F.col("low")).over(last_n(w, RANGE_BARS)),
+        }
+
+    seen = bounded(last, recent, back=max(lookback, RANGE_BARS))
+    return seen.select(
         "instrument",
-        "idx",
-        F.coalesce("n_active", F.lit(0)).alias("n_active"),
-        F.coalesce(F.col("best.distance"), F.lit(0.0)).alias("gap_distance"),
-        F.coalesce(F.col("best.kind"), F.lit("none")).alias("gap_kind"),
-        F.coalesce("trend", F.lit("undefined")).alias("trend"),
-        F.exists("recent", lambda e: e["kind"] == "BOS").alias("bos_recent"),
-        F.exists("recent", lambda e: e["kind"] == "CHOCH").alias("choch_recent"),
-        zone.alias("zone"),
+        F.col("idx").alias("at_idx"),
+        "mean_range",
+        "hi",
+        "lo",
+        F.when(F.col("trend") == "bullish", 1.0).when(F.col("trend") == "bearish", -1.0).otherwise(0.0).alias("trend"),
+        F.exists("recent", lambda e: e["kind"] == "BOS").cast("double").alias("bos_recent"),
+        F.exists("recent", lambda e: e["kind"] == "CHOCH").cast("double").alias("choch_recent"),
+        F.col("displaced").cast("double").alias("displacement_recent"),
     )
+
+
+def level_features(views: DataFrame, bars: DataFrame, age: int, lookback: int, tolerance: float = 0.1) -> DataFrame:
+    """Ten features for each view (instrument, time, price, at_idx) of a timeframe's bars; all 0 where no bar is seen yet.
+
+    Distances are in mean ranges (in prices while that is 0); of levels as near as each other the older counts.
+    """
+    levels = live_levels(bars, age, tolerance)
+    met = range_join(levels, views.select("instrument", "time", "price", "at_idx"), ["instrument"], "at_idx", F.col("begins"), F.col("ends") - 1, age + 1)
+    distance = F.abs(F.col("price") - F.col("middle"))
+    order = F.struct(F.round(distance, 6), F.col("level_idx"))
+    sorts = {"fvg": "gap", "ob": "block", "liq": "pool"}
+    nearest = [F.min_by(F.when(F.col("sort") == s, F.struct(distance.alias("d"), "direction")), F.when(F.col("sort") == s, order)).alias(n) for n, s in sorts.items()]
+    near = met.groupBy("instrument", "time").agg(*nearest)
+    ready = views.join(bar_state(bars, lookback), ["instrument", "at_idx"], "left").join(near, ["instrument", "time"], "left")
+    span, zero = F.when(F.col("mean_range") > 0, F.col("mean_range")).otherwise(1.0), F.lit(0.0)
+    zone = price_zone(F.col("price"), F.col("lo"), F.col("hi"))
+    out = {f"{n}_distance": F.coalesce(F.col(n)["d"] / span, zero) for n in sorts}
+    out |= {f"{n}_direction": F.coalesce(F.col(n)["direction"], zero) for n in ("fvg", "ob")}
+    out |= {c: F.coalesce(c, zero) for c in ("bos_recent", "choch_recent", "trend", "displacement_recent")}
+    out["premium_discount"] = F.when(zone == "premium", 1.0).when(zone == "discount", -1.0).otherwise(0.0)
+    return ready.select("instrument", "time", *[c.alias(n) for n, c in out.items()])

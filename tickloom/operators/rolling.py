@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickloom.operators.patterns import true_range
 from tickloom.operators.series import bounded, full, last_n, running
 
 
@@ -84,9 +85,13 @@ def indicators(bars: DataFrame) -> DataFrame:
             "roc6": close / F.lag("close", 6).over(w) - 1,
             "range_ratio": full(F.avg(span).over(last_n(w, 6)) / F.nullif(F.avg(span).over(last_n(w, 30)), zero), 30),
             "upper_wick": F.coalesce((F.col("high") - F.greatest("open", "close")) / F.nullif(span, zero), zero),
+            "wicks": F.coalesce((span - F.abs(close - F.col("open"))) / F.nullif(span, zero), zero),
             "body": F.coalesce(F.abs(close - F.col("open")) / F.nullif(span, zero), zero),
+            "hour_sin": F.sin(day),
+            "hour_cos": F.cos(day),
         }
 
+    day = 2 * F.pi() * (F.hour("time") + F.minute("time") / 60) / 24
     moved = bounded(bars, lambda w: {"diff": F.col("close") - F.lag("close").over(w)}, back=1)
     return bounded(moved, columns, back=60)
 
@@ -104,19 +109,52 @@ def future_up(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return bounded(returns(bars), columns, ahead=max(horizons))
 
 
-def smoothed(bars: DataFrame, n: int) -> DataFrame:
-    """Recursive (1/n) smoothing of true range and moves: ATR and RSI. Sequential by nature, so one series is one task."""
+def recursive_mean(df: DataFrame, values: dict[str, Column], n: int, first: int = 0) -> DataFrame:
+    """Add x(t) = v(t) / n + (1 - 1 / n) x(t - 1) for each value, beginning with v at row ``first``.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        before = frame["close"].shift()
-        span = pd.concat([frame["high"] - frame["low"], (frame["high"] - before).abs(), (frame["low"] - before).abs()], axis=1).max(axis=1)
-        move = frame["close"].diff()
-        up, down = (x.clip(lower=0).ewm(alpha=1 / n, adjust=False).mean() for x in (move, -move))
-        out = frame[["instrument", "time", "idx"]].copy()
-        out["atr_rma"] = span.ewm(alpha=1 / n, adjust=False).mean().round(6)
-        out["rsi_rma"] = (100 * up / (up + down)).round(6)
-        return out
+    A chunk is as long as it takes the weight of a row to fall to 1e-8. Within it the recursion is a weighted running
+    sum; what the three chunks before carry over is joined in, and all older rows weigh less than a double can hold.
+    """
+    share, keep = 1 / n, 1 - 1 / n
+    rows = max(1, int(-8 / math.log10(keep)))
+    at = F.pmod(F.col("idx"), F.lit(rows))
+    weighed = {f"_v_{c}": F.when(F.col("idx") > first, v).when(F.col("idx") == first, v * n) * F.pow(F.lit(keep), -at.cast("double")) for c, v in values.items()}
+    chunked = df.withColumns({**weighed, "_part": F.floor(F.col("idx") / rows)})
+    upto = Window.partitionBy("instrument", "_part").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    local = chunked.withColumns({f"_s_{c}": F.sum(f"_v_{c}").over(upto) * share * F.pow(F.lit(keep), at.cast("double")) for c in values})
+    ends = local.groupBy("instrument", F.col("_part").alias("idx")).agg(*[F.max_by(f"_s_{c}", "idx").alias(c) for c in values])
+    whole = keep**rows
+
+    def carried(w: WindowSpec) -> dict[str, Column]:
+        return {f"_c_{c}": sum((F.coalesce(F.lag(c, k + 1).over(w), F.lit(0.0)) * whole**k for k in range(3)), F.lit(0.0)) for c in values}
+
+    carry = bounded(ends, carried, back=3).select("instrument", F.col("idx").alias("_part"), *[f"_c_{c}" for c in values])
+    joined = local.join(carry, ["instrument", "_part"])
+    out = {c: F.when(F.col("idx") >= first, F.coalesce(f"_s_{c}", F.lit(0.0)) + F.col(f"_c_{c}") * F.pow(F.lit(keep), at.cast("double") + 1)) for c in values}
+    return joined.withColumns(out).drop("_part", *[f"_{k}_{c}" for c in values for k in "vsc"])
+
+
+def smoothed(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Recursively smoothed indicators: ATR of n, 6 and 30 bars, RSI and ADX of n."""
+
+    def moves(w: WindowSpec) -> dict[str, Column]:
+        up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
+        diff, zero = F.col("close") - F.lag("close").over(w), F.lit(0.0)
+        return {
+            "_gain": F.when(diff > 0, diff).when(diff.isNotNull(), zero),
+            "_loss": F.when(diff < 0, -diff).when(diff.isNotNull(), zero),
+            "_plus": F.when((up > down) & (up > 0), up).when(up.isNotNull(), zero),
+            "_minus": F.when((down > up) & (down > 0), down).when(down.isNotNull(), zero),
+            "_tr": true_range(w),
+        }
 
-    kept = bars.select("instrument", "time", "idx", "high", "low", "close")
-    return kept.groupBy("instrument").applyInPandas(one, "instrument string, time timestamp_ntz, idx long, atr_rma double, rsi_rma double")
+    own = bounded(bars.select("instrument", "time", "idx", "high", "low", "close"), moves, back=1)
+    for length in (n, 6, 30):
+        own = recursive_mean(own, {f"atr{length}_rma": F.col("_tr")}, length)
+    own = recursive_mean(own, {f"_m{c}": F.col(c) for c in ("_gain", "_loss", "_plus", "_minus")}, n, 1)
+    total = F.col("_m_plus") + F.col("_m_minus")
+    crossed = own.withColumn("_dx", F.when(F.col("idx") >= 1, F.coalesce(100 * F.abs(F.col("_m_plus") - F.col("_m_minus")) / F.nullif(total, F.lit(0.0)), F.lit(0.0))))
+    out = recursive_mean(crossed, {"adx": F.col("_dx")}, n, 1)
+    rsi = 100 * F.col("_m_gain") / F.nullif(F.col("_m_gain") + F.col("_m_loss"), F.lit(0.0))
+    ratio = F.col("atr6_rma") / F.nullif(F.col("atr30_rma"), F.lit(0.0))
+    return out.select("instrument", "time", "idx", F.col(f"atr{n}_rma").alias("atr_rma"), "atr30_rma", ratio.alias("atr_ratio"), rsi.alias("rsi_rma"), "adx")

@@ -8,27 +8,37 @@ from pyspark.sql import functions as F
 ORDER = ("opened_at", "trade_id")
 
 
-def trade_metrics(trades: DataFrame, *group: str) -> DataFrame:
-    """Counts, win rate, profit factor (null without losers), and per-trade ratios annualised by the root of 252."""
+def trade_metrics(trades: DataFrame, *group: str, risk_free: float = 0.0, capital: float | None = None) -> DataFrame:
+    """Counts, win rate, profit factor (infinite without losers), and per-trade ratios annualised by the root of 252.
+
+    ``risk_free`` is a yearly amount taken off each trade's share of the year. With ``capital`` the trades' largest
+    drawdown and the Calmar ratio are added; trades are then put in order of opening within each group.
+    """
     pnl = F.col("pnl")
     won, lost = F.when(pnl > 0, pnl), F.when(pnl < 0, pnl)
     zero = F.lit(0.0)
     profit, loss = F.coalesce(F.sum(won), zero), F.coalesce(-F.sum(lost), zero)
     year = 252**0.5
-    sharpe = F.when(F.count("*") > 1, F.avg(pnl) / F.nullif(F.stddev_samp(pnl), zero) * year)
-    sortino = F.when(F.count(lost) > 1, F.avg(pnl) / F.nullif(F.stddev_samp(lost), zero) * year)
-    return trades.groupBy(*group).agg(
+    excess = F.avg(pnl) - risk_free / 252
+    sharpe = F.when(F.count("*") > 1, excess / F.nullif(F.stddev_samp(pnl), zero) * year)
+    sortino = F.when(F.count(lost) > 1, excess / F.nullif(F.stddev_samp(lost), zero) * year)
+    out = trades.groupBy(*group).agg(
         F.count("*").alias("n_trades"),
         (F.count(won) / F.count("*")).alias("win_rate"),
         profit.alias("gross_profit"),
         loss.alias("gross_loss"),
         F.sum(pnl).alias("total_pnl"),
-        F.when(loss > 0, profit / loss).alias("profit_factor"),
+        F.when(loss > 0, profit / loss).otherwise(F.lit(float("inf"))).alias("profit_factor"),
         F.coalesce(F.avg(won), zero).alias("avg_win"),
         F.coalesce(F.avg(lost), zero).alias("avg_loss"),
         F.coalesce(sharpe, zero).alias("sharpe"),
         F.coalesce(sortino, zero).alias("sortino"),
     )
+    if capital is None:
+        return out
+    falls = drawdown(trades.withColumn("_all", F.struct(*group)), capital, "_all").select("_all.*", "max_dd", "max_dd_pct")
+    calmar = F.coalesce(F.col("total_pnl") / F.col("n_trades") * 252 / F.nullif(F.abs("max_dd_pct"), zero), zero)
+    return out.join(falls, list(group)).withColumn("calmar", calmar)
 
 
 def equity(trades: DataFrame, capital: float, group: str = "account") -> DataFrame:
@@ -113,6 +123,14 @@ def two_sample(df: DataFrame, in_first: Column, value: str, bins: int = 4096) ->
     return counted.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(gap).alias("d"))
 
 
+def smirnov_p(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
+    """Asymptotic two-sided probability of a distance ``d`` between samples of these sizes."""
+    root = F.sqrt(n_a * n_b / (n_a + n_b))
+    scaled = (root + 0.12 + 0.11 / root) * d
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda acc, j: acc + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * scaled * scaled))
+    return F.when(d == 0, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+
+
 def autocorrelation(series: DataFrame, value: str, lags: int) -> DataFrame:
     """Biased autocorrelation at lags 1 to ``lags`` of each instrument; 0 for a constant series."""
     from tickloom.operators.series import bounded
@@ -135,3 +153,30 @@ def discounted(paths: DataFrame, group: list[str], step: str, value: str, gamma:
         return F.struct(total.alias("ahead"), F.concat(acc["out"], F.array(F.struct(s[step].alias(step), total.alias("value")))).alias("out"))
 
     return own.select(*group, F.inline(F.aggregate(F.reverse("_steps"), start, add, lambda acc: acc["out"])))
+
+
+def in_windows(trades: DataFrame, start: str, train: int, test: int, step: int) -> DataFrame:
+    """Each trade once for every walk-forward window it falls into, with ``window`` and ``phase`` (train or test).
+
+    Windows begin every ``step`` days from ``start`` on; the numbers of a trade's windows follow from its day, so no
+    table of windows is joined.
+    """
+    day = F.datediff(F.to_date("opened_at"), F.lit(start).cast("date"))
+    first = F.greatest(F.lit(0), F.ceil((day - (train + test) + 1) / step)).cast("int")
+    dated = trades.withColumn("_day", day).where("_day >= 0").withColumn("_last", F.floor(F.col("_day") / step).cast("int")).withColumn("_first", first)
+    spread = dated.where("_first <= _last").withColumn("window", F.explode(F.sequence(F.col("_first").cast("long"), F.col("_last").cast("long"))))
+    phase = F.when(F.col("_day") - F.col("window") * step < train, "train").otherwise("test")
+    return spread.withColumn("phase", phase).drop("_day", "_first", "_last")
+
+
+def walk_forward(trades: DataFrame, start: str, train: int, test: int, step: int, capital: float = 100_000.0, least_trades: int = 5) -> DataFrame:
+    """For each window the trial that scores best on its training part, with the metrics of its test part.
+
+    ``trades`` has trial, opened_at, trade_id and pnl. A trial of fewer than ``least_trades`` trades scores -10, others
+    profit over capital times Sharpe ratio times trades; ties go to the smaller trial.
+    """
+    metrics = trade_metrics(in_windows(trades, start, train, test, step), "window", "phase", "trial", capital=capital)
+    score = F.when(F.col("n_trades") < least_trades, -10.0).otherwise(F.col("total_pnl") / capital * F.col("sharpe") * F.col("n_trades"))
+    tried = metrics.where("phase = 'train'").withColumn("score", F.round(score, 6))
+    best = tried.groupBy("window").agg(F.max_by(F.struct("trial", "score", F.col("n_trades").alias("n_train")), F.struct("score", -F.col("trial"))).alias("b")).select("window", "b.*")
+    return best.join(metrics.where("phase = 'test'").drop("phase"), ["window", "trial"], "left")

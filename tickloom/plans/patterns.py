@@ -116,8 +116,9 @@ def order_blocks(spark, sf_dir):
     return P.order_blocks(bars(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
 
 
-POOLS = f"""{SWINGS}, lists AS (SELECT *, list(price) OVER (PARTITION BY instrument, kind ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS before FROM swings),
+POOL_LISTS = """lists AS (SELECT *, list(price) OVER (PARTITION BY instrument, kind ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS before FROM swings),
   pools AS (SELECT instrument, time, idx, confirmed_idx, kind, price, (1 + len(list_filter(coalesce(before, []), lambda p: abs(p - price) <= price * 2.0 / 100)))::BIGINT AS touches FROM lists)"""
+POOLS = f"{SWINGS}, {POOL_LISTS}"
 
 
 @query("liquidity", f"WITH {POOLS} SELECT instrument, time, idx, confirmed_idx, kind, round(price, 6) AS price, touches FROM pools WHERE touches >= 2")
@@ -268,20 +269,39 @@ def tick_features(spark, sf_dir):
     round(close / lag(close, 6) OVER {W} - 1, 6) AS roc6,
     round(CASE WHEN idx >= 29 THEN (avg(high - low) OVER {frame(6)}) / nullif(avg(high - low) OVER {frame(30)}, 0) END, 6) AS range_ratio,
     round(coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0), 6) AS upper_wick,
-    round(coalesce(abs(close - open) / nullif(high - low, 0), 0), 6) AS body FROM d""",
+    round(coalesce((high - greatest(open, close) + least(open, close) - low) / nullif(high - low, 0), 0), 6) AS wicks, round(coalesce(abs(close - open) / nullif(high - low, 0), 0), 6) AS body,
+    round(sin(2 * pi() * (hour(time) + minute(time) / 60.0) / 24), 6) AS hour_sin, round(cos(2 * pi() * (hour(time) + minute(time) / 60.0) / 24), 6) AS hour_cos FROM d""",
 )
 def m1_indicators(spark, sf_dir):
     from tickloom.operators.rolling import indicators
 
-    names = {"rsi_sma": 5, "z60": 6, "pct_b": 6, "roc6": 6, "range_ratio": 6, "upper_wick": 6, "body": 6}
+    names = {"rsi_sma": 5, "z60": 6, "pct_b": 6, "roc6": 6, "range_ratio": 6, "upper_wick": 6, "wicks": 6, "body": 6, "hour_sin": 6, "hour_cos": 6}
     return indicators(bars(spark, sf_dir)).select("instrument", "time", "idx", *[F.round(c, p).alias(c) for c, p in names.items()])
 
 
-@query("m1_rma")
+def _rma(value: str, before: str, n: int, first: int) -> str:
+    return f"CASE WHEN m.idx <= {first} THEN m.{value} ELSE {before} * ({n - 1}.0::DOUBLE / {n}) + m.{value} / {n} END AS {value}"
+
+
+_MOVES = f"""mv AS (SELECT *, high - lag(high) OVER {W} AS u, lag(low) OVER {W} - low AS d, close - {PREV} AS diff, coalesce({TR}, high - low) AS tr FROM bars),
+    m AS (SELECT instrument, time, idx, tr AS a14, tr AS a6, tr AS a30, greatest(diff, 0) AS gain, greatest(-diff, 0) AS loss, CASE WHEN u > d AND u > 0 THEN u WHEN u IS NOT NULL THEN 0 END AS plus,
+      CASE WHEN d > u AND d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS minus FROM mv)"""
+_CHAINS = {"a14": (14, 0), "a6": (6, 0), "a30": (30, 0), "gain": (14, 1), "loss": (14, 1), "plus": (14, 1), "minus": (14, 1)}
+
+
+@query(
+    "m1_rma",
+    f"""WITH RECURSIVE {BARS}, {_MOVES}, e AS (SELECT instrument, time, idx, {", ".join(f"m.{c}::DOUBLE AS {c}" for c in _CHAINS)} FROM m WHERE idx = 0
+      UNION ALL SELECT m.instrument, m.time, m.idx, {", ".join(_rma(c, f"e.{c}", n, first) for c, (n, first) in _CHAINS.items())} FROM e JOIN m ON m.instrument = e.instrument AND m.idx = e.idx + 1),
+    x AS (SELECT *, CASE WHEN idx >= 1 THEN coalesce(100 * abs(plus - minus) / nullif(plus + minus, 0), 0) END AS dx FROM e),
+    y AS (SELECT instrument, idx, dx AS adx FROM x WHERE idx = 1 UNION ALL SELECT x.instrument, x.idx, y.adx * (13.0::DOUBLE / 14) + x.dx / 14 FROM y JOIN x ON x.instrument = y.instrument AND x.idx = y.idx + 1)
+    SELECT x.instrument, x.time, x.idx, round(a14, 6) AS atr_rma, round(a30, 6) AS atr30_rma, round(a6 / nullif(a30, 0), 6) AS atr_ratio, round(100 * gain / nullif(gain + loss, 0), 5) AS rsi_rma, round(adx, 5) AS adx
+    FROM x LEFT JOIN y ON y.instrument = x.instrument AND y.idx = x.idx""",
+)
 def m1_rma(spark, sf_dir):
     from tickloom.operators.rolling import smoothed
 
-    return smoothed(bars(spark, sf_dir), 14)
+    return smoothed(bars(spark, sf_dir)).select("instrument", "time", "idx", *rounded("atr_rma", "atr30_rma", "atr_ratio"), *rounded("rsi_rma", "adx", places=5))
 
 
 @query(

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import market as M
+from tickloom.operators import bars as B
 from tickloom.operators import sim
-from tickloom.operators.asof import range_join
+from tickloom.operators.asof import asof_join, range_join
+from tickloom.operators.levels import level_features
 from tickloom.operators.series import bounded, with_index
-from tickloom.plans.base import BARS, bars, query, rounded, ticks
-from tickloom.plans.patterns import BREAKS, GAPS, W
+from tickloom.plans.base import BARS, bars, bars_sql, query, rounded, ticks
+from tickloom.plans.patterns import ATR, BLOCKS, BREAKS, DISPLACED, GAPS, POOL_LISTS, W, frame
 from tickloom.plans.signals import ENTRIES, FACTORS, _entries, _scored, news_pause
+from tickloom.sources.scratch import stored
 
 
 def _rounded_trades(df):
@@ -104,25 +108,55 @@ def backtest_fixed_exit(spark, sf_dir):
     )
 
 
-AGE = 100
+AGE, LOOKBACK, TOLERANCE = 100, 20, 2.0
+ICT = ("fvg_distance", "fvg_direction", "ob_distance", "ob_direction", "liq_distance", "bos_recent", "choch_recent", "trend", "displacement_recent", "premium_discount")
+
+
+def _ict_sql(width: str) -> str:
+    """Features of one timeframe at the close of each hourly bar."""
+    break_sql, sized = BREAKS, bars_sql("bars", width)
+    nearest = "first({what} ORDER BY round(abs(price - middle), 6), level_idx) FILTER (sort = '{sort}')"
+
+    def near(what, sort):
+        return nearest.format(what=what, sort=sort)
+
+    return f"""(WITH {break_sql.replace(bars_sql('bars', '1 hour'), sized)}, {GAPS}, {ATR}, {DISPLACED}, {BLOCKS}, {POOL_LISTS},
+      lv AS (SELECT g.instrument, 'gap' AS sort, (g.top + g.bottom) / 2 AS middle, CASE WHEN g.kind = 'bullish' THEN 1.0::DOUBLE ELSE -1.0 END AS direction, g.idx AS level_idx, g.confirmed_idx AS begins,
+          (SELECT min(b.idx) FROM bars b WHERE b.instrument = g.instrument AND b.idx > g.confirmed_idx AND CASE WHEN g.kind = 'bullish' THEN b.low <= g.bottom ELSE b.high >= g.top END) AS hit FROM gaps g
+        UNION ALL SELECT instrument, 'block', (top + bottom) / 2, CASE WHEN kind = 'bullish' THEN 1.0::DOUBLE ELSE -1.0 END, idx, confirmed_idx, NULL FROM blocks
+        UNION ALL SELECT p.instrument, 'pool', p.price, 0.0, p.idx, p.confirmed_idx, (SELECT min(b.idx) FROM bars b WHERE b.instrument = p.instrument AND b.idx >= p.confirmed_idx AND b.low <= p.price AND b.high >= p.price) FROM pools p WHERE touches >= 2),
+      alive AS (SELECT *, least(coalesce(hit, 1000000000), level_idx + {AGE + 1}) AS ends FROM lv),
+      st AS (SELECT b.instrument, b.idx, b.time, avg(b.high - b.low) OVER {frame(14)} AS span,
+          (SELECT arg_max(price, confirmed_idx) FROM swings s WHERE s.instrument = b.instrument AND s.kind = 'high' AND s.confirmed_idx <= b.idx) AS hi,
+          (SELECT arg_max(price, confirmed_idx) FROM swings s WHERE s.instrument = b.instrument AND s.kind = 'low' AND s.confirmed_idx <= b.idx) AS lo,
+          (SELECT arg_max(direction, k.idx * 2 + k.rank) FROM breaks k WHERE k.instrument = b.instrument AND k.idx <= b.idx) AS trend,
+          EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.kind = 'BOS' AND k.idx BETWEEN b.idx - {LOOKBACK} AND b.idx) AS bos,
+          EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.kind = 'CHOCH' AND k.idx BETWEEN b.idx - {LOOKBACK} AND b.idx) AS choch,
+          EXISTS (SELECT 1 FROM disp d WHERE d.instrument = b.instrument AND d.idx BETWEEN b.idx - {LOOKBACK} AND b.idx) AS moved FROM bars b),
+      vw AS (SELECT p.instrument, p.time, p.price, st.* EXCLUDE (instrument, time) FROM px p ASOF LEFT JOIN st ON st.instrument = p.instrument AND p.time + INTERVAL '1 hour' >= st.time + INTERVAL '{width}'),
+      nr AS (SELECT v.instrument, v.time, {near('abs(price - middle)', 'gap')} AS fd, {near('direction', 'gap')} AS fdir, {near('abs(price - middle)', 'block')} AS od, {near('direction', 'block')} AS odir, {near('abs(price - middle)', 'pool')} AS ld
+        FROM vw v JOIN alive l ON l.instrument = v.instrument AND v.idx >= l.begins AND v.idx < l.ends GROUP BY 1, 2)
+      SELECT v.instrument, v.time, coalesce(fd / coalesce(nullif(span, 0), 1), 0) AS fvg_distance, coalesce(fdir, 0) AS fvg_direction, coalesce(od / coalesce(nullif(span, 0), 1), 0) AS ob_distance, coalesce(odir, 0) AS ob_direction,
+        coalesce(ld / coalesce(nullif(span, 0), 1), 0) AS liq_distance, coalesce(bos, false)::INT::DOUBLE AS bos_recent, coalesce(choch, false)::INT::DOUBLE AS choch_recent,
+        CASE trend WHEN 'bullish' THEN 1.0::DOUBLE WHEN 'bearish' THEN -1.0 ELSE 0.0 END AS trend, coalesce(moved, false)::INT::DOUBLE AS displacement_recent,
+        CASE WHEN price > lo + (hi - lo) * 0.5 THEN 1.0::DOUBLE WHEN price < lo + (hi - lo) * 0.5 THEN -1.0 ELSE 0.0 END AS premium_discount FROM vw v LEFT JOIN nr ON nr.instrument = v.instrument AND nr.time = v.time)"""
 
 
 @query(
     "ict_features",
-    f"""WITH {BREAKS}, {GAPS}, lv AS (SELECT g.instrument, g.idx, g.kind, g.top, g.bottom, g.confirmed_idx, least(coalesce(min(b.idx), 1000000000), g.idx + {AGE + 1}) AS dead FROM gaps g
-      LEFT JOIN bars b ON b.instrument = g.instrument AND b.idx > g.confirmed_idx AND b.idx <= g.confirmed_idx + {AGE} AND CASE WHEN g.kind = 'bullish' THEN b.low <= g.bottom ELSE b.high >= g.top END GROUP BY g.instrument, g.idx, g.kind, g.top, g.bottom, g.confirmed_idx),
-    near AS (SELECT b.instrument, b.idx, count(*) AS n_active, round(first(abs(b.close - (l.top + l.bottom) / 2) ORDER BY round(abs(b.close - (l.top + l.bottom) / 2), 6), l.idx), 6) AS gap_distance,
-        first(l.kind ORDER BY round(abs(b.close - (l.top + l.bottom) / 2), 6), l.idx) AS gap_kind FROM bars b JOIN lv l ON l.instrument = b.instrument AND b.idx >= l.confirmed_idx AND b.idx < l.dead GROUP BY 1, 2),
-    lastswing AS (SELECT b.instrument, b.idx, (SELECT arg_max(price, confirmed_idx) FROM swings s WHERE s.instrument = b.instrument AND s.kind = 'high' AND s.confirmed_idx <= b.idx) AS hi,
-        (SELECT arg_max(price, confirmed_idx) FROM swings s WHERE s.instrument = b.instrument AND s.kind = 'low' AND s.confirmed_idx <= b.idx) AS lo, b.close FROM bars b),
-    trend AS (SELECT b.instrument, b.idx, (SELECT arg_max(direction, k.idx * 2 + k.rank) FROM breaks k WHERE k.instrument = b.instrument AND k.idx <= b.idx) AS trend,
-        EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.kind = 'BOS' AND k.idx BETWEEN b.idx - 20 AND b.idx) AS bos_recent, EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.kind = 'CHOCH' AND k.idx BETWEEN b.idx - 20 AND b.idx) AS choch_recent FROM bars b)
-    SELECT t.instrument, t.idx, coalesce(n.n_active, 0) AS n_active, coalesce(n.gap_distance, 0) AS gap_distance, coalesce(n.gap_kind, 'none') AS gap_kind, coalesce(t.trend, 'undefined') AS trend, t.bos_recent, t.choch_recent,
-      CASE WHEN hi IS NULL OR lo IS NULL THEN 'none' WHEN s.close > lo + (hi - lo) * 0.5 THEN 'premium' WHEN s.close < lo + (hi - lo) * 0.5 THEN 'discount' ELSE 'equilibrium' END AS zone
-    FROM trend t JOIN lastswing s USING (instrument, idx) LEFT JOIN near n USING (instrument, idx)""",
+    f"""WITH {BARS}, px AS (SELECT instrument, time, close AS price FROM bars), small AS {_ict_sql('1 hour')}, large AS {_ict_sql('4 hours')}
+    SELECT px.instrument, px.time, {", ".join(f"round({t}.{c}, 6) AS {t}_{c}" for t in ("small", "large") for c in ICT)}, (hour(px.time) < 4 OR hour(px.time) BETWEEN 7 AND 9 OR hour(px.time) BETWEEN 12 AND 15)::INT::DOUBLE AS killzone
+    FROM px JOIN small ON small.instrument = px.instrument AND small.time = px.time JOIN large ON large.instrument = px.instrument AND large.time = px.time""",
 )
 def ict_features(spark, sf_dir):
-    from tickloom.operators.levels import level_features
-
-    out = level_features(bars(spark, sf_dir), AGE, 20)
-    return out.withColumn("gap_distance", F.round("gap_distance", 6))
+    """Levels and structure of the hourly bars and of the last closed 4-hour bar, at each hourly close."""
+    own = stored(bars(spark, sf_dir), "bars")
+    prices = own.select("instrument", "time", F.col("close").alias("price"))
+    out = prices.select("instrument", "time", (M.killzone(F.hour("time")) != "none").cast("double").alias("killzone"))
+    wide = stored(with_index(B.roll_up(own.drop("idx"), "4 hours")), "wide-bars")
+    closed = wide.select("instrument", F.col("time") + F.expr("INTERVAL 4 HOURS") - F.expr("INTERVAL 1 HOUR"), F.col("idx").alias("at_idx")).toDF("instrument", "time", "at_idx")
+    views = {"small": own.select("instrument", "time", F.col("close").alias("price"), F.col("idx").alias("at_idx")), "large": asof_join(prices, closed, ["instrument"], ["at_idx"])}
+    for name, frame_bars in (("small", own), ("large", wide)):
+        found = level_features(views[name], frame_bars, AGE, LOOKBACK, TOLERANCE)
+        out = out.join(found.select("instrument", "time", *[F.round(c, 6).alias(f"{name}_{c}") for c in ICT]), ["instrument", "time"])
+    return out

@@ -17,7 +17,7 @@ R = "round({0}, 6) AS {0}"
 def _metrics_sql(group: str, source: str) -> str:
     return f"""SELECT {group}, count(*) AS n_trades, round(count(*) FILTER (pnl > 0) / count(*)::DOUBLE, 6) AS win_rate, round(coalesce(sum(pnl) FILTER (pnl > 0), 0), 2) AS gross_profit,
       round(coalesce(-sum(pnl) FILTER (pnl < 0), 0), 2) AS gross_loss, round(sum(pnl), 2) AS total_pnl,
-      round(CASE WHEN coalesce(-sum(pnl) FILTER (pnl < 0), 0) > 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) END, 6) AS profit_factor,
+      round(CASE WHEN coalesce(-sum(pnl) FILTER (pnl < 0), 0) > 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) ELSE 'inf'::DOUBLE END, 6) AS profit_factor,
       round(coalesce(avg(pnl) FILTER (pnl > 0), 0), 6) AS avg_win, round(coalesce(avg(pnl) FILTER (pnl < 0), 0), 6) AS avg_loss,
       round(coalesce(CASE WHEN count(*) > 1 THEN avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252) END, 0), 6) AS sharpe,
       round(coalesce(CASE WHEN count(*) FILTER (pnl < 0) > 1 THEN avg(pnl) / nullif(stddev_samp(pnl) FILTER (pnl < 0), 0) * sqrt(252) END, 0), 6) AS sortino
@@ -30,9 +30,21 @@ def _metrics(df, *group):
     return out.select(*group, "n_trades", *rounded(*plain), *rounded("gross_profit", "gross_loss", "total_pnl", places=2))
 
 
-@query("trade_metrics", f"WITH {TRADES} {_metrics_sql('account', 'trades')}")
+CURVE = f"""{TRADES}, c AS (SELECT *, row_number() OVER w AS n, 100000 + sum(pnl) OVER w AS equity, 100000 + coalesce(sum(pnl) OVER (PARTITION BY account ORDER BY opened_at, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM trades WINDOW w AS (PARTITION BY account ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING)),
+  d AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY account ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak FROM c)"""
+
+
+@query(
+    "trade_metrics",
+    f"""WITH {CURVE}, m AS ({_metrics_sql('account', 'trades')}), dd AS (SELECT account, arg_max((peak - equity) / peak, round(peak - equity, 2) * 1000000 - n) AS share FROM d GROUP BY 1),
+    x AS (SELECT account, avg(pnl) AS mean, CASE WHEN count(*) > 1 THEN (avg(pnl) - 25.2 / 252) / nullif(stddev_samp(pnl), 0) * sqrt(252) END AS sharpe_rf FROM trades GROUP BY 1)
+    SELECT m.*, round(coalesce(x.mean * 252 / nullif(abs(dd.share), 0), 0), 3) AS calmar, round(coalesce(sharpe_rf, 0), 6) AS sharpe_rf FROM m JOIN dd USING (account) JOIN x USING (account)""",
+)
 def trade_metrics(spark, sf_dir):
-    return _metrics(trades(spark, sf_dir), "account")
+    own = trades(spark, sf_dir)
+    with_falls = S.trade_metrics(own, "account", risk_free=25.2, capital=100_000.0)
+    return _metrics(own, "account").join(with_falls.select("account", F.round("calmar", 3).alias("calmar"), F.round("sharpe", 6).alias("sharpe_rf")), "account")
 
 
 @query("metrics_by_source", f"WITH {TRADES}, t AS (SELECT *, CASE WHEN source LIKE '5%' THEN 'ict' ELSE source END AS src FROM trades) {_metrics_sql('src', 't')}")
@@ -41,11 +53,6 @@ def metrics_by_source(spark, sf_dir):
     return _metrics(tagged, "src")
 
 
-CURVE = f"""{TRADES}, c AS (SELECT *, row_number() OVER w AS n, 100000 + sum(pnl) OVER w AS equity, 100000 + coalesce(sum(pnl) OVER (PARTITION BY account ORDER BY opened_at, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM trades WINDOW w AS (PARTITION BY account ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING)),
-  d AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY account ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak FROM c)"""
-
-
 @query("max_drawdown", f"WITH {CURVE} SELECT account, round(max(round(peak - equity, 2)), 2) AS max_dd, round(arg_max((peak - equity) / peak, round(peak - equity, 2) * 1000000 - n), 6) AS max_dd_pct FROM d GROUP BY 1")
 def max_drawdown(spark, sf_dir):
     return S.drawdown(trades(spark, sf_dir), 100_000.0).select("account", *rounded("max_dd", places=2), *rounded("max_dd_pct"))
@@ -68,14 +75,14 @@ MONTHS = f"""{TRADES}, m AS (SELECT strftime(opened_at, '%Y-%m') AS win, * FROM
 
 @query(
     "wf_aggregate",
-    f"WITH {MONTHS} SELECT count(*) AS n_windows, sum(n_trades)::BIGINT AS n_trades, round(avg(win_rate), 5) AS win_rate, round(avg(profit_factor), 5) AS profit_factor, round(avg(sharpe), 5) AS sharpe, count(*) FILTER (total_pnl > 0) AS profitable FROM wm",
+    f"WITH {MONTHS} SELECT count(*) AS n_windows, sum(n_trades)::BIGINT AS n_trades, round(avg(win_rate), 5) AS win_rate, round(avg(profit_factor) FILTER (NOT isinf(profit_factor)), 5) AS profit_factor, round(avg(sharpe), 5) AS sharpe, count(*) FILTER (total_pnl > 0) AS profitable FROM wm",
 )
 def wf_aggregate(spark, sf_dir):
     monthly = _metrics(trades(spark, sf_dir).withColumn("win", F.date_format("opened_at", "yyyy-MM")), "win")
     return monthly.agg(
         F.count("*").alias("n_windows"),
         F.sum("n_trades").alias("n_trades"),
-        *[F.round(F.avg(c), 5).alias(c) for c in ("win_rate", "profit_factor", "sharpe")],
+        *[F.round(F.avg(F.when(F.col(c) < float("inf"), F.col(c))), 5).alias(c) for c in ("win_rate", "profit_factor", "sharpe")],
         F.count_if(F.col("total_pnl") > 0).alias("profitable"),
     )
 
@@ -188,12 +195,14 @@ def hourly_vol(spark, sf_dir):
     """WITH a AS (SELECT value AS v FROM events WHERE event_type = 'view'), b AS (SELECT value AS v FROM events WHERE event_type = 'click'),
     u AS (SELECT v, 1.0 / (SELECT count(*) FROM a) AS fa, 0.0 AS fb FROM a UNION ALL SELECT v, 0.0, 1.0 / (SELECT count(*) FROM b) FROM b),
     s AS (SELECT v, count(*) FILTER (fa > 0) AS na, count(*) FILTER (fb > 0) AS nb FROM u GROUP BY v),
-    c AS (SELECT abs(sum(na) OVER o / (SELECT count(*) FROM a)::DOUBLE - sum(nb) OVER o / (SELECT count(*) FROM b)::DOUBLE) AS d FROM s WINDOW o AS (ORDER BY v ROWS UNBOUNDED PRECEDING))
-    SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, round(max(d), 6) AS d FROM c""",
+    c AS (SELECT abs(sum(na) OVER o / (SELECT count(*) FROM a)::DOUBLE - sum(nb) OVER o / (SELECT count(*) FROM b)::DOUBLE) AS d FROM s WINDOW o AS (ORDER BY v ROWS UNBOUNDED PRECEDING)),
+    k AS (SELECT (SELECT count(*) FROM a)::DOUBLE AS n_a, (SELECT count(*) FROM b)::DOUBLE AS n_b, max(d) AS d FROM c), l AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)) AS r FROM k)
+    SELECT n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 1 ELSE least(greatest((SELECT sum((CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0::DOUBLE * j * j * pow((r + 0.12 + 0.11 / r) * d, 2))) FROM range(1, 101) t(j)), 0), 1) END, 6) AS p FROM l""",
 )
 def ks_2samp(spark, sf_dir):
     own = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
-    return S.two_sample(own, F.col("event_type") == "view", "value").select("n_a", "n_b", F.round("d", 6).alias("d"))
+    both = S.two_sample(own, F.col("event_type") == "view", "value")
+    return both.withColumn("p", F.round(S.smirnov_p(F.col("d"), F.col("n_a"), F.col("n_b")), 6)).withColumn("d", F.round("d", 6)).select("n_a", "n_b", "d", "p")
 
 
 def _acf_sql(value: str) -> str:
@@ -331,3 +340,35 @@ def portfolio_features(spark, sf_dir):
     own = S.equity(trades(spark, sf_dir).withColumn("pnl", F.col("pnl").cast("decimal(18,2)")), 100_000.0)
     features = M.portfolio_vector(F.col("trade_id") % 3, F.col("pnl").cast("double"), F.col("n").cast("double"), F.col("equity").cast("double"), F.col("entry_price") * 0.05, 100_000.0, 64)
     return own.select("trade_id", *[(F.round(c, 10) if n.endswith("norm") else c).alias(n) for n, c in features.items()])
+
+
+WF_DAYS = ("1992-01-01", 360, 90, 90)
+
+
+@query(
+    "walk_forward",
+    f"""WITH {TRADES}, t AS (SELECT account % 16 AS trial, trade_id, opened_at, pnl, date_diff('day', DATE '1992-01-01', opened_at::DATE) AS day FROM trades),
+    w AS (SELECT k.k::BIGINT AS "window", CASE WHEN day - k.k * 90 < 360 THEN 'train' ELSE 'test' END AS phase, t.* FROM t, range(0, 40) k(k) WHERE day >= k.k * 90 AND day < k.k * 90 + 450),
+    m AS (SELECT "window", phase, trial, count(*) AS n, sum(pnl) AS total, avg(pnl) AS mean, stddev_samp(pnl) AS dev, count(*) FILTER (pnl > 0) AS won FROM w GROUP BY 1, 2, 3),
+    s AS (SELECT *, round(CASE WHEN n < 5 THEN -10 ELSE total / 100000 * coalesce(mean / nullif(dev, 0) * sqrt(252), 0) * n END, 6) AS score FROM m WHERE phase = 'train'),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY "window" ORDER BY score DESC, trial) = 1)
+    SELECT b."window", b.trial, round(b.score, 4) AS score, b.n AS n_train, m.n AS n_trades, round(m.won / m.n::DOUBLE, 6) AS win_rate, round(m.total, 2) AS total_pnl, round(CASE WHEN m.n IS NOT NULL THEN coalesce(m.mean / nullif(m.dev, 0) * sqrt(252), 0) END, 6) AS sharpe
+    FROM b LEFT JOIN m ON m."window" = b."window" AND m.trial = b.trial AND m.phase = 'test'""",
+)
+def walk_forward(spark, sf_dir):
+    """Accounts in sixteen groups as trials: in each window the best of the training year is held against the next quarter."""
+    own = trades(spark, sf_dir).withColumn("trial", F.col("account") % 16)
+    out = S.walk_forward(own, *WF_DAYS)
+    return out.select("window", "trial", F.round("score", 4).alias("score"), "n_train", "n_trades", *rounded("win_rate", "sharpe"), *rounded("total_pnl", places=2))
+
+
+@query(
+    "news_ablation",
+    f"""WITH {TRADES}, m AS (SELECT CASE WHEN source LIKE '1%' THEN 'news' ELSE 'rest' END AS kind, pnl FROM trades), a AS (SELECT 'with' AS arm, pnl FROM m UNION ALL SELECT 'without', pnl FROM m WHERE kind <> 'news')
+    SELECT arm, count(*) AS n_trades, round(sum(pnl), 2) AS total_pnl, round(count(*) FILTER (pnl > 0) / count(*)::DOUBLE, 6) AS win_rate FROM a GROUP BY 1""",
+)
+def news_ablation(spark, sf_dir):
+    """The metrics of all trades beside those of the trades that no news had set off."""
+    own = trades(spark, sf_dir)
+    arms = own.withColumn("arm", F.explode(F.when(F.col("source").startswith("1"), F.array(F.lit("with"))).otherwise(F.array(F.lit("with"), F.lit("without")))))
+    return S.trade_metrics(arms, "arm").select("arm", "n_trades", F.round("total_pnl", 2).alias("total_pnl"), *rounded("win_rate"))
