@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tickloom.operators.touch import first_touch
 
 
-@pytest.mark.parametrize("width", [3, 16])
+@pytest.mark.parametrize("width", [5, 64])
 def test_first_touch(spark, width):
     rng = random.Random(width)
     rows, queries = [], []
-    for name, n in (("a", 200), ("b", 37), ("c", 1)):
+    for name, n in (("a", 90), ("b", 17), ("c", 1)):
         for i in range(n):
             mid = rng.uniform(0, 100)
             rows.append((name, i, mid, mid + rng.uniform(0, 4)))
-        for _ in range(60):
+        for _ in range(40):
             low = rng.uniform(-10, 110)
             a, b = rng.choice([(float("-inf"), low), (low, float("inf")), (low, low), (low, low + 1)])
             queries.append((name, rng.randint(-1, n), a, b))

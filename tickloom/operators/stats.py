@@ -155,6 +155,16 @@ def discounted(paths: DataFrame, group: list[str], step: str, value: str, gamma:
     return own.select(*group, F.inline(F.aggregate(F.reverse("_steps"), start, add, lambda acc: acc["out"])))
 
 
+def trial_score(capital: float, least_trades: int, worst_share: float) -> Column:
+    """Profit over capital times Sharpe ratio times trades, from the columns of ``trade_metrics`` with a capital.
+
+    -10 for trials of too few trades, of a deeper drawdown than ``worst_share``, with a profit factor below 1 or a
+    negative Sharpe ratio.
+    """
+    bad = (F.col("n_trades") < least_trades) | (F.col("max_dd_pct") > worst_share) | (F.col("profit_factor") < 1) | (F.col("sharpe") < 0)
+    return F.when(bad, -10.0).otherwise(F.col("total_pnl") / capital * F.col("sharpe") * F.col("n_trades"))
+
+
 def in_windows(trades: DataFrame, start: str, train: int, test: int, step: int) -> DataFrame:
     """Each trade once for every walk-forward window it falls into, with ``window`` and ``phase`` (train or test).
 
@@ -169,14 +179,12 @@ def in_windows(trades: DataFrame, start: str, train: int, test: int, step: int)
     return spread.withColumn("phase", phase).drop("_day", "_first", "_last")
 
 
-def walk_forward(trades: DataFrame, start: str, train: int, test: int, step: int, capital: float = 100_000.0, least_trades: int = 5) -> DataFrame:
-    """For each window the trial that scores best on its training part, with the metrics of its test part.
+def walk_forward(trades: DataFrame, start: str, train: int, test: int, step: int, capital: float = 100_000.0, least_trades: int = 5, worst_share: float = 0.5) -> DataFrame:
+    """For each window the trial that scores best on its training part (``trial_score``), with the metrics of its test part.
 
-    ``trades`` has trial, opened_at, trade_id and pnl. A trial of fewer than ``least_trades`` trades scores -10, others
-    profit over capital times Sharpe ratio times trades; ties go to the smaller trial.
+    ``trades`` has trial, opened_at, trade_id and pnl; ties go to the smaller trial.
     """
     metrics = trade_metrics(in_windows(trades, start, train, test, step), "window", "phase", "trial", capital=capital)
-    score = F.when(F.col("n_trades") < least_trades, -10.0).otherwise(F.col("total_pnl") / capital * F.col("sharpe") * F.col("n_trades"))
-    tried = metrics.where("phase = 'train'").withColumn("score", F.round(score, 6))
+    tried = metrics.where("phase = 'train'").withColumn("score", F.round(trial_score(capital, least_trades, worst_share), 6))
     best = tried.groupBy("window").agg(F.max_by(F.struct("trial", "score", F.col("n_trades").alias("n_train")), F.struct("score", -F.col("trial"))).alias("b")).select("window", "b.*")
     return best.join(metrics.where("phase = 'test'").drop("phase"), ["window", "trial"], "left")

@@ -349,8 +349,11 @@ WF_DAYS = ("1992-01-01", 360, 90, 90)
     "walk_forward",
     f"""WITH {TRADES}, t AS (SELECT account % 16 AS trial, trade_id, opened_at, pnl, date_diff('day', DATE '1992-01-01', opened_at::DATE) AS day FROM trades),
     w AS (SELECT k.k::BIGINT AS "window", CASE WHEN day - k.k * 90 < 360 THEN 'train' ELSE 'test' END AS phase, t.* FROM t, range(0, 40) k(k) WHERE day >= k.k * 90 AND day < k.k * 90 + 450),
-    m AS (SELECT "window", phase, trial, count(*) AS n, sum(pnl) AS total, avg(pnl) AS mean, stddev_samp(pnl) AS dev, count(*) FILTER (pnl > 0) AS won FROM w GROUP BY 1, 2, 3),
-    s AS (SELECT *, round(CASE WHEN n < 5 THEN -10 ELSE total / 100000 * coalesce(mean / nullif(dev, 0) * sqrt(252), 0) * n END, 6) AS score FROM m WHERE phase = 'train'),
+    eq AS (SELECT *, 100000 + sum(pnl) OVER o AS equity, row_number() OVER o AS nth FROM w WINDOW o AS (PARTITION BY "window", phase, trial ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING)),
+    pk AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY "window", phase, trial ORDER BY nth ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
+    m AS (SELECT "window", phase, trial, count(*) AS n, sum(pnl) AS total, avg(pnl) AS mean, stddev_samp(pnl) AS dev, count(*) FILTER (pnl > 0) AS won, arg_max((peak - equity) / peak, round(peak - equity, 2) * 1000000 - nth) AS fall,
+      coalesce(sum(pnl) FILTER (pnl > 0), 0) < coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS losing FROM pk GROUP BY 1, 2, 3),
+    s AS (SELECT *, round(CASE WHEN n < 5 OR fall > 0.5 OR losing OR mean < 0 THEN -10 ELSE total / 100000 * coalesce(mean / nullif(dev, 0) * sqrt(252), 0) * n END, 6) AS score FROM m WHERE phase = 'train'),
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY "window" ORDER BY score DESC, trial) = 1)
     SELECT b."window", b.trial, round(b.score, 4) AS score, b.n AS n_train, m.n AS n_trades, round(m.won / m.n::DOUBLE, 6) AS win_rate, round(m.total, 2) AS total_pnl, round(CASE WHEN m.n IS NOT NULL THEN coalesce(m.mean / nullif(m.dev, 0) * sqrt(252), 0) END, 6) AS sharpe
     FROM b LEFT JOIN m ON m."window" = b."window" AND m.trial = b.trial AND m.phase = 'test'""",
