@@ -92,3 +92,14 @@ def portfolio_vector(position: Column, unrealized: Column, held: Column, capital
     flags = {n: (position == k).cast("double") for k, n in enumerate(("is_flat", "is_long", "is_short"))}
     shares = {"pnl_norm": unrealized / initial, "time_norm": held / max(horizon, 1), "cap_norm": capital / initial, "margin_norm": margin / initial}
     return {**flags, **shares}
+
+
+def improvement(old_sharpe: Column, new_sharpe: Column, old_fall: Column, new_fall: Column, least: float = 2.0, jump: float = 50.0, deeper: float = 5.0) -> tuple[Column, Column, Column]:
+    """Change of the Sharpe ratio and of the drawdown in percent, and the verdict on a changed strategy.
+
+    Too small a gain is insufficient, too large a one suspicious, and a drawdown deeper by more than ``deeper`` is refused.
+    """
+    change = F.round(F.when(old_sharpe != 0, (new_sharpe - old_sharpe) / F.abs(old_sharpe) * 100).otherwise(100.0), 4)
+    fall = F.round(new_fall - old_fall, 6)
+    verdict = F.when(change < least, "insufficient").when(change > jump, "suspicious").when(fall > deeper, "drawdown").otherwise("accepted")
+    return change, fall, verdict

@@ -328,18 +328,18 @@ def macro_relevant(spark, sf_dir):
 
 @query(
     "improvement_gate",
-    f"""WITH {TRADES}, h AS (SELECT account, avg(pnl) FILTER (trade_id % 2 = 0) / nullif(stddev_samp(pnl) FILTER (trade_id % 2 = 0), 0) AS old, avg(pnl) FILTER (trade_id % 2 = 1) / nullif(stddev_samp(pnl) FILTER (trade_id % 2 = 1), 0) AS new FROM trades GROUP BY 1)
-    SELECT account, round((new - old) / nullif(abs(old), 0), 6) AS change, CASE WHEN old IS NULL OR new IS NULL THEN 'insufficient' WHEN round((new - old) / nullif(abs(old), 0), 6) BETWEEN 0.05 AND 3 THEN 'accept' ELSE 'reject' END AS verdict FROM h""",
+    f"""WITH {TRADES}, t AS (SELECT *, trade_id % 2 AS half FROM trades), c AS (SELECT *, row_number() OVER w AS nth, 100000 + sum(pnl) OVER w AS equity FROM t WINDOW w AS (PARTITION BY account, half ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY account, half ORDER BY nth ROWS UNBOUNDED PRECEDING)) AS peak FROM c),
+    m AS (SELECT account, half, coalesce(CASE WHEN count(*) > 1 THEN avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252) END, 0) AS sharpe, 100 * arg_max((peak - equity) / peak, round(peak - equity, 2) * 1000000 - nth) AS fall FROM d GROUP BY 1, 2),
+    p AS (SELECT o.account, CASE WHEN o.sharpe <> 0 THEN round((n.sharpe - o.sharpe) / abs(o.sharpe) * 100, 4) ELSE 100 END AS change, round(n.fall - o.fall, 6) AS deeper FROM m o JOIN m n ON n.account = o.account WHERE o.half = 0 AND n.half = 1)
+    SELECT account, change, deeper, CASE WHEN change < 2 THEN 'insufficient' WHEN change > 200 THEN 'suspicious' WHEN deeper > 5 THEN 'drawdown' ELSE 'accepted' END AS verdict FROM p""",
 )
 def improvement_gate(spark, sf_dir):
-    def ratio(part):
-        pnl = F.when(F.col("trade_id") % 2 == part, F.col("pnl"))
-        return F.avg(pnl) / F.nullif(F.stddev_samp(pnl), F.lit(0.0))
-
-    both = trades(spark, sf_dir).groupBy("account").agg(ratio(0).alias("old"), ratio(1).alias("new"))
-    change = F.round((F.col("new") - F.col("old")) / F.nullif(F.abs("old"), F.lit(0.0)), 6)
-    missing = F.col("old").isNull() | F.col("new").isNull()
-    return both.select("account", change.alias("change"), F.when(missing, "insufficient").when(change.between(0.05, 3), "accept").otherwise("reject").alias("verdict"))
+    """The even trades of an account as the strategy before a change, the odd ones as that after it."""
+    halves = S.trade_metrics(trades(spark, sf_dir).withColumn("half", F.col("trade_id") % 2), "account", "half", capital=100_000.0)
+    sides = [halves.where(F.col("half") == k).select("account", F.col("sharpe").alias(f"{n}_sharpe"), (F.col("max_dd_pct") * 100).alias(f"{n}_fall")) for k, n in enumerate(("old", "new"))]
+    change, deeper, verdict = M.improvement(F.col("old_sharpe"), F.col("new_sharpe"), F.col("old_fall"), F.col("new_fall"), jump=200.0)
+    return sides[0].join(sides[1], "account").select("account", change.alias("change"), deeper.alias("deeper"), verdict.alias("verdict"))
 
 
 @query(
