@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def test_pipeline_is_its_stages(spark, folder):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = defaultdict(dict)
     for p in corpus_pipeline.run(spark, folder).collect():
-        got[p.doc_id, p.doc_tokens].setdefault(p.start, []).append(list(p.ids))
+        got[p.doc_id, p.doc_tokens].setdefault(p.start, []).append(np.frombuffer(p.ids, dtype="<u4").tolist())
     whole = [(key[0], [i for start in sorted(parts) for i in parts[start][k]]) for key, parts in got.items() for k in range(len(next(iter(parts.values()))))]
     texts = sorted(str((i, tokenizer.decode(ids[:-1], skip_special_tokens=False))) for i, ids in whole)
     assert all(ids[-1] == 0 for _, ids in whole)

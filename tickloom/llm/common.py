@@ -107,6 +107,19 @@ def split_join(left: DataFrame, right: DataFrame, key: str, spread: str | Column
     return dealt.join(repeated, [key, _SALT], how).drop(_SALT)
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def batches_of_documents(spark: SparkSession) -> None:
+    """Hand texts to Python workers 1,000 at a time, where the session has not chosen a number itself.
+
+    Spark's own 10,000 suits rows of numbers; as many documents, with their copies in Arrow and pandas, take hundreds of
+    megabytes in each worker.
+    """
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def fold(doc_id: Column) -> Column:
     """The hold-out fold of a document, 0 to 3; fold 2 is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(2))

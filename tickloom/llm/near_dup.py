@@ -38,7 +38,7 @@ RECALL = 0.9995
 HASHES = 128
 #: n-grams in one chunk of a cluster on average, and what a text weighs at least: memory of a unit of work.
 CHUNK_GRAMS, LEAST_WEIGHT = 400_000, 600
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 100_000
 SALTS = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

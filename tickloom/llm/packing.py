@@ -34,10 +34,12 @@ from tickloom.llm.bpe import byte_letters
 from tickloom.llm.common import materialise, text_or_empty
 
 WINDOW = 1024
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: A window with fewer free tokens than this is left so; a piece of fewer tokens is never cut off to fill one.
 LEAST_CUT = 4
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 60_000
+#: Pieces in one frame that a worker hands on.
+FRAME_ROWS = 1_000
 
 #: Fixed value: the splitting rule that a byte-level pre-tokenizer applies (use_regex).
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,6 +132,12 @@ def _cutter(path: str, window: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).ids
         number = itertools.count(TaskContext.get().partitionId() << 36)
+
+        def framed(out: dict[str, list]) -> pd.DataFrame:
+            frame = pd.DataFrame(out)
+            frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
+            return frame
+
         for batch in batches:
             out = defaultdict(list)
             for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
@@ -143,10 +151,11 @@ def _cutter(path: str, window: int, end_id: int, with_ids: bool):
                     out["ids_crc32"].append(zlib.crc32(piece))
                     out["doc_tokens"].append(len(ids) // 4)
                     out["ids"].append(piece if with_ids or end_at - at < window else None)
+                    if len(out["ids"]) == FRAME_ROWS:
+                        yield framed(out)
+                        out = defaultdict(list)
             if out:
-                frame = pd.DataFrame(out)
-                frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
-                yield frame
+                yield framed(out)
 
     return cut
 
@@ -229,17 +238,18 @@ def _packer(window: int, with_ids: bool):
 
 def _as_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        batch["ids"] = [np.frombuffer(ids, dtype="<i4") for ids in batch["ids"]]
-        yield batch
+        for at in range(0, len(batch), FRAME_ROWS):
+            part = batch.iloc[at : at + FRAME_ROWS]
+            yield part.assign(ids=[np.frombuffer(ids, dtype="<i4") for ids in part["ids"]])
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = 0, with_ids: bool = True, bucket_rows: int = BUCKET_ROWS
+    docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = 0, with_ids: bool = True, as_arrays: bool = True, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``window`` tokens.
 
-    Columns: doc_id, start, length, ids_crc32, doc_tokens, ids (array, unless ``with_ids`` is false),
-    sequence_id, offset. ``bucket_rows`` bounds how many remainders are packed together on average.
+    Columns: doc_id, start, length, ids_crc32, doc_tokens, ids (unless ``with_ids`` is false: an array, or without
+    ``as_arrays`` the ids as little-endian 32-bit numbers), sequence_id, offset. ``bucket_rows`` bounds how many remainders are packed together on average.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     pieces = materialise(texts.mapInPandas(_cutter(tokenizer_path, window, end_id, with_ids), PIECES), "pieces")
@@ -248,4 +258,6 @@ def pack_documents(
     whole = pieces.where(F.col("length") == window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("piece") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)))
     packed = whole.unionByName(dealt.groupBy("bucket").applyInPandas(_packer(window, with_ids), PLACED))
-    return packed.mapInPandas(_as_arrays, PLACED.replace("ids binary", "ids array<int>")) if with_ids else packed.drop("ids")
+    if not with_ids:
+        return packed.drop("ids")
+    return packed.mapInPandas(_as_arrays, PLACED.replace("ids binary", "ids array<int>")) if as_arrays else packed

@@ -110,8 +110,9 @@ class Model:
         ready[:, -WORD_BUCKETS:] *= WORD_WEIGHT if x.shape[1] > WORD_BUCKETS else 1
         return ready
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(features(texts)), -30, 30)))
+    def scores(self, texts: list[str], batch: int = 500) -> np.ndarray:
+        logits = [self.logits(features(texts[at : at + batch])) for at in range(0, len(texts), batch)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(logits), -30, 30)))
 
 
 def _forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
