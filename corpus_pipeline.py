@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import line_dedup, near_dup, packing, quality, secrets
-from tickloom.llm.common import discard, fold, materialise, table, temporary
+from tickloom.llm.common import batches_of_documents, discard, fold, materialise, table, temporary
 from tickloom.llm.queries import KEEP_SCORE
 
 
@@ -49,8 +49,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, with their ids, in sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of all documents, with their ids as 32-bit numbers, in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), as_arrays=False)
 
 
 STAGES = [
@@ -67,6 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
+    batches_of_documents(spark)
     docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES[:-1]):
         with temporary(spark):
