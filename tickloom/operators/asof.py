@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.series import KEYS
+
 
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], delay: str | None = None, block: str = "7 days"
@@ -42,3 +44,10 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str,
     placed = right.withColumn("_block", F.floor(F.col(at) / width).cast("long"))
     met = spread.join(placed, [*keys, "_block"]).where((F.col(at) >= F.col("_low")) & (F.col(at) <= F.col("_high")))
     return met.drop("_block", "_low", "_high")
+
+
+def zip_strict(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of two series joined by position; both have idx. The query fails where one series is longer than the other."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), [*keys, "idx"], "full")
+    place = F.when(F.col("_l") & F.col("_r"), F.col("idx")).otherwise(F.raise_error("series of different lengths"))
+    return both.withColumn("idx", place).drop("_l", "_r")

@@ -89,6 +89,14 @@ def median_of_best(params: DataFrame, group: list[str], score: str, tie: str, n:
     return kept.groupBy(*group).agg(F.median("value").alias("value"))
 
 
+def commonest_of_best(params: DataFrame, group: list[str], score: str, tie: str, n: int) -> DataFrame:
+    """The commonest value among the best ``n`` rows of each group; of values as common, that of the better row."""
+    best = Window.partitionBy(*group).orderBy(F.desc(score), tie)
+    kept = params.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= n)
+    counts = kept.groupBy(*group, "value").agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
+    return counts.groupBy(*group).agg(F.max_by("value", F.struct("_n", -F.col("_first"))).alias("value"))
+
+
 def normalization(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and population deviation of each column; a deviation under 1e-8 counts as 1. One pass over the data."""
     wide = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])

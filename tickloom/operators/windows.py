@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import bounded, running
@@ -54,6 +54,24 @@ def sequences(segmented: DataFrame, length: int, stride: int) -> DataFrame:
     return offsets.select("instrument", "segment", "offset", (F.col("first_idx") + F.col("offset")).alias("start_idx"))
 
 
+def draw_starts(segmented: DataFrame, length: int, n: int, seed: int = 0) -> DataFrame:
+    """``n`` starts of whole sequences, each as likely as any other; with replacement where there are fewer than ``n``.
+
+    Starts are ordered by a hash of their place and the seed, so a seed gives the same draw on any cluster; each task
+    keeps its first ``n`` only. Without any start an error is raised.
+    """
+    starts = sequences(segmented, length, 1)
+    sizes = segmented.groupBy("instrument", "segment").agg(F.count("*").alias("n")).where(F.col("n") >= length)
+    total = sizes.agg(F.sum(F.col("n") - length + 1)).first()[0] or 0
+    if total == 0:
+        raise ValueError(f"no segment has {length} rows")
+    if total >= n:
+        return starts.orderBy(F.md5(F.concat_ws(":", "instrument", "start_idx", F.lit(seed))), "instrument", "start_idx").limit(n)
+    numbered = starts.withColumn("_at", F.row_number().over(Window.orderBy("instrument", "start_idx")) - 1)
+    draw = F.conv(F.left(F.md5(F.concat_ws(":", "id", F.lit(seed))), F.lit(15)), 16, 10).cast("long")
+    return numbered.join(segmented.sparkSession.range(n).select((draw % total).alias("_at")), "_at").drop("_at")
+
+
 def chrono_split(df: DataFrame, share: float, purge: int = 0) -> DataFrame:
     """``part``: train, purge or validation by position in the series; the tail is validation."""
     counts = df.groupBy("instrument").agg(F.count("*").alias("_n"))

@@ -117,3 +117,8 @@ def write_params(spark: SparkSession, params: dict[str, dict[str, tuple[float, f
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     """Parameters of a file; those without a range have null bounds."""
     return spark.read.schema(PARAMS).json(path)
+
+
+def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], values: dict | None = None) -> DataFrame:
+    """A SQL text over frames, named in it as ``{name}``, with values as ``:name``; values are never part of the text."""
+    return spark.sql(text, args=values or {}, **tables)

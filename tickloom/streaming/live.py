@@ -67,31 +67,6 @@ def drained(stream: DataFrame, label: str, mode: str, keys: list[str] | None = N
     return latest.select("row.*")
 
 
-GAP_SCHEMA = "instrument string, time timestamp, kind string, top double, bottom double"
-
-
-def gap_events(bars: DataFrame) -> DataFrame:
-    """Fair value gaps of a stream of closed bars: two bars of state per instrument."""
-
-    def find(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in state.get[0]] if state.exists else []
-        rows = pd.concat([b for b in batches if len(b)]).sort_values("time")
-        out = []
-        for time, high, low in zip(rows["time"], rows["high"], rows["low"]):
-            if len(held) == 2:
-                (_, high2, low2), (before, _, _) = held
-                stamp = pd.Timestamp(before, unit="us", tz="UTC").tz_localize(None)
-                if low > high2:
-                    out.append((key[0], stamp, "bullish", low, high2))
-                elif high < low2:
-                    out.append((key[0], stamp, "bearish", low2, high))
-            held = [*held, (int(time.value // 1000), float(high), float(low))][-2:]
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["instrument", "time", "kind", "top", "bottom"])
-
-    return bars.groupBy("instrument").applyInPandasWithState(find, GAP_SCHEMA, "held array<struct<at:long,high:double,low:double>>", "append", GroupStateTimeout.NoTimeout)
-
-
 LABEL_SCHEMA = "instrument string, seq long, buy_label int, sell_label int"
 PENDING = "pending array<struct<at:long,seq:long,bid:double,ask:double,buy:int,sell:int>>"
 
