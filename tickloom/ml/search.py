@@ -40,6 +40,21 @@ def score_entry(model: PipelineModel, df: DataFrame, threshold: float) -> DataFr
     return scored.withColumns({"p_buy": buy, "p_sell": sell, "signal": signal}).drop("_p", "_features", "_probability", "rawPrediction", "prediction")
 
 
+def score_exit(model: PipelineModel, df: DataFrame, threshold: float) -> DataFrame:
+    """``p_close`` and ``close``: whether the likelihood that closing now is better reaches the threshold."""
+    scored = model.transform(df).withColumn("p_close", F.get(vector_to_array("probability"), F.lit(1)))
+    return scored.withColumn("close", F.col("p_close") >= threshold).drop("_features", "probability", "rawPrediction", "prediction")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """The model in a folder that the cluster shares; a model that is there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def importances(model: PipelineModel, columns: Sequence[str]) -> list[tuple[str, float]]:
     found = model.stages[-1].featureImportances.toArray()
     return sorted(zip(columns, map(float, found)), key=lambda x: -x[1])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tickloom.operators.asof import asof_join
 from tickloom.operators.rolling import scalping
 from tickloom.plans.base import bars, query, rounded
-from tickloom.plans.joins import _fixed, _rows, _target
+from tickloom.plans.joins import _fixed, _rows, _target, exit_dataset
+from tickloom.sources.scratch import scratch_path, stored
 
 COLUMNS = ("roc_fast", "roc_slow", "mean_rev_z", "atr", "body_ratio")
 
@@ -39,3 +40,15 @@ def param_search(spark, sf_dir):
     each = moves.crossJoin(F.broadcast(drawn))
     pnl = F.when(F.col("down") >= F.col("stop"), -F.col("stop")).when(F.col("up") >= F.col("target"), F.col("target")).otherwise(F.col("drift"))
     return each.groupBy("trial", "stop", "target").agg(F.round(F.sum(pnl), 6).alias("pnl"), F.count("*").alias("n"))
+
+
+@query("exit_model")
+def exit_model(spark, sf_dir):
+    """Every row of the exit set, scored by a model of the entries that are not held out, stored and loaded again."""
+    from tickloom.ml.search import load_model, save_model, score_exit, train_exit
+
+    own = stored(exit_dataset(spark, sf_dir).withColumn("held_out", F.col("entry_index") % 5 == 0), "exits")
+    path = scratch_path(spark, "exit-model")
+    save_model(train_exit(own.where(~F.col("held_out")), ["direction", "unrealized", "duration"], rounds=5, depth=3), path)
+    scored = score_exit(load_model(path), own, 0.5)
+    return scored.select("instrument", "entry_index", "row_index", "held_out", "label", "close", *rounded("p_close"))
