@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +35,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: The folders made in the innermost ``temporary`` of this thread; two runs at once do not see each other's.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def materialise(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, keep: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors.
 
-    Within ``temporary``, the folder goes when that ends, unless ``keep``.
+    Within ``temporary``, the folder goes when that ends, unless ``keep``. Each value of the columns ``by`` has a folder
+    of its own.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    df.write.parquet(path)
+    path, made = new_path(spark, label), _made.get()
+    if made is not None and not keep:
+        made.append(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,11 +62,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the tables materialised in it."""
     made: list[str] = []
-    _scopes.append(made)
+    outer = _made.set(made)
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _made.reset(outer)
         for folder in made:
             _delete(spark, folder)
 

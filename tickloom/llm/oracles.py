@@ -112,4 +112,28 @@ SECRETS = f"""WITH {_SECRETS},
   g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))}, {_LISTED} FILTER (rank < 3) AS base, {_LISTED} AS spans FROM spans GROUP BY doc_id)
 SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t.raw) AS blob_id FROM t LEFT JOIN g ON g.doc_id = t.doc_id"""
 
-ORACLES = {"op1_line_dedup": LINE_DEDUP, "op8_pii": PII, "op9_exact_dedup": EXACT_DEDUP, "op10_secrets": SECRETS}
+
+
+def _lloyd(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """The rounds of Lloyd's algorithm one after the other, vectors and centroids as one row a component."""
+    near = """d{r} AS MATERIALIZED (SELECT rid, c, sum((p.x - m.x) * (p.x - m.x))::BIGINT AS dist FROM p JOIN c{r} m USING (d) GROUP BY rid, c),
+  a{r} AS MATERIALIZED (SELECT rid, min(dist) AS dist, arg_min(c, dist * 64 + c) AS c FROM d{r} GROUP BY rid)"""
+    move = """s{r} AS MATERIALIZED (SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n FROM p JOIN a{r} USING (rid) GROUP BY c, d),
+  c{n} AS MATERIALIZED (SELECT c, d, coalesce((s - ((s % n) + n) % n) // n, m.x) AS x FROM c{r} m LEFT JOIN s{r} USING (c, d))"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, n=r + 1), near.format(r=r + 1)]
+    joined = ",\n  ".join(steps)
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+  p AS MATERIALIZED (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v),
+  f AS MATERIALIZED (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c FROM v QUALIFY c < {k}),
+  c0 AS MATERIALIZED (SELECT c, d, x FROM f JOIN p USING (rid)),
+  {joined},
+  t AS (SELECT c, sum(dist)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY c),
+  h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, dist AS distance, cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM t) AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN t USING (c) JOIN h USING (c)"""
+
+
+ORACLES = {"op13_centroids": _lloyd(), "op1_line_dedup": LINE_DEDUP, "op8_pii": PII, "op9_exact_dedup": EXACT_DEDUP, "op10_secrets": SECRETS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, language, line_dedup, near_dup, packing, pii, quality, secrets, vectors
+from tickloom.llm import bpe, exact_dedup, language, line_dedup, lloyd, near_dup, packing, pii, quality, secrets, vectors
 from tickloom.llm.common import fold, materialise, new_path, table
 from tickloom.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 
@@ -65,6 +65,10 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.ledger_digests(docs, ledger, counted)
 
 
+def centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_packing": packing_query,
@@ -76,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii_query,
     "op9_exact_dedup": exact_dedup_query,
     "op10_secrets": secrets_query,
+    "op13_centroids": centroids_query,
 }
