@@ -17,6 +17,9 @@ CONTRACTS = {
     "op7_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op8_pii": {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in ("email", "ip", "card", "phone")}, "base_sha256": "string", "spans": "string"},
     "op9_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op11_conversations": {"conv_id": "bigint", **{n: "bigint" for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}, "audit": "string", "repaired_sha256": "string"},
+    "op12_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op13_centroids": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
     "op10_secrets": {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in ("assign", "access", "hex")}, "base_sha256": "string", "spans": "string"},
 }
 
@@ -31,6 +34,10 @@ def test_columns_and_rows(spark, name):
         assert got.count() == docs
     elif name == "op2_packing":
         assert got.select("doc_id").distinct().count() == docs
+    elif "conv_id" in CONTRACTS[name]:
+        assert got.count() == spark.read.parquet(f"{BASE}/conversations.parquet").select("conv_id").distinct().count()
+    elif name == "op13_centroids":
+        assert got.count() == spark.read.parquet(f"{BASE}/embeddings.parquet").count()
     else:
         assert got.count() == 20 * spark.read.parquet(f"{BASE}/embeddings.parquet").where("vec_id % 20 = 0").count()
 
@@ -38,7 +45,8 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{BASE}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{BASE}/{table}.parquet')")
     got, want = QUERIES[name](spark, BASE).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)

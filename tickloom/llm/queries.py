@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, language, line_dedup, lloyd, near_dup, packing, pii, quality, secrets, vectors
+from tickloom.llm import bpe, conversations, exact_dedup, language, line_dedup, lloyd, near_dup, packing, pii, quality, secrets, simhash, vectors
 from tickloom.llm.common import fold, materialise, new_path, table
 from tickloom.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 
@@ -65,6 +65,14 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.ledger_digests(docs, ledger, counted)
 
 
+def conversations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
 def centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -80,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii_query,
     "op9_exact_dedup": exact_dedup_query,
     "op10_secrets": secrets_query,
+    "op11_conversations": conversations_query,
+    "op12_simhash": simhash_query,
     "op13_centroids": centroids_query,
 }
