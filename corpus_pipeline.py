@@ -6,7 +6,9 @@ what a stage wrote on its way is removed with the result before it. The last sta
 their token ids.
 
 Defined cases are those of the operators: a null text is scored as the empty one, rows that repeat are copies,
-null ids are rows of their own, other columns stay, an empty table gives no pieces. Where a stage changes
+null ids are rows of their own, other columns stay, an empty table gives no pieces; very long texts are read whole; of
+near copies the smallest id stays, and of rows that tie for it one; without a document labelled good the first stage
+keeps every document, and where all are labelled they are also its unlabelled texts. Where a stage changes
 texts, ``n_chars`` is counted again.
 """
 

@@ -124,7 +124,7 @@ def batches_of_documents(spark: SparkSession) -> None:
 
 
 def fold(doc_id: Column) -> Column:
-    """The hold-out fold of a document, 0 to 3; fold 2 is never learned from."""
+    """The hold-out fold of a document, 0 to 3; fold 2 is never learned from, and a null id is in it."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(2))
 
 

@@ -5,8 +5,9 @@ k(x, y) = |G(x) and G(y)| / sqrt(|G(x)| |G(y)|). Landmark texts give a Nystroem
 per language is fitted on it; whole texts are scored batch by batch as one matrix product with the
 landmarks. n-grams are hashed to ``BUCKETS`` presence bits.
 
-The fit uses a bounded sample of labelled rows: about ``PER_LANGUAGE`` of each of the ``MAX_LANGUAGES`` most frequent
-languages, chosen by a hash of id and text, so it does not grow with the corpus; every text is scored whole.
+The fit uses a bounded sample of labelled rows: about ``PER_LANGUAGE`` of each language, chosen by a hash of id and text,
+so it does not grow with the corpus; every text is scored whole. Every language is learned, and a table with more than
+``MAX_LANGUAGES`` of them, a parameter, is an error: no language is left out in silence.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from,
 every text is; repeated rows are scored once each; of languages that tie the first by name is taken; the
@@ -102,10 +103,12 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     return model
 
 
-def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
+def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], list[str]]:
     """Texts and languages of a bounded sample: about ``per_language`` rows of each language by hash of the id."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    common = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(common) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages")
     if not common:
         return [], []
     scale, own = 1 << 30, F.xxhash64("doc_id", "text")
@@ -115,10 +118,10 @@ def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGU
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 
-def identify(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """doc_id, lang_pred and score of every whole text; ``usable`` marks the rows whose ``lang`` may be learned from."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(*training_rows(docs, usable, per_language)))
+    shared = spark.sparkContext.broadcast(fit(*training_rows(docs, usable, per_language, max_languages)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value

@@ -10,8 +10,8 @@ Lines and rows are told apart by 128-bit hashes. The candidates and the spread l
 they are few (``FEW_LINES``, counted) they are sent to all tasks and no line moves, otherwise lines are joined
 by hash and those of a frequent line are dealt over as many salts as its count asks for.
 
-Defined cases: a null text stays null; a null source is no site; lines without a visible character are
-never removed; repeated rows count as occurrences of the same place; of several first places (ties) the
+Defined cases: a null text stays null; a null source is no site; lines of ASCII white space alone (spaces, tabs,
+returns and the like) are never removed; repeated rows count as occurrences of the same place; of several first places (ties) the
 smallest id and position stays, null document ids sort first; very long texts and lines are read whole;
 other columns pass through, and where the table has a column ``n_lines`` or ``n_removed`` of its own, it stays
 and the added one is called ``line_dedup_n_lines`` or ``line_dedup_n_removed``; an empty table stays empty.
@@ -31,6 +31,7 @@ SKETCH_BITS = 10
 FEW_LINES = 200_000
 #: Working columns, named so that a table's own columns do not clash with them.
 OWN_KEY, OWN_GONE = "__line_row_key", "__line_gone"
+VISIBLE = r"[^\x20\x09-\x0D]"
 
 
 def _hash128(*columns: Column | str) -> Column:
@@ -46,7 +47,7 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     """One row for each visible line: row key, site, place and hash."""
     numbered = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     lines = docs.where(F.col("text").isNotNull()).select("doc_id", _row_key(site).alias("row_key"), F.col(site).alias("site"), numbered)
-    return lines.where(F.length(F.trim("line")) > 0).select("doc_id", "row_key", "site", "pos", _hash128("line").alias("line_hash"))
+    return lines.where(F.col("line").rlike(VISIBLE)).select("doc_id", "row_key", "site", "pos", _hash128("line").alias("line_hash"))
 
 
 def _of_lines(lines: DataFrame, some: DataFrame) -> DataFrame:

@@ -39,7 +39,6 @@ HASHES = 128
 #: n-grams in one chunk of a cluster on average, and what a text weighs at least: memory of a unit of work.
 CHUNK_GRAMS, LEAST_WEIGHT = 400_000, 600
 MEMO_ENTRIES = 100_000
-SALTS = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,10 +202,10 @@ def _members(texts: DataFrame) -> DataFrame:
 def _bucket_edges(texts: DataFrame) -> DataFrame:
     """Star edges (a, b) with their bucket: each text to the smallest text in each bucket of two or more."""
     members = _members(texts)
-    stars = members.groupBy("bucket").agg(F.min("uid").alias("b"), F.max("uid").alias("top")).where("b < top").select("bucket", "b")
-    salted = stars.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = members.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["bucket", "salt"]).select(F.col("uid").alias("a"), "b", "bucket")
+    sized = members.groupBy("bucket").agg(F.min("uid").alias("b"), F.max("uid").alias("top"), F.count("*").alias("n"))
+    stars = materialise(sized.where("b < top").select("bucket", "b", "n"), "buckets")
+    met = split_join(members, stars.select("bucket", "b"), "bucket", "uid", counts=stars.select("bucket", "n"))
+    return met.select(F.col("uid").alias("a"), "b", "bucket")
 
 
 def _units(clusters: DataFrame, texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -222,11 +221,12 @@ def _units(clusters: DataFrame, texts: DataFrame, edges: DataFrame) -> tuple[Dat
     dealt = split_join(homed, crowd, "home", "uid").withColumn("chunk", F.xxhash64("home", F.pmod(F.xxhash64("uid"), F.col("parts"))))
     chunked = materialise(dealt.select("uid", "rep", "key", "cluster", "chunk"), "chunked")
     present = edges.select(F.col("a").alias("uid"), "bucket").join(chunked.select("uid", "chunk"), "uid").select("bucket", "chunk").distinct()
+    present = materialise(present, "present")
     other = present.select("bucket", F.col("chunk").alias("other"))
-    met = present.join(other, "bucket").select(F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).distinct()
+    met = split_join(present, other, "bucket", "chunk").select(F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).distinct()
     both = met.withColumn("chunk", F.explode(F.array_distinct(F.array("low", "high"))))
     many = split_join(chunked, both, "chunk", "uid")
-    return one.unionByName(many.select(*one.columns)), [weighed, homed, chunked]
+    return one.unionByName(many.select(*one.columns)), [weighed, homed, chunked, present]
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 LINE_DEDUP = f"""WITH s AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS a FROM documents),
   l AS (SELECT doc_id, source, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS pos FROM s WHERE text IS NOT NULL),
-  spread AS (SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
+  spread AS (SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM l WHERE length(translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0 GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
   m AS (SELECT l.*, spread.line IS NOT NULL AND (first.d <> doc_id OR first.p <> pos) AS gone FROM l LEFT JOIN spread ON spread.line = l.line),
   r AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM m GROUP BY doc_id)
 SELECT s.doc_id, r.text, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed FROM s LEFT JOIN r ON r.doc_id = s.doc_id"""
@@ -82,7 +82,7 @@ def _case(values: dict, wrap=lambda v: v) -> str:
 
 
 def _words(text: str) -> str:
-    return _quoted(f"(?:^|[^a-z0-9])(?:{'|'.join(text.split())})(?:[^a-z0-9]|$)")
+    return _quoted(rf"(?:^|[^\pL\pM\pN])(?:{'|'.join(text.split())})(?:[^\pL\pM\pN]|$)")
 
 
 _KINDS = tuple(BASE_SCORE)

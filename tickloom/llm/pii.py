@@ -116,7 +116,8 @@ def _card(text: Column) -> Column:
 
 
 def _any_word(words: tuple[str, ...]) -> str:
-    return "(?:^|[^a-z0-9])(?:" + "|".join(words) + ")(?:[^a-z0-9]|$)"
+    """A whole one of the words: no letter, accent or number of any script touches it."""
+    return r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{M}\p{N}])"
 
 
 def _score(text: Column, span: Column) -> Column:

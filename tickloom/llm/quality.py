@@ -9,8 +9,9 @@ sizes, character classes, repetition.
 Both training sets are bounded samples by hash of id and text (``SAMPLE`` rows each at most), so the fit does not
 grow with the corpus; every text is scored whole.
 
-Defined cases: a null text is the empty text; with no usable positives or no unlabelled text, every score
-is 0.5; repeated rows are scored once each, and alike (ties); very long texts are read whole; labels repeated
+Defined cases: a null text is the empty text; where every usable document has a label, all of them are taken as
+unlabelled; without a usable positive nothing can be learned: every score is 0.5, and ``keep_good`` keeps every
+document; repeated rows are scored once each, and alike (ties); very long texts are read whole; labels repeated
 for one document count once, the smallest winning; labels without a document are left out; other columns,
 of whatever name, are ignored; an empty table gives no rows.
 """
@@ -214,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     marks = labels.where(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("mark"))
     texts = docs.where(usable).select("doc_id", "text")
     positive = _sample(texts.join(marks.where("mark = 1"), "doc_id", "left_semi"), sample, 1)
-    unlabelled = _sample(texts.join(marks, "doc_id", "left_anti"), sample, 2)
+    unlabelled = _sample(texts.join(marks, "doc_id", "left_anti"), sample, 2) or _sample(texts, sample, 2)
     if not positive or not unlabelled:
         return None, 0.5
     p, u = features(positive), features(unlabelled)
@@ -240,6 +241,9 @@ def _scorer(docs: DataFrame, model: Model | None, prior: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, usable: Column, least: float, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose score is ``least`` or more, with their columns as they are."""
-    score = _scorer(docs, *learn(docs, labels, usable, sample))
+    """The documents whose score is ``least`` or more, with their columns as they are; all of them where nothing can be learned."""
+    model, prior = learn(docs, labels, usable, sample)
+    if model is None:
+        return docs
+    score = _scorer(docs, model, prior)
     return docs.where(score(text_or_empty()) >= least)
