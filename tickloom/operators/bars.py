@@ -16,7 +16,7 @@ def tick_columns(df: DataFrame) -> DataFrame:
 def candles(ticks: DataFrame, width: str, price: Column | None = None) -> DataFrame:
     """Epoch-aligned candles of ``width`` from ticks (instrument, time, seq, bid, ask, mid); empty buckets give none."""
     at, price = F.struct("time", "seq"), F.col("mid") if price is None else price
-    grouped = ticks.groupBy("instrument", F.window("time", width)["start"].alias("bucket"))
+    grouped = ticks.groupBy("instrument", F.window("time", width).alias("bucket"))  # the whole window, which a watermark can close
     return grouped.agg(
         F.min_by(price, at).alias("open"),
         F.max(price).alias("high"),
@@ -24,7 +24,7 @@ def candles(ticks: DataFrame, width: str, price: Column | None = None) -> DataFr
         F.max_by(price, at).alias("close"),
         F.count("*").alias("tick_count"),
         F.max_by(F.col("ask") - F.col("bid"), at).alias("spread"),
-    ).withColumnRenamed("bucket", "time")
+    ).select("instrument", F.col("bucket.start").alias("time"), "open", "high", "low", "close", "tick_count", "spread")
 
 
 def roll_up(bars: DataFrame, width: str) -> DataFrame:

@@ -413,14 +413,14 @@ CODES = "CASE k % 7 WHEN 0 THEN 'pause' WHEN 1 THEN 'tighten_stops' WHEN 2 THEN
 STORED = ("pause", "tighten_stops", "directional", "trigger_entry", "close_opposing", "none", "unheard of")
 
 
-def _action(k):
+def action_of(k):
     return N.known_action(F.get(F.array(*[F.lit(n) for n in STORED]), (k % 7).cast("int")))
 
 
 @query("news_action", f"WITH n AS (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events) SELECT event_id, k, coalesce({CODES}, 'none') AS action FROM n")
 def news_action(spark, sf_dir):
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), _action(k).alias("action"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), action_of(k).alias("action"))
 
 
 @query(
@@ -431,7 +431,7 @@ def news_action(spark, sf_dir):
 def news_pause(spark, sf_dir):
     from tickloom.operators.asof import asof_join
 
-    pauses = news(spark, sf_dir).where(_action(F.col("k")) == "pause").select(F.col("currency").alias("instrument"), "time").distinct()
+    pauses = news(spark, sf_dir).where(action_of(F.col("k")) == "pause").select(F.col("currency").alias("instrument"), "time").distinct()
     begun = pauses.withColumn("begins", F.col("time"))
     joined = asof_join(raw_bars(spark, sf_dir).select("instrument", "time"), begun, ["instrument"], ["begins"])
     return joined.select("instrument", "time", F.coalesce(F.col("time") < F.col("begins") + F.expr("INTERVAL 3 HOURS"), F.lit(False)).alias("paused"))

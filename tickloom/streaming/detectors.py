@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from tickloom.streaming.ordered import InOrder
 
 EVENTS = "instrument string, timeframe string, detector string, time timestamp, confirmed timestamp, kind string, upper double, lower double"
-STATE = "recent array<struct<at:long,open:double,high:double,low:double,close:double,range:double>>, seen long, high double, low double, high_open boolean, low_open boolean, trend string"
+RECENT = "at long, open double, high double, low double, close double, range double"
+SWINGS = "seen long, high double, low double, high_open boolean, low_open boolean, trend string"
 AT, OPEN, HIGH, LOW, CLOSE, RANGE = range(6)
 
 
@@ -83,25 +85,36 @@ class Series:
         return out
 
 
-def detected(bars: DataFrame, *, side: int = 2, mean_of: int = 14, displaced: float = 1.5, block: float = 2.0) -> DataFrame:
-    """Swings, breaks, gaps, displacements and order blocks of a stream of closed bars (instrument, timeframe, time and prices).
+class Detector(InOrder):
+    """State beside the waiting bars: a list of the last bars of the series, and its swings and trend."""
 
-    ``time`` of an event is the bar that it belongs to, ``confirmed`` the bar at which it is known. A swing has
-    ``side`` bars to each side; mean ranges are those of ``mean_of`` bars. Bars of a series must come in order of time
-    from batch to batch; within a batch they are sorted. State: ``max(mean_of, 2 * side + 1)`` bars a series.
-    """
+    columns = ("time", "open", "high", "low", "close")
+
+    def __init__(self, *rules: float):
+        self.rules = rules
 
-    def find(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        series = Series(state.get if state.exists else None, side, mean_of, displaced, block)
-        rows = pd.concat([b for b in batches if len(b)]).sort_values("time")
-        micros = rows["time"].astype("datetime64[us]").astype("int64").tolist()
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.recent, self.swings = handle.getListState("recent", RECENT), handle.getValueState("swings", SWINGS)
+
+    def released(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+        series = Series((list(self.recent.get()), *self.swings.get()) if self.swings.exists() else None, *self.rules)
         out = []
-        for at, *prices in zip(micros, *(rows[c].tolist() for c in ("open", "high", "low", "close"))):
+        for at, *prices in rows.tolist():
             out += [(*key, name, time, at, *rest) for name, time, *rest in series.add(at, *prices)]
-        state.update(series.state())
+        recent, *swings = series.state()
+        self.recent.put(recent)
+        self.swings.update(tuple(swings))
         found = pd.DataFrame(out, columns=["instrument", "timeframe", "detector", "time", "confirmed", "kind", "upper", "lower"])
         for column in ("time", "confirmed"):
             found[column] = pd.to_datetime(found[column], unit="us")
-        yield found
+        return found
+
+
+def detected(bars: DataFrame, lateness: str, *, side: int = 2, mean_of: int = 14, displaced: float = 1.5, block: float = 2.0) -> DataFrame:
+    """Swings, breaks, gaps, displacements and order blocks of a stream of closed bars (instrument, timeframe, time and prices).
 
-    return bars.groupBy("instrument", "timeframe").applyInPandasWithState(find, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    ``time`` of an event is the bar that it belongs to, ``confirmed`` the bar at which it is known. A swing has
+    ``side`` bars to each side; mean ranges are those of ``mean_of`` bars. Bars may come out of order by ``lateness``.
+    """
+    timed = bars.withWatermark("time", lateness).select("instrument", "timeframe", *Detector.columns)
+    return timed.groupBy("instrument", "timeframe").transformWithStateInPandas(Detector(side, mean_of, displaced, block), EVENTS, "append", "EventTime")

@@ -1,107 +1,126 @@
-"""Structured Streaming forms of the incremental operators.
+"""Feeds as streams: what arrives in files, bars that leave once, and what a run reports.
 
-Aggregations keep state by watermark; detectors and the labeler keep a bounded buffer per instrument. Late
-rows are dropped by the watermark instead of reopening a closed bar.
+A feed may be out of order by ``lateness``. The watermark follows the latest row by that much: what is older is late, is
+dropped and counted, and what lies behind it is complete, leaves in append mode and takes its state along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass, field
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.bars import candles
-from tickloom.sources.scratch import scratch_path
+from tickloom.sources.scratch import scratch_path, stored
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the last row of a marked feed has in its text columns; it needs a value, as joins pass over nulls.
+MARK = "\x00end of feed"
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 
-def in_slices(df: DataFrame, at: str, slices: int, label: str) -> str:
-    """``df`` written as a folder of slices in order of time, the older ones first, as a feed would have left them."""
-    path = scratch_path(df.sparkSession, label)
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    first, last = df.agg(F.min(micros), F.max(micros)).first()
-    width = (last - first) // slices + 1 if first is not None else 1
-    for number in range(slices if first is not None else 1):
-        part = df if first is None else df.where((micros >= first + number * width) & (micros < first + (number + 1) * width))
-        part.write.parquet(f"{path}/slice={number:04d}")
-    return path
 
+@dataclass
+class Feed:
+    """A folder that files were dropped into, and how far its rows may be out of order."""
 
-def tick_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """A folder of event files as a stream of quotes, oldest file first."""
+    path: str
+    disorder: timedelta
+
+    def lateness(self) -> str:
+        """The disorder in whole milliseconds, as watermarks are kept, rounded up on both of its ends."""
+        return f"{self.disorder // timedelta(milliseconds=1) + 2} milliseconds"
+
+
+def in_slices(df: DataFrame, at: str, slices: int, label: str, files: int = 1, mark: timedelta = timedelta(0)) -> Feed:
+    """``df`` dropped into a folder slice by slice in order of time, each slice as ``files`` files that share its rows.
+
+    Files of one slice come in any order, so rows may be out of order by its width. The table is sorted and written once;
+    a slice reads from it what its times ask for. With ``mark``, a last file has one row of ``MARK`` and zeros that much
+    beyond the disorder, which tells that everything before it has come.
+    """
+    spark, place = df.sparkSession, scratch_path(df.sparkSession, label)
+    rows = stored(df.repartitionByRange(at).sortWithinPartitions(at), f"{label}-sorted")
+    kind = rows.schema[at].dataType
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        rows.write.parquet(f"{place}/slice=0000")
+        return Feed(place, timedelta(0))
+    width = (last - first) // slices + timedelta(microseconds=1)
+    for number in range(slices):
+        low, high = (F.lit(first + n * width).cast(kind) for n in (number, number + 1))
+        part = rows.where((F.col(at) >= low) & (F.col(at) < high))
+        (part if files == 1 else part.repartition(files, F.rand(1))).write.parquet(f"{place}/slice={number:04d}")
+    if mark:
+        fill = {T.StringType(): MARK, kind: last + 2 * width + mark}
+        row = [last + 2 * width + mark if f.name == at else fill.get(f.dataType, 0 if isinstance(f.dataType, T.IntegralType) else 0.0) for f in rows.schema]
+        spark.createDataFrame([tuple(row)], rows.schema).coalesce(1).write.parquet(f"{place}/slice={slices:04d}")
+    return Feed(place, width)
+
+
+def read_feed(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
+    """The files of a feed as a stream, the oldest first."""
     schema = spark.read.option("recursiveFileLookup", True).parquet(path).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).parquet(path)
+
+
+def tick_columns_of(events: DataFrame) -> DataFrame:
+    """Events as quotes, which their type names the instrument of."""
     value = F.col("value")
     return events.select(
-        F.col("event_type").alias("instrument"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), value.alias("mid"), (value - 0.25).alias("bid"), (value + 0.25).alias("ask")
+        F.col("event_type").alias("instrument"),
+        F.col("ts").alias("time"),
+        F.col("event_id").alias("seq"),
+        value.alias("mid"),
+        (value - 0.25).alias("bid"),
+        (value + 0.25).alias("ask"),
     )
 
 
-def stream_bars(stream: DataFrame, width: str, lateness: str = "1 hour") -> DataFrame:
-    """Candles with a watermark; the aggregation is the batch one."""
-    timed = stream.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", lateness)
-    return candles(timed, width)
-
+def tick_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
+    """A folder of event files as a stream of quotes."""
+    return tick_columns_of(read_feed(spark, path, per_trigger)).withColumn("time", F.col("time").cast("timestamp"))
 
-def drained(stream: DataFrame, label: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over what is there now and return its result; in update mode the latest row of each key.
 
-    Each micro-batch overwrites a folder of its own number, so a repeated batch leaves no second copy.
-    """
-    spark = stream.sparkSession
-    out, marks = scratch_path(spark, label), scratch_path(spark, f"{label}-marks")
+def stream_bars(stream: DataFrame, width: str, lateness: str) -> DataFrame:
+    """Candles that leave when the watermark passes their end; the aggregation is the batch one."""
+    return candles(stream.withWatermark("time", lateness), width)
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
 
-    run = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    run.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
-    if not keys:
-        return found.drop("_batch")
-    latest = found.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("row"))
-    return latest.select("row.*")
+@dataclass
+class Drained:
+    """What a stream gave (without the mark of its feed), and the progress of each micro-batch."""
 
+    rows: DataFrame
+    batches: list[dict] = field(default_factory=list)
 
-LABEL_SCHEMA = "instrument string, seq long, buy_label int, sell_label int"
-PENDING = "pending array<struct<at:long,seq:long,bid:double,ask:double,buy:int,sell:int>>"
+    def counted(self, name: str) -> list[int]:
+        """A figure of the stateful operators, batch by batch: numRowsTotal, numRowsRemoved, numRowsDroppedByWatermark."""
+        return [sum(o[name] for o in b["stateOperators"]) for b in self.batches]
 
 
-def stream_labels(stream: DataFrame, stop: float, target: float, timeout_s: int) -> DataFrame:
-    """Barrier labels of a stream of quotes. On the tick past the timeout the barriers are tested first, then time.
+def drained(stream: DataFrame, label: str, mode: str = "append", key: str | None = "instrument", place: str | None = None, rocks: bool = False) -> Drained:
+    """Run a stream over what is there now. Rows whose ``key`` is the mark of a feed are left out.
 
-    State: the quotes whose two sides are not both decided, at most those of one timeout span.
+    Each micro-batch overwrites a folder of its own number, so a repeated batch leaves no second copy. A run at the same
+    ``place`` goes on where the one before it ended. ``rocks``: state is kept in RocksDB, which processors with timers
+    need; otherwise in the store of the session.
     """
-    span = timeout_s * 1_000_000
-
-    def label(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = [tuple(p) for p in state.get[0]] if state.exists else []
-        rows = pd.concat([b for b in batches if len(b)]).sort_values(["time", "seq"])
-        out = []
-        for time, seq, bid, ask in zip(rows["time"], rows["seq"], rows["bid"], rows["ask"]):
-            now, left = time.value // 1000, []
-            for p in pending:
-                at, number, p_bid, p_ask, buy, sell = p
-                late = now - at > span
-                if buy < -1:
-                    buy = 0 if bid <= p_ask - stop else 1 if bid >= p_ask + target else _drift(bid - p_ask) if late else buy
-                if sell < -1:
-                    sell = 0 if ask >= p_bid + stop else 1 if ask <= p_bid - target else _drift(p_bid - ask) if late else sell
-                if buy >= -1 and sell >= -1:
-                    out.append((key[0], number, buy, sell))
-                else:
-                    left.append((at, number, p_bid, p_ask, buy, sell))
-            pending = [*left, (int(now), int(seq), float(bid), float(ask), -9, -9)]
-        state.update((pending,))
-        yield pd.DataFrame(out, columns=["instrument", "seq", "buy_label", "sell_label"])
-
-    return stream.groupBy("instrument").applyInPandasWithState(label, LABEL_SCHEMA, PENDING, "append", GroupStateTimeout.NoTimeout)
-
-
-def _drift(points: float) -> int:
-    points = round(points, 9)
-    return 1 if points > 0 else 0 if points < 0 else -1
+    spark = stream.sparkSession
+    place = place or scratch_path(spark, label)
+    schema = stream.schema
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/part={number}")
+
+    before = spark.conf.get(STORE_CONF)
+    spark.conf.set(STORE_CONF, ROCKS if rocks else before)
+    try:
+        run = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{place}/marks").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(STORE_CONF, before)
+    found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{place}/out")
+    return Drained(found.where(~F.col(key).eqNullSafe(MARK)) if key else found, [dict(p.jsonValue) if hasattr(p, "jsonValue") else p for p in run.recentProgress])
