@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators import touch
 from tickloom.operators.touch import first_touch
 
 
@@ -27,6 +28,18 @@ def test_first_touch(spark, width):
     assert got == want
 
 
+def test_broken_promises_cost_a_round_a_level(spark, monkeypatch):
+    """Rows alternate around the price that is asked for, so that every block promises it; the last row has it."""
+    rounds = []
+    real = touch._round
+    monkeypatch.setattr(touch, "_round", lambda *a: rounds.append(a[-1]) or real(*a))
+    rows = spark.range(6000).select(F.lit("a").alias("instrument"), F.col("id").alias("idx"), F.when(F.col("id") == 5990, 5.0).when(F.col("id") % 2 == 0, 0.0).otherwise(10.0).alias("lo")).withColumn("hi", F.col("lo"))
+    asked = spark.createDataFrame([("a", 3, 5.0, 5.0), ("a", 5990, 5.0, 5.0), ("a", 0, 4.0, 11.0)], "instrument string, after long, `from` double, to double")
+    got = {(r.after, r["from"]): r.hit_idx for r in touch.first_touch(asked, rows).collect()}
+    assert got == {(3, 5.0): 5990, (5990, 5.0): None, (0, 4.0): 1}
+    assert len(rounds) <= 4
+
+
 def test_no_rows(spark):
     own = spark.createDataFrame([], "instrument string, idx long, lo double, hi double")
     asked = spark.createDataFrame([("a", 0, 1.0, 2.0)], "instrument string, after long, `from` double, to double")
