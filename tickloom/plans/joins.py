@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import bars as B
 from tickloom.operators import labels as L
 from tickloom.operators import patterns as P
+from tickloom.operators import selection as S
 from tickloom.operators.asof import asof_join, range_join
 from tickloom.operators.series import bounded, with_index
 from tickloom.plans.base import BARS, TICKS, bars, bars_sql, query, raw_bars, rounded, table, ticks
@@ -207,6 +208,19 @@ def labels_fixed(spark, sf_dir):
     return _fixed(spark, sf_dir).select("instrument", "idx", "buy_label", "sell_label", *rounded("buy_pnl", "sell_pnl"))
 
 
+@query(
+    "one_at_a_time",
+    f"""WITH RECURSIVE {LABELS}, e AS MATERIALIZED (SELECT instrument, idx, buy_exit, round(buy_pnl, 6) AS buy_pnl FROM lab WHERE buy_label >= 0),
+    n AS MATERIALIZED (SELECT a.instrument, a.idx, b.idx AS follows FROM e a ASOF JOIN e b ON a.instrument = b.instrument AND a.buy_exit <= b.idx),
+    taken AS (SELECT instrument, min(idx) AS idx FROM e GROUP BY 1 UNION ALL SELECT n.instrument, n.follows FROM taken t JOIN n ON n.instrument = t.instrument AND n.idx = t.idx)
+    SELECT e.* FROM e JOIN taken USING (instrument, idx)""",
+)
+def one_at_a_time(spark, sf_dir):
+    """Of all decided buys of each instrument, those that a trader with one position takes."""
+    entries = _fixed(spark, sf_dir).where("buy_label >= 0").select("instrument", "idx", F.col("buy_exit").alias("exit_idx"), *rounded("buy_pnl"))
+    return S.one_at_a_time(entries).withColumnRenamed("exit_idx", "buy_exit")
+
+
 MEAN = "(SELECT CASE WHEN x > 0 THEN x ELSE NULL END FROM (SELECT avg(q.high - q.low) AS x FROM bars q WHERE q.instrument = r.instrument AND q.time < time_bucket(INTERVAL '1 hour', r.time) AND q.time >= time_bucket(INTERVAL '1 hour', r.time) - INTERVAL '14 hours'))"
 
 

@@ -28,20 +28,47 @@ def moment(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)).cast("timestamp_ntz") for f in FORMATS])
 
 
+#: Headers of at most this many files are broadcast, of some hundred bytes each.
+FEW_FILES = 20_000
+
+
+def by_header(spark: SparkSession, path: str, wanted: dict[str, tuple[str, ...]], optional: tuple[str, ...] = ()) -> DataFrame:
+    """``file`` and the ``wanted`` columns as text, each file read by its own header: files of a folder may name and order theirs as they like.
+
+    A column goes under the first of its names that a header has, without regard to case and spaces. A file whose header
+    lacks a column that is not ``optional`` is an error that names both. Fields stand on one line; lines equal to the
+    header are left out.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    first = lines.where("begin = 0").withColumn("nth", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "nth").alias("header"))
+    names = F.transform(F.split("header", ","), lambda n: F.lower(F.trim(F.replace(n, F.lit('"'), F.lit("")))))
+
+    def place(aliases: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.nullif(F.array_position("names", a), F.lit(0).cast("long")) for a in aliases])
+
+    found = first.withColumn("names", names).select("file", "header", F.size("names").alias("width"), *[place(aliases).alias(n) for n, aliases in wanted.items()])
+    needed = [n for n in wanted if n not in optional]
+    lacking = found.where(reduce(lambda a, b: a | b, [F.col(n).isNull() for n in needed])).select("file", *needed).limit(1).collect()
+    if lacking:
+        raise ValueError(f"{lacking[0]['file']}: no column for {', '.join(n for n in needed if lacking[0][n] is None)}")
+    files, width = found.agg(F.count("*"), F.max("width")).first()
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width or 1)))
+    headers = (F.broadcast(found) if files <= FEW_FILES else found).drop("width").withColumnsRenamed({n: f"_{n}" for n in wanted})
+    split = lines.join(headers, "file").where("value <> header").withColumn("fields", _texts(fields, width or 1))
+    return split.select("file", *[F.get("fields", F.col(f"_{n}").cast("int") - 1).alias(n) for n in wanted])
+
+
+def _texts(fields: Column, width: int) -> Column:
+    return F.array(*[F.trim(fields[f"c{i}"]) for i in range(width)])
+
+
+_CANDLE = {"time": TIME_NAMES, **PRICE_NAMES}
+
+
 def candles_csv(spark: SparkSession, path: str) -> DataFrame:
     """Candles of CSV files with headers; a missing time or price column is an error, a missing volume is 0."""
-    df = _headers(spark.read.option("header", True).csv(path))
-    time = _named(df, TIME_NAMES)
-    prices = {name: _named(df, aliases) for name, aliases in PRICE_NAMES.items()}
-    missing = [n for n, c in {"time": time, **prices}.items() if c is None]
-    if missing:
-        raise ValueError(f"{path}: no column for {', '.join(missing)}")
-    volume = _named(df, VOLUME_NAMES)
-    return df.select(
-        moment(time).alias("time"),
-        *[c.try_cast("double").alias(n) for n, c in prices.items()],
-        (F.lit(0.0) if volume is None else F.coalesce(volume.try_cast("double"), F.lit(0.0))).alias("volume"),
-    )
+    df = by_header(spark, path, {**_CANDLE, "volume": VOLUME_NAMES}, ("volume",))
+    return df.select(moment(F.col("time")).alias("time"), *[F.col(n).try_cast("double").alias(n) for n in PRICE_NAMES], F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)).alias("volume"))
 
 
 def bid_candles_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -69,13 +96,12 @@ def directory_csv(spark: SparkSession, path: str, names: dict[str, str] | None =
 
     Where Spark wrote the files, their stem is that of the folder around them, without ``column=``.
     """
-    file = F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", "")
-    stem = F.regexp_extract(file, r"([^/=]+?)(?:\.csv)?(?:\.gz)?$", 1)
-    df = _headers(spark.read.option("header", True).csv(path)).withColumn("stem", F.upper(stem))
+    df = by_header(spark, path, _CANDLE)
+    file = F.regexp_replace("file", r"/part-[^/]*$", "")
+    own = F.upper(F.regexp_extract(file, r"([^/=]+?)(?:\.csv)?(?:\.gz)?$", 1))
     known = F.create_map(*[F.lit(x) for pair in (names or {}).items() for x in pair]) if names else None
-    instrument = F.coalesce(F.try_element_at(known, F.col("stem")), F.col("stem")) if names else F.col("stem")
-    prices = [_named(df, aliases).try_cast("double").alias(n) for n, aliases in PRICE_NAMES.items()]
-    return df.select(instrument.alias("instrument"), moment(_named(df, TIME_NAMES)).alias("time"), *prices)
+    instrument = F.coalesce(F.try_element_at(known, own), own) if names else own
+    return df.select(instrument.alias("instrument"), moment(F.col("time")).alias("time"), *[F.col(n).try_cast("double").alias(n) for n in PRICE_NAMES])
 
 
 def quotes_csv(spark: SparkSession, path: str) -> DataFrame:
