@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.plans.base import BARS, TICKS, query, raw_bars, rounded, ticks
+from tickloom.plans.base import BARS, TICKS, bars_sql, query, raw_bars, rounded, ticks
+from tickloom.operators.refresh import RollUps
 from tickloom.sources import readers as R
 from tickloom.sources.scratch import scratch_path
 
@@ -75,3 +76,24 @@ def ticks_csv(spark, sf_dir):
     own = ticks(spark, sf_dir).select(F.unix_millis(F.col("time").cast("timestamp")).cast("string").alias("timestamp"), F.col("bid").alias("bidPrice"), F.col("ask").alias("askPrice"))
     broken = spark.createDataFrame([("x", 1.0, 2.0), (None, 1.0, 1.0)], own.schema)
     return R.quotes_csv(spark, _csv(spark, own.unionByName(broken), "quotes")).select("time", *rounded("bid", "ask"))
+
+
+@query(
+    "rollup_refresh",
+    f"""WITH {BARS}, {bars_sql('days', '1 day')}, h AS (SELECT 'hour' AS width, instrument, time, {', '.join(OHLC)}, tick_count FROM bars UNION ALL SELECT 'day', instrument, time, {', '.join(OHLC)}, tick_count FROM days)
+    SELECT width, instrument, time, {', '.join(f'round({c}, 6) AS {c}' for c in OHLC)}, tick_count FROM h""",
+)
+def rollup_refresh(spark, sf_dir):
+    """Three loads, each followed by a refresh: most days, some of them broken off; the rest, with the partial days again; corrections of wrong prices."""
+    own, day = ticks(spark, sf_dir), F.dayofmonth("time")
+    store = RollUps(spark, scratch_path(spark, "store"), complete=0)
+    wrong = own.withColumn("mid", F.when(day == 5, -F.col("mid")).otherwise(F.col("mid")))
+    store.load(wrong.where((day <= 20) & ((day % 4 != 0) | (F.hour("time") < 9))))
+    store.refresh()
+    partial = RollUps(spark, store.path)
+    partial.load(own.where((day > 20) | (day % 4 == 0)))
+    partial.refresh()
+    store.load(own.where(day == 5), correct=True)
+    store.refresh()
+    both = [store.table(n).select(F.lit(w).alias("width"), "instrument", "time", *rounded(*OHLC), "tick_count") for w, n in (("hour", "hours"), ("day", "days"))]
+    return both[0].unionByName(both[1])
