@@ -12,6 +12,9 @@ from tickloom.operators.series import with_index
 from tickloom.plans.base import BARS, bars, query, raw_bars, rounded, table
 from tickloom.plans.signals import SEGMENTS
 from tickloom.sources import readers as R
+from tickloom.sources.news_lines import NewsLines
+from tickloom.sources.scratch import scratch_path
+from tickloom.streaming.live import drained
 
 CALENDAR = (
     '{"country": "US", "date": "<day>", "event": "CPI <id>", "impact": "3", "actual": "<id>", "estimate": 0.25, "prev": null}',
@@ -112,3 +115,23 @@ def mode_topn(spark, sf_dir):
     kind = F.split_part("p_type", F.lit(" "), F.lit(1))
     own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), kind.alias("value"), "p_size", "p_partkey")
     return S.commonest_of_best(own, ["run"], "p_size", "p_partkey", 5)
+
+
+@query(
+    "news_lines",
+    """WITH e AS (SELECT event_id % 10 = 3 AS broken, event_id, ts, event_type, props FROM events), w AS (SELECT unnest(['table', 'stream']) AS way)
+    SELECT way, CASE WHEN NOT broken THEN event_id END AS id, CASE WHEN NOT broken THEN date_trunc('second', ts) END AS time, CASE WHEN NOT broken THEN event_type END AS currency, CASE WHEN NOT broken THEN props END AS content, broken FROM e, w""",
+)
+def news_lines(spark, sf_dir):
+    """Events as lines of JSON, every tenth broken off, read by the data source as a table and as a stream."""
+    path, own = scratch_path(spark, "news-lines"), table(spark, sf_dir, "events")
+    record = F.to_json(F.struct(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.col("event_type").alias("currency"), F.col("props").alias("content")))
+    lines = own.select(F.when(F.col("event_id") % 10 == 3, F.substring(record, 1, 20)).otherwise(record).alias("value"))
+    lines.repartition(4).write.text(path)
+    spark.dataSource.register(NewsLines)
+    ways = {"table": spark.read.format("news_lines").option("path", path).load(), "stream": drained(spark.readStream.format("news_lines").option("path", path).load(), "news-read", key=None).rows}
+    told = [
+        df.select(F.lit(way).alias("way"), F.col("id").cast("long").alias("id"), F.col("time").cast("timestamp_ntz").alias("time"), "currency", "content", F.col("error").isNotNull().alias("broken"))
+        for way, df in ways.items()
+    ]
+    return told[0].unionByName(told[1])
