@@ -52,3 +52,35 @@ def exit_model(spark, sf_dir):
     save_model(train_exit(own.where(~F.col("held_out")), ["direction", "unrealized", "duration"], rounds=5, depth=3), path)
     scored = score_exit(load_model(path), own, 0.5)
     return scored.select("instrument", "entry_index", "row_index", "held_out", "label", "close", *rounded("p_close"))
+
+
+def _with_hour(spark, sf_dir):
+    return labelled(spark, sf_dir).withColumn("hour", F.hour("time").cast("double"))
+
+
+NAMES = [*COLUMNS, "hour"]
+
+
+@query("boosted_signals")
+def boosted_signals(spark, sf_dir):
+    """The latest fifth of the rows, scored by three-class boosting that learned from the rest and stopped on its latest fifth."""
+    from tickloom.ml.boosting import Rules, score, train
+
+    own = stored(_with_hour(spark, sf_dir), "labelled")
+    early, late = (own.agg(F.percentile_approx(F.unix_micros(F.col("time").cast("timestamp")), share)).first()[0] or 0 for share in (0.64, 0.8))
+    at = F.unix_micros(F.col("time").cast("timestamp"))
+    model = train(own.where(at < late).withColumn("held_out", at >= early), NAMES, rules=Rules(rounds=8, depth=3, rate=0.3, patience=3))
+    p = [F.get("p", F.lit(i)) for i in range(3)]
+    signal = F.when((p[1] >= 0.4) & (p[1] > p[2]), 1).when((p[2] >= 0.4) & (p[2] > p[1]), -1).otherwise(0)
+    return score(model, own.where(at >= late)).select("instrument", "idx", "target", signal.alias("signal"), F.round(p[1], 6).alias("p_buy"), F.round(p[2], 6).alias("p_sell"))
+
+
+@query("walk_forward_fits")
+def walk_forward_fits(spark, sf_dir):
+    """A model for each window of ten days, tested on the three days that follow a gap as long as labels stay open."""
+    from tickloom.ml import walk
+    from tickloom.ml.boosting import Rules
+
+    day = 24 * 3600
+    out = walk.walk_forward_fits(_with_hour(spark, sf_dir), NAMES, "target", 10 * day, 4 * 3600, 3 * day, Rules(rounds=10, depth=2, rate=0.3, patience=3))
+    return out.select("window", "instrument", "idx", "target", "n_learned", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p_none", "p_buy", "p_sell"))])
