@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import labels as L
 from tickloom.operators.asof import asof_join
 from tickloom.operators.rolling import scalping
 from tickloom.plans.base import bars, query, rounded
-from tickloom.plans.joins import _fixed, _rows, _target, exit_dataset
+from tickloom.plans.joins import TIMEOUT, _fixed, _rows, _target, exit_dataset
 from tickloom.sources.scratch import scratch_path, stored
 
 COLUMNS = ("roc_fast", "roc_slow", "mean_rev_z", "atr", "body_ratio")
@@ -84,3 +85,31 @@ def walk_forward_fits(spark, sf_dir):
     day = 24 * 3600
     out = walk.walk_forward_fits(_with_hour(spark, sf_dir), NAMES, "target", 10 * day, 4 * 3600, 3 * day, Rules(rounds=10, depth=2, rate=0.3, patience=3))
     return out.select("window", "instrument", "idx", "target", "n_learned", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p_none", "p_buy", "p_sell"))])
+
+
+@query("nested_search")
+def nested_search(spark, sf_dir):
+    """Stops and targets outside; inside, over the labels that these give, how far from its mean a price must be, and at which hours."""
+    from tickloom.ml.parzen import Range, nested_search as nested
+
+    rows = stored(_rows(spark, sf_dir), "search-rows")
+    features = scalping(bars(spark, sf_dir)).select("instrument", "time", *COLUMNS)
+    seen = stored(asof_join(rows.select("instrument", "time", "idx"), features, ["instrument"], ["mean_rev_z", "roc_fast"], "1 hour"), "search-features")
+
+    def prepare(params):
+        labels = L.barrier_labels(rows, F.lit(params["stop"]), F.lit(params["target"]), TIMEOUT)
+        decided = labels.where("buy_label >= 0 or sell_label >= 0").select("instrument", "idx", "buy_pnl", "sell_pnl")
+        return stored(decided.join(seen, ["instrument", "idx"]).withColumn("hour", F.hour("time")), "search-labels")
+
+    def profit(params):
+        open_ = F.pmod(F.col("hour") - params["first_hour"], F.lit(24)) < params["hours"]
+        buys, sells = F.col("mean_rev_z") <= -params["least_z"], F.col("mean_rev_z") >= params["least_z"]
+        return F.when(open_ & buys, F.col("buy_pnl")).when(open_ & sells, F.col("sell_pnl"))
+
+    outer = {"stop": Range(20.0, 80.0), "target": Range(20.0, 120.0)}
+    inner = {"least_z": Range(0.0, 1.5), "first_hour": Range(0.0, 23.0, whole=True), "hours": Range(4.0, 24.0, whole=True)}
+    out = []
+    for number, trial in enumerate(nested(outer, inner, prepare, profit)):
+        out += [(number, i, *(float(v) for v in (*trial.params.values(), *t.params.values())), float(t.score), t.score == trial.score) for i, t in enumerate(trial.inner)]
+    names = ", ".join(f"{n} double" for n in (*outer, *inner))
+    return spark.createDataFrame(out, f"outer_trial int, inner_trial int, {names}, score double, best boolean")
