@@ -130,5 +130,5 @@ def judged(table: DataFrame, drawn: list[dict[str, float]], profit: Callable[[di
     out = []
     for i, params in enumerate(drawn):
         n, mean, deviation = row[f"n{i}"], row[f"m{i}"], row[f"d{i}"]
-        out.append(Trial(params, round(mean / deviation * np.sqrt(n), 9) if n >= least and deviation else REJECTED))
+        out.append(Trial(params, round(float(mean / deviation * np.sqrt(n)), 9) if n >= least and deviation else REJECTED))
     return out

@@ -110,6 +110,6 @@ def nested_search(spark, sf_dir):
     inner = {"least_z": Range(0.0, 1.5), "first_hour": Range(0.0, 23.0, whole=True), "hours": Range(4.0, 24.0, whole=True)}
     out = []
     for number, trial in enumerate(nested(outer, inner, prepare, profit)):
-        out += [(number, i, *(float(v) for v in (*trial.params.values(), *t.params.values())), float(t.score), t.score == trial.score) for i, t in enumerate(trial.inner)]
+        out += [(number, i, *(float(v) for v in (*trial.params.values(), *t.params.values())), float(t.score), bool(t.score == trial.score)) for i, t in enumerate(trial.inner)]
     names = ", ".join(f"{n} double" for n in (*outer, *inner))
     return spark.createDataFrame(out, f"outer_trial int, inner_trial int, {names}, score double, best boolean")
