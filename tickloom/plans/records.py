@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import news as N
 from tickloom.operators import stats as S
+from tickloom.operators import table_functions
 from tickloom.operators import windows as V
 from tickloom.operators.asof import zip_strict
 from tickloom.operators.series import with_index
@@ -135,3 +136,22 @@ def news_lines(spark, sf_dir):
         for way, df in ways.items()
     ]
     return told[0].unionByName(told[1])
+
+
+PRICES = ("open", "high", "low", "close")
+
+
+@query(
+    "sequence_windows",
+    f"""WITH {SEGMENTS}, s AS (SELECT instrument, segment, count(*) AS n, min(idx) AS first_idx FROM seg GROUP BY 1, 2 HAVING count(*) >= 4),
+    o AS (SELECT instrument, segment, first_idx + unnest(range(0, n - 3, 2)) AS start_idx FROM s),
+    r AS (SELECT o.*, b.idx, unnest([{', '.join(f'b.{c}' for c in PRICES)}]) AS value, unnest(range(4)) AS k FROM o JOIN bars b ON b.instrument = o.instrument AND b.idx BETWEEN start_idx AND start_idx + 3)
+    SELECT instrument, segment::BIGINT AS segment, start_idx, ((idx - start_idx) * 4 + k)::INT AS place, round(value, 6) AS value FROM r""",
+)
+def sequence_windows(spark, sf_dir):
+    """The prices of every second window of four bars, by the table function in SQL."""
+    table_functions.register(spark)
+    rows = V.segments(bars(spark, sf_dir), 7200).select("instrument", "segment", "idx", *PRICES)
+    text = "SELECT * FROM sequences(rows => TABLE(SELECT * FROM {rows}) PARTITION BY (instrument, segment) ORDER BY (idx), length => 4, stride => 2)"
+    found = spark.sql(text, rows=rows)
+    return found.select("instrument", "segment", "start_idx", F.posexplode("features").alias("place", "value")).withColumn("value", F.round("value", 6))
