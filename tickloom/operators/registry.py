@@ -88,6 +88,7 @@ def standard(tolerance: float = 0.1) -> Registry:
     """Levels and structure, rates of change, and quotes, with seven tunable parameters."""
     return Registry(
         [
+            # The names, defaults and ranges of the tunables.
             FeatureSet("ict", (Tunable("lookback", 20, 5, 50, "int"), Tunable("level_max_age", 100, 20, 300, "int")), _ict(tolerance)),
             FeatureSet(
                 "scalp",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.scratch import stored
+
 ORDER = ("opened_at", "trade_id")
 
 
@@ -151,6 +153,27 @@ def autocorrelation(series: DataFrame, value: str, lags: int) -> DataFrame:
     return wide.where(F.col("_s1").isNotNull()).select("instrument", F.inline(rows))
 
 
+def compare_returns(returns: DataFrame, real: str, other: str, lags: int = 10) -> DataFrame:
+    """metric and value: how far the returns of one instrument are from those of another in distribution, in memory and by hour.
+
+    ``ks`` and its probability ``ks_p``; the greatest difference of the autocorrelations of returns and of their squares,
+    and of the mean absolute returns of an hour, hours that only one of them has left out. ``returns``: instrument, idx,
+    time, ret.
+    """
+    own = stored(returns.where(F.col("instrument").isin(real, other) & F.col("ret").isNotNull()).select("instrument", "idx", "time", "ret", (F.col("ret") * F.col("ret")).alias("sq")), "compared")
+
+    def apart(df: DataFrame, at: str, value: str, name: str) -> DataFrame:
+        sides = [F.max(F.when(F.col("instrument") == n, F.col(value))) for n in (real, other)]
+        return df.groupBy(at).agg((sides[0] - sides[1]).alias("d")).agg(F.max(F.abs("d")).alias("value")).select(F.lit(name).alias("metric"), "value")
+
+    ks = two_sample(own, F.col("instrument") == real, "ret")
+    told = {"ks": F.col("d"), "ks_p": smirnov_p(F.col("d"), F.col("n_a"), F.col("n_b"))}
+    ks = ks.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in told.items()])))
+    hours = own.groupBy("instrument", F.hour("time").alias("hour")).agg(F.avg(F.abs("ret")).alias("vol"))
+    parts = [apart(autocorrelation(own, c, lags), "lag", "acf", f"{n}_max_diff") for c, n in (("ret", "acf"), ("sq", "acf_sq"))]
+    return ks.unionByName(parts[0]).unionByName(parts[1]).unionByName(apart(hours, "hour", "vol", "hourly_max_diff"))
+
+
 def discounted(paths: DataFrame, group: list[str], step: str, value: str, gamma: float) -> DataFrame:
     """Each step's value plus the discounted values of the steps after it, within one path."""
     own = paths.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("_steps"))
@@ -173,6 +196,11 @@ def trial_score(capital: float, least_trades: int, worst_share: float) -> Column
     return F.when(bad, -10.0).otherwise(F.col("total_pnl") / capital * F.col("sharpe") * F.col("n_trades"))
 
 
+def balanced_score() -> Column:
+    """Profit, raised by the Sharpe ratio and by the profit factor (at most 5 of it), from the columns of ``trade_metrics``."""
+    return F.col("total_pnl") * (1 + F.col("sharpe")) * (1 + 0.2 * F.least(F.col("profit_factor"), F.lit(5.0)))
+
+
 def in_windows(trades: DataFrame, start: str, train: int, test: int, step: int) -> DataFrame:
     """Each trade once for every walk-forward window it falls into, with ``window`` and ``phase`` (train or test).
 

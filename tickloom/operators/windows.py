@@ -15,7 +15,8 @@ def _at(text: str) -> Column:
 def month_windows(spark: SparkSession, start: str, end: str, train: int, test: int) -> DataFrame:
     """Train and test ranges that move on by the test length in months; start days are at most 28."""
     begin = F.make_date(F.year(_at(start)), F.month(_at(start)), F.least(F.dayofmonth(_at(start)), F.lit(28)))
-    steps = spark.range(0, 1200, test, 1).select(F.col("id").cast("int").alias("k"))
+    months = F.greatest(F.ceil(F.months_between(_at(end), _at(start))), F.lit(0)) + 1
+    steps = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), months.cast("long"), F.lit(test).cast("long"))).alias("k")).select(F.col("k").cast("int").alias("k"))
     dates = steps.select((F.col("k") / test).cast("long").alias("window"), *[F.add_months(begin, F.col("k") + m).alias(n) for n, m in (("train_start", 0), ("test_start", train), ("test_end", train + test))])
     return dates.where(F.col("test_end") <= F.to_date(_at(end)))
 

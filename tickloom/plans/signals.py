@@ -347,13 +347,13 @@ def improvement_gate(spark, sf_dir):
     f"""WITH {TRADES}, c AS (SELECT *, row_number() OVER w AS nth, 100000 + sum(pnl) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY account ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING)),
     d AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY account ORDER BY nth ROWS UNBOUNDED PRECEDING)) AS peak FROM c),
     s AS (SELECT account, count(*) AS n, sum(pnl) AS total, coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252), 0) AS sharpe, arg_max((peak - equity) / peak, round(peak - equity, 2) * 1000000 - nth) AS fall,
-      coalesce(sum(pnl) FILTER (pnl > 0), 0) < coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS losing FROM d GROUP BY 1)
-    SELECT account, n, round(CASE WHEN n < 5 OR fall > 0.2 OR losing OR sharpe < 0 THEN -10 ELSE total / 100000 * sharpe * n END, 4) AS score, round(total - greatest(10 - n, 0) * 50, 2) AS penalised FROM s""",
+      coalesce(sum(pnl) FILTER (pnl > 0), 0) AS won, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS lost, won < lost AS losing FROM d GROUP BY 1)
+    SELECT account, n, round(total * (1 + sharpe) * (1 + 0.2 * CASE WHEN lost > 0 THEN least(won / lost, 5) ELSE 5 END), 2) AS balanced, round(CASE WHEN n < 5 OR fall > 0.2 OR losing OR sharpe < 0 THEN -10 ELSE total / 100000 * sharpe * n END, 4) AS score, round(total - greatest(10 - n, 0) * 50, 2) AS penalised FROM s""",
 )
 def trial_score(spark, sf_dir):
     own = S.trade_metrics(trades(spark, sf_dir), "account", capital=100_000.0)
     score = S.trial_score(100_000.0, 5, 0.2)
-    return own.select("account", F.col("n_trades").alias("n"), F.round(score, 4).alias("score"), F.round(F.col("total_pnl") - F.greatest(10 - F.col("n_trades"), F.lit(0)) * 50, 2).alias("penalised"))
+    return own.select("account", F.col("n_trades").alias("n"), F.round(score, 4).alias("score"), F.round(S.balanced_score(), 2).alias("balanced"), F.round(F.col("total_pnl") - F.greatest(10 - F.col("n_trades"), F.lit(0)) * 50, 2).alias("penalised"))
 
 
 @query("trade_convert", f"WITH {TRADES} SELECT trade_id, CASE WHEN trade_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, opened_at, round(pnl / nullif(entry_price * 0.01 * size, 0), 8) AS r_multiple, round(pnl / 1000, 6) AS pnl_percent FROM trades")

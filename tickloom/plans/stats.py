@@ -229,6 +229,27 @@ def acf_sq(spark, sf_dir):
     return S.autocorrelation(squared, "sq", 10).withColumn("acf", F.round("acf", 6))
 
 
+@query(
+    "validation_report",
+    f"""WITH {BARS}, o AS (SELECT instrument, idx, hour(time) AS hour, {RET} AS r FROM bars), k AS (SELECT * FROM o WHERE r IS NOT NULL AND instrument IN ('view', 'click')),
+    x AS (SELECT 'acf' AS metric, instrument, idx, r AS x FROM k UNION ALL SELECT 'acf_sq', instrument, idx, r * r FROM k), c AS (SELECT metric, instrument, idx, x - avg(x) OVER (PARTITION BY metric, instrument) AS d FROM x),
+    p AS (SELECT a.metric, a.instrument, l.lag, sum(a.d * b.d) AS s FROM c a CROSS JOIN range(1, 11) l(lag) JOIN c b ON b.metric = a.metric AND b.instrument = a.instrument AND b.idx = a.idx - l.lag GROUP BY ALL),
+    v AS (SELECT metric, instrument, sum(d * d) AS s FROM c GROUP BY ALL), q AS (SELECT metric, instrument, lag, p.s / v.s AS a FROM p JOIN v USING (metric, instrument)),
+    h AS (SELECT instrument, hour, avg(abs(r)) AS a FROM k GROUP BY ALL),
+    e AS (SELECT *, abs((count(*) FILTER (instrument = 'view') OVER w) / (count(*) FILTER (instrument = 'view') OVER ())::DOUBLE - (count(*) FILTER (instrument = 'click') OVER w) / (count(*) FILTER (instrument = 'click') OVER ())::DOUBLE) AS d FROM k WINDOW w AS (ORDER BY r)),
+    g AS (SELECT max(d) AS d, count(*) FILTER (instrument = 'view') AS n, count(*) FILTER (instrument = 'click') AS m FROM e), z AS (SELECT d, (sqrt(n * m / (n + m)::DOUBLE) + 0.12 + 0.11 / sqrt(n * m / (n + m)::DOUBLE)) * d AS t FROM g),
+    out AS (SELECT 'ks' AS metric, d AS value FROM z UNION ALL SELECT 'ks_p', CASE WHEN d = 0 THEN 1 ELSE least(greatest((SELECT sum((CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0::DOUBLE * j * j * t * t)) FROM range(1, 101) u(j)), 0), 1) END FROM z
+      UNION ALL SELECT a.metric || '_max_diff', max(abs(a.a - b.a)) FROM q a JOIN q b ON b.metric = a.metric AND b.lag = a.lag AND a.instrument = 'view' AND b.instrument = 'click' GROUP BY 1
+      UNION ALL SELECT 'hourly_max_diff', max(abs(a.a - b.a)) FROM h a JOIN h b ON b.hour = a.hour AND a.instrument = 'view' AND b.instrument = 'click')
+    SELECT metric, round(value, 6) AS value FROM out""",
+)
+def validation_report(spark, sf_dir):
+    """The returns of one instrument held against those of another, as drawn paths are held against real ones."""
+    from tickloom.operators.rolling import returns
+
+    return S.compare_returns(returns(bars(spark, sf_dir)), "view", "click").withColumn("value", F.round("value", 6))
+
+
 @query("trading_days_distinct", "SELECT event_type, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
 def trading_days_distinct(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct(F.to_date("ts")).alias("days"))
