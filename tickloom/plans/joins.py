@@ -12,6 +12,7 @@ from tickloom.operators.asof import asof_join, range_join
 from tickloom.operators.series import bounded, with_index
 from tickloom.plans.base import BARS, TICKS, bars, bars_sql, query, raw_bars, rounded, table, ticks
 from tickloom.plans.patterns import BREAKS, W
+from tickloom.sources.scratch import stored
 
 HTF = ("ret_open", "ret_high", "ret_low", "ret_close", "tick_count", "spread")
 
@@ -102,7 +103,7 @@ HTF_TREND_SQL = f"""WITH {BREAKS.replace(bars_sql('bars', '1 hour'), bars_sql('b
 
 @query("htf_trend", HTF_TREND_SQL)
 def htf_trend(spark, sf_dir):
-    breaks = P.structure_breaks(bars(spark, sf_dir, "4 hours"))
+    breaks = P.structure_breaks(stored(bars(spark, sf_dir, "4 hours"), "bars"))
     last = breaks.groupBy("instrument", "time").agg(F.max_by("direction", "rank").alias("htf_trend"))
     joined = asof_join(raw_bars(spark, sf_dir).select("instrument", "time"), last, ["instrument"], ["htf_trend"], "4 hours")
     return joined.withColumn("htf_trend", F.coalesce("htf_trend", F.lit("undefined")))
