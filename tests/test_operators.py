@@ -64,6 +64,19 @@ def test_gaps(spark):
     assert [(r.idx, r.kind, r.top, r.bottom) for r in got] == [(1, "bullish", 15.0, 10.0), (2, "bullish", 16.0, 12.0), (3, "bearish", 15.0, 14.0), (4, "bearish", 16.0, 9.0)]
 
 
+def test_flags_do_not_depend_on_chunks(spark, monkeypatch):
+    """Steps that build on one another over copied edge rows: as many as 16 rows back and 2 ahead."""
+    values = [50 + float((i * 7919) % 23) for i in range(120)]
+    own = bars_of(spark, values, [v - (i * 31) % 7 for i, v in enumerate(values)])
+    whole = patterns.armed(patterns.flagged(own)).orderBy("idx").collect()
+    atr = patterns.with_atr(own, 14, 1).orderBy("idx").collect()
+    assert [r.atr_known for r in whole] == [r.atr for r in atr]
+    for name in ("bounded", "running"):
+        plain = getattr(patterns, name)
+        monkeypatch.setattr(patterns, name, lambda *a, _plain=plain, **k: _plain(*a, **k, rows=17))
+    assert patterns.armed(patterns.flagged(own)).orderBy("idx").collect() == whole
+
+
 @pytest.mark.parametrize("rows", [4, 7, 100])
 def test_bounded_and_running_do_not_depend_on_chunks(spark, rows):
     values = [float((i * 7919) % 101) for i in range(60)]

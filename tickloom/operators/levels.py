@@ -15,6 +15,7 @@ from tickloom.operators import patterns as P
 from tickloom.operators.asof import range_join
 from tickloom.operators.series import bounded, last_n, running
 from tickloom.operators.touch import first_touch
+from tickloom.sources.scratch import stored
 
 #: Bars over which the mean range of a timeframe is taken; fewer at its beginning.
 RANGE_BARS = 14
@@ -25,20 +26,20 @@ def _directed(kind: str) -> F.Column:
 
 
 def live_levels(bars: DataFrame, age: int, tolerance: float = 0.1) -> DataFrame:
-    """Levels as sort (gap, block, pool), middle, direction, level_idx, begins and ends (first bar at which it is gone).
+    """Of ``flagged`` bars, levels as sort (gap, block, pool), middle, direction, level_idx, begins and ends (first bar at which it is gone).
 
     A level is gone when it is more than ``age`` bars old; a gap also when it is mitigated, a pool when a bar, that of
     its confirmation included, trades through its price.
     """
-    gaps = P.gaps(bars)
+    gaps = P.gaps_of(bars)
     gap = P.first_hit(gaps, bars, *P.mitigation(gaps)).select(
         "instrument", F.lit("gap").alias("sort"), ((F.col("top") + F.col("bottom")) / 2).alias("middle"), _directed("kind").alias("direction"), F.col("idx").alias("level_idx"), F.col("confirmed_idx").alias("begins"), "hit_idx"
     )
     none = F.lit(None).cast("long")
-    block = P.order_blocks(bars).select(
+    block = P.order_blocks_of(bars).select(
         "instrument", F.lit("block").alias("sort"), ((F.col("top") + F.col("bottom")) / 2).alias("middle"), _directed("kind").alias("direction"), F.col("idx").alias("level_idx"), F.col("confirmed_idx").alias("begins"), none.alias("hit_idx")
     )
-    asked = P.liquidity(bars, tolerance=tolerance).select("instrument", "price", "idx", "confirmed_idx", (F.col("confirmed_idx") - 1).alias("after"), F.col("price").alias("from"), F.col("price").alias("to"))
+    asked = P.liquidity_of(P.swings_of(bars), tolerance=tolerance).select("instrument", "price", "idx", "confirmed_idx", (F.col("confirmed_idx") - 1).alias("after"), F.col("price").alias("from"), F.col("price").alias("to"))
     swept = first_touch(asked, bars.select("instrument", "idx", F.col("low").alias("lo"), F.col("high").alias("hi")))
     pool = swept.select("instrument", F.lit("pool").alias("sort"), F.col("price").alias("middle"), F.lit(0.0).alias("direction"), F.col("idx").alias("level_idx"), F.col("confirmed_idx").alias("begins"), "hit_idx")
     every = gap.unionByName(block).unionByName(pool)
@@ -46,20 +47,11 @@ def live_levels(bars: DataFrame, age: int, tolerance: float = 0.1) -> DataFrame:
 
 
 def bar_state(bars: DataFrame, lookback: int) -> DataFrame:
-    """instrument, at_idx, mean_range, hi, lo, trend, and whether a break of either kind or a displacement is recent."""
+    """Of ``armed`` bars: instrument, at_idx, mean_range, hi, lo, trend, and whether a break of either kind or a displacement is recent."""
     event = F.struct("rank", "direction", "kind")
-    breaks = P.structure_breaks(bars).groupBy("instrument", "idx").agg(F.array_sort(F.collect_list(event)).alias("found"))
-    swung = P.swings(bars).groupBy("instrument", F.col("confirmed_idx").alias("idx")).agg(
-        F.max(F.when(F.col("kind") == "high", F.col("price"))).alias("swing_high"), F.max(F.when(F.col("kind") == "low", F.col("price"))).alias("swing_low")
-    )
-    moved = P.displacements(bars).select("instrument", "idx", F.lit(1).alias("moved"))
-    joined = bars
-    for events in (breaks, swung, moved):
-        joined = joined.join(events, ["instrument", "idx"], "left")
-    last = running(
-        joined,
-        {"hi": ("last", F.col("swing_high")), "lo": ("last", F.col("swing_low")), "trend": ("last", F.try_element_at("found", F.lit(-1))["direction"])},
-    )
+    breaks = P.breaks_of(bars).groupBy("instrument", "idx").agg(F.array_sort(F.collect_list(event)).alias("found"))
+    joined = bars.withColumn("moved", P.confirmed_here()["displacement"].cast("int")).join(breaks, ["instrument", "idx"], "left")
+    last = running(joined, {"trend": ("last", F.try_element_at("found", F.lit(-1))["direction"])})
 
     def recent(w):
         back = w.rowsBetween(-lookback, 0)
@@ -87,15 +79,17 @@ def level_features(views: DataFrame, bars: DataFrame, age: int, lookback: int, t
     """Ten features for each view (instrument, time, price, at_idx) of a timeframe's bars; all 0 where no bar is seen yet.
 
     Distances are in mean ranges (in prices while that is 0); of levels as near as each other the older counts.
+    All patterns come from one stored table of armed bars.
     """
-    levels = live_levels(bars, age, tolerance)
+    known = stored(P.armed(P.flagged(bars)), "armed-bars")
+    levels = live_levels(known, age, tolerance)
     met = range_join(levels, views.select("instrument", "time", "price", "at_idx"), ["instrument"], "at_idx", F.col("begins"), F.col("ends") - 1, age + 1)
     distance = F.abs(F.col("price") - F.col("middle"))
     order = F.struct(F.round(distance, 6), F.col("level_idx"))
     sorts = {"fvg": "gap", "ob": "block", "liq": "pool"}
     nearest = [F.min_by(F.when(F.col("sort") == s, F.struct(distance.alias("d"), "direction")), F.when(F.col("sort") == s, order)).alias(n) for n, s in sorts.items()]
     near = met.groupBy("instrument", "time").agg(*nearest)
-    ready = views.join(bar_state(bars, lookback), ["instrument", "at_idx"], "left").join(near, ["instrument", "time"], "left")
+    ready = views.join(bar_state(known, lookback), ["instrument", "at_idx"], "left").join(near, ["instrument", "time"], "left")
     span, zero = F.when(F.col("mean_range") > 0, F.col("mean_range")).otherwise(1.0), F.lit(0.0)
     zone = price_zone(F.col("price"), F.col("lo"), F.col("hi"))
     out = {f"{n}_distance": F.coalesce(F.col(n)["d"] / span, zero) for n in sorts}

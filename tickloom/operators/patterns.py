@@ -24,9 +24,7 @@ def with_atr(bars: DataFrame, n: int = 14, first: int = 0) -> DataFrame:
     return bounded(ranged, lambda w: {"atr": full(F.avg("tr").over(last_n(w, n)), n, first)}, back=n - 1)
 
 
-def swing_flags(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
-    """``is_high`` and ``is_low``: no higher high (lower low) among ``left`` bars before and ``right`` after, ties allowed."""
-
+def _swing_columns(left: int, right: int):
     def flags(w: WindowSpec) -> dict[str, Column]:
         before, after = w.rowsBetween(-left, -1), w.rowsBetween(1, right)
         whole = (F.count("high").over(before) == left) & (F.count("high").over(after) == right)
@@ -35,26 +33,75 @@ def swing_flags(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
             "is_low": whole & (F.col("low") <= F.min("low").over(before)) & (F.col("low") <= F.min("low").over(after)),
         }
 
-    return bounded(bars, flags, back=left, ahead=right)
+    return flags
+
+
+def swing_flags(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """``is_high`` and ``is_low``: no higher high (lower low) among ``left`` bars before and ``right`` after, ties allowed."""
+    return bounded(bars, _swing_columns(left, right), back=left, ahead=right)
+
+
+def flagged(bars: DataFrame, left: int = 2, right: int = 2, n: int = 14) -> DataFrame:
+    """What all patterns need to know of a bar's neighbours, from one shuffle; the ``_of`` functions take it.
+
+    ``tr``, ``atr`` (from bar n - 1 on), ``atr_known`` (from bar n on), ``is_high``, ``is_low``, ``ch`` and ``cl`` (the swing that
+    this bar confirms), and of the bars one and two before ``time1``, ``open1`` ... ``low1``, ``high2``, ``low2``.
+    """
+
+    def near(w: WindowSpec) -> dict[str, Column]:
+        one = {f"{c}1": F.lag(c).over(w) for c in ("time", "open", "high", "low", "close")}
+        return one | {"tr": true_range(w), "high2": F.lag("high", 2).over(w), "low2": F.lag("low", 2).over(w)} | _swing_columns(left, right)(w)
+
+    def far(w: WindowSpec) -> dict[str, Column]:
+        mean = F.avg("tr").over(last_n(w, n))
+        return {
+            "atr": full(mean, n),
+            "atr_known": full(mean, n, 1),
+            "ch": F.lag(F.when(F.col("is_high"), F.col("high")), right).over(w),
+            "cl": F.lag(F.when(F.col("is_low"), F.col("low")), right).over(w),
+        }
+
+    return bounded(bars, [near, far], back=max(n, left + right, 2), ahead=right)
+
+
+def armed(flags: DataFrame) -> DataFrame:
+    """Add the last confirmed swings ``hi`` and ``lo``, and how many there were, to ``flagged`` bars."""
+    return running(
+        flags,
+        {
+            "n_hi": ("sum", F.col("ch").isNotNull().cast("long")),
+            "n_lo": ("sum", F.col("cl").isNotNull().cast("long")),
+            "hi": ("last", F.col("ch")),
+            "lo": ("last", F.col("cl")),
+        },
+    )
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
-    flagged = swing_flags(bars, left, right)
+    return swings_of(swing_flags(bars, left, right), right)
+
+
+def swings_of(flags: DataFrame, right: int = 2) -> DataFrame:
     both = F.array(
         F.when(F.col("is_high"), F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))),
         F.when(F.col("is_low"), F.struct(F.lit("low").alias("kind"), F.col("low").alias("price"))),
     )
-    events = flagged.withColumn("event", F.explode(F.array_compact(both)))
+    events = flags.withColumn("event", F.explode(F.array_compact(both)))
     return events.select("instrument", "time", "idx", (F.col("idx") + right).alias("confirmed_idx"), "event.kind", "event.price")
 
 
 def gaps(bars: DataFrame) -> DataFrame:
     """Fair value gaps: the bar's low above the high two bars before (bullish), or its high below that low (bearish)."""
-    seen = bounded(
-        bars, lambda w: {"high2": F.lag("high", 2).over(w), "low2": F.lag("low", 2).over(w), "time1": F.lag("time").over(w)}, back=2
-    )
-    up, down = F.col("low") > F.col("high2"), F.col("high") < F.col("low2")
-    return seen.where(up | down).select(
+    return gaps_of(flagged(bars))
+
+
+def _gap_sides() -> tuple[Column, Column]:
+    return F.col("low") > F.col("high2"), F.col("high") < F.col("low2")
+
+
+def gaps_of(flags: DataFrame) -> DataFrame:
+    up, down = _gap_sides()
+    return flags.where(up | down).select(
         "instrument",
         F.col("time1").alias("time"),
         (F.col("idx") - 1).alias("idx"),
@@ -65,61 +112,69 @@ def gaps(bars: DataFrame) -> DataFrame:
     )
 
 
+def _is_displaced(threshold: float) -> Column:
+    body = F.abs(F.col("close") - F.col("open"))
+    return F.col("atr_known").isNotNull() & (body >= F.col("atr_known") * threshold) & (body > 0)
+
+
 def displacements(bars: DataFrame, threshold: float = 1.5, n: int = 14) -> DataFrame:
     """Bars whose body is ``threshold`` or more average ranges."""
+    return displacements_of(flagged(bars, n=n), threshold)
+
+
+def displacements_of(flags: DataFrame, threshold: float = 1.5) -> DataFrame:
+    kind = F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish")
     body = F.abs(F.col("close") - F.col("open"))
-    large = with_atr(bars, n, 1).where(F.col("atr").isNotNull() & (body >= F.col("atr") * threshold) & (body > 0))
-    return large.select(
-        "instrument", "time", "idx", F.col("idx").alias("confirmed_idx"), F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish").alias("kind"), body.alias("body"), "atr"
+    return flags.where(_is_displaced(threshold)).select(
+        "instrument", "time", "idx", F.col("idx").alias("confirmed_idx"), kind.alias("kind"), body.alias("body"), F.col("atr_known").alias("atr")
     )
 
 
+def _is_block(factor: float) -> Column:
+    body, before = F.col("close") - F.col("open"), F.col("close1") - F.col("open1")
+    return (F.abs(body) > F.col("atr_known") * factor) & (((body > 0) & (before < 0)) | ((body < 0) & (before > 0)))
+
+
 def order_blocks(bars: DataFrame, factor: float = 2.0, n: int = 14) -> DataFrame:
     """The bar before an opposite body of more than ``factor`` average ranges."""
-    seen = bounded(
-        with_atr(bars, n, 1), lambda w: {f"{c}1": F.lag(c).over(w) for c in ("open", "high", "low", "close", "time")}, back=1
-    )
-    body, before = F.col("close") - F.col("open"), F.col("close1") - F.col("open1")
-    hit = seen.where((F.abs(body) > F.col("atr") * factor) & (((body > 0) & (before < 0)) | ((body < 0) & (before > 0))))
-    return hit.select(
+    return order_blocks_of(flagged(bars, n=n), factor)
+
+
+def order_blocks_of(flags: DataFrame, factor: float = 2.0) -> DataFrame:
+    return flags.where(_is_block(factor)).select(
         "instrument",
         F.col("time1").alias("time"),
         (F.col("idx") - 1).alias("idx"),
         F.col("idx").alias("confirmed_idx"),
-        F.when(body > 0, "bullish").otherwise("bearish").alias("kind"),
+        F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish").alias("kind"),
         F.col("high1").alias("top"),
         F.col("low1").alias("bottom"),
     )
 
 
+def confirmed_here(threshold: float = 1.5, factor: float = 2.0) -> dict[str, Column]:
+    """Whether a ``flagged`` bar confirms a gap, a block or a displacement."""
+    up, down = _gap_sides()
+    found = {"gap": up | down, "block": _is_block(factor), "displacement": _is_displaced(threshold)}
+    return {n: F.coalesce(c, F.lit(False)) for n, c in found.items()}
+
+
 def structure_breaks(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     """Breaks of the last confirmed swing: the first bar beyond it; BOS in the direction of the break before, else CHOCH."""
-    flagged = swing_flags(bars, left, right)
-    confirmed = bounded(
-        flagged,
-        lambda w: {
-            "ch": F.lag(F.when(F.col("is_high"), F.col("high")), right).over(w),
-            "cl": F.lag(F.when(F.col("is_low"), F.col("low")), right).over(w),
-        },
-        back=right,
-    )
-    armed = running(
-        confirmed,
-        {
-            "eh": ("sum", F.col("ch").isNotNull().cast("long")),
-            "el": ("sum", F.col("cl").isNotNull().cast("long")),
-            "lh": ("last", F.col("ch")),
-            "ll": ("last", F.col("cl")),
-        },
-    )
+    return breaks_of(armed(flagged(bars, left, right)))
+
 
-    def first(epoch: str, level: str, hit: Column, rank: int, direction: str) -> DataFrame:
-        found = armed.where((F.col(epoch) > 0) & hit).groupBy("instrument", F.col(epoch).alias("epoch"))
-        at = found.agg(F.min("idx").alias("idx"), F.min_by("time", "idx").alias("time"), F.min(level).alias("level"))
-        return at.select("instrument", "idx", "time", "level", F.lit(rank).alias("rank"), F.lit(direction).alias("direction"))
+def breaks_of(armed_bars: DataFrame) -> DataFrame:
+    """``structure_breaks`` of bars that are ``armed``."""
 
-    both = first("eh", "lh", F.col("high") > F.col("lh"), 0, "bullish").unionByName(first("el", "ll", F.col("low") < F.col("ll"), 1, "bearish"))
-    numbered = with_index(both.withColumnRenamed("idx", "bar"), order=("time", "rank"))
+    def beyond(epoch: str, level: str, hit: Column, rank: int, direction: str) -> Column:
+        event = F.struct(F.col(epoch).alias("epoch"), F.col(level).alias("level"), F.lit(rank).alias("rank"), F.lit(direction).alias("direction"))
+        return F.when((F.col(epoch) > 0) & hit, event)
+
+    sides = F.array(beyond("n_hi", "hi", F.col("high") > F.col("hi"), 0, "bullish"), beyond("n_lo", "lo", F.col("low") < F.col("lo"), 1, "bearish"))
+    found = armed_bars.select("instrument", "time", "idx", F.explode(F.array_compact(sides)).alias("side")).select("instrument", "time", "idx", "side.*")
+    first = found.groupBy("instrument", "rank", "direction", "epoch").agg(F.min("idx").alias("bar"), F.min_by("time", "idx").alias("time"), F.min("level").alias("level"))
+    numbered = with_index(first, order=("time", "rank"))
     seen = bounded(numbered, lambda w: {"before": F.lag("direction").over(w)}, back=1)
     kind = F.when(F.col("before").isNull() | (F.col("before") == F.col("direction")), "BOS").otherwise("CHOCH")
     return seen.select("instrument", "time", F.col("bar").alias("idx"), "rank", "direction", kind.alias("kind"), "level")
@@ -133,8 +188,12 @@ def final_trend(bars: DataFrame, breaks: DataFrame) -> DataFrame:
 
 def liquidity(bars: DataFrame, left: int = 2, right: int = 2, lookback: int = 20, tolerance: float = 0.1, min_touches: int = 2) -> DataFrame:
     """Swings whose level was touched before by like swings within ``tolerance`` percent, among the last ``lookback``."""
+    return liquidity_of(swings(bars, left, right), lookback, tolerance, min_touches)
+
+
+def liquidity_of(swung: DataFrame, lookback: int = 20, tolerance: float = 0.1, min_touches: int = 2) -> DataFrame:
     like = ("instrument", "kind")
-    numbered = with_index(swings(bars, left, right).withColumnRenamed("idx", "bar"), like)
+    numbered = with_index(swung.withColumnRenamed("idx", "bar"), like)
     seen = bounded(numbered, lambda w: {"before": F.collect_list("price").over(w.rowsBetween(-lookback, -1))}, back=lookback, keys=like)
     price = F.col("price")
     touches = F.size(F.filter("before", lambda p: F.abs(p - price) <= price * tolerance / 100)) + 1

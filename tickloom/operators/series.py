@@ -29,11 +29,17 @@ def with_index(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] =
 
 
 def bounded(
-    df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], back: int = 0, ahead: int = 0, keys: Sequence[str] = KEYS, rows: int = CHUNK_ROWS
+    df: DataFrame,
+    columns: Callable[[WindowSpec], dict[str, Column]] | Sequence[Callable[[WindowSpec], dict[str, Column]]],
+    back: int = 0,
+    ahead: int = 0,
+    keys: Sequence[str] = KEYS,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add columns computed over a window that reaches ``back`` rows behind and ``ahead`` rows ahead of each row.
 
-    ``columns`` gets the window (ordered by idx, without a frame). ``df`` has idx.
+    ``columns`` gets the window (ordered by idx, without a frame). ``df`` has idx. Several functions run one after the
+    other over one shuffle, each with the columns of those before; ``back`` and ``ahead`` are then the sum of their reaches.
     """
     if max(back, ahead) > rows:
         raise ValueError("a chunk must be as long as the frame")
@@ -41,7 +47,9 @@ def bounded(
     places = F.array_compact(F.array(chunk, F.when(at >= rows - back, chunk + 1), F.when(at < ahead, chunk - 1)))
     spread = df.withColumn("_chunk", F.explode(places)).withColumn("_own", F.col("_chunk") == chunk)
     window = Window.partitionBy(*keys, "_chunk").orderBy("idx")
-    return spread.withColumns(columns(window)).where("_own").drop("_chunk", "_own")
+    for step in [columns] if callable(columns) else columns:
+        spread = spread.withColumns(step(window))
+    return spread.where("_own").drop("_chunk", "_own")
 
 
 def last_n(window: WindowSpec, n: int) -> WindowSpec:

@@ -103,9 +103,14 @@ HTF_TREND_SQL = f"""WITH {BREAKS.replace(bars_sql('bars', '1 hour'), bars_sql('b
 
 @query("htf_trend", HTF_TREND_SQL)
 def htf_trend(spark, sf_dir):
-    breaks = P.structure_breaks(stored(bars(spark, sf_dir, "4 hours"), "bars"))
-    last = breaks.groupBy("instrument", "time").agg(F.max_by("direction", "rank").alias("htf_trend"))
-    joined = asof_join(raw_bars(spark, sf_dir).select("instrument", "time"), last, ["instrument"], ["htf_trend"], "4 hours")
+    return trend_of_wide_bars(stored(raw_bars(spark, sf_dir), "bars"))
+
+
+def trend_of_wide_bars(own):
+    """Trend of the last closed 4-hour bar at each hourly bar; the 4-hour bars are rolled up from the hourly ones."""
+    wide = with_index(B.roll_up(own, "4 hours"))
+    last = P.structure_breaks(wide).groupBy("instrument", "time").agg(F.max_by("direction", "rank").alias("htf_trend"))
+    joined = asof_join(own.select("instrument", "time"), last, ["instrument"], ["htf_trend"], "4 hours")
     return joined.withColumn("htf_trend", F.coalesce("htf_trend", F.lit("undefined")))
 
 

@@ -9,6 +9,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import patterns as P
 from tickloom.operators.series import bounded, full, last_n, running, with_index
 from tickloom.plans.base import BARS, TICKS, bars, bars_sql, query, raw_bars, rounded, ticks
+from tickloom.sources.scratch import stored
 
 OHLC = ("open", "high", "low", "close")
 R_OHLC = ", ".join(f"round({c}, 6) AS {c}" for c in OHLC)
@@ -134,9 +135,9 @@ def liquidity(spark, sf_dir):
     SELECT c.instrument, detector, n, coalesce(arg_max(b.direction, b.idx * 2 + b.rank), 'undefined') AS trend FROM counts c LEFT JOIN breaks b ON b.instrument = c.instrument GROUP BY 1, 2, 3""",
 )
 def precompute_counts(spark, sf_dir):
-    own = bars(spark, sf_dir)
-    breaks = P.structure_breaks(own)
-    events = {"swings": P.swings(own), "gaps": P.gaps(own), "breaks": breaks, "displacements": P.displacements(own), "blocks": P.order_blocks(own)}
+    own = stored(P.armed(P.flagged(bars(spark, sf_dir))), "armed-bars")
+    breaks = P.breaks_of(own)
+    events = {"swings": P.swings_of(own), "gaps": P.gaps_of(own), "breaks": breaks, "displacements": P.displacements_of(own), "blocks": P.order_blocks_of(own)}
     counts = None
     for name, found in events.items():
         one = found.groupBy("instrument").agg(F.count("*").alias("n")).select("instrument", F.lit(name).alias("detector"), "n")

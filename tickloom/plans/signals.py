@@ -10,9 +10,9 @@ from tickloom.operators import bars as B
 from tickloom.operators import patterns as P
 from tickloom.operators import stats as S
 from tickloom.operators import windows as V
-from tickloom.operators.series import bounded, running
+from tickloom.operators.series import bounded
 from tickloom.plans.base import BARS, TICKS, TRADES, bars, bars_sql, query, raw_bars, rounded, table, ticks, trades
-from tickloom.plans.joins import HTF_TREND_SQL, NEWS, htf_trend, news
+from tickloom.plans.joins import HTF_TREND_SQL, NEWS, news, trend_of_wide_bars
 from tickloom.plans.patterns import ATR, BLOCKS, BREAKS, DISPLACED, GAPS, W, frame
 from tickloom.sources.scratch import stored
 
@@ -196,21 +196,17 @@ WEIGHTS = {"gap": 0.15, "block": 0.20, "break": 0.25, "displacement": 0.10, "kil
 
 def _scored(spark, sf_dir):
     """Bars with the factors known at their close and their confluence score."""
-    own = stored(bars(spark, sf_dir), "bars")
+    return _with_score(stored(P.armed(P.flagged(bars(spark, sf_dir))), "armed-bars"))
+
+
+def _with_score(own):
     event = F.struct("idx", "rank", "direction")
-    breaks = P.structure_breaks(own).groupBy("instrument", "idx").agg(F.array_sort(F.collect_list(event)).alias("found"))
-    swung = P.swings(own).groupBy("instrument", F.col("confirmed_idx").alias("idx")).agg(
-        F.max(F.when(F.col("kind") == "high", F.col("price"))).alias("swing_high"), F.max(F.when(F.col("kind") == "low", F.col("price"))).alias("swing_low")
-    )
-    joined = P.with_atr(own).join(breaks, ["instrument", "idx"], "left").join(swung, ["instrument", "idx"], "left")
-    for name, found in (("gap", P.gaps(own)), ("block", P.order_blocks(own)), ("displacement", P.displacements(own))):
-        there = found.select("instrument", F.col("confirmed_idx").alias("idx"), F.lit(True).alias(f"has_{name}")).distinct()
-        joined = joined.join(there, ["instrument", "idx"], "left")
-    last = running(joined, {"hi": ("last", F.col("swing_high")), "lo": ("last", F.col("swing_low"))})
-    recent = bounded(last, lambda w: {"recent": F.flatten(F.collect_list("found").over(w.rowsBetween(-9, 0)))}, back=9)
+    breaks = P.breaks_of(own).groupBy("instrument", "idx").agg(F.array_sort(F.collect_list(event)).alias("found"))
+    joined = own.join(breaks, ["instrument", "idx"], "left")
+    recent = bounded(joined, lambda w: {"recent": F.flatten(F.collect_list("found").over(w.rowsBetween(-9, 0)))}, back=9)
     zone = M.price_zone(F.col("close"), F.col("lo"), F.col("hi"))
     present = {
-        **{n: F.coalesce(f"has_{n}", F.lit(False)) for n in ("gap", "block", "displacement")},
+        **P.confirmed_here(),
         "break": F.size("recent") > 0,
         "killzone": M.killzone(F.hour("time")) != "none",
         "zone": F.coalesce(F.col("hi").isNotNull() & F.col("lo").isNotNull() & zone.isin("premium", "discount"), F.lit(False)),
@@ -221,9 +217,10 @@ def _scored(spark, sf_dir):
 
 def _entries(spark, sf_dir, least=0.4):
     """Bars that give an entry: score, direction of the last break, not against the trend of the 4-hour bars; ``span`` is their range."""
-    hit = _scored(spark, sf_dir).where(F.col("direction").isNotNull() & (F.round("score", 9) >= least))
+    own = stored(P.armed(P.flagged(bars(spark, sf_dir))), "armed-bars")
+    hit = _with_score(own).where(F.col("direction").isNotNull() & (F.round("score", 9) >= least))
     span = F.coalesce("atr", F.col("high") - F.col("low"))
-    trend = htf_trend(spark, sf_dir)
+    trend = trend_of_wide_bars(own.select("instrument", "time", "open", "high", "low", "close", "tick_count", "spread"))
     with_trend = hit.withColumn("span", span).where("span > 0").join(trend, ["instrument", "time"])
     return with_trend.where(F.col("htf_trend").isin("undefined") | (F.col("htf_trend") == F.col("direction")))
 
