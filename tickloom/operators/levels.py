@@ -7,7 +7,9 @@ say which bar they see (``at_idx``) and from which price.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.market import price_zone
@@ -75,25 +77,43 @@ def bar_state(bars: DataFrame, lookback: int) -> DataFrame:
     )
 
 
-def level_features(views: DataFrame, bars: DataFrame, age: int, lookback: int, tolerance: float = 0.1) -> DataFrame:
-    """Ten features for each view (instrument, time, price, at_idx) of a timeframe's bars; all 0 where no bar is seen yet.
+#: The names that features give the sorts of levels.
+SORTS = {"fvg": "gap", "ob": "block", "liq": "pool"}
 
-    Distances are in mean ranges (in prices while that is 0); of levels as near as each other the older counts.
-    All patterns come from one stored table of armed bars.
+
+def level_state(bars: DataFrame, age: int, lookback: int, tolerance: float = 0.1) -> DataFrame:
+    """``bar_state`` after each bar, with its live levels of each sort as a list; all patterns come from one stored table.
+
+    A list holds at most two levels of each of the last ``age`` + 1 bars, however long the series is.
     """
     known = stored(P.armed(P.flagged(bars)), "armed-bars")
     levels = live_levels(known, age, tolerance)
-    met = range_join(levels, views.select("instrument", "time", "price", "at_idx"), ["instrument"], "at_idx", F.col("begins"), F.col("ends") - 1, age + 1)
-    distance = F.abs(F.col("price") - F.col("middle"))
-    order = F.struct(F.round(distance, 6), F.col("level_idx"))
-    sorts = {"fvg": "gap", "ob": "block", "liq": "pool"}
-    nearest = [F.min_by(F.when(F.col("sort") == s, F.struct(distance.alias("d"), "direction")), F.when(F.col("sort") == s, order)).alias(n) for n, s in sorts.items()]
-    near = met.groupBy("instrument", "time").agg(*nearest)
-    ready = views.join(bar_state(known, lookback), ["instrument", "at_idx"], "left").join(near, ["instrument", "time"], "left")
-    span, zero = F.when(F.col("mean_range") > 0, F.col("mean_range")).otherwise(1.0), F.lit(0.0)
-    zone = price_zone(F.col("price"), F.col("lo"), F.col("hi"))
-    out = {f"{n}_distance": F.coalesce(F.col(n)["d"] / span, zero) for n in sorts}
-    out |= {f"{n}_direction": F.coalesce(F.col(n)["direction"], zero) for n in ("fvg", "ob")}
-    out |= {c: F.coalesce(c, zero) for c in ("bos_recent", "choch_recent", "trend", "displacement_recent")}
+    met = range_join(levels, known.select("instrument", F.col("idx").alias("at_idx")), ["instrument"], "at_idx", F.col("begins"), F.col("ends") - 1, age + 1)
+    level = F.struct("middle", "direction", "level_idx")
+    held = met.groupBy("instrument", "at_idx").agg(*[F.collect_list(F.when(F.col("sort") == s, level)).alias(n) for n, s in SORTS.items()])
+    return bar_state(known, lookback).join(held, ["instrument", "at_idx"], "left")
+
+
+def seen_from(price: Column, state: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Ten features of a bar's ``level_state`` from a price; all 0 where no bar is seen yet.
+
+    Distances are in mean ranges (in prices while that is 0); of levels as near as each other the older counts.
+    """
+
+    def nearest(name: str) -> Column:
+        away = F.transform(state(name), lambda one: F.struct(F.round(F.abs(price - one["middle"]), 6), one["level_idx"], F.abs(price - one["middle"]).alias("d"), one["direction"].alias("direction")))
+        return F.array_min(away)
+
+    span, zero = F.when(state("mean_range") > 0, state("mean_range")).otherwise(1.0), F.lit(0.0)
+    zone = price_zone(price, state("lo"), state("hi"))
+    out = {f"{n}_distance": F.coalesce(nearest(n)["d"] / span, zero) for n in SORTS}
+    out |= {f"{n}_direction": F.coalesce(nearest(n)["direction"], zero) for n in ("fvg", "ob")}
+    out |= {c: F.coalesce(state(c), zero) for c in ("bos_recent", "choch_recent", "trend", "displacement_recent")}
     out["premium_discount"] = F.when(zone == "premium", 1.0).when(zone == "discount", -1.0).otherwise(0.0)
-    return ready.select("instrument", "time", *[c.alias(n) for n, c in out.items()])
+    return out
+
+
+def level_features(views: DataFrame, bars: DataFrame, age: int, lookback: int, tolerance: float = 0.1) -> DataFrame:
+    """The features of ``seen_from`` for each view (instrument, time, price, at_idx) of a timeframe's bars."""
+    ready = views.join(level_state(bars, age, lookback, tolerance), ["instrument", "at_idx"], "left")
+    return ready.select("instrument", "time", *[c.alias(n) for n, c in seen_from(F.col("price")).items()])

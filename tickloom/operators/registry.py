@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.levels import level_features
+from tickloom.operators.quotes import Quotes, View, level_view, quote_view, scalp_view
 from tickloom.operators.rolling import scalping, spread_z
 from tickloom.operators.series import bounded
 
@@ -27,11 +28,16 @@ class Tunable:
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """``build`` gets bars with idx and this set's own parameters, and gives instrument, time and the features of each bar."""
+    """``build`` gets bars with idx and this set's own parameters, and gives instrument, time and the features of each bar.
+
+    ``view`` gets quotes and the parameters, and gives the state of the bars after each number of closed base bars and the
+    features of a quote as columns over it; the state is then a struct with the name of the set.
+    """
 
     name: str
     tunables: tuple[Tunable, ...]
     build: Callable[[DataFrame, dict[str, float]], DataFrame]
+    view: Callable[[Quotes, dict[str, float]], View] | None = None
 
 
 class Registry:
@@ -63,6 +69,16 @@ class Registry:
             parts.append(built.select(*ROW, *[F.col(c).alias(f"{s.name}__{c}") for c in built.columns if c not in ROW]))
         return reduce(lambda a, b: a.join(b, list(ROW), "left"), parts)
 
+    def quote_features(self, quotes: Quotes, params: dict[str, float] | None = None) -> DataFrame:
+        """All features of each quote: the states of all sets meet by bar, and quotes meet them in one join."""
+        own, state, out, key = self.settings(params or {}), None, {}, ["instrument", "closed"]
+        for s in self.sets:
+            found, columns = s.view(quotes, own[s.name])
+            packed = found.select(*key, F.struct(*[c for c in found.columns if c not in key]).alias(s.name))
+            state = packed if state is None else state.join(packed, key)
+            out |= {f"{s.name}__{n}": c for n, c in columns.items()}
+        return quotes.rows.join(state, key).select("instrument", "seq", *[c.alias(n) for n, c in out.items()])
+
 
 def _scalp(bars: DataFrame, own: dict[str, float]) -> DataFrame:
     names = ("roc_fast", "roc_slow", "mean_rev_z", "atr", "body_ratio")
@@ -84,12 +100,12 @@ def _ict(tolerance: float) -> Callable[[DataFrame, dict[str, float]], DataFrame]
     return build
 
 
-def standard(tolerance: float = 0.1) -> Registry:
-    """Levels and structure, rates of change, and quotes, with seven tunable parameters."""
+def standard(tolerance: float = 0.1, scalp_widths: tuple[int, ...] = (1, 6), level_widths: tuple[int, ...] = (30, 360)) -> Registry:
+    """Levels and structure, rates of change, and quotes, with seven tunable parameters; widths are in base bars, for quotes."""
     return Registry(
         [
             # The names, defaults and ranges of the tunables.
-            FeatureSet("ict", (Tunable("lookback", 20, 5, 50, "int"), Tunable("level_max_age", 100, 20, 300, "int")), _ict(tolerance)),
+            FeatureSet("ict", (Tunable("lookback", 20, 5, 50, "int"), Tunable("level_max_age", 100, 20, 300, "int")), _ict(tolerance), level_view(level_widths, tolerance)),
             FeatureSet(
                 "scalp",
                 (
@@ -99,7 +115,8 @@ def standard(tolerance: float = 0.1) -> Registry:
                     Tunable("atr_period", 14, 5, 50, "int"),
                 ),
                 _scalp,
+                scalp_view(scalp_widths),
             ),
-            FeatureSet("tick", (Tunable("spread_avg_period", 30, 10, 100, "int"),), _tick),
+            FeatureSet("tick", (Tunable("spread_avg_period", 30, 10, 100, "int"),), _tick, quote_view),
         ]
     )

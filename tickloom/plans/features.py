@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.operators.quotes import Quotes
 from tickloom.operators.registry import standard
-from tickloom.plans.base import BARS, bars, query
-from tickloom.plans.patterns import W, frame
+from tickloom.plans.base import BARS, TICKS, bars, bars_sql, query, ticks
+from tickloom.plans.patterns import STREAK, W, frame
 from tickloom.plans.simulation import ICT, TOLERANCE, _ict_sql
 from tickloom.sources.scratch import stored
 
@@ -35,3 +36,56 @@ def feature_tunables(spark, sf_dir):
 def feature_registry(spark, sf_dir):
     found = standard(TOLERANCE).features(stored(bars(spark, sf_dir), "bars"), TUNED)
     return found.select("instrument", "time", *[F.round(c, 6).alias(c) for c in found.columns if "__" in c])
+
+
+def _of_count(n: int, name: str = "bars") -> str:
+    """CTEs of hourly bars and of the bars that every n of them make."""
+    return f"""{bars_sql('base', '1 hour')}, {name} AS (SELECT instrument, idx // {n} AS idx, min(time) AS time, first(open ORDER BY idx) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY idx) AS close
+      FROM base GROUP BY instrument, idx // {n} HAVING count(*) = {n})"""
+
+
+def _scalp_sql(n: int) -> str:
+    return f"""(WITH {_of_count(n)}, {STREAK}, s AS (SELECT *, dir * least(row_number() OVER (PARTITION BY instrument, run ORDER BY idx), 31) AS streak FROM runs)
+      SELECT instrument, idx, CASE WHEN idx >= 3 THEN close / lag(close, 2) OVER {W} - 1 END AS roc_fast, CASE WHEN idx >= 12 THEN close / lag(close, 11) OVER {W} - 1 END AS roc_slow,
+        CASE WHEN idx >= 29 THEN avg(close) OVER {frame(30)} END AS mean, round(stddev_pop(close) OVER {frame(30)}, 9) AS deviation, CASE WHEN idx >= 13 THEN avg(high - low) OVER {frame(14)} END AS atr,
+        CASE WHEN idx >= 13 THEN coalesce(sum(abs(close - open)) OVER {frame(14)} / nullif(sum(high - low) OVER {frame(14)}, 0), 0) END AS body_ratio, streak FROM s)"""
+
+
+def _scalp_columns(n: int) -> str:
+    own = {
+        "roc_fast": "roc_fast",
+        "roc_slow": "roc_slow",
+        "mean_rev_z": "(q.mid - {t}.mean) / nullif({t}.deviation, 0)",
+        "atr": "atr",
+        "body_ratio": "body_ratio",
+        "range_ratio": "(q.so_high - q.so_low) / nullif({t}.atr, 0)" if n == 1 else "0",
+        "direction_streak": "streak",
+    }
+    return ", ".join(f"round(coalesce({v.format(t=f's{n}') if '.' in v or v == '0' else f's{n}.{v}'}, 0), 6)::DOUBLE AS scalp__x{n}_{c}" for c, v in own.items())
+
+
+def _level_sql(n: int) -> str:
+    return _ict_sql("", _of_count(n), f"px p LEFT JOIN st ON st.instrument = p.instrument AND st.idx = p.closed // {n} - 1")
+
+
+SCALP_WIDTHS, LEVEL_WIDTHS = (1, 4), (4, 12)
+
+
+@query(
+    "quote_features",
+    f"""WITH {TICKS}, {bars_sql('base', '1 hour')}, q AS (SELECT t.instrument, t.seq, t.time, t.mid, t.ask - t.bid AS spread, b.idx AS closed, epoch(t.time - b.time) AS passed, max(t.mid) OVER p AS so_high, min(t.mid) OVER p AS so_low, count(*) OVER p AS so_many
+      FROM ticks t JOIN base b ON b.instrument = t.instrument AND b.time = time_bucket(INTERVAL '1 hour', t.time) WINDOW p AS (PARTITION BY t.instrument, b.time ORDER BY t.time, t.seq ROWS UNBOUNDED PRECEDING)),
+    px AS (SELECT instrument, seq AS time, mid AS price, closed FROM q), spreads AS (SELECT instrument, idx, CASE WHEN idx >= 1 THEN avg(spread) OVER {frame(30)} END AS mean, round(stddev_pop(spread) OVER {frame(30)}, 9) AS deviation FROM base),
+    {", ".join(f"s{n} AS {_scalp_sql(n)}" for n in SCALP_WIDTHS)}, {", ".join(f"l{n} AS {_level_sql(n)}" for n in LEVEL_WIDTHS)}
+    SELECT q.instrument, q.seq, round(q.spread, 6) AS tick__spread, round(coalesce((q.spread - sp.mean) / nullif(sp.deviation, 0), 0), 6) AS tick__spread_z, round(so_high - so_low, 6) AS tick__partial_range,
+      round(CASE WHEN so_high > so_low THEN (q.mid - so_low) / (so_high - so_low) ELSE 0.5 END, 6) AS tick__position_in_range, round(least(passed / 3600, 1.0::DOUBLE), 6) AS tick__elapsed_pct, so_many::DOUBLE AS tick__tick_count, round(q.mid, 6) AS tick__mid,
+      {", ".join(_scalp_columns(n) for n in SCALP_WIDTHS)}, {", ".join(f"round(l{n}.{c}, 6) AS ict__x{n}_{c}" for n in LEVEL_WIDTHS for c in ICT)},
+      (hour(q.time) < 4 OR hour(q.time) BETWEEN 7 AND 9 OR hour(q.time) BETWEEN 12 AND 15)::INT::DOUBLE AS ict__killzone
+    FROM q LEFT JOIN spreads sp ON sp.instrument = q.instrument AND sp.idx = q.closed - 1 {" ".join(f"LEFT JOIN s{n} ON s{n}.instrument = q.instrument AND s{n}.idx = q.closed // {n} - 1" for n in SCALP_WIDTHS)}
+    {" ".join(f"JOIN l{n} ON l{n}.instrument = q.instrument AND l{n}.time = q.seq" for n in LEVEL_WIDTHS)}""",
+)
+def quote_features(spark, sf_dir):
+    """All 42 features at each quote: hourly bars, and wider ones of 4 and 12 of them."""
+    own = Quotes.over(ticks(spark, sf_dir), 3600, tuple({*SCALP_WIDTHS, *LEVEL_WIDTHS}))
+    found = standard(TOLERANCE, SCALP_WIDTHS, LEVEL_WIDTHS).quote_features(own, TUNED)
+    return found.select("instrument", "seq", *[F.round(c, 6).alias(c) for c in found.columns if "__" in c])

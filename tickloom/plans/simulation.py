@@ -112,9 +112,10 @@ AGE, LOOKBACK, TOLERANCE = 100, 20, 2.0
 ICT = ("fvg_distance", "fvg_direction", "ob_distance", "ob_direction", "liq_distance", "bos_recent", "choch_recent", "trend", "displacement_recent", "premium_discount")
 
 
-def _ict_sql(width: str) -> str:
-    """Features of one timeframe at the close of each hourly bar."""
-    break_sql, sized = BREAKS, bars_sql("bars", width)
+def _ict_sql(width: str, sized: str | None = None, view: str | None = None) -> str:
+    """Features of one timeframe at each row of px; by default at the close of each hourly bar."""
+    break_sql, sized = BREAKS, sized or bars_sql("bars", width)
+    view = view or f"px p ASOF LEFT JOIN st ON st.instrument = p.instrument AND p.time + INTERVAL '1 hour' >= st.time + INTERVAL '{width}'"
     nearest = "first({what} ORDER BY round(abs(price - middle), 6), level_idx) FILTER (sort = '{sort}')"
 
     def near(what, sort):
@@ -133,7 +134,7 @@ def _ict_sql(width: str) -> str:
           EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.kind = 'BOS' AND k.idx BETWEEN b.idx - {LOOKBACK} AND b.idx) AS bos,
           EXISTS (SELECT 1 FROM breaks k WHERE k.instrument = b.instrument AND k.kind = 'CHOCH' AND k.idx BETWEEN b.idx - {LOOKBACK} AND b.idx) AS choch,
           EXISTS (SELECT 1 FROM disp d WHERE d.instrument = b.instrument AND d.idx BETWEEN b.idx - {LOOKBACK} AND b.idx) AS moved FROM bars b),
-      vw AS (SELECT p.instrument, p.time, p.price, st.* EXCLUDE (instrument, time) FROM px p ASOF LEFT JOIN st ON st.instrument = p.instrument AND p.time + INTERVAL '1 hour' >= st.time + INTERVAL '{width}'),
+      vw AS (SELECT p.instrument, p.time, p.price, st.* EXCLUDE (instrument, time) FROM {view}),
       nr AS (SELECT v.instrument, v.time, {near('abs(price - middle)', 'gap')} AS fd, {near('direction', 'gap')} AS fdir, {near('abs(price - middle)', 'block')} AS od, {near('direction', 'block')} AS odir, {near('abs(price - middle)', 'pool')} AS ld
         FROM vw v JOIN alive l ON l.instrument = v.instrument AND v.idx >= l.begins AND v.idx < l.ends GROUP BY 1, 2)
       SELECT v.instrument, v.time, coalesce(fd / coalesce(nullif(span, 0), 1), 0) AS fvg_distance, coalesce(fdir, 0) AS fvg_direction, coalesce(od / coalesce(nullif(span, 0), 1), 0) AS ob_distance, coalesce(odir, 0) AS ob_direction,
