@@ -78,6 +78,22 @@ def adverse_fill(bid: Column, ask: Column, buy: Column, slippage: Column | float
     return F.when(buy, ask + slippage).otherwise(bid - slippage)
 
 
+def unit(key: Column, salt: str) -> Column:
+    """A number from 0 to 1 that depends on ``key`` and ``salt`` alone: the same on any cluster and after any lost task."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", key.cast("string"), F.lit(salt))), F.lit(13)), 16, 10).cast("long") / float(2**52)
+
+
+def slipped_fill(target: Column, spread: Column, buy: Column, key: Column, most: Column | float, refused: float, seed: int) -> Column:
+    """filled, price, spread_cost and slippage of an order at ``target``, a bid: buys pay the spread, slippage up to ``most`` is adverse.
+
+    A share ``refused`` of the orders is not filled; these keep their target as price and cost nothing.
+    """
+    filled, slip = unit(key, f"reject{seed}") >= refused, unit(key, f"slip{seed}") * most
+    paid = F.when(buy, spread).otherwise(0.0)
+    price = F.when(filled, target + paid + F.when(buy, slip).otherwise(-slip)).otherwise(target)
+    return F.struct(filled.alias("filled"), price.alias("price"), F.when(filled, paid).otherwise(0.0).alias("spread_cost"), F.when(filled, slip).otherwise(0.0).alias("slippage"))
+
+
 def currency_value(text: Column) -> Column:
     """Number of a text such as ``EUR1,234.50``; null where there is none."""
     return F.replace(F.regexp_extract(text, r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit("")).try_cast("double")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.levels import level_features
@@ -51,10 +51,10 @@ class Registry:
     def tunables(self) -> list[Tunable]:
         return [replace(t, name=f"{s.name}__{t.name}") for s in self.sets for t in s.tunables]
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """The tunable parameters as rows."""
-        rows = [(t.name, float(t.default), float(t.low), float(t.high), t.kind) for t in self.tunables()]
-        return spark.createDataFrame(rows, "name string, default double, low double, high double, kind string")
+    def tunables_column(self) -> Column:
+        """The tunable parameters as an array of structs."""
+        numbers = ("default", "low", "high")
+        return F.array(*[F.struct(F.lit(t.name).alias("name"), *[F.lit(float(getattr(t, n))).alias(n) for n in numbers], F.lit(t.kind).alias("kind")) for t in self.tunables()])
 
     def settings(self, params: dict[str, float]) -> dict[str, dict[str, float]]:
         """Each set's parameters under their own names; those not given have their default, unknown ones are ignored."""

@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import bounded, running
 
 
-def _at(text: str) -> Column:
-    return F.to_timestamp_ntz(F.lit(text))
-
+def spans(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """``first`` and ``last`` day of each series; rows without a time have no part."""
+    day = F.to_date(at)
+    return df.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.min(day).alias("first"), F.max(day).alias("last"))
 
-def month_windows(spark: SparkSession, start: str, end: str, train: int, test: int) -> DataFrame:
-    """Train and test ranges that move on by the test length in months; start days are at most 28."""
-    begin = F.make_date(F.year(_at(start)), F.month(_at(start)), F.least(F.dayofmonth(_at(start)), F.lit(28)))
-    months = F.greatest(F.ceil(F.months_between(_at(end), _at(start))), F.lit(0)) + 1
-    steps = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), months.cast("long"), F.lit(test).cast("long"))).alias("k")).select(F.col("k").cast("int").alias("k"))
-    dates = steps.select((F.col("k") / test).cast("long").alias("window"), *[F.add_months(begin, F.col("k") + m).alias(n) for n, m in (("train_start", 0), ("test_start", train), ("test_end", train + test))])
-    return dates.where(F.col("test_end") <= F.to_date(_at(end)))
 
+def month_windows(spans: DataFrame, train: int, test: int) -> DataFrame:
+    """For each row of ``spans`` its train and test ranges, which move on by the test length in months; start days are at most 28."""
+    begin = F.make_date(F.year("first"), F.month("first"), F.least(F.dayofmonth("first"), F.lit(28)))
+    months = (F.greatest(F.ceil(F.months_between("last", "first")), F.lit(0)) + 1).cast("int")
+    steps = spans.withColumn("_begin", begin).withColumn("_k", F.explode(F.sequence(F.lit(0), months, F.lit(test))))
+    ranges = {n: F.add_months("_begin", F.col("_k") + m) for n, m in (("train_start", 0), ("test_start", train), ("test_end", train + test))}
+    dated = steps.withColumns({"window": (F.col("_k") / test).cast("long"), **ranges})
+    return dated.where(F.col("test_end") <= F.col("last")).drop("_begin", "_k", "first", "last")
 
-def day_windows(spark: SparkSession, start: str, end: str, train: int, test: int, step: int, to_monday: bool = False) -> DataFrame:
-    """Train and test ranges in days; ``to_monday`` moves every start to the Monday on or after it."""
-    first, last = F.to_date(_at(start)), F.to_date(_at(end))
-    snapped = F.when(F.weekday(first) > 0, F.date_add(first, 7 - F.weekday(first))).otherwise(first) if to_monday else first
-    days = spark.range(1).select(F.posexplode(F.sequence(snapped, F.greatest(last, snapped), F.expr(f"INTERVAL {step} DAYS"))).alias("window", "train_start"))
-    ranges = days.select(
-        F.col("window").cast("long").alias("window"), "train_start", F.date_add("train_start", train).alias("test_start"), F.date_add("train_start", train + test).alias("test_end")
-    )
-    return ranges.where(F.col("test_end") <= last)
 
+def day_windows(spans: DataFrame, train: int, test: int, step: int, to_monday: bool = False, validation: int = 0) -> DataFrame:
+    """For each row of ``spans`` train and test ranges in days, and ``validation_end`` where a validation range follows the test.
 
-def month_ranges(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """The calendar months that a range touches, clipped to it."""
-    first, last = F.to_date(_at(start)), F.to_date(_at(end))
-    months = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "month"), last, F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return months.select(F.greatest("month", first).alias("range_start"), F.least(F.add_months("month", 1), last).alias("range_end")).where("range_start < range_end")
+    ``to_monday`` moves the first start to the Monday on or after it. Windows whose last range ends after the span are left out.
+    """
+    snapped = F.when(F.weekday("first") > 0, F.date_add("first", 7 - F.weekday("first"))).otherwise(F.col("first")) if to_monday else F.col("first")
+    starts = F.sequence(F.col("_from"), F.greatest("last", "_from"), F.expr(f"INTERVAL {step} DAYS"))
+    days = spans.withColumn("_from", snapped).select(*spans.columns, F.posexplode(starts).alias("_window", "train_start"))
+    ranges = {"test_start": train, "test_end": train + test} | ({"validation_end": train + test + validation} if validation else {})
+    dated = days.withColumns({"window": F.col("_window").cast("long"), **{n: F.date_add("train_start", k) for n, k in ranges.items()}})
+    return dated.where(F.col(list(ranges)[-1]) <= F.col("last")).drop("_window", "first", "last")
+
+
+def month_ranges(spans: DataFrame) -> DataFrame:
+    """For each row of ``spans`` the calendar months that it touches, clipped to it."""
+    months = spans.withColumn("_month", F.explode(F.sequence(F.trunc("first", "month"), F.col("last"), F.expr("INTERVAL 1 MONTH"))))
+    clipped = months.withColumns({"range_start": F.greatest("_month", "first"), "range_end": F.least(F.add_months("_month", 1), "last")})
+    return clipped.where("range_start < range_end").drop("_month", "first", "last")
 
 
 def segments(bars: DataFrame, gap_s: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.quotes import Quotes
 from tickloom.operators.registry import standard
-from tickloom.plans.base import BARS, TICKS, bars, bars_sql, query, ticks
+from tickloom.plans.base import BARS, TICKS, bars, bars_sql, query, raw_bars, ticks
 from tickloom.plans.patterns import STREAK, W, frame
 from tickloom.plans.simulation import ICT, TOLERANCE, _ict_sql
 from tickloom.sources.scratch import stored
@@ -17,9 +17,17 @@ TUNABLES = """(VALUES ('ict__lookback', 20, 5, 50), ('ict__level_max_age', 100,
 TUNED = {"scalp__roc_fast": 3.0, "scalp__roc_slow": 12, "nobody__n": 1}
 
 
-@query("feature_tunables", f'SELECT name, d::DOUBLE AS "default", lo::DOUBLE AS low, hi::DOUBLE AS high, \'int\' AS kind FROM {TUNABLES}')
+@query(
+    "feature_tunables",
+    f"""WITH {BARS}, n AS (SELECT instrument, count(*) AS n_bars FROM bars GROUP BY 1)
+    SELECT instrument, name, d::DOUBLE AS "default", lo::DOUBLE AS low, least(hi, n_bars)::DOUBLE AS high, 'int' AS kind, n_bars >= d AS usable FROM n, {TUNABLES}""",
+)
 def feature_tunables(spark, sf_dir):
-    return standard().table(spark)
+    """The tunables of each instrument: no range reaches beyond the bars that it has."""
+    counts = raw_bars(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n_bars"))
+    tunable = F.explode(standard().tunables_column()).alias("t")
+    own = counts.select("instrument", "n_bars", tunable).select("instrument", "n_bars", "t.*")
+    return own.select("instrument", "name", "default", "low", F.least("high", F.col("n_bars").cast("double")).alias("high"), "kind", (F.col("n_bars") >= F.col("default")).alias("usable"))
 
 
 @query(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.plans.base import BARS, TICKS, bars_sql, query, raw_bars, rounded, ticks
+from tickloom.operators.rolling import scalping
+from tickloom.plans.base import BARS, TICKS, TRADES, bars, bars_sql, query, raw_bars, rounded, table, ticks, trades
+from tickloom.plans.patterns import W
 from tickloom.operators.refresh import RollUps
 from tickloom.sources import readers as R
 from tickloom.sources.scratch import scratch_path
@@ -62,15 +64,44 @@ def months_sink(spark, sf_dir):
     return R.candles_dir(spark, path).select("instrument", "month", "time", *rounded("close"), "tick_count")
 
 
-@query("params_file", "SELECT * FROM (VALUES ('extractor', 'fast', 5.0, 3.0, 12.0), ('extractor', 'slow', 20.0, 15.0, 60.0), ('trade', 'stop', 1.5, 1.0, 3.0)) t(part, name, value, low, high)")
+@query(
+    "params_file",
+    f"""WITH {TRADES}, p AS (SELECT source AS name, CASE WHEN pnl > 0 THEN 'outer' ELSE 'inner' END AS part, abs(pnl) AS size FROM trades)
+    SELECT part, name, round(quantile_cont(size, 0.5), 4) AS value, round(quantile_cont(size, 0.1), 4) AS low, round(quantile_cont(size, 0.9), 4) AS high FROM p GROUP BY 1, 2""",
+)
 def params_file(spark, sf_dir):
-    """A parameter file written with its ranges and read back, split into its inner and outer part."""
-    params = {"extractor": {"fast": (5.0, 3.0, 12.0), "slow": (20.0, 15.0, 60.0)}, "trade": {"stop": (1.5, 1.0, 3.0)}}
+    """Targets (outer) and stops (inner) of each source, with ranges, learned from its trades, written and read back by part."""
+    own = trades(spark, sf_dir).select(F.col("source").alias("name"), F.when(F.col("pnl") > 0, "outer").otherwise("inner").alias("part"), F.abs("pnl").alias("size"))
+    shares = {"value": 0.5, "low": 0.1, "high": 0.9}
     path = scratch_path(spark, "params")
-    R.write_params(spark, params, path)
+    R.write_params(own.groupBy("part", "name").agg(*[F.round(F.percentile("size", F.lit(q)), 4).alias(n) for n, q in shares.items()]), path)
     return R.read_params(spark, path)
 
 
+@query(
+    "trial_log",
+    """SELECT p_brand AS run, p_partkey AS trial, round(p_retailprice / p_size, 4) AS score, p_size::DOUBLE AS outer__size, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS inner__price FROM part""",
+)
+def trial_log(spark, sf_dir):
+    """Trials of each run written as CSV with a column for each parameter, and read back; odd sizes have no price."""
+    part = table(spark, sf_dir, "part").withColumnsRenamed({"p_brand": "run", "p_partkey": "trial"})
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    sort = F.struct(F.lit("outer").alias("part"), F.lit("size").alias("name"), size.alias("value"))
+    other = F.struct(F.lit("inner").alias("part"), F.lit("price").alias("name"), price.alias("value"))
+    params = part.select("run", "trial", F.explode(F.array_compact(F.array(sort, F.when(F.col("p_size") % 2 == 0, other)))).alias("p")).select("run", "trial", "p.*")
+    path = scratch_path(spark, "trials")
+    R.write_trial_log(part.select("run", "trial", F.round(price / F.col("p_size"), 4).alias("score")), params, ["run", "trial"], path)
+    return R.read_trial_log(spark, path, "run string, trial long, score double")
+
+
+@query("features_sink", f"WITH {BARS} SELECT time, round(CASE WHEN idx >= 5 THEN close / lag(close, 4) OVER {W} - 1 END, 6) AS roc_fast FROM bars QUALIFY instrument = 'view'")
+def features_sink(spark, sf_dir):
+    """Features written by instrument and month; a reader of one instrument and one feature opens its folders and column alone."""
+    path = scratch_path(spark, "features")
+    R.write_months(scalping(bars(spark, sf_dir)).select("instrument", "time", "roc_fast", "roc_slow", "mean_rev_z", "atr", "body_ratio"), path)
+    return R.candles_dir(spark, path).where("instrument = 'view'").select("time", *rounded("roc_fast"))
+
+
 @query("ticks_csv", f"WITH {TICKS} SELECT date_trunc('milliseconds', time) AS time, round(bid, 6) AS bid, round(ask, 6) AS ask FROM ticks")
 def ticks_csv(spark, sf_dir):
     own = ticks(spark, sf_dir).select(F.unix_millis(F.col("time").cast("timestamp")).cast("string").alias("timestamp"), F.col("bid").alias("bidPrice"), F.col("ask").alias("askPrice"))

@@ -280,6 +280,20 @@ def fill_price(spark, sf_dir):
     return ticks(spark, sf_dir).select("seq", F.round(M.adverse_fill(F.col("bid"), F.col("ask"), F.col("seq") % 2 == 0), 6).alias("fill"))
 
 
+UNIT = "(('0x' || left(md5(seq::VARCHAR || ':{salt}'), 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "fill_slipped",
+    f"""WITH {TICKS}, d AS (SELECT seq, seq % 2 = 0 AS buy, bid, ask, {UNIT.format(salt='reject7')} >= 0.05 AS filled, {UNIT.format(salt='slip7')} * 0.02 * (1 + seq % 3) AS slip FROM ticks)
+    SELECT seq, filled, round(CASE WHEN NOT filled THEN bid WHEN buy THEN ask + slip ELSE bid - slip END, 6) AS price, round(CASE WHEN filled AND buy THEN ask - bid ELSE 0 END, 6) AS spread_cost, round(CASE WHEN filled THEN slip ELSE 0 END, 6) AS slippage FROM d""",
+)
+def fill_slipped(spark, sf_dir):
+    """Orders at the bid: one in twenty is refused, the others slip by up to three times 0.02."""
+    filled = M.slipped_fill(F.col("bid"), F.col("ask") - F.col("bid"), F.col("seq") % 2 == 0, F.col("seq"), 0.02 * (1 + F.col("seq") % 3), 0.05, 7)
+    return ticks(spark, sf_dir).select("seq", filled["filled"].alias("filled"), *[F.round(filled[c], 6).alias(c) for c in ("price", "spread_cost", "slippage")])
+
+
 @query("swap_cost", f"WITH {TRADES} SELECT trade_id, round(-0.5 * 0.0001 * size * (1 + trade_id % 5), 8) AS swap FROM trades")
 def swap_cost(spark, sf_dir):
     return trades(spark, sf_dir).select("trade_id", F.round(F.lit(-0.5) * 0.0001 * F.col("size") * (1 + F.col("trade_id") % 5), 8).alias("swap"))
@@ -439,33 +453,55 @@ def _dated(df):
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
+ACCOUNT_SPANS = "s AS (SELECT o_custkey AS account, min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1)"
+
+
+def _account_spans(spark, sf_dir):
+    return V.spans(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "account"), ["account"], "o_orderdate")
+
+
 @query(
     "wf_windows_month",
-    """WITH k AS (SELECT (DATE '1995-01-28' + to_months(3 * i::INT))::DATE AS train_start, i FROM range(0, 400) r(i)), w AS (SELECT i::BIGINT AS "window", train_start, (DATE '1995-01-28' + to_months(3 * i::INT + 12))::DATE AS test_start, (DATE '1995-01-28' + to_months(3 * i::INT + 15))::DATE AS test_end FROM k)
-    SELECT "window", train_start::VARCHAR AS train_start, test_start::VARCHAR AS test_start, test_end::VARCHAR AS test_end FROM w WHERE test_end <= DATE '1998-08-02'""",
+    f"""WITH {ACCOUNT_SPANS}, k AS (SELECT account, last, make_date(year(first), month(first), least(day(first), 28)) AS begins, i FROM s, range(0, 400) r(i)),
+    w AS (SELECT account, last, i::BIGINT AS "window", (begins + to_months(3 * i::INT))::DATE AS train_start, (begins + to_months(3 * i::INT + 12))::DATE AS test_start, (begins + to_months(3 * i::INT + 15))::DATE AS test_end FROM k)
+    SELECT account, "window", train_start::VARCHAR AS train_start, test_start::VARCHAR AS test_start, test_end::VARCHAR AS test_end FROM w WHERE test_end <= last""",
 )
 def wf_windows_month(spark, sf_dir):
-    return _dated(V.month_windows(spark, "1995-01-31", "1998-08-02", 12, 3))
+    """Windows of each account's own history of orders."""
+    return _dated(V.month_windows(_account_spans(spark, sf_dir), 12, 3))
 
 
-def _days_sql(first: str, last: str, train: int, test: int, step: int) -> str:
-    return f"""WITH w AS (SELECT i::BIGINT AS "window", (DATE '{first}' + {step} * i::INT)::DATE AS train_start, (DATE '{first}' + {step} * i::INT + {train})::DATE AS test_start, (DATE '{first}' + {step} * i::INT + {train + test})::DATE AS test_end FROM range(0, 2000) r(i))
-    SELECT "window", train_start::VARCHAR AS train_start, test_start::VARCHAR AS test_start, test_end::VARCHAR AS test_end FROM w WHERE test_end <= DATE '{last}'"""
+def _days_sql(spans: str, key: str, train: int, test: int, step: int, validation: int = 0) -> str:
+    ends = f", (first + {step} * i::INT + {train + test + validation})::DATE AS validation_end" if validation else ""
+    last, shown = ("validation_end", ", validation_end::VARCHAR AS validation_end") if validation else ("test_end", "")
+    return f"""WITH {spans}, w AS (SELECT {key}, last, i::BIGINT AS "window", (first + {step} * i::INT)::DATE AS train_start, (first + {step} * i::INT + {train})::DATE AS test_start, (first + {step} * i::INT + {train + test})::DATE AS test_end{ends} FROM s, range(0, 2000) r(i))
+    SELECT {key}, "window", train_start::VARCHAR AS train_start, test_start::VARCHAR AS test_start, test_end::VARCHAR AS test_end{shown} FROM w WHERE {last} <= last"""
 
 
-@query("wf_windows_days", _days_sql("1995-01-01", "1996-02-29", 90, 30, 30))
+@query("wf_windows_days", _days_sql("s AS (SELECT user_id, min(ts)::DATE AS first, max(ts)::DATE AS last FROM events GROUP BY 1)", "user_id", 10, 4, 4, 2))
 def wf_windows_days(spark, sf_dir):
-    return _dated(V.day_windows(spark, "1995-01-01", "1996-02-29", 90, 30, 30))
+    """Windows of each user's own events, with a validation range."""
+    return _dated(V.day_windows(V.spans(table(spark, sf_dir, "events"), ["user_id"], "ts"), 10, 4, 4, validation=2))
+
 
+MONDAY_SPANS = """raw AS (SELECT o_orderpriority AS source, o_orderstatus AS status, min(o_orderdate)::DATE AS d, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1, 2),
+    s AS (SELECT source, status, (d + (8 - isodow(d)::INT) % 7)::DATE AS first, last FROM raw)"""
 
-@query("wf_windows_monday", _days_sql("1995-01-02", "1995-12-31", 28, 7, 7))
+
+@query("wf_windows_monday", _days_sql(MONDAY_SPANS, "source, status", 28, 7, 7))
 def wf_windows_monday(spark, sf_dir):
-    return _dated(V.day_windows(spark, "1995-01-01", "1995-12-31", 28, 7, 7, to_monday=True))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("status"), "o_orderdate")
+    return _dated(V.day_windows(V.spans(own, ["source", "status"], "o_orderdate"), 28, 7, 7, to_monday=True))
 
 
-@query("month_ranges", "SELECT greatest(m, DATE '1995-01-15')::DATE::VARCHAR AS range_start, least(m + INTERVAL 1 MONTH, DATE '1995-04-10')::DATE::VARCHAR AS range_end FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-04-10', INTERVAL 1 MONTH)) AS m)")
+@query(
+    "month_ranges",
+    f"""WITH {ACCOUNT_SPANS}, m AS (SELECT account, first, last, unnest(generate_series(date_trunc('month', first), last::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM s),
+    r AS (SELECT account, greatest(m, first)::DATE AS range_start, least(m + INTERVAL 1 MONTH, last)::DATE AS range_end FROM m)
+    SELECT account, range_start::VARCHAR AS range_start, range_end::VARCHAR AS range_end FROM r WHERE range_start < range_end""",
+)
 def month_ranges(spark, sf_dir):
-    return _dated(V.month_ranges(spark, "1995-01-15", "1995-04-10"))
+    return _dated(V.month_ranges(_account_spans(spark, sf_dir)))
 
 
 @query(

@@ -134,10 +134,9 @@ def valid_candles(df: DataFrame) -> DataFrame:
 PARAMS = "part string, name string, value double, low double, high double"
 
 
-def write_params(spark: SparkSession, params: dict[str, dict[str, tuple[float, float, float]]], path: str) -> None:
+def write_params(params: DataFrame, path: str) -> None:
     """Named parameters by part, each with its value and range, as one JSON line each."""
-    rows = [(part, name, *values) for part, own in params.items() for name, values in own.items()]
-    spark.createDataFrame(rows, PARAMS).coalesce(1).write.mode("overwrite").json(path)
+    params.select(*[c.split()[0] for c in PARAMS.split(", ")]).write.mode("overwrite").partitionBy("part").json(path)
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
@@ -145,6 +144,31 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARAMS).json(path)
 
 
+#: A log has at most this many parameters, as each is a column.
+MOST_PARAMS = 2_000
+
+
+def write_trial_log(trials: DataFrame, params: DataFrame, keys: list[str], path: str) -> None:
+    """Trials as CSV, one line each, with every parameter (keys, part, name, value) in a column ``part__name``.
+
+    Parameters that a trial does not have are empty; of two values of one parameter the least is written. More than
+    ``MOST_PARAMS`` parameters are an error.
+    """
+    named = params.withColumn("column", F.concat_ws("__", "part", "name"))
+    names = sorted(r["column"] for r in named.select("column").distinct().limit(MOST_PARAMS + 1).collect())
+    if len(names) > MOST_PARAMS:
+        raise ValueError(f"more than {MOST_PARAMS} parameters")
+    wide = named.groupBy(*keys).agg(*[F.min(F.when(F.col("column") == n, F.col("value"))).alias(n) for n in names])
+    trials.join(wide, keys, "left").write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_trial_log(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A trial log: its own ``columns`` as given, every column with two underscores as a number, by the header."""
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    kinds = dict(c.split() for c in columns.split(", "))
+    return df.select(*[F.col(c).try_cast(kinds.get(c, "double")).alias(c) for c in df.columns if c in kinds or "__" in c])
+
+
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], values: dict | None = None) -> DataFrame:
     """A SQL text over frames, named in it as ``{name}``, with values as ``:name``; values are never part of the text."""
     return spark.sql(text, args=values or {}, **tables)
