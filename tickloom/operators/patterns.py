@@ -6,11 +6,14 @@ the bar at which it is known.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import bounded, full, last_n, running, with_index
 from tickloom.operators.touch import first_touch
+from tickloom.sources.scratch import stored
 
 
 def true_range(window: WindowSpec) -> Column:
@@ -213,3 +216,24 @@ def mitigation(gaps: DataFrame) -> tuple[Column, Column]:
     """The prices that end a gap: at or below the bottom of a bullish one, at or above the top of a bearish one."""
     up, far = F.col("kind") == "bullish", float("inf")
     return F.when(up, F.lit(-far)).otherwise(F.col("top")), F.when(up, F.col("bottom")).otherwise(F.lit(far))
+
+
+def all_events(frames: dict[str, DataFrame], tolerance: float = 0.1) -> DataFrame:
+    """Events of every detector for each instrument and timeframe: instrument, timeframe, detector, kind, idx, time.
+
+    ``frames`` gives the bars (with idx) of each timeframe. A series is an instrument at one timeframe; all series go
+    through one plan, whatever their number, and their bars are flagged and stored once.
+    """
+    ohlc = ("time", "idx", "open", "high", "low", "close")
+    series = [df.select(F.struct("instrument", F.lit(name).alias("timeframe")).alias("instrument"), *ohlc) for name, df in frames.items()]
+    known = stored(armed(flagged(reduce(DataFrame.unionByName, series))), "armed-bars")
+    found = {
+        "swing": swings_of(known),
+        "gap": gaps_of(known),
+        "block": order_blocks_of(known),
+        "displacement": displacements_of(known),
+        "pool": liquidity_of(swings_of(known), tolerance=tolerance),
+        "break": breaks_of(known).withColumn("kind", F.concat_ws(" ", "direction", "kind")),
+    }
+    events = [df.select("instrument.*", F.lit(name).alias("detector"), "kind", "idx", "time") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, events)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import market as M
 from tickloom.operators import bars as B
+from tickloom.operators import patterns as P
 from tickloom.operators import sim
 from tickloom.operators.asof import asof_join, range_join
 from tickloom.operators.levels import level_features
 from tickloom.operators.series import bounded, with_index
-from tickloom.plans.base import BARS, bars, bars_sql, query, rounded, ticks
+from tickloom.plans.base import BARS, bars, bars_sql, query, raw_bars, rounded, ticks
 from tickloom.plans.patterns import ATR, BLOCKS, BREAKS, DISPLACED, GAPS, POOL_LISTS, W, frame
 from tickloom.plans.signals import ENTRIES, FACTORS, _entries, _scored, news_pause
 from tickloom.sources.scratch import stored
@@ -161,3 +162,21 @@ def ict_features(spark, sf_dir):
         found = level_features(views[name], frame_bars, AGE, LOOKBACK, TOLERANCE)
         out = out.join(found.select("instrument", "time", *[F.round(c, 6).alias(f"{name}_{c}") for c in ICT]), ["instrument", "time"])
     return out
+
+
+def _events_sql(width: str) -> str:
+    found = {"swing": "kind, idx FROM swings", "gap": "kind, idx FROM gaps", "block": "kind, idx FROM blocks", "displacement": "kind, idx FROM disp", "pool": "kind, idx FROM pools WHERE touches >= 2", "break": "direction || ' ' || kind, idx FROM breaks"}
+    sized = BREAKS.replace(bars_sql("bars", "1 hour"), bars_sql("bars", width))
+    parts = [f"SELECT instrument, '{width}' AS timeframe, '{name}' AS detector, {what}" for name, what in found.items()]
+    return f"(WITH {sized}, {GAPS}, {ATR}, {DISPLACED}, {BLOCKS}, {POOL_LISTS} {' UNION ALL '.join(parts)})"
+
+
+WIDTHS = ("1 hour", "4 hours", "1 day")
+
+
+@query("events_by_timeframe", " UNION ALL ".join(f"SELECT * FROM {_events_sql(w)} t(instrument, timeframe, detector, kind, idx)" for w in WIDTHS))
+def events_by_timeframe(spark, sf_dir):
+    """Every event of every detector on three timeframes."""
+    own = stored(raw_bars(spark, sf_dir), "bars")
+    frames = {w: with_index(own if w == "1 hour" else B.roll_up(own, w)) for w in WIDTHS}
+    return P.all_events(frames, TOLERANCE).select("instrument", "timeframe", "detector", "kind", "idx")
