@@ -10,10 +10,12 @@ from tickloom.operators import patterns as P
 from tickloom.operators import sim
 from tickloom.operators.asof import asof_join, range_join
 from tickloom.operators.levels import level_features
+from tickloom.operators.selection import one_at_a_time
 from tickloom.operators.series import bounded, with_index
 from tickloom.plans.base import BARS, bars, bars_sql, query, raw_bars, rounded, ticks
 from tickloom.plans.patterns import ATR, BLOCKS, BREAKS, DISPLACED, GAPS, POOL_LISTS, W, frame
-from tickloom.plans.signals import ENTRIES, FACTORS, _entries, _scored, news_pause
+from tickloom.plans.joins import NEWS
+from tickloom.plans.signals import CODES, ENTRIES, FACTORS, _entries, _scored, news_pause
 from tickloom.sources.scratch import stored
 
 
@@ -75,25 +77,25 @@ def env_rollout(spark, sf_dir):
     return sim.rollout(own, ["instrument", "path"], 0.001, 0.0001).select("instrument", "path", *rounded("value", "reward", places=4))
 
 
-@query(
-    "backtest_fixed_exit",
-    f"""WITH {BREAKS}, {FACTORS}, {ENTRIES}, s AS (SELECT instrument, idx, direction, close AS entry, 1.5 * span AS d FROM e),
+#: Each entry with its exit at a stop, a target or after 24 bars.
+FIXED_EXITS = f"""{BREAKS}, {FACTORS}, {ENTRIES}, s AS (SELECT instrument, idx, direction, close AS entry, 1.5 * span AS d FROM e),
     h AS (SELECT s.instrument, s.idx, min(CASE WHEN (direction = 'bullish' AND b.low <= entry - d) OR (direction = 'bearish' AND b.high >= entry + d) THEN b.idx END) AS stop_idx,
         min(CASE WHEN (direction = 'bullish' AND b.high >= entry + 2 * d) OR (direction = 'bearish' AND b.low <= entry - 2 * d) THEN b.idx END) AS target_idx, max(b.idx) AS last_idx, last(b.close ORDER BY b.idx) AS last_close
-      FROM s JOIN bars b ON b.instrument = s.instrument AND b.idx BETWEEN s.idx + 1 AND s.idx + 24 GROUP BY 1, 2)
-    SELECT s.instrument, s.idx, s.direction, CASE WHEN stop_idx IS NOT NULL AND (target_idx IS NULL OR stop_idx <= target_idx) THEN 'stop' WHEN target_idx IS NOT NULL THEN 'target' ELSE 'time' END AS reason,
+      FROM s JOIN bars b ON b.instrument = s.instrument AND b.idx BETWEEN s.idx + 1 AND s.idx + 24 GROUP BY 1, 2),
+    x AS (SELECT s.instrument, s.idx, s.direction, CASE WHEN stop_idx IS NOT NULL AND (target_idx IS NULL OR stop_idx <= target_idx) THEN 'stop' WHEN target_idx IS NOT NULL THEN 'target' ELSE 'time' END AS reason,
       CASE WHEN stop_idx IS NOT NULL AND (target_idx IS NULL OR stop_idx <= target_idx) THEN stop_idx WHEN target_idx IS NOT NULL THEN target_idx ELSE last_idx END AS exit_idx,
       round(CASE WHEN stop_idx IS NOT NULL AND (target_idx IS NULL OR stop_idx <= target_idx) THEN -d WHEN target_idx IS NOT NULL THEN 2 * d WHEN direction = 'bullish' THEN last_close - entry ELSE entry - last_close END, 6) AS points
-    FROM s JOIN h USING (instrument, idx)""",
-)
-def backtest_fixed_exit(spark, sf_dir):
-    entries = _entries(spark, sf_dir).select("instrument", "idx", "direction", F.col("close").alias("entry"), (1.5 * F.col("span")).alias("d"))
+    FROM s JOIN h USING (instrument, idx))"""
+
+
+def _fixed_exits(spark, sf_dir):
+    entries = _entries(spark, sf_dir).select("instrument", "time", "idx", "direction", F.col("close").alias("entry"), (1.5 * F.col("span")).alias("d"))
     path = bars(spark, sf_dir).select("instrument", F.col("idx").alias("j"), "high", "low", "close")
     met = range_join(entries, path, ["instrument"], "j", F.col("idx") + 1, F.col("idx") + 24, 24)
     up, entry, d = F.col("direction") == "bullish", F.col("entry"), F.col("d")
     stopped = F.when(up, F.col("low") <= entry - d).otherwise(F.col("high") >= entry + d)
     reached = F.when(up, F.col("high") >= entry + 2 * d).otherwise(F.col("low") <= entry - 2 * d)
-    ends = met.groupBy("instrument", "idx", "direction", "entry", "d").agg(
+    ends = met.groupBy("instrument", "time", "idx", "direction", "entry", "d").agg(
         F.min(F.when(stopped, F.col("j"))).alias("s"), F.min(F.when(reached, F.col("j"))).alias("g"), F.max("j").alias("last_idx"), F.max_by("close", "j").alias("last_close")
     )
     lost = F.col("s").isNotNull() & (F.col("g").isNull() | (F.col("s") <= F.col("g")))
@@ -101,6 +103,7 @@ def backtest_fixed_exit(spark, sf_dir):
     drift = F.when(up, F.col("last_close") - entry).otherwise(entry - F.col("last_close"))
     return ends.select(
         "instrument",
+        "time",
         "idx",
         "direction",
         F.when(lost, "stop").when(won, "target").otherwise("time").alias("reason"),
@@ -109,6 +112,33 @@ def backtest_fixed_exit(spark, sf_dir):
     )
 
 
+@query("backtest_fixed_exit", f"WITH {FIXED_EXITS} SELECT * FROM x")
+def backtest_fixed_exit(spark, sf_dir):
+    return _fixed_exits(spark, sf_dir).drop("time")
+
+
+@query(
+    "news_runs",
+    f"""WITH RECURSIVE {FIXED_EXITS}, {NEWS}, p AS (SELECT currency, time AS begins, time + INTERVAL '3 hours' AS ends FROM news WHERE {CODES} = 'pause'),
+    paused AS (SELECT b.instrument, b.idx FROM bars b WHERE EXISTS (SELECT 1 FROM p WHERE p.currency = b.instrument AND b.time >= p.begins AND b.time < p.ends)),
+    arms AS MATERIALIZED (SELECT 'without' AS arm, instrument, idx, exit_idx, points FROM x UNION ALL SELECT 'with', instrument, idx, exit_idx, points FROM x ANTI JOIN paused USING (instrument, idx)),
+    n AS MATERIALIZED (SELECT a.arm, a.instrument, a.idx, b.idx AS follows FROM arms a ASOF JOIN arms b ON a.arm = b.arm AND a.instrument = b.instrument AND a.exit_idx <= b.idx),
+    taken AS (SELECT arm, instrument, min(idx) AS idx FROM arms GROUP BY ALL UNION ALL SELECT n.arm, n.instrument, n.follows FROM taken t JOIN n ON n.arm = t.arm AND n.instrument = t.instrument AND n.idx = t.idx)
+    SELECT arm, instrument, count(*) AS n_trades, round(sum(points), 4) AS points, round(count(*) FILTER (points > 0) / count(*)::DOUBLE, 6) AS win_rate FROM arms JOIN taken USING (arm, instrument, idx) GROUP BY ALL""",
+)
+def news_runs(spark, sf_dir):
+    """The entries run twice with one position: as they are, and with those refused that fall into a pause for news.
+
+    An entry that is refused leaves room for later ones, so neither run is a part of the other.
+    """
+    own = stored(_fixed_exits(spark, sf_dir), "exits")
+    calm = news_pause(spark, sf_dir).where("NOT paused").select("instrument", "time")
+    arms = own.withColumn("arm", F.lit("without")).unionByName(own.join(calm, ["instrument", "time"], "left_semi").withColumn("arm", F.lit("with")))
+    taken = one_at_a_time(arms.select("arm", "instrument", "idx", F.col("exit_idx"), "points"), ("arm", "instrument"))
+    won = F.count(F.when(F.col("points") > 0, 1)) / F.count("*")
+    return taken.groupBy("arm", "instrument").agg(F.count("*").alias("n_trades"), F.round(F.sum("points"), 4).alias("points"), F.round(won, 6).alias("win_rate"))
+
+
 AGE, LOOKBACK, TOLERANCE = 100, 20, 2.0
 ICT = ("fvg_distance", "fvg_direction", "ob_distance", "ob_direction", "liq_distance", "bos_recent", "choch_recent", "trend", "displacement_recent", "premium_discount")
 
