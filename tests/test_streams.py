@@ -159,3 +159,23 @@ def test_health_has_every_row_once(spark, events):
     rows = health.table().collect()
     assert sum(r.rows for r in rows) == events.count() and len({r.batch for r in rows}) == len(rows)
     assert max(r.state_rows for r in rows) > 0 and {r.dropped for r in rows} == {0}
+
+
+@pytest.mark.parametrize("part_rows", [L.PART_ROWS, 20])
+def test_a_slice_is_whole_micro_batches_however_the_table_is_stored(spark, events, monkeypatch, part_rows):
+    monkeypatch.setattr(L, "PART_ROWS", part_rows)
+    late = events.where(F.col("ts") > F.lit(START + timedelta(days=2))).unionByName(events.limit(3))  # few rows in the first slices
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        feed = L.in_slices(late, "ts", 3, "feed")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    with Health(spark) as health:
+        L.drained(L.stream_bars(observed(L.tick_stream(spark, feed.path, getattr(feed, "parts", 1))), "1 hour", feed.lateness()), "bars")
+    first, last, n = late.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    width = (last - first) // 3 + timedelta(microseconds=1)
+    want = {}
+    for r in late.collect():
+        want[(r.ts - first) // width] = want.get((r.ts - first) // width, 0) + 1
+    assert {r.batch: r.rows for r in health.table().collect() if r.rows} == want and sum(want.values()) == n
