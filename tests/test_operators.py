@@ -140,6 +140,36 @@ def test_barrier_labels(spark, seed):
     assert [(r.buy_label, r.sell_label) for r in got] == labels_by_hand(rows, 2.0, 1.5, 20)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_barrier_labels_over_many_blocks_and_gaps(spark, seed, monkeypatch):
+    monkeypatch.setattr(labels, "LEAST_BLOCK", 1)
+    rng = random.Random(seed)
+    rows, t, price = [], 0, 100.0
+    for _ in range(400):
+        t += rng.choice([0, 1, 1, 2, 7, 30, rng.choice([1, 20, 21, 100, 500])])
+        price += rng.choice([-1, -0.5, 0, 0.5, 1])
+        rows.append((t, price, price + 0.5))
+    df = spark.createDataFrame([("a", i, START + timedelta(seconds=t), b, a) for i, (t, b, a) in enumerate(rows)], "instrument string, idx long, time timestamp_ntz, bid double, ask double")
+    got = labels.barrier_labels(df, F.lit(2.0), F.lit(1.5), 20).orderBy("idx").collect()
+    assert [(r.buy_label, r.sell_label) for r in got] == labels_by_hand(rows, 2.0, 1.5, 20)
+    beyond = [next((j for j in range(len(rows)) if rows[j][0] > at + 20), None) for at, _, _ in rows]
+    timed_out = [i for i, r in enumerate(got) if r.buy_exit is not None and r.buy_pnl not in (-2.0, 1.5)]
+    assert timed_out and [got[i].buy_exit for i in timed_out] == [beyond[i] for i in timed_out]
+
+
+def test_barrier_labels_write_their_rows_once_and_pass_over_nulls(spark):
+    rows = [("a", 0, 100.0, 100.5), ("a", 1, None, None), ("a", 2, 97.0, 97.5), ("a", 3, 99.0, 99.5), (None, 0, 100.0, 100.5), (None, 1, 103.0, 103.5)]
+    df = spark.createDataFrame([(k, i, START + timedelta(seconds=i), b, a) for k, i, b, a in rows], "instrument string, idx long, time timestamp_ntz, bid double, ask double")
+    spark.sparkContext.setJobGroup("labels", "labels")
+    try:
+        found = labels.barrier_labels(df, F.lit(2.0), F.lit(2.0), 20)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("labels")) <= 2  # no table for each level of a tree
+    got = {(r.instrument, r.idx): (r.buy_label, r.buy_exit, r.sell_label, r.sell_exit) for r in found.collect()}
+    assert got == {("a", 0): (0, 2, 1, 2), ("a", 1): (-1, None, -1, None), ("a", 2): (-1, None, 0, 3), ("a", 3): (-1, None, -1, None), (None, 0): (1, 1, 0, 1), (None, 1): (-1, None, -1, None)}
+
+
 def test_tick_run_stops_before_targets_and_closes_the_rest(spark):
     quotes = [(100.0, 100.5, 1), (97.0, 97.5, 0), (97.0, 97.5, -1), (96.0, 96.5, 0)]
     rows = [("a", i, b, k, 0.0, s, 0.5) for i, (b, k, s) in enumerate(quotes)]

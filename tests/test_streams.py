@@ -182,8 +182,8 @@ def test_a_slice_is_whole_micro_batches_however_the_table_is_stored(spark, event
 
 
 def test_quotes_meet_only_news_of_their_span(spark, events):
-    feed = L.in_slices(events, "ts", 1, "feed")
-    told = L.read_feed(spark, feed.path).select(F.col("event_type").alias("currency"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.lit("pause").alias("action"))
-    plan = under_news(L.tick_stream(spark, feed.path), told, 15, feed.lateness())._jdf.queryExecution().optimizedPlan().toString()
+    told = events.select(F.col("event_type").alias("currency"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.lit("pause").alias("action"))
+    quotes = L.tick_columns_of(events).withColumn("time", F.col("time").cast("timestamp"))
+    plan = under_news(quotes, told, 15, "1 hour")._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
     assert join.count(" = ") == 2  # the instrument and the span of time
