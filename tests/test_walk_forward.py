@@ -54,3 +54,15 @@ def test_sizes_on_the_ramp(spark):
     assert size(0.95, 1000.0) == pytest.approx(10.0) and size(0.9, 1000.0) == pytest.approx(10.0)
     assert size(0.7, 1000.0) == pytest.approx(2.5) and size(0.5, 1000.0) is None and size(0.3, 1000.0) is None
     assert size(0.95, 9.0) is None and size(0.95, -1.0) is None
+
+
+def test_walk_forward_takes_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    rows = [(i % 3, i, datetime(2020, 1, 1) + timedelta(days=i % 150), float(i % 7 - 2), "x" * 100) for i in range(900)]
+    trades = spark.createDataFrame(rows, "trial long, trade_id long, opened_at timestamp_ntz, pnl double, note string")
+    whole = sorted(map(repr, S.walk_forward(trades, "2020-01-01", 60, 20, 20).collect()))
+    seen = []
+    plain = S.trade_metrics
+    monkeypatch.setattr(S, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(S, "trade_metrics", lambda df, *a, **k: seen.append((df.columns, df.rdd.getNumPartitions())) or plain(df, *a, **k))
+    assert sorted(map(repr, S.walk_forward(trades, "2020-01-01", 60, 20, 20).collect())) == whole
+    assert set(seen[0][0]) == {"trial", "trade_id", "opened_at", "pnl", "window", "phase"} and seen[0][1] == 37

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tickloom.sources.scratch import stored
 
 ORDER = ("opened_at", "trade_id")
+#: Rows of one task of ``walk_forward``, about.
+TASK_ROWS = 250_000
 
 
 def trade_metrics(trades: DataFrame, *group: str, risk_free: float = 0.0, capital: float | None = None) -> DataFrame:
@@ -38,30 +40,31 @@ def trade_metrics(trades: DataFrame, *group: str, risk_free: float = 0.0, capita
     )
     if capital is None:
         return out
-    falls = drawdown(trades.withColumn("_all", F.struct(*group)), capital, "_all").select("_all.*", "max_dd", "max_dd_pct")
+    falls = drawdown(trades.select(*group, *ORDER, "pnl"), capital, *group).select(*group, "max_dd", "max_dd_pct")
     calmar = F.coalesce(F.col("total_pnl") / F.col("n_trades") * 252 / F.nullif(F.abs("max_dd_pct"), zero), zero)
     return out.join(falls, list(group)).withColumn("calmar", calmar)
 
 
-def equity(trades: DataFrame, capital: float, group: str = "account") -> DataFrame:
+def equity(trades: DataFrame, capital: float, *group: str) -> DataFrame:
     """``n``, ``equity`` after and ``before`` each trade of an account, in order of opening."""
-    window = Window.partitionBy(group).orderBy(*ORDER)
+    window = Window.partitionBy(*(group or ("account",))).orderBy(*ORDER)
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     gained = trades.withColumns({"n": F.row_number().over(window), "equity": F.sum("pnl").over(upto) + F.lit(capital)})
     return gained.withColumn("before", F.col("equity") - F.col("pnl"))
 
 
-def peaks(curve: DataFrame, capital: float, group: str = "account") -> DataFrame:
-    upto = Window.partitionBy(group).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+def peaks(curve: DataFrame, capital: float, *group: str) -> DataFrame:
+    upto = Window.partitionBy(*(group or ("account",))).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return curve.withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(upto)))
 
 
-def drawdown(trades: DataFrame, capital: float, group: str = "account") -> DataFrame:
+def drawdown(trades: DataFrame, capital: float, *group: str) -> DataFrame:
     """Largest absolute drawdown, its share of the peak at that trade (first on ties), and the largest share."""
-    curve = peaks(equity(trades, capital, group), capital, group)
+    group = group or ("account",)
+    curve = peaks(equity(trades, capital, *group), capital, *group)
     fall = F.round(F.col("peak") - F.col("equity"), 2)
     share = (F.col("peak") - F.col("equity")) / F.col("peak")
-    return curve.groupBy(group).agg(
+    return curve.groupBy(*group).agg(
         F.max(fall).alias("max_dd"), F.max_by(share, F.struct(fall, -F.col("n"))).alias("max_dd_pct"), F.max(share).alias("worst_pct")
     )
 
@@ -218,9 +221,13 @@ def in_windows(trades: DataFrame, start: str, train: int, test: int, step: int)
 def walk_forward(trades: DataFrame, start: str, train: int, test: int, step: int, capital: float = 100_000.0, least_trades: int = 5, worst_share: float = 0.5) -> DataFrame:
     """For each window the trial that scores best on its training part (``trial_score``), with the metrics of its test part.
 
-    ``trades`` has trial, opened_at, trade_id and pnl; ties go to the smaller trial.
+    ``trades`` has trial, opened_at, trade_id and pnl; ties go to the smaller trial. Each trade goes into several windows,
+    so only these columns are copied, and there are as many tasks as their rows ask for.
     """
-    metrics = trade_metrics(in_windows(trades, start, train, test, step), "window", "phase", "trial", capital=capital)
+    own = stored(trades.select("trial", *ORDER, "pnl"), "walked-trades")
+    tasks = own.count() * -(-(train + test) // step) // TASK_ROWS + 1
+    spread = in_windows(own, start, train, test, step).repartition(tasks, "window", "phase", "trial")
+    metrics = stored(trade_metrics(spread, "window", "phase", "trial", capital=capital), "walked-metrics")
     tried = metrics.where("phase = 'train'").withColumn("score", F.round(trial_score(capital, least_trades, worst_share), 6))
     best = tried.groupBy("window").agg(F.max_by(F.struct("trial", "score", F.col("n_trades").alias("n_train")), F.struct("score", -F.col("trial"))).alias("b")).select("window", "b.*")
     return best.join(metrics.where("phase = 'test'").drop("phase"), ["window", "trial"], "left")
