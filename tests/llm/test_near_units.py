@@ -42,3 +42,24 @@ def test_class_key_tells_classes_with_one_id_apart(spark, prose):
     docs = spark.createDataFrame([(6, a), (6, b), (7, a + " end"), (8, b + " end")], "doc_id long, text string")
     rows = near_dup.near_groups(docs).collect()
     assert {r.class_id for r in rows} == {6} and len({r.class_key for r in rows}) == 2
+
+
+def test_rows_of_a_large_group_grow_with_its_texts(spark, prose, monkeypatch):
+    """Each text leaves the comparisons once for its chunk and once for all others, however many chunks there are."""
+    monkeypatch.setattr(near_dup, "CHUNK_GRAMS", 2500)
+    monkeypatch.setattr(near_dup, "LEAST_WEIGHT", 100)
+    made, materialise = [], near_dup.materialise
+
+    def counted(df, label, **options):
+        out = materialise(df, label, **options)
+        if label in ("verified", "within", "across"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialise", counted)
+    base = prose(110, 3).split()
+    rows = [(n, " ".join([*base[:n], f"w{n}", *base[n + 1 :]])) for n in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[:4] for r in near_dup.near_groups(docs).collect()), key=str)
+    assert got == groups_by_hand(rows, 0.8)
+    assert 100 <= sum(made) < 250

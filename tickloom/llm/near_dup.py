@@ -3,11 +3,12 @@
 MinHash banding proposes candidates: band and row counts are chosen for a target recall at the
 threshold, and texts are shuffled on their band hashes. Candidates are gathered into clusters (connected
 components of shared buckets). A small cluster is one unit of work; a large one is dealt into chunks of
-bounded size, texts of one neighbourhood together, and a unit of work is a pair of chunks that meet in
-some bucket, so chunks of which no pair is proposed are never compared. Within a unit, pairs of distinct
-texts are verified on full n-gram sets; it returns only counts and a spanning forest of its links, never
-the pairs. Exact copies are one text throughout and come back by their content hash at the end, through a
-join that deals a hot text over salts.
+bounded size, texts of one neighbourhood together. The n-grams of a chunk are packed into one row, and each
+chunk meets the others that share a bucket with it one after the other, so chunks of which no pair is proposed
+are never compared. Pairs of distinct texts are verified on full n-gram sets. What leaves are the links of each
+text counted once within its chunk and once over all others, and a spanning forest, never the pairs: rows grow
+with the texts of a group and the pairs of its chunks, only the comparisons with the square of the texts. Exact copies are one text throughout and
+come back by their content hash at the end, through a join that deals a hot text over salts.
 
 Words are the lower-cased white-space runs of a text; a text of fewer than five words is one n-gram.
 
@@ -21,7 +22,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, materialise, split_join, text_or_empty
+from tickloom.llm.common import batches_of, discard, materialise, split_join, text_or_empty
 from tickloom.llm.components import components
 
 WORDS = 5
@@ -194,6 +195,125 @@ def _verifier(threshold: float):
     return verify
 
 
+PACK = "chunk long, uids array<long>, links array<long>, roots array<long>, sizes array<int>, grams binary"
+
+
+def _packed(chunk: int, uids: list[int], sets: list[np.ndarray], threshold: float) -> pd.DataFrame:
+    """One row of a chunk: its texts with the links among them, and their n-grams one after the other."""
+    own = _verify_unit(uids, sets, [0] * len(uids), threshold, False)
+    row = {"chunk": chunk, "uids": uids, "links": own["links"].tolist(), "roots": own["root"].tolist(), "sizes": [len(s) for s in sets], "grams": np.concatenate(sets).tobytes()}
+    return pd.DataFrame([row])
+
+
+def _packer(threshold: float):
+    """Streams texts sorted by chunk and uid into one row for each chunk."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, uids, sets = None, [], []
+        for batch in batches:
+            for chunk, uid, text in zip(batch["chunk"].tolist(), batch["uid"].tolist(), batch["text"].tolist()):
+                if chunk != held:
+                    if uids:
+                        yield _packed(held, uids, sets, threshold)
+                    held, uids, sets = chunk, [], []
+                if not uids or uids[-1] != uid:
+                    uids.append(uid)
+                    sets.append(grams(text))
+        if uids:
+            yield _packed(held, uids, sets, threshold)
+
+    return pack
+
+
+class _Chunk:
+    """A chunk unpacked: n-grams ascending, with the place of the text that each is of."""
+
+    def __init__(self, row: dict):
+        self.uids, self.roots = np.asarray(row["uids"]), np.asarray(row["roots"])
+        self.sizes = np.asarray(row["sizes"]).astype(np.float64)
+        found = np.frombuffer(row["grams"], dtype=np.uint64)
+        order = np.argsort(found, kind="stable")
+        self.grams, self.owner = found[order], np.repeat(np.arange(len(self.uids)), row["sizes"])[order]
+
+    def within(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and places in ``known`` of the n-grams that are there, in order of place."""
+        at = np.minimum(np.searchsorted(known, self.grams), len(known) - 1)
+        there = known[at] == self.grams
+        return self.owner[there], at[there]
+
+
+def links_across(one: _Chunk, two: _Chunk, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's place in ``one`` with the places of the texts of ``two`` it is linked to, if any; shared n-grams as in ``linked``."""
+    known, width = np.intersect1d(one.grams, two.grams), 2048
+    if not len(known):
+        return
+    common = np.zeros((len(one.uids), len(two.uids)), dtype=np.float32)
+    sides = [(own, at, np.searchsorted(at, np.arange(0, len(known) + width, width))) for own, at in (one.within(known), two.within(known))]
+    for k in range(-(-len(known) // width)):
+        dense = []
+        for own, at, ends in sides:
+            some, column = own[ends[k] : ends[k + 1]], at[ends[k] : ends[k + 1]] - k * width
+            rows = np.unique(some)
+            cells = np.zeros((len(rows), width), dtype=np.float32)
+            cells[np.searchsorted(rows, some), column] = 1
+            dense.append((rows, cells))
+        (left, a), (right, b) = dense
+        common[np.ix_(left, right)] += a @ b.T
+    for i in range(len(one.uids)):
+        near = np.flatnonzero(common[i] >= threshold * (one.sizes[i] + two.sizes - common[i]) - 1e-9)
+        if len(near):
+            yield i, near
+
+
+#: Groups of texts whose connections a task remembers; beyond them it forgets, and may name a connection twice.
+MOST_KNOWN = 200_000
+
+
+def _across(threshold: float):
+    """Streams rows sorted by home, side and chunk, the home chunk before those it meets; two chunks are in memory at a time.
+
+    Gives each text of the home with a link its links to other chunks, and connections (links 0) of groups that are
+    whole within their chunks, each once.
+    """
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        home, links, edges, parent = None, None, [], {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def told() -> pd.DataFrame:
+            some = np.flatnonzero(links)
+            ends = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            uids = np.concatenate([home.uids[some], ends[:, 0]])
+            return pd.DataFrame({"uid": uids, "links": np.concatenate([links[some], np.zeros(len(ends), dtype=np.int64)]), "root": np.concatenate([home.uids[some], ends[:, 1]])})
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                if row["side"] == 0:
+                    if home is not None:
+                        yield told()
+                    home, edges, parent = _Chunk(row), [], {}
+                    links = np.zeros(len(home.uids), dtype=np.int64)
+                    continue
+                other = _Chunk(row)
+                if len(parent) > MOST_KNOWN:
+                    parent.clear()
+                for i, near in links_across(home, other, threshold):
+                    links[i] += len(near)
+                    for far in np.unique(other.roots[near]).tolist():
+                        a, b = root(int(home.roots[i])), root(far)
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            edges.append((max(a, b), min(a, b)))
+        if home is not None:
+            yield told()
+
+    return meet
+
+
 def _members(texts: DataFrame) -> DataFrame:
     """(bucket, uid) of every text."""
     return texts.select("uid", F.posexplode("bands").alias("band", "value")).select("uid", F.xxhash64("band", "value").alias("bucket"))
@@ -208,8 +328,8 @@ def _bucket_edges(texts: DataFrame) -> DataFrame:
     return met.select(F.col("uid").alias("a"), "b", "bucket")
 
 
-def _units(clusters: DataFrame, texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Each candidate text once per unit of work (cluster, low and high chunk, and its own chunk), and the tables behind it."""
+def _units(clusters: DataFrame, texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Texts of small clusters, texts of large ones with their chunk, the chunks that meet (both ways), and the tables behind them."""
     sized = texts.select("uid", "rep", "key", F.greatest("n", F.lit(LEAST_WEIGHT)).alias("weight"))
     weighed = materialise(clusters.join(sized, "uid"), "weighed")
     crowded = weighed.groupBy("cluster").agg(F.sum("weight").alias("total")).where(F.col("total") > CHUNK_GRAMS).select("cluster")
@@ -222,11 +342,39 @@ def _units(clusters: DataFrame, texts: DataFrame, edges: DataFrame) -> tuple[Dat
     chunked = materialise(dealt.select("uid", "rep", "key", "cluster", "chunk"), "chunked")
     present = edges.select(F.col("a").alias("uid"), "bucket").join(chunked.select("uid", "chunk"), "uid").select("bucket", "chunk").distinct()
     present = materialise(present, "present")
-    other = present.select("bucket", F.col("chunk").alias("other"))
-    met = split_join(present, other, "bucket", "chunk").select(F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).distinct()
-    both = met.withColumn("chunk", F.explode(F.array_distinct(F.array("low", "high"))))
-    many = split_join(chunked, both, "chunk", "uid")
-    return one.unionByName(many.select(*one.columns)), [weighed, homed, chunked, present]
+    other = present.select("bucket", F.col("chunk").alias("home"))
+    met = materialise(split_join(present, other, "bucket", "chunk").where("chunk <> home").select("home", "chunk").distinct(), "met")
+    return one, chunked, met, [weighed, homed, chunked, present, met]
+
+
+def _verified(keyed: DataFrame, one: DataFrame, chunked: DataFrame, met: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links of texts and a spanning forest, (uid, links, root), in tables on disk: of small clusters, within chunks, across chunks."""
+
+    def with_text(units: DataFrame, *names: str) -> DataFrame:
+        same = (keyed["key"] == units["key"]) & keyed["doc_id"].eqNullSafe(units["rep"])
+        return units.join(keyed, same).select(*names, "text")
+
+    work = with_text(one, "cluster", "low", "high", "uid", "chunk")
+    streamed = work.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "uid")
+    small_ones = materialise(streamed.mapInPandas(_verifier(threshold), LINKED), "verified")
+    if chunked.isEmpty():
+        return [small_ones]
+    texts = with_text(chunked, "chunk", "uid").repartition("chunk").sortWithinPartitions("chunk", "uid")
+    packs = materialise(texts.mapInPandas(_packer(threshold), PACK), "packs")
+    inside = packs.select(F.explode(F.arrays_zip("uids", "links", "roots")).alias("t")).select(F.col("t.uids").alias("uid"), F.col("t.links").alias("links"), F.col("t.roots").alias("root"))
+    own = packs.withColumns({"home": F.col("chunk"), "side": F.lit(0)})
+    both = own.unionByName(packs.join(met, "chunk").withColumn("side", F.lit(1)))
+    homes = both.drop("links").repartition("home").sortWithinPartitions("home", "side", "chunk")
+    with batches_of(packs.sparkSession, PACKS_AT_ONCE):
+        across = materialise(homes.mapInPandas(_across(threshold), LINKED), "across")
+    within = materialise(inside, "within")
+    discard(packs)
+    return [small_ones, within, across]
+
+
+LINKED = "uid long, links long, root long"
+#: Packed chunks, of a few megabytes each, that go to a Python worker at once.
+PACKS_AT_ONCE = 4
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -239,17 +387,15 @@ def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     texts = materialise(once.withColumn("uid", F.monotonically_increasing_id()), "texts")
     edges = materialise(_bucket_edges(texts), "stars")
     labels = components(edges)
-    units, behind = _units(labels.select(F.col("node").alias("uid"), F.col("root").alias("cluster")), texts, edges)
-    same = (keyed["key"] == units["key"]) & keyed["doc_id"].eqNullSafe(units["rep"])
-    work = units.join(keyed, same).select("cluster", "low", "high", "uid", "chunk", "text")
-    sorted_work = work.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "uid")
-    verified = materialise(sorted_work.mapInPandas(_verifier(threshold), "uid long, links long, root long"), "verified")
+    one, chunked, met, behind = _units(labels.select(F.col("node").alias("uid"), F.col("root").alias("cluster")), texts, edges)
+    parts = _verified(keyed, one, chunked, met, threshold)
+    verified = reduce(DataFrame.unionByName, parts)
     discard(edges, labels, *behind)
     classes = components(verified.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("uid").agg(F.sum("links").alias("n_links"))
     named = texts.select("key", "uid", "rep", "copies").join(classes.select(F.col("node").alias("uid"), "root"), "uid", "left").join(links, "uid", "left")
     named = materialise(named.withColumn("root", F.coalesce("root", "uid")), "named")
-    discard(texts, verified, classes)
+    discard(texts, *parts, classes)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key"))
     names = named.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rep").alias("class_id"), F.col("first.key").alias("class_key"))
     per_text = split_join(named, names, "root", "uid").select("key", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
