@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tickloom.operators.bars import candles
 from tickloom.streaming import live as L
 from tickloom.streaming.detectors import Series, detected
 from tickloom.streaming.health import Health, observed
+from tickloom.streaming import labels
 from tickloom.streaming.labels import OPEN, Barriers, stream_labels
 from tickloom.streaming.news import under_news
 
@@ -187,3 +189,31 @@ def test_quotes_meet_only_news_of_their_span(spark, events):
     plan = under_news(quotes, told, 15, "1 hour")._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
     assert join.count(" = ") == 2  # the instrument and the span of time
+
+
+@pytest.mark.parametrize("cut, block", [(1, 4), (7, 4), (400, 16), (400, 1 << 16)])
+def test_blocks_of_ticks_are_labelled_as_tick_by_tick(monkeypatch, cut, block):
+    """Quotes that are carried from release to release, and ties of time."""
+    monkeypatch.setattr(labels, "BLOCK", block)
+    rng, barriers, told = random.Random(2), Barriers(2.0, 3.0, 50), []
+    rows, now, price = [], 0, 100.0
+    for seq in range(400):
+        now += rng.choice((0, 1, 3, 70 if seq % 90 == 0 else 2))
+        price += rng.choice((-1.5, -0.5, 0.0, 0.5, 1.5))
+        rows.append((now, seq, price - 0.25, price + 0.25))
+        told += [(q[1], q[4], q[5]) for q in barriers.add(*rows[-1])]
+    ticks = np.array(rows, dtype=[("time", "<i8"), ("seq", "<i8"), ("bid", "<f8"), ("ask", "<f8")])
+    got, pending = [], np.empty(0, dtype=labels.QUOTES)
+    for at in range(0, len(ticks), cut):
+        done, pending = labels.settled(pending, ticks[at : at + cut], 2.0, 3.0, 50)
+        got += done[["seq", "buy", "sell"]].tolist()
+    assert sorted(got) == sorted(told) and len(got) > 300
+    assert pending["seq"].tolist() == [q[1] for q in barriers.pending()]
+
+
+def test_a_price_that_is_not_a_number_holds_up_no_other():
+    rows = [(n, n, float("nan") if n == 20 else 100.0 - n % 7, 101.0 - n % 7) for n in range(200)]
+    ticks = np.array(rows, dtype=[("time", "<i8"), ("seq", "<i8"), ("bid", "<f8"), ("ask", "<f8")])
+    done, pending = labels.settled(np.empty(0, dtype=labels.QUOTES), ticks, 2.0, 3.0, 50)
+    assert len(done) + len(pending) == 200 and pending["time"].min() >= 199 - 50
+    assert done[done["seq"] == 20][["buy", "sell"]].tolist() == [(1, -1)]

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
+from tickloom.operators.labels import _first
 from tickloom.streaming.ordered import InOrder
 
 LABELS = "instrument string, seq long, buy_label int, sell_label int"
@@ -17,7 +18,7 @@ OPEN = -9
 
 
 class Barriers:
-    """Open quotes, each side of them sorted by the price at which it is decided.
+    """Open quotes, each side of them sorted by the price at which it is decided: the rules tick by tick, which tests hold ``settled`` against.
 
     Of a side, the quote that a price decides first is at the top of its heap, so a tick looks at those that it decides
     and one more. Quotes are decided by time in the order in which they came. On the tick past the timeout the barriers
@@ -78,8 +79,49 @@ def _drift(points: float) -> int:
     return 1 if points > 0 else 0 if points < 0 else -1
 
 
+#: Ticks that are looked through at once, at least.
+BLOCK = 1 << 16
+QUOTES = np.dtype([("time", "<i8"), ("seq", "<i8"), ("bid", "<f8"), ("ask", "<f8"), ("buy", "<i4"), ("sell", "<i4")])
+
+
+def settled(pending: np.ndarray, ticks: np.ndarray, stop: float, target: float, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``Barriers`` decides in further ``ticks``, sorted: the quotes decided on both sides, and those still pending.
+
+    First touches of all quotes of a block are found at once, by minima over doubling spans.
+    """
+    done, at = [], 0
+    while at < len(ticks):
+        some = ticks[at : at + max(BLOCK, len(pending))]
+        at += len(some)
+        new = np.empty(len(some), dtype=QUOTES)
+        for c in ("time", "seq", "bid", "ask"):
+            new[c] = some[c]
+        new["buy"] = new["sell"] = OPEN
+        quotes = np.concatenate([pending, new])
+        start = np.concatenate([np.zeros(len(pending), dtype=np.int64), np.arange(1, len(some) + 1)])
+        after = np.searchsorted(some["time"], quotes["time"] + span, side="right")
+        end, over = np.minimum(after + 1, len(some)), after < len(some)
+        last = np.minimum(after, len(some) - 1)
+        bid, ask = some["bid"], some["ask"]
+        low, high = ({n: np.where(np.isnan(v), np.inf, sign * v) for n, v in (("bid", bid), ("ask", ask))} for sign in (1, -1))
+        sides = (
+            ("buy", low["bid"], quotes["ask"] - stop, high["bid"], -(quotes["ask"] + target), bid[last] - quotes["ask"]),
+            ("sell", high["ask"], -(quotes["bid"] + stop), low["ask"], quotes["bid"] - target, quotes["bid"] - ask[last]),
+        )
+        for side, stops, stop_at, targets, target_at, worth in sides:
+            lost, won = _first(stops, stop_at, start, end), _first(targets, target_at, start, end)
+            points = np.round(worth, 9)
+            drift = np.where(points > 0, 1, np.where(points < 0, 0, -1))
+            label = np.where((lost < end) & (lost <= won), 0, np.where(won < end, 1, np.where(over, drift, OPEN)))
+            quotes[side] = np.where(quotes[side] == OPEN, label, quotes[side])
+        decided = (quotes["buy"] != OPEN) & (quotes["sell"] != OPEN)
+        done.append(quotes[decided])
+        pending = quotes[~decided]
+    return np.concatenate(done) if done else np.empty(0, dtype=QUOTES), pending
+
+
 class Labeler(InOrder):
-    """State beside the waiting rows: a list of the quotes that are not decided, at most those of one timeout."""
+    """State beside the waiting rows: the quotes that are not decided, packed, at most those of one timeout."""
 
     columns = ("time", "seq", "bid", "ask")
 
@@ -87,17 +129,16 @@ class Labeler(InOrder):
         self.rules = stop, target, timeout_s * 1_000_000
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", "at long, seq long, bid double, ask double, buy int, sell int")
+        self.open = handle.getValueState("open", "quotes binary")
 
     def released(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
-        barriers = Barriers(*self.rules, list(self.open.get()) if self.open.exists() else [])
-        out = [(key[0], q[1], q[4], q[5]) for row in rows.tolist() for q in barriers.add(*row)]
-        pending = barriers.pending()
-        if pending:
-            self.open.put(pending)
+        pending = np.frombuffer(self.open.get()[0] if self.open.exists() else b"", dtype=QUOTES)
+        done, pending = settled(pending, rows, *self.rules)
+        if len(pending):
+            self.open.update((pending.tobytes(),))
         else:
             self.open.clear()
-        return pd.DataFrame(out, columns=["instrument", "seq", "buy_label", "sell_label"])
+        return pd.DataFrame({"instrument": key[0], "seq": done["seq"], "buy_label": done["buy"], "sell_label": done["sell"]})
 
 
 def stream_labels(stream: DataFrame, stop: float, target: float, timeout_s: int, lateness: str) -> DataFrame:
