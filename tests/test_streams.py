@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.bars import candles
+from tickloom.plans import live as live_plans
 from tickloom.streaming import live as L
 from tickloom.streaming.detectors import Series, detected
 from tickloom.streaming.health import Health, observed
@@ -217,3 +218,10 @@ def test_a_price_that_is_not_a_number_holds_up_no_other():
     done, pending = labels.settled(np.empty(0, dtype=labels.QUOTES), ticks, 2.0, 3.0, 50)
     assert len(done) + len(pending) == 200 and pending["time"].min() >= 199 - 50
     assert done[done["seq"] == 20][["buy", "sell"]].tolist() == [(1, -1)]
+
+
+def test_feeds_of_quotes_hold_what_quotes_are_made_of(spark):
+    feed = live_plans._feed(spark, "/root/testdata/sf0.001")
+    dropped = spark.read.option("recursiveFileLookup", True).parquet(feed.path)
+    assert set(dropped.columns) == {"event_id", "ts", "event_type", "value"}
+    assert dropped.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() + 1
