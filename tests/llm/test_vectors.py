@@ -86,3 +86,31 @@ def test_stored_graph_is_the_graph():
 def test_large_finite_values(spark):
     data = np.random.default_rng(7).normal(size=(60, 4)) * 1e37
     assert vectors.nearest(table_of(spark, data), F.col("vec_id") == 0).count() == 20
+
+
+def test_shards_do_not_multiply_with_the_table(spark, monkeypatch):
+    data = np.random.default_rng(8).normal(size=(3000, 16))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    rows, write = {}, vectors.materialise
+
+    def counted(df, label, **more):
+        made = write(df, label, **more)
+        rows[label] = made.count()
+        return made
+
+    monkeypatch.setattr(vectors, "materialise", counted)
+    found = vectors.nearest(table_of(spark, data), F.col("vec_id") % 20 == 0, shard_rows=50)
+    assert recall(found, data) >= 0.95
+    assert 2 <= rows["graphs"] <= 2 * 16 and rows["visits"] <= 150 * 2 * 16
+
+
+def test_queries_together_find_what_each_finds():
+    rng = np.random.default_rng(9)
+    points = np.vstack([rng.normal(size=(2500, 12)), 40 + rng.normal(size=(500, 12))])
+    rng.shuffle(points)
+    graph, q = vectors.Graph(points), points[:60].astype(np.float32)
+    together = graph.nearest_all(q)
+    exact = np.argsort(((points[None, :, :] - points[:60, None, :]) ** 2).sum(axis=2), axis=1)[:, :20]
+    for i in range(60):
+        assert together[i].tolist() == graph.nearest(q[i]) and len(set(together[i])) == vectors.SEARCH_WIDTH
+    assert np.mean([len(set(t) & set(e)) / 20 for t, e in zip(together.tolist(), exact.tolist())]) >= 0.97

@@ -24,7 +24,6 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pandas as pd
@@ -35,15 +34,23 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialise, small, split_join
 
 NEAREST = 20
-SHARD_ROWS = 4096
+#: A group of vectors is cut into about ``SHARDS`` shards, of ``SHARD_ROWS`` vectors at least and ``SHARD_COMPONENTS`` components at most.
+SHARD_ROWS, SHARDS, SHARD_COMPONENTS = 4096, 16, 1 << 22
 LINKS = 12
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 128
+#: The beam of a search is ``WIDTH_GROWTH`` times the root of the shard's vectors wide, and ``SEARCH_WIDTH`` at least.
+SEARCH_WIDTH, WIDTH_GROWTH = 128, 2.0
 SEED = 3
+#: Points that are inserted at once, points of a beam whose neighbours are looked at in one step, width of beams above the layer.
+INSERTED, EXPANDED, DESCENT_WIDTH = 1024, 8, 16
+#: Marks of the points that the beams of one step have met, a byte each.
+MET_BYTES = 16 << 20
+#: Components of found vectors that are scored at once.
+SCORED = 1 << 22
 #: log2 of the ratio of norms within one band.
 BAND_BITS = 4
 #: Queries in one task of one shard.
-CHUNK_QUERIES = 2000
+CHUNK_QUERIES = 16_000
 #: Shards of at most this many vectors are searched whole.
 WHOLE = 256
 MAX_CELLS, CELL_SAMPLE, CELL_ROUNDS, MAX_ROUTED_GROUPS = 1024, 64, 6, 64
@@ -51,129 +58,185 @@ PROBES, ROUTED = 256, 0.97
 SMALL_ROWS = 100_000
 
 
+_NONE, _LAST = np.uint64(2**64 - 1), np.uint64(1)
+
+
+def _keys(gaps: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Distances and numbers as integers that sort by distance; the last bit tells whether the neighbours were looked at."""
+    high = np.maximum(gaps, 0).astype(np.float32).view(np.uint32).astype(np.uint64)
+    return (high << np.uint64(32)) | (numbers.astype(np.uint64) << _LAST)
+
+
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    return ((keys & np.uint64(2**32 - 1)) >> _LAST).astype(np.int64)
+
+
 class Graph:
-    """Hierarchical small-world graph over rows of ``points``; ``flat[layer]`` holds neighbour numbers, -1 where free."""
+    """Hierarchical small-world graph over rows of ``points``; ``flat[layer]`` holds neighbour numbers, -1 where free.
+
+    Points come in an order that has nothing to do with where they lie: layer ``l`` holds the first n / ``links`` ** l
+    of them. Points are inserted, and queries answered, many at a time, each with a beam of its own.
+    """
 
     @classmethod
     def stored(cls, points: np.ndarray, heights: np.ndarray, flat: list[bytes], entry: int, links: int = LINKS) -> Graph:
         """A graph from its flat neighbour arrays."""
         own = cls.__new__(cls)
         own._lay_out(points, heights, links)
-        own.flat = [np.frombuffer(f, dtype=np.int32).reshape(len(d), -1) for f, d in zip(flat, own.degree)]
-        own.degree = [(f >= 0).sum(axis=1) for f in own.flat]
-        own.entry, own.top = entry, len(own.flat) - 1
+        own.flat = [np.frombuffer(f, dtype=np.int32).reshape(n, -1) for f, n in zip(flat, own.sizes)]
+        own.entry = entry
         return own
 
     def __init__(self, points: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH):
-        n = len(points)
-        heights = (-np.log(np.random.default_rng(SEED).random(n).clip(1e-12)) / np.log(links)).astype(np.int8)
+        n, sizes = len(points), [len(points)]
+        while sizes[-1] > 4 * links:
+            sizes.append(-(-sizes[-1] // links))
+        heights = np.zeros(n, dtype=np.int8)
+        for layer, size in enumerate(sizes[1:], 1):
+            heights[:size] = layer
         self._lay_out(points, heights, links)
-        for i in range(n):
-            self._insert(i, int(heights[i]), width)
+        self.flat = [np.full((size, (3 if layer else 4) * links), -1, dtype=np.int32) for layer, size in enumerate(self.sizes)]
+        self.degree = [np.zeros(size, dtype=np.int32) for size in self.sizes]
+        self.entry = 0 if n else -1
+        for layer in range(len(self.sizes) - 1, -1, -1):
+            above = self.sizes[layer + 1] if layer + 1 < len(self.sizes) else self.sizes[layer]
+            for start in range(0, above, INSERTED):
+                self._insert(start, min(start + INSERTED, above), 0, above, width, layer)
+            for start in range(above, self.sizes[layer], INSERTED):
+                end = min(start + INSERTED, self.sizes[layer])
+                self._insert(start, end, start, end, width, layer)
 
     def _lay_out(self, points: np.ndarray, heights: np.ndarray, links: int) -> None:
-        self.heights = heights
+        self.heights, self.links = heights, links
         self.points = np.ascontiguousarray(points, dtype=np.float32)
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
-        self.links, n = links, len(points)
-        layers = int(heights.max()) + 1 if n else 0
-        room = [3 * links if layer else 4 * links for layer in range(layers)]
-        self.flat = [np.full((n if layer == 0 else int((heights >= layer).sum()), room[layer]), -1, dtype=np.int32) for layer in range(layers)]
-        self.degree = [np.zeros(len(f), dtype=np.int32) for f in self.flat]
-        self.place = [np.arange(n)] + [np.cumsum(heights >= layer) - 1 for layer in range(1, layers)]
-        self.stamp, self.round = np.zeros(n, dtype=np.int64), 0
-        self.entry, self.top = -1, -1
-
-    def _around(self, i: int, layer: int) -> np.ndarray:
-        at = self.place[layer][i]
-        return self.flat[layer][at, : self.degree[layer][at]]
-
-    def _search(self, q: np.ndarray, begin: list[tuple[float, int]], width: int, layer: int) -> list[tuple[float, int]]:
-        """The ``width`` nearest found from ``begin``, as (distance less |q|^2, number), nearest first."""
-        self.round += 1
-        stamp, mark, points, norms = self.stamp, self.round, self.points, self.norms
-        stamp[[i for _, i in begin]] = mark
-        near, best = sorted(begin), [(-d, i) for d, i in begin]
-        best.sort()
-        while near:
-            d, i = heappop(near)
-            if len(best) >= width and d > -best[0][0]:
-                break
-            around = self._around(i, layer)
-            around = around[stamp[around] != mark]
-            if not len(around):
-                continue
-            stamp[around] = mark
-            gaps = norms[around] - 2 * (points[around] @ q)
-            if len(best) >= width:
-                good = gaps < -best[0][0]
-                around, gaps = around[good], gaps[good]
-            for g, j in zip(gaps.tolist(), around.tolist()):
-                if len(best) < width:
-                    heappush(best, (-g, j))
-                elif g < -best[0][0]:
-                    heapreplace(best, (-g, j))
-                else:
-                    continue
-                heappush(near, (g, j))
-        return sorted((-d, i) for d, i in best)
-
-    def _spread(self, found: list[tuple[float, int]], q_norm: float, most: int) -> list[int]:
-        """Of candidates nearest first, those nearer to the point than to any chosen before; filled up with the rest."""
-        ids = np.array([i for _, i in found])
-        if len(ids) <= most // 2:
-            return ids.tolist()
-        own = np.array([d for d, _ in found], dtype=np.float32) + q_norm
-        some = self.points[ids]
-        gaps = self.norms[ids][:, None] + self.norms[ids][None, :] - 2 * (some @ some.T)
-        closest = np.full(len(ids), np.inf, dtype=np.float32)
-        chosen, rest = [], []
-        for k in range(len(ids)):
-            if own[k] < closest[k]:
-                chosen.append(k)
-                if len(chosen) == most:
-                    break
-                np.minimum(closest, gaps[k], out=closest)
-            else:
-                rest.append(k)
-        return ids[chosen + rest[: max(0, most // 2 - len(chosen))]].tolist()
-
-    def _insert(self, i: int, height: int, width: int) -> None:
-        q = self.points[i]
-        if self.entry < 0:
-            self.entry, self.top = i, height
+        self.sizes = [int((heights >= layer).sum()) for layer in range(int(heights.max()) + 1)] if len(points) else []
+
+    def _gaps(self, numbers: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Squared distances of the points in each row of ``numbers`` from that row of ``q``."""
+        inner = np.matmul(np.take(self.points, numbers, axis=0), q[:, :, None])[:, :, 0]
+        return np.take(self.norms, numbers) + np.einsum("ij,ij->i", q, q)[:, None] - 2 * inner
+
+    def _search(self, q: np.ndarray, begin: np.ndarray, width: int, layer: int) -> np.ndarray:
+        """Keys of the ``width`` nearest found for each row of ``q`` from its row of ``begin``, nearest first."""
+        n, flat = self.sizes[layer], self.flat[layer]
+        met = np.zeros(len(q) * n, dtype=bool)
+        met[(np.arange(len(q))[:, None] * n + begin)[begin >= 0]] = True
+        beam = np.full((len(q), max(width, begin.shape[1])), _NONE)
+        beam[:, : begin.shape[1]] = np.where(begin < 0, _NONE, _keys(self._gaps(np.maximum(begin, 0), q), np.maximum(begin, 0)))
+        beam = np.sort(beam, axis=1)[:, :width]
+        active = np.arange(len(q))
+        while len(active):
+            own = beam[active]
+            fresh = np.where(own & _LAST, _NONE, own)
+            nth = min(EXPANDED, width) - 1
+            row, col = np.nonzero((fresh <= np.partition(fresh, nth, axis=1)[:, nth : nth + 1]) & (fresh != _NONE))
+            around = np.take(flat, _numbers(own[row, col]), axis=0)
+            own[row, col] |= _LAST
+            places = ((active[row] * n)[:, None] + around)[around >= 0]
+            places = np.sort(places[~np.take(met, places)])
+            places = places[np.append(True, places[1:] != places[:-1])[: len(places)]]
+            met[places] = True
+            row, number = np.divmod(places, n)
+            row = np.searchsorted(active, row)
+            count = np.bincount(row, minlength=len(active))
+            if len(row):
+                slot = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                some = np.zeros((len(active), int(count.max())), dtype=np.int64)
+                some[row, slot] = number
+                keys = _keys(self._gaps(some, q[active]), some)
+                keys[np.arange(some.shape[1]) >= count[:, None]] = _NONE
+                own = np.partition(np.hstack([own, keys]), width - 1, axis=1)[:, :width]
+            beam[active] = own
+            active = active[((own & _LAST) == 0).any(axis=1)]
+        return np.sort(beam, axis=1)
+
+    def _descend(self, q: np.ndarray, layer: int) -> np.ndarray:
+        """Where to begin in a layer: what narrow beams find in the layer above, -1 where they find less."""
+        begin = np.full((len(q), 1), self.entry, dtype=np.int64)
+        for above in range(len(self.sizes) - 1, layer, -1):
+            keys = self._search(q, begin, DESCENT_WIDTH, above)
+            begin = np.where(keys == _NONE, -1, _numbers(keys))
+        return begin
+
+    def _found(self, q: np.ndarray, width: int, layer: int) -> np.ndarray:
+        """Keys of the ``width`` nearest found for each row of ``q``, some rows at a time so that little memory is needed."""
+        step = max(1, min(INSERTED // 2, MET_BYTES // max(1, self.sizes[layer])))
+        parts = [q[i : i + step] for i in range(0, len(q), step)]
+        return np.concatenate([self._search(part, self._descend(part, layer), width, layer) for part in parts])
+
+    def _insert(self, start: int, end: int, low: int, high: int, width: int, layer: int) -> None:
+        """Link the points ``start`` to ``end`` to near ones: those of ``low`` to ``high``, and found ones before ``low``."""
+        q = self.points[start:end]
+        gaps = self.norms[start:end, None] + self.norms[None, low:high] - 2 * (q @ self.points[low:high].T)
+        keys = _keys(gaps, np.broadcast_to(np.arange(low, high), gaps.shape))
+        keys[np.arange(end - start), np.arange(start - low, end - low)] = _NONE
+        if high - low > width:
+            keys = np.partition(keys, width - 1, axis=1)[:, :width]
+        if low:
+            keys = np.hstack([keys, self._found(q, width, layer)])
+        keys = np.sort(keys, axis=1)[:, :width]
+        chosen = self._spread(keys, self.links)
+        row, col = np.nonzero(chosen != _NONE)
+        near = _numbers(chosen[row, col])
+        both = np.unique(np.concatenate([(row + start) * len(self.points) + near, near * len(self.points) + row + start]))
+        self._link(*np.divmod(both, len(self.points)), layer)
+
+    def _spread(self, keys: np.ndarray, most: int) -> np.ndarray:
+        """Of each row's keys, nearest first, those nearer to the point than to any chosen before; filled up with the rest."""
+        out = []
+        for part in (keys[i : i + 256] for i in range(0, len(keys), 256)):
+            numbers = np.where(part == _NONE, 0, _numbers(part))
+            some, norms = np.take(self.points, numbers, axis=0), np.take(self.norms, numbers)
+            between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(some, some.transpose(0, 2, 1))
+            own = np.where(part == _NONE, np.uint64(0x7F800000), part >> np.uint64(32)).astype(np.uint32).view(np.float32)
+            closest, chosen = np.full(part.shape, np.inf, dtype=np.float32), np.zeros(part.shape, dtype=bool)
+            count = np.zeros(len(part), dtype=np.int64)
+            for k in range(part.shape[1]):
+                row = np.flatnonzero((own[:, k] < closest[:, k]) & (count < most))
+                chosen[row, k] = True
+                count[row] += 1
+                closest[row] = np.minimum(closest[row], between[row, k])
+            rest = np.cumsum(~chosen & (part != _NONE), axis=1) <= np.maximum(0, most // 2 - count)[:, None]
+            out.append(np.sort(np.where(chosen | rest, part, _NONE), axis=1)[:, :most])
+        return np.concatenate(out)
+
+    def _link(self, source: np.ndarray, target: np.ndarray, layer: int) -> None:
+        """Add links, sorted by source; a point without room for its new ones keeps those that ``_spread`` chooses."""
+        flat, degree = self.flat[layer], self.degree[layer]
+        new = ~(np.take(flat, source, axis=0) == target[:, None]).any(axis=1)
+        source, target = source[new], target[new]
+        points, count = np.unique(source, return_counts=True)
+        slot = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+        room, fits = flat.shape[1], degree[points] + count <= flat.shape[1]
+        easy = np.repeat(fits, count)
+        flat[source[easy], degree[source[easy]] + slot[easy]] = target[easy]
+        degree[points[fits]] += count[fits].astype(np.int32)
+        full, most = points[~fits], self.links * (1 if layer else 2)
+        if not len(full):
             return
-        found = [(float(self.norms[self.entry] - 2 * (self.points[self.entry] @ q)), self.entry)]
-        for layer in range(self.top, height, -1):
-            found = self._search(q, found[:1], 1, layer)
-        for layer in range(min(self.top, height), -1, -1):
-            found = self._search(q, found, width, layer)
-            most = self.links * (2 if layer == 0 else 1)
-            for j in self._spread(found, float(self.norms[i]), self.links):
-                self._link(i, j, layer, most)
-                self._link(j, i, layer, most)
-        if height > self.top:
-            self.entry, self.top = i, height
-
-    def _link(self, i: int, j: int, layer: int, most: int) -> None:
-        flat, degree, at = self.flat[layer], self.degree[layer], self.place[layer][i]
-        if degree[at] == flat.shape[1]:
-            around = flat[at]
-            gaps = self.norms[around] - 2 * (self.points[around] @ self.points[i])
-            kept = self._spread(sorted(zip(gaps.tolist(), around.tolist())), float(self.norms[i]), most)
-            flat[at] = -1
-            flat[at, : len(kept)] = kept
-            degree[at] = len(kept)
-        flat[at, degree[at]] = j
-        degree[at] += 1
+        wide = np.full((len(full), room + int(count[~fits].max())), -1, dtype=np.int64)
+        wide[:, :room] = flat[full]
+        wide[np.repeat(np.arange(len(full)), count[~fits]), room + slot[~easy]] = target[~easy]
+        for i in range(0, len(full), 256):
+            own, some = full[i : i + 256], wide[i : i + 256]
+            keys = _keys(self._gaps(np.maximum(some, 0), self.points[own]), np.maximum(some, 0))
+            keys = np.sort(np.where(some < 0, _NONE, keys), axis=1)[:, : 2 * room]
+            kept = self._spread(keys, most)
+            flat[own] = -1
+            flat[own, : kept.shape[1]] = np.where(kept == _NONE, -1, _numbers(kept))
+            degree[own] = (kept != _NONE).sum(axis=1)
+
+    def nearest_all(self, q: np.ndarray, width: int = SEARCH_WIDTH) -> np.ndarray:
+        """Numbers of the ``width`` nearest found for each row of ``q``, nearest first, -1 where there are fewer."""
+        if self.entry < 0:
+            return np.full((len(q), width), -1)
+        keys = self._found(np.ascontiguousarray(q, dtype=np.float32), width, 0)
+        return np.where(keys == _NONE, -1, _numbers(keys))
 
     def nearest(self, q: np.ndarray, width: int = SEARCH_WIDTH) -> list[int]:
-        if self.entry < 0:
-            return []
-        found = [(float(self.norms[self.entry] - 2 * (self.points[self.entry] @ q)), self.entry)]
-        for layer in range(self.top, 0, -1):
-            found = self._search(q, found[:1], 1, layer)
-        return [i for _, i in self._search(q, found, width, 0)]
+        found = self.nearest_all(q[None, :], width)[0]
+        return found[found >= 0].tolist()
 
 
 def _norm(vectors: np.ndarray) -> np.ndarray:
@@ -194,35 +257,59 @@ class Shard:
         lift = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0))
         return np.hstack([scaled, lift[:, None]])
 
-    def answer(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def answers(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ``k`` nearest found of each query: its place in ``queries``, their ids and scores."""
+        n = len(self.vectors)
+        width = n if self.graph is None else max(SEARCH_WIDTH, 2 * k, int(WIDTH_GROWTH * n**0.5))
         if self.graph is None:
-            found = np.arange(len(self.vectors))
+            found = np.broadcast_to(np.arange(n), (len(queries), n))
         else:
-            unit = q / (np.abs(q).max() * _norm((q / np.abs(q).max())[None, :])[0])
-            found = np.array(self.graph.nearest(np.append(unit, 0).astype(np.float32), max(SEARCH_WIDTH, 2 * k)))
-        scores = self.vectors[found] @ q
-        pairs, own = [], True
-        for at in np.lexsort((self.ids[self.starts[found]], -scores))[: 2 * k + 1]:
-            node = found[at]
-            ids = self.ids[self.starts[node] : self.ends[node]].tolist()
-            if own and query_id in ids and np.array_equal(self.vectors[node], q):
-                ids.remove(query_id)
-                own = False
-            pairs += [(-float(scores[at]), i) for i in ids]
-        return [(-s, i) for s, i in sorted(pairs)[:k]]
-
-
-SHARD_SCHEMA = "shard string, n int, vectors binary, ids array<long>, ends array<int>, heights binary, flat array<binary>, entry int"
+            found = self.graph.nearest_all(np.hstack([_directions(queries), np.zeros((len(queries), 1))]), width)
+        step, out = max(1, SCORED // (width * queries.shape[1])), []
+        for i in range(0, len(queries), step):
+            row, ids, scores = self._ranked(found[i : i + step], query_ids[i : i + step], queries[i : i + step], k)
+            out.append((row + i, ids, scores))
+        return tuple(np.concatenate(column) for column in zip(*out))
+
+    def _ranked(self, found: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the found nodes by exact score, less one row of each query's own id and vector."""
+        scores = np.matmul(np.take(self.vectors, found, axis=0).astype(np.float64), q[:, :, None])[:, :, 0]
+        scores[found < 0] = -np.inf
+        best = np.lexsort((self.ids[self.starts[found]], -scores), axis=1)[:, : 2 * k + 1]
+        nodes, scores = np.take_along_axis(found, best, axis=1), np.take_along_axis(scores, best, axis=1)
+        row, col = np.nonzero(nodes >= 0)
+        node, score = nodes[row, col], scores[row, col]
+        count = self.ends[node] - self.starts[node]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        row, node, score = np.repeat(row, count), np.repeat(node, count), np.repeat(score, count)
+        ids = self.ids[self.starts[node] + nth]
+        own = np.flatnonzero(ids == query_ids[row])
+        own = own[(self.vectors[node[own]] == q[row[own]]).all(axis=1)]
+        keep = np.ones(len(ids), dtype=bool)
+        keep[own[np.unique(row[own], return_index=True)[1]]] = False
+        row, ids, score = row[keep], ids[keep], score[keep]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        count = np.bincount(row, minlength=len(q))
+        first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) < k
+        return row[first], ids[first], score[first]
+
+
+SHARD_SCHEMA = "shard string, n int, item int, vectors binary, ids array<long>, ends array<int>, heights binary, flat array<binary>, entry int"
 
 
 def _stored(shard: str, vectors: list[np.ndarray], ids: list[np.ndarray]) -> dict:
     """One row for a shard: its vectors, their ids and the graph."""
     matrix = np.stack(vectors).astype(np.float64)
     graph = Graph(Shard.points(matrix)) if len(matrix) > WHOLE else None
+    with np.errstate(over="ignore"):
+        single = matrix.astype(np.float32)
+    kept = single if np.array_equal(single, matrix) else matrix
     return {
         "shard": shard,
         "n": len(matrix),
-        "vectors": matrix.tobytes(),
+        "item": kept.itemsize,
+        "vectors": kept.tobytes(),
         "ids": np.concatenate(ids).astype(np.int64),
         "ends": np.cumsum([len(i) for i in ids]).astype(np.int32),
         "heights": graph.heights.tobytes() if graph else None,
@@ -247,10 +334,10 @@ def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _loaded(row: dict) -> Shard:
-    vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(row["n"], -1)
+    vectors = np.frombuffer(row["vectors"], dtype=np.dtype(f"f{int(row['item'])}")).reshape(int(row["n"]), -1)
     graph = None
     if row["heights"] is not None:
-        graph = Graph.stored(Shard.points(vectors), np.frombuffer(row["heights"], dtype=np.int8), list(row["flat"]), int(row["entry"]))
+        graph = Graph.stored(Shard.points(vectors.astype(np.float64)), np.frombuffer(row["heights"], dtype=np.int8), list(row["flat"]), int(row["entry"]))
     return Shard(vectors, np.asarray(row["ids"]), np.asarray(row["ends"]), graph)
 
 
@@ -260,14 +347,13 @@ def _searcher(k: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded = None
         for batch in batches:
-            out: list[tuple[int, int, int, float]] = []
-            for row in batch.to_dict("records"):
-                if row["side"] == 0:
-                    loaded = _loaded(row)
+            for _, part in batch.groupby((batch["side"].diff().fillna(0) != 0).cumsum().to_numpy()):
+                if part["side"].iloc[0] == 0:
+                    loaded = _loaded(part.iloc[-1].to_dict())
                     continue
-                number, query_id = int(row["query_row"]), int(row["query_id"])
-                out += [(number, query_id, i, s) for s, i in loaded.answer(query_id, np.asarray(row["vector"]), k)]
-            yield pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
+                query_ids = part["query_id"].to_numpy()
+                row, ids, scores = loaded.answers(query_ids, np.stack(part["vector"].tolist()), k)
+                yield pd.DataFrame({"query_row": part["query_row"].to_numpy()[row], "query_id": query_ids[row], "vec_id": ids, "score": scores})
 
     return search
 
@@ -280,9 +366,13 @@ def usable(vector: Column) -> Column:
 
 def _band(vector: Column) -> Column:
     """Number of the band of norms, norm 1 in the middle of band 0; components are divided by the largest, so that no square overflows."""
-    most = F.array_max(F.transform(vector, F.abs))
-    square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
-    return F.floor((F.log2(most) + F.log2(square) / 2) / BAND_BITS + 0.5).cast("int")
+
+    def of(most: Column) -> Column:
+        square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
+        return F.floor((F.log2(most) + F.log2(square) / 2) / BAND_BITS + 0.5).cast("int")
+
+    # As the variable of a transform, the largest component is found once a vector and not once a component.
+    return F.transform(F.array(F.array_max(F.transform(vector, F.abs))), of)[0]
 
 
 def cells_of(sample: np.ndarray, count: int) -> np.ndarray:
@@ -307,12 +397,12 @@ def _directions(vectors: np.ndarray) -> np.ndarray:
     return vectors / _norm(vectors)[:, None]
 
 
-def _fit_cells(nodes: DataFrame, groups: DataFrame, shard_rows: int) -> dict[tuple[int, int], np.ndarray]:
+def _fit_cells(nodes: DataFrame, groups: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Centres of the directions of each group of more than one shard, from a bounded sample of its vectors."""
-    large = groups.where(F.col("n") > shard_rows).orderBy(F.desc("n"), "size", "band").limit(MAX_ROUTED_GROUPS).collect()
+    large = groups.where(F.col("n") > F.col("shard_rows")).orderBy(F.desc("n"), "size", "band").limit(MAX_ROUTED_GROUPS).collect()
     out = {}
     for g in large:
-        count = min(MAX_CELLS // len(large) + 1, -(-g["n"] // shard_rows))
+        count = min(MAX_CELLS // len(large) + 1, -(-g["n"] // g["shard_rows"]))
         most = count * CELL_SAMPLE
         share = min(1.0, 2 * most / g["n"])
         drawn = F.pmod(F.xxhash64("vector", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -354,7 +444,7 @@ def _fit_margin(nodes: DataFrame, queries: DataFrame, cells: dict[tuple[int, int
                     continue
                 numbers, q = by_size[size]
                 scores = q @ np.stack(part["vector"].tolist()).T
-                top = np.argsort(-scores, axis=1)[:, : k + 1]
+                top = np.argpartition(-scores, min(k, len(part) - 1), axis=1)[:, : k + 1]
                 yield pd.DataFrame(
                     {
                         "query_row": np.repeat(numbers, top.shape[1]),
@@ -399,11 +489,15 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = NEAREST, shard_rows:
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(vector), F.lit(False)))
     rows = rows.withColumns({"size": F.size(vector), "band": _band(vector)})
     queries = materialise(rows.where(is_query).drop("band").withColumnRenamed("vec_id", "query_id").withColumn("query_row", F.monotonically_increasing_id()), "queries")
-    same = Window.partitionBy("vector").orderBy("vec_id")
-    few = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    nodes = materialise(few.groupBy("vector", "size", "band").agg(F.collect_list("vec_id").alias("ids")), "nodes")
-    groups = materialise(nodes.groupBy("size", "band").agg(F.count("*").alias("n")), "groups")
-    cells = _fit_cells(nodes, groups, shard_rows)
+    # A hash before the vector, as arrays are slow to sort by.
+    same = Window.partitionBy("mark", "vector").orderBy("vec_id")
+    marked = rows.withColumn("mark", F.xxhash64(F.transform(vector, lambda x: x + F.lit(0.0))))
+    few = marked.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
+    nodes = materialise(few.groupBy("mark", "vector", "size", "band").agg(F.collect_list("vec_id").alias("ids")).drop("mark"), "nodes")
+    most = F.least(F.ceil(F.col("n") / SHARDS), F.floor(F.lit(SHARD_COMPONENTS) / F.col("size")))
+    groups = nodes.groupBy("size", "band").agg(F.count("*").alias("n")).withColumn("shard_rows", F.greatest(F.lit(shard_rows), most))
+    groups = materialise(groups, "groups")
+    cells = _fit_cells(nodes, groups)
     if cells:
         nodes = materialise(nodes.mapInPandas(_assigner(cells), "vector array<double>, size int, band int, ids array<long>, cell int"), "celled")
     else:
@@ -411,13 +505,15 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = NEAREST, shard_rows:
     margin = _fit_margin(nodes, queries, cells, k) if cells else 0.0
 
     names = ["size", "band", "cell"]
-    parts = materialise(nodes.groupBy(*names).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("subs")), "cells")
+    held = nodes.groupBy(*names).agg(F.count("*").alias("held")).join(small(groups, SMALL_ROWS).drop("n"), ["size", "band"])
+    subs = F.greatest(F.lit(1), F.round(F.col("held") / F.col("shard_rows"))).cast("int")
+    parts = materialise(held.select(*names, subs.alias("subs")), "cells")
     cell_name, shard = F.concat_ws("/", *names), F.concat_ws("/", *names, "sub")
     named = parts.select(cell_name.alias("place"), "subs")
     placed = split_join(nodes.withColumn("place", cell_name), named, "place", "vector")
     dealt = placed.withColumn("sub", F.pmod(F.xxhash64("vector"), F.col("subs"))).select(shard.alias("shard"), "ids", "vector")
     shards = max(1, parts.agg(F.sum("subs")).first()[0] or 0)
-    index = materialise(dealt.repartition(min(3 * shards, 20_000), "shard").sortWithinPartitions("shard").mapInPandas(_build, SHARD_SCHEMA), "graphs")
+    index = materialise(dealt.repartition(min(3 * shards, 20_000), "shard").sortWithinPartitions("shard", F.xxhash64("vector", F.lit(SEED))).mapInPandas(_build, SHARD_SCHEMA), "graphs")
 
     met = queries.join(small(groups, SMALL_ROWS).select("size", "band"), "size").select("query_row", "query_id", "vector", "size", "band")
     visits = met.mapInPandas(_router(cells, margin), "query_row long, query_id long, vector array<double>, size int, band int, cell int")
@@ -429,7 +525,7 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = NEAREST, shard_rows:
     copies = index.join(small(chunks, SMALL_ROWS), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     tasks = max(1, chunks.agg(F.sum("chunks")).first()[0] or 0)
     both = copies.withColumn("side", F.lit(0)).unionByName(own.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    both = both.na.fill(0, ["n", "entry", "query_row", "query_id"]).repartition(min(3 * tasks, 20_000), "shard", "chunk")
+    both = both.na.fill(0, ["n", "item", "entry", "query_row", "query_id"]).repartition(min(3 * tasks, 20_000), "shard", "chunk")
     streamed = both.sortWithinPartitions("shard", "chunk", "side", "query_row")
     found = streamed.mapInPandas(_searcher(k), "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
