@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product over sharded small-world graphs.
 
 Distinct vectors are grouped by length and by a band of norms (largest to smallest at most 16 to 1), and each
-group is cut into shards of bounded size. Each shard is a hierarchical navigable small-world graph, built
+group is cut into about ``SHARDS`` shards, more where they would grow beyond ``SHARD_COMPONENTS``. Each shard is a hierarchical navigable small-world graph, built
 once and stored as flat neighbour arrays; queries are sent to shards in bounded chunks, and the shards' best
 are merged by rank. Inner product becomes Euclidean distance by one more coordinate, sqrt(R^2 - |x|^2) with
 R the largest norm of the shard; vectors are divided by R first, so neither one long vector nor many short
