@@ -192,6 +192,16 @@ def test_quotes_meet_only_news_of_their_span(spark, events):
     assert join.count(" = ") == 2  # the instrument and the span of time
 
 
+def test_state_of_quotes_and_news_has_a_row_a_span(spark):
+    own = [(i, START + timedelta(seconds=9 * i), "a", 1.0) for i in range(400)]  # four spans of 15 minutes
+    feed = L.in_slices(spark.createDataFrame(own, EVENTS), "ts", 2, "feed", 2, mark=timedelta(days=1))
+    told = L.read_feed(spark, feed.path).select(F.col("event_type").alias("currency"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.lit("pause").alias("action"))
+    got = L.drained(under_news(L.tick_stream(spark, feed.path), told, 15, feed.lateness()), "news")
+    want = [(q, n) for q in range(400) for n in range(400) if 0 <= 9 * (q - n) < 900]
+    assert sorted((r.seq, r.id) for r in got.rows.collect()) == sorted(want)
+    assert max(got.counted("numRowsTotal")) <= 4 + 5 + 3 + 9  # packed quotes, packed news, the mark's, and what is meeting
+
+
 @pytest.mark.parametrize("cut, block", [(1, 4), (7, 4), (400, 16), (400, 1 << 16)])
 def test_blocks_of_ticks_are_labelled_as_tick_by_tick(monkeypatch, cut, block):
     """Quotes that are carried from release to release, and ties of time."""
