@@ -1,6 +1,7 @@
 """Boosting on summed histograms against the same in memory, a search of the first split, and what it learns."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,26 @@ def test_windows_never_learn_from_what_they_test(spark, rows, monkeypatch, judge
         local = B.train_local(x[part], y[part], np.arange(400) >= 320, COLUMNS, edges, rules)
         got = {r.idx: r.p for r in out if r.window == w}
         assert np.allclose([got[i] for i in sorted(got)], local.probabilities(x[sorted(got)]))
+
+
+@pytest.mark.parametrize("local_rows, least", [(200_000, 0), (20_000, 0), (100, 22_000)])
+def test_windows_learn_from_all_their_rows(spark, monkeypatch, local_rows, least):
+    """In one task or over many; labels of a later time than a window knows would change its model."""
+    monkeypatch.setattr(walk, "LOCAL_ROWS", local_rows, raising=False)
+    monkeypatch.setattr(walk, "TOGETHER", 2, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(31_000 - least, 3)).round(2)
+    y = np.where(x[:, 0] + rng.normal(size=len(x)) * 0.3 > 0.7, 1, np.where(x[:, 1] * x[:, 0] < -0.4, 2, 0))
+    at = np.arange(len(x)) // 3  # three rows of one time
+    own = pd.DataFrame({"instrument": "x", "idx": np.arange(len(x)), "time": pd.to_datetime(at, unit="s"), "target": y, **{c: x[:, i] for i, c in enumerate(COLUMNS)}})
+    train_s, test_s = (8_000, 1_000) if not least else (1_000, 900)
+    rules = B.Rules(rounds=3, depth=2, keep_every=2, bins=16, rate=0.3)
+    edges = [np.unique(np.quantile(x[:, i], np.arange(1, 16) / 16).round(2)) for i in range(3)]
+    monkeypatch.setattr(walk, "bin_edges", lambda *_: edges)  # approximate ones depend on how rows are dealt
+    out = walk_forward_fits(spark.createDataFrame(own).repartition(3), COLUMNS, "target", train_s, 100, test_s, rules).toPandas()
+    assert out["window"].nunique() >= 3
+    for w, got in out.groupby("window"):
+        part = np.flatnonzero((at >= w * test_s) & (at < w * test_s + train_s))
+        assert set(got["n_learned"]) == {len(part)} == {3 * train_s}
+        local = B.train_local(x[part], y[part], np.arange(len(part)) >= len(part) * 0.8, COLUMNS, edges, rules)
+        assert np.allclose(np.stack(got["p"].to_list()), local.probabilities(x[got["idx"].to_numpy()]))

@@ -9,7 +9,7 @@ not fallen for a number of rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.scratch import stored
 
-#: Sums by cell of the nodes of half-grown trees, and the loss of the later rows.
-Histograms = Callable[[list["Tree"], list[list[int]], bool], tuple[np.ndarray, "float | None"]]
+#: Half-grown trees, the nodes of each to be summed, and whether these are roots.
+Asked = tuple[list["Tree"], list[list[int]], bool]
+#: Sums by cell of the asked nodes, and at the roots the loss of the later rows, null without such rows.
+Told = tuple[np.ndarray, "float | None"]
 
 
 @dataclass
@@ -118,24 +120,23 @@ def _grow(sums: np.ndarray, tree: Tree, nodes: Sequence[int], rules: Rules, gain
     return split
 
 
-def _boost(model: Model, features: int, histograms: Histograms, keep: Callable[[list[Tree]], None]) -> Model:
+def _boost(model: Model, features: int, keep: Callable[[list[Tree]], None]) -> Generator[Asked, Told, None]:
     """Add rounds of trees until the loss of the later rows has not fallen for ``patience`` rounds, and go back to the best.
 
-    ``histograms`` gives the sums of nodes of half-grown trees, and at the roots the loss so far, null without later rows;
-    ``keep`` takes over the trees of a round.
+    Asks for the sums of nodes of half-grown trees; ``keep`` takes over the trees of a round.
     """
     rules, gains = model.rules, []
     for number in range(rules.rounds + 1):
         trees, nodes = [Tree.of_depth(rules.depth) for _ in range(rules.classes)], [[0] for _ in range(rules.classes)]
         for level in range(rules.depth + 1):
-            flat, loss = histograms(trees, nodes, level == 0)
+            flat, loss = yield trees, nodes, level == 0
             if level == 0:
                 model.losses.append(-number if loss is None else loss)
                 gains.append(model.gains.copy())
                 best = int(np.argmin(model.losses))
                 if number == rules.rounds or number - best >= rules.patience:
                     model.rounds, model.gains = model.rounds[:best], gains[best]
-                    return model
+                    return
             starts = _starts(nodes, features, rules)
             sums = [flat[starts[c] : starts[c + 1]].reshape(len(own), features, rules.bins, 2) for c, own in enumerate(nodes)]
             grow = _grow if level < rules.depth else _leaves
@@ -145,7 +146,6 @@ def _boost(model: Model, features: int, histograms: Histograms, keep: Callable[[
                 break
         model.rounds.append(trees)
         keep(trees)
-    return model
 
 
 def _starts(nodes: list[list[int]], features: int, rules: Rules) -> np.ndarray:
@@ -173,19 +173,42 @@ def train(df: DataFrame, columns: Sequence[str], label: str = "target", held_out
     Without such rows all rounds are kept. A null feature counts as 0; rows without a label are not learned from.
     """
     rules, columns, known = rules or Rules(), list(columns), df.where(F.col(label).isNotNull())
-    learned = known.where(~F.col(held_out))
-    counts = dict(learned.groupBy(label).count().collect())
-    shares = np.array([counts.get(c, 0) + 1.0 for c in range(rules.classes)])
-    model = Model(columns, bin_edges(learned, columns, rules.bins), rules, np.log(shares / shares.sum()), [], np.zeros(len(columns)))
-    ready = known.select(F.col(label).cast("int").alias("y"), F.col(held_out).alias("late"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
-    state = {"rows": stored(ready.select("y", "late", F.array(*[F.lit(float(s)) for s in model.start]).alias("s"), _bins(ready, model)), "boosted"), "late": []}
+    edges = bin_edges(known.where(~F.col(held_out)), columns, rules.bins)
+    own = known.select(F.lit(0).cast("long").alias("key"), F.col(label).cast("int").alias("y"), F.col(held_out).alias("late"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    return train_each(own, [0], columns, edges, rules)[0]
 
-    def keep(trees: list[Tree]) -> None:
-        state["late"].append(trees)
-        if len(state["late"]) == rules.keep_every:
-            state["rows"], state["late"] = stored(_scored(state["rows"], state["late"]), "boosted"), []
 
-    return _boost(model, len(columns), lambda trees, nodes, first: _histograms(state["rows"], state["late"], trees, nodes, rules, len(columns), first), keep)
+def train_each(df: DataFrame, keys: Sequence[int], columns: Sequence[str], edges: list[np.ndarray], rules: Rules) -> dict[int, Model]:
+    """A model of the rows of each key, grown side by side: a pass over all rows sums what every model asks for next.
+
+    ``df`` has key, y (the label), late (the later slice that says when to stop) and the columns, none of them null. What
+    reaches the driver is a histogram for each key.
+    """
+    counts: dict[int, dict[int, int]] = {k: {} for k in keys}
+    for r in df.where(~F.col("late")).groupBy("key", "y").count().collect():
+        counts[r["key"]][r["y"]] = r["count"]
+    models = {}
+    for k in keys:
+        shares = np.array([counts[k].get(c, 0) + 1.0 for c in range(rules.classes)])
+        models[k] = Model(list(columns), edges, rules, np.log(shares / shares.sum()), [], np.zeros(len(columns)))
+    starts = df.sparkSession.createDataFrame([(k, [float(v) for v in m.start]) for k, m in models.items()], "key long, s array<double>")
+    ready = df.select("key", "y", "late", *[F.col(c).alias(f"x{i}") for i, c in enumerate(columns)]).join(F.broadcast(starts), "key")
+    rows = stored(ready.select("key", "y", "late", "s", _bins(ready, models[keys[0]])), "boosted")
+    late: dict[int, list[list[Tree]]] = {k: [] for k in keys}
+    steps = {k: _boost(m, len(columns), late[k].append) for k, m in models.items()}
+    asked = {k: next(step) for k, step in steps.items()}
+    while asked:
+        if max(len(own) for own in late.values()) >= rules.keep_every:
+            rows = stored(_scored(rows, late), "boosted")
+            for own in late.values():
+                own.clear()
+        told, asked = _histograms(rows, late, asked, rules, len(columns)), {}
+        for k, answer in told.items():
+            try:
+                asked[k] = steps[k].send(answer)
+            except StopIteration:
+                pass
+    return models
 
 
 def train_local(values: np.ndarray, y: np.ndarray, later: np.ndarray, columns: Sequence[str], edges: list[np.ndarray], rules: Rules) -> Model:
@@ -204,7 +227,13 @@ def train_local(values: np.ndarray, y: np.ndarray, later: np.ndarray, columns: S
     def keep(trees: list[Tree]) -> None:
         scores[:] += np.stack([t.scores(bins) for t in trees], axis=1)
 
-    return _boost(model, len(columns), histograms, keep)
+    steps = _boost(model, len(columns), keep)
+    asked = next(steps)
+    while True:
+        try:
+            asked = steps.send(histograms(*asked))
+        except StopIteration:
+            return model
 
 
 def _leaves(sums: np.ndarray, tree: Tree, nodes: Sequence[int], rules: Rules, _: np.ndarray) -> list[int]:
@@ -221,43 +250,63 @@ def _bins(df: DataFrame, model: Model):
     return F.pandas_udf(cut, "array<short>")(*[f"x{i}" for i in range(len(model.columns))]).alias("b")
 
 
-def _scored(rows: DataFrame, late: list[list[Tree]]) -> DataFrame:
+def _each(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """The keys of a batch, each with the places of its rows."""
+    keys = batch["key"].to_numpy()
+    for key in np.unique(keys):
+        yield int(key), np.flatnonzero(keys == key)
+
+
+def _scored(rows: DataFrame, late: dict[int, list[list[Tree]]]) -> DataFrame:
     """The rows with the scores of further trees added."""
+    late = {k: list(own) for k, own in late.items()}
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             bins, scores = np.stack(batch["b"].to_list()), np.stack(batch["s"].to_list())
-            for trees in late:
-                scores = scores + np.stack([t.scores(bins) for t in trees], axis=1)
+            for key, at in _each(batch):
+                for trees in late[key]:
+                    scores[at] += np.stack([t.scores(bins[at]) for t in trees], axis=1)
             yield batch.assign(s=list(scores))
 
     return rows.mapInPandas(add, rows.schema)
 
 
-def _histograms(rows: DataFrame, late: list[list[Tree]], trees: list[Tree], nodes: list[list[int]], rules: Rules, features: int, first: bool) -> tuple[np.ndarray, float | None]:
-    """Sums (G, H) by cell of the rows that are learned from; on the ``first`` level also the mean loss of the others."""
-    cells = int(_starts(nodes, features, rules)[-1])
+def _histograms(rows: DataFrame, late: dict[int, list[list[Tree]]], asked: dict[int, Asked], rules: Rules, features: int) -> dict[int, Told]:
+    """Sums (G, H) by cell of the rows that are learned from, for each key that asks; at roots also the mean loss of the others."""
+    cells = {k: int(_starts(nodes, features, rules)[-1]) for k, (_, nodes, _) in asked.items()}
+    late = {k: list(late[k]) for k in asked}
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, loss = np.zeros((cells, 2)), np.zeros(2)
+        totals, losses = {}, {}
         for batch in batches:
-            if not len(batch):
-                continue
-            bins, scores = np.stack(batch["b"].to_list()).astype(int), np.stack(batch["s"].to_list())
-            for past in late:
-                scores = scores + np.stack([t.scores(bins) for t in past], axis=1)
-            p, y, later = softmax(scores), batch["y"].to_numpy(), batch["late"].to_numpy(dtype=bool)
-            if first:
-                loss += -np.log(np.maximum(p[later, y[later]], 1e-15)).sum(), later.sum()
-            _add(total, bins[~later], p[~later], y[~later], trees, nodes, rules)
-        used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"cell": np.append(used, -1), "g": np.append(total[used, 0], loss[0]), "h": np.append(total[used, 1], loss[1])})
-
-    found = rows.mapInPandas(add, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-    flat, own = np.zeros((cells, 2)), found[found["cell"] >= 0]
-    flat[own["cell"].to_numpy()] = own[["g", "h"]].to_numpy()
-    told = found[found["cell"] < 0][["g", "h"]].sum()
-    return flat, float(told["g"] / told["h"]) if told["h"] else None
+            for key, at in _each(batch):
+                if key not in asked:
+                    continue
+                trees, nodes, first = asked[key]
+                part = batch.iloc[at]
+                bins, scores = np.stack(part["b"].to_list()).astype(int), np.stack(part["s"].to_list())
+                for past in late[key]:
+                    scores = scores + np.stack([t.scores(bins) for t in past], axis=1)
+                p, y, later = softmax(scores), part["y"].to_numpy(), part["late"].to_numpy(dtype=bool)
+                total, loss = totals.setdefault(key, np.zeros((cells[key], 2))), losses.setdefault(key, np.zeros(2))
+                if first:
+                    loss += -np.log(np.maximum(p[later, y[later]], 1e-15)).sum(), later.sum()
+                _add(total, bins[~later], p[~later], y[~later], trees, nodes, rules)
+        for key, total in totals.items():
+            used = np.flatnonzero(total.any(axis=1))
+            yield pd.DataFrame({"key": key, "cell": np.append(used, -1), "g": np.append(total[used, 0], losses[key][0]), "h": np.append(total[used, 1], losses[key][1])})
+
+    found = rows.mapInPandas(add, "key long, cell long, g double, h double").groupBy("key", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    told = {}
+    for key in asked:
+        flat, own = np.zeros((cells[key], 2)), found[found["key"] == key]
+        sums, rest = own[own["cell"] >= 0], own[own["cell"] < 0][["g", "h"]].sum()
+        flat[sums["cell"].to_numpy()] = sums[["g", "h"]].to_numpy()
+        told[key] = flat, float(rest["g"] / rest["h"]) if rest["h"] else None
+    return told
 
 
 def score(model: Model, df: DataFrame) -> DataFrame:

@@ -10,12 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.ml.boosting import Rules, bin_edges, train_local
+from tickloom.ml.boosting import Rules, bin_edges, train_each, train_local
+from tickloom.operators.series import with_index
 from tickloom.sources.scratch import stored
 
 MICROS = 1_000_000
-#: Rows that one window learns from, at most about so many: those with the least hash of instrument and idx.
-FIT_ROWS = 20_000
+#: A window that learns from more rows than that is fitted by histograms that Spark sums; one of fewer rows in one task.
+LOCAL_ROWS = 200_000
+#: So many of the larger windows are fitted side by side.
+TOGETHER = 64
+#: Blocks of time in which the rows of a larger window are numbered.
+BLOCKS = 256
 #: The last share of a window's rows, by time, tells when to stop.
 LATER = 0.2
 #: A window that tests more rows than that is dealt over several tasks, each with its model.
@@ -36,12 +41,21 @@ def windows_of(at: Column, first: int, train_s: int, gap_s: int, test_s: int) ->
     return learns, F.when(tests >= 0, tests)
 
 
-def walk_forward_fits(rows: DataFrame, columns: Sequence[str], label: str, train_s: int, gap_s: int, test_s: int, rules: Rules | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+def _ranked(learned: DataFrame, columns: Sequence[str], train_s: int) -> DataFrame:
+    """key, y, late and the columns of the rows of windows with ``n`` rows each; late are the last of a window, by time."""
+    named = learned.withColumnRenamed("idx", "own_idx").withColumn("time", F.timestamp_micros("at"))
+    numbered = with_index(named, ("window",), ("time", "instrument", "own_idx"), f"{-(-train_s // BLOCKS)} seconds")
+    late = F.col("idx") >= F.col("n") * (1 - LATER)
+    ranked = numbered.select(F.col("window").alias("key"), F.col("target").alias("y"), late.alias("late"), *columns, "at")
+    return stored(ranked.repartitionByRange("key", "at"), "ranked")
+
+
+def walk_forward_fits(rows: DataFrame, columns: Sequence[str], label: str, train_s: int, gap_s: int, test_s: int, rules: Rules | None = None) -> DataFrame:
     """window, instrument, idx, target and ``p`` (array) of every row that some window tests.
 
-    ``rows`` has instrument, idx, time, the label and the columns. All windows are fitted at once, a task each, on at most
-    about ``fit_rows`` rows chosen by hash; models go to the rows they test by the number of their window. A window that
-    has no rows to learn from tests none.
+    ``rows`` has instrument, idx, time, the label and the columns. Each window learns from all its rows that have a label, in
+    a task of its own, or spread over many if they are more than ``LOCAL_ROWS``; models go to the rows they test by the
+    number of their window. A window that has no rows to learn from tests none.
     """
     rules, columns = rules or Rules(), list(columns)
     at = F.unix_micros(F.col("time").cast("timestamp"))
@@ -49,10 +63,10 @@ def walk_forward_fits(rows: DataFrame, columns: Sequence[str], label: str, train
     own = stored(own, "walked")
     first = own.agg(F.min("at")).first()[0] or 0
     learns, tests = windows_of(F.col("at"), first, train_s, gap_s, test_s)
-    learned = own.where(F.col("target").isNotNull()).withColumn("window", F.explode(learns)).withColumn("drawn", F.xxhash64("instrument", "idx"))
-    sizes = learned.groupBy("window").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("n"))
-    drawn = learned.join(F.broadcast(sizes), "window").where(F.pmod("drawn", F.lit(1 << 30)) < share * (1 << 30))
+    learned = own.where(F.col("target").isNotNull()).withColumn("window", F.explode(learns))
+    sizes = stored(learned.groupBy("window").agg(F.count("*").alias("n"), F.max("at").alias("learned_to")), "windows")
+    large = sizes.where(F.col("n") > LOCAL_ROWS).orderBy("window").collect()
+    small = learned.join(F.broadcast(sizes.where(F.col("n") <= LOCAL_ROWS).select("window")), "window")
     edges = bin_edges(own, columns, rules.bins)
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +75,14 @@ def walk_forward_fits(rows: DataFrame, columns: Sequence[str], label: str, train
         model = train_local(group[columns].to_numpy(), group["target"].to_numpy(), later, columns, edges, rules)
         return pd.DataFrame({"window": [key[0]], "model": [pickle.dumps(model)], "learned_to": [int(group["at"].max())], "n_learned": [len(group)]})
 
-    models = stored(drawn.groupBy("window").applyInPandas(fit, "window long, model binary, learned_to long, n_learned long"), "models")
+    schema = "window long, model binary, learned_to long, n_learned long"
+    models = small.groupBy("window").applyInPandas(fit, schema)
+    for start in range(0, len(large), TOGETHER):
+        told = {r["window"]: r for r in large[start : start + TOGETHER]}
+        ranked = _ranked(learned.join(F.broadcast(sizes.where(F.col("window").isin(list(told))).select("window", "n")), "window"), columns, train_s)
+        fitted = train_each(ranked, list(told), columns, edges, rules)
+        models = models.unionByName(own.sparkSession.createDataFrame([(w, pickle.dumps(m), told[w]["learned_to"], told[w]["n"]) for w, m in fitted.items()], schema))
+    models = stored(models, "models")
     tested = own.withColumn("window", tests).where(F.col("window").isNotNull())
     dealt = tested.groupBy("window").agg(F.ceil(F.count("*") / JUDGED_ROWS).cast("int").alias("salts"))
     heads = models.join(dealt, "window").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
